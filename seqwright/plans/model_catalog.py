@@ -15,7 +15,7 @@ from seqwright.model import scoring
 from seqwright.model import weights as Wt
 from seqwright.operators import lookup as L
 from seqwright.operators import sequences as S
-from seqwright.plans.catalog import (CHUNK, ORDER_SQL, SEQ_SQL, WINDOW, _epoch_orders, query, seq_frame,
+from seqwright.plans.catalog import (CHUNK, ORDER_SQL, SEED, SEQ_SQL, WINDOW, _epoch_orders, query, seq_frame,
                                      window_frame, window_keys)
 from seqwright.sources.tables import table
 
@@ -364,3 +364,104 @@ def q_rmsprop_update(spark, sf_dir):
     out = e.select("vec_id", F.posexplode(F.arrays_zip(w_new.alias("w"), ms_new.alias("ms"))).alias("j", "z"))
     return out.select("vec_id", F.col("j").cast("bigint").alias("j"), M.round6("z.w").alias("w"),
                       M.round6("z.ms").alias("ms"))
+
+
+# ---------------------------------------------------------------- training (rows-only checks)
+def _train_setup(spark, sf_dir, hidden=H, init="formula"):
+    from seqwright.model.training import StepConfig, Tables  # noqa: F401
+    seq = seq_frame(spark, sf_dir)
+    num_items = int(seq.agg(F.max("item")).first()[0])
+    split = S.temporal_split(seq, train_frac=0.5)
+    train = S.tumbling_windows(split.where(F.col("split") == "train"), WINDOW).select(
+        "user", F.col("chunk").alias("seg"), "pos", "item", "target")
+    valid = split.where(F.col("split") == "valid").select("user", F.lit(0).alias("seg"), "pos", "item", "target")
+    t = Tables(Wt.user_weights(seq, hidden, init), Wt.item_weights(spark, num_items, hidden, init),
+               Wt.shared_weights(spark, hidden))
+    return train, valid, t, StepConfig(hidden=hidden, num_items=num_items, lr=0.01)
+
+
+def _first_batch(train, epoch=1, n_batches=8, seed=SEED):
+    from seqwright.operators.batching import batch_ids
+    bw = batch_ids(train, n_batches, seed, epoch, ("user", "seg"))
+    return bw.where(F.col("batch_id") == 0).drop("batch_id")
+
+
+@query("gradient_sum")
+def q_gradient_sum(spark, sf_dir):
+    """Gradient of the batch objective, per-task partial sums added up by a groupBy;
+    long form (param, id, j, g)."""
+    from seqwright.model.training import step_frame, sum_arrays
+    from seqwright.session import scratch_path
+    train, _, t, cfg = _train_setup(spark, sf_dir)
+    cfg.update = False
+    rows = _first_batch(train)
+    n = rows.select("user", "seg").distinct().count()
+    path = scratch_path(spark, "grads")
+    step_frame(spark, rows, t.user_w, t.item_w, t.shared_w, cfg, 1.0 / (n * WINDOW)).write.mode(
+        "overwrite").parquet(path)
+    res = spark.read.parquet(path)
+    ug = res.where(F.col("kind") == "user_grad")
+    parts = [ug.select(F.lit("gate_u").alias("param"), "id", F.posexplode("v1").alias("j", "g")),
+             ug.select(F.lit("cand_u").alias("param"), "id", F.posexplode("v2").alias("j", "g"))]
+    for kind, name in (("item", "item"), ("bias", "bias")):
+        s = sum_arrays(res.where(F.col("kind") == kind).select("id", "v1"), "id")
+        parts.append(s.select(F.lit(name).alias("param"), "id", F.posexplode("v1").alias("j", "g")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("param", "id", F.col("j").cast("bigint").alias("j"), "g")
+
+
+@query("train_step")
+def q_train_step(spark, sf_dir):
+    """M6/M7/M8: one RMSProp step (accumulators reset to 0) on the first batch; the updated
+    item and bias tables in long form (param, id, j, w)."""
+    from seqwright.model.training import train_step
+    train, _, t, cfg = _train_setup(spark, sf_dir)
+    new, st = train_step(spark, _first_batch(train), t, cfg, WINDOW)
+    it = new.item_w.select(F.lit("item").alias("param"), F.col("item").alias("id"),
+                           F.posexplode(F.concat("gate_in", "cand_in", "out")).alias("j", "w"))
+    sh = new.shared_w.select(F.col("name").alias("param"), F.lit(0).cast("bigint").alias("id"),
+                             F.posexplode("v").alias("j", "w"))
+    return it.unionByName(sh).select("param", "id", F.col("j").cast("bigint").alias("j"), "w")
+
+
+@query("init_weights")
+def q_init_weights(spark, sf_dir):
+    """M9: seeded N(0, 1/sqrt(H)) initial weights (H = 8) for every user and item of the data;
+    one summary row per table row."""
+    seq = seq_frame(spark, sf_dir)
+    num_items = int(seq.agg(F.max("item")).first()[0])
+    uw = Wt.user_weights(seq, 8, "normal", seed=SEED)
+    iw = Wt.item_weights(spark, num_items, 8, "normal", seed=SEED)
+
+    def summ(df, param, idc, col):
+        x = df.select(idc, F.explode(col).alias("x"))
+        return x.groupBy(idc).agg(F.count(F.lit(1)).cast("bigint").alias("n_values"),
+                                  F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).select(
+            F.lit(param).alias("param"), F.col(idc).alias("id"), "n_values", "mean", "std")
+    return (summ(uw, "gate_u", "user", "gate").unionByName(summ(uw, "cand_u", "user", "cand"))
+            .unionByName(summ(iw, "item", "item", F.concat("gate_in", "cand_in", "out"))))
+
+
+def _fit(spark, sf_dir):
+    from seqwright.model.training import fit
+    train, valid, t, cfg = _train_setup(spark, sf_dir)
+    _, log_path = fit(spark, train, valid, t, cfg, window_len=WINDOW, epochs=2, n_batches=4,
+                      steps_per_epoch=2, seed=SEED)
+    return spark.read.parquet(log_path)
+
+
+@query("fit_history")
+def q_fit_history(spark, sf_dir):
+    """Two epochs of two steps each, a validation pass per epoch; the metrics history."""
+    return _fit(spark, sf_dir)
+
+
+@query("progress_report")
+def q_progress_report(spark, sf_dir):
+    """triplets per second over the training steps of a fit, cumulative."""
+    log = _fit(spark, sf_dir).where(F.col("split") == "train")
+    log = log.withColumn("gstep", F.col("epoch") * 1000 + F.col("step"))
+    return X.progress(log.select("gstep", "n", "seconds"), "gstep").select(
+        "gstep", "n", "triplets", "elapsed", "wps")
