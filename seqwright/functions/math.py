@@ -49,10 +49,13 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def softmax(logits) -> Column:
-    lg = _c(logits)
-    lse = logsumexp(lg)
-    return F.transform(lg, lambda x: F.exp(x - lse))
+def with_softmax(df, logits: str, out: str):
+    """Softmax of an array column, in two projections so the normaliser is computed once
+    per row rather than once per element."""
+    df = df.withColumn("_mx", F.array_max(logits))
+    df = df.withColumn("_lse", F.log(F.aggregate(F.col(logits), F.lit(0.0),
+                                                 lambda a, x: a + F.exp(x - F.col("_mx")))) + F.col("_mx"))
+    return df.withColumn(out, F.transform(F.col(logits), lambda x: F.exp(x - F.col("_lse")))).drop("_mx", "_lse")
 
 
 def lr_schedule(step, lr0: float, total_steps: int, warmup_steps: int = 0) -> Column:
@@ -65,14 +68,18 @@ def lr_schedule(step, lr0: float, total_steps: int, warmup_steps: int = 0) -> Co
     return F.when(s < warmup_steps, F.lit(lr0) * s / float(warmup_steps)).otherwise(decay)
 
 
-def rmsprop_arrays(w, g, ms, lr: float, rho: float = 0.9, eps: float = 1e-8):
-    """M7 on array columns: returns (new w, new ms). A NULL gradient (parameter not touched
-    by the batch) leaves both unchanged, as a sparse update does."""
-    w, g, ms = _c(w), _c(g), _c(ms)
-    ms_new = F.zip_with(ms, g, lambda m, x: F.lit(rho) * m + F.lit(1.0 - rho) * x * x)
-    w_new = F.transform(F.arrays_zip(w.alias("w"), g.alias("g"), ms_new.alias("m")),
-                        lambda e: e["w"] - F.lit(lr) * e["g"] / F.sqrt(e["m"] + F.lit(eps)))
-    return (F.when(g.isNull(), w).otherwise(w_new), F.when(g.isNull(), ms).otherwise(ms_new))
+def with_rmsprop(df, w: str, g: str, ms: str, lr: float, rho: float = 0.9, eps: float = 1e-8,
+                 out_w: str | None = None, out_ms: str | None = None):
+    """M7 on array columns: ``ms = rho*ms + (1-rho)*g^2``, ``w -= lr*g/sqrt(ms+eps)``.
+    A NULL gradient (a row the batch did not touch) leaves ``w`` and ``ms`` unchanged, as a
+    sparse update does. Each array is computed in its own projection (no re-evaluation)."""
+    out_w, out_ms = out_w or w, out_ms or ms
+    df = df.withColumn("_ms_new", F.when(F.col(g).isNull(), F.col(ms)).otherwise(
+        F.zip_with(F.col(ms), F.col(g), lambda m, x: F.lit(rho) * m + F.lit(1.0 - rho) * x * x)))
+    step = F.transform(F.arrays_zip(F.col(w).alias("w"), F.col(g).alias("g"), F.col("_ms_new").alias("m")),
+                       lambda e: e["w"] - F.lit(lr) * e["g"] / F.sqrt(e["m"] + F.lit(eps)))
+    df = df.withColumn("_w_new", F.when(F.col(g).isNull(), F.col(w)).otherwise(step))
+    return df.withColumn(out_w, F.col("_w_new")).withColumn(out_ms, F.col("_ms_new")).drop("_w_new", "_ms_new")
 
 
 def round6(x) -> Column:

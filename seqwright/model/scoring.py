@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from seqwright.model import cell
 from seqwright.model.weights import shared_arrays
 
-SCORE_SCHEMA = ("user BIGINT, seg BIGINT, pos BIGINT, item BIGINT, target BIGINT, h ARRAY<DOUBLE>, "
+SCORE_SCHEMA = ("user BIGINT, seg BIGINT, pos BIGINT, item BIGINT, target BIGINT, n BIGINT, h ARRAY<DOUBLE>, "
                 "lse DOUBLE, tlogit DOUBLE, argmax BIGINT, maxlogit DOUBLE")
 
 ROWS_PER_BLOCK = 1 << 20   # positions x items per numpy block of logits
@@ -41,8 +41,9 @@ def arrow_batch_rows(hidden: int) -> int:
 
 def _union_input(rows: DataFrame, user_w: DataFrame, init_state: DataFrame | None, hidden: int,
                  piece: str | None) -> DataFrame:
+    n = F.col("n").cast("bigint") if "n" in rows.columns else F.lit(None).cast("bigint")
     ev = rows.select("user", F.lit(1).alias("kind"), F.col("seg").cast("bigint"), F.col("pos").cast("bigint"),
-                     F.col("item").cast("bigint"), F.col("target").cast("bigint"),
+                     F.col("item").cast("bigint"), F.col("target").cast("bigint"), n.alias("n"),
                      F.lit(None).cast("array<double>").alias("gate"),
                      F.lit(None).cast("array<double>").alias("cand"),
                      F.lit(None).cast("array<double>").alias("h0"))
@@ -60,7 +61,8 @@ def _union_input(rows: DataFrame, user_w: DataFrame, init_state: DataFrame | Non
         ev = ev.withColumn("_piece", F.col(piece) if piece != "seg" else F.col("seg"))
     wt = w.select("user", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("seg"),
                   F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("bigint").alias("item"),
-                  F.lit(None).cast("bigint").alias("target"), "gate", "cand", "h0",
+                  F.lit(None).cast("bigint").alias("target"), F.lit(None).cast("bigint").alias("n"),
+                  "gate", "cand", "h0",
                   *(["_piece"] if piece is not None else []))
     return wt.unionByName(ev)
 
@@ -85,7 +87,7 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
     data = data.repartition(P, *keys).sortWithinPartitions(*keys, "kind", "seg", "pos")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_batch_rows(H)))
     fn = _make_fold(bsh, H, carry, reset_gate, act)
-    cols = ["user", "kind", "seg", "pos", "item", "target", "gate", "cand", "h0"]
+    cols = ["user", "kind", "seg", "pos", "item", "target", "n", "gate", "cand", "h0"]
     return data.select(*cols).mapInPandas(fn, SCORE_SCHEMA)
 
 
@@ -160,7 +162,7 @@ def _make_fold(bsh, H, carry, reset_gate, act):
                 lse[a:a + step], tl[a:a + step], am[a:a + step], mx[a:a + step] = cell.softmax_stats(
                     lg, targets[a:a + step])
             yield pd.DataFrame({"user": users, "seg": segs, "pos": ev["pos"].to_numpy().astype(np.int64), "item": items,
-                                "target": targets, "h": list(out_h), "lse": lse, "tlogit": tl,
+                                "target": targets, "n": ev["n"], "h": list(out_h), "lse": lse, "tlogit": tl,
                                 "argmax": am, "maxlogit": mx})
     return fold
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwright.functions.math import rmsprop_arrays
+from seqwright.functions.math import with_rmsprop
 from seqwright.model import cell
 from seqwright.model.scoring import arrow_batch_rows
 from seqwright.model.weights import shared_arrays
@@ -228,18 +228,15 @@ def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig)
     gi = gi.select(F.col("id").alias("item"), F.slice("v1", 1, 2 * H).alias("g_gate_in"),
                    F.slice("v1", 2 * H + 1, H).alias("g_cand_in"), F.slice("v1", 3 * H + 1, H).alias("g_out"))
     it = t.item_w.join(F.broadcast(gi), "item", "left")
-    cols = []
     for name in ("gate_in", "cand_in", "out"):
-        w, ms = rmsprop_arrays(name, f"g_{name}", f"{name}_ms", cfg.lr, cfg.rho, cfg.eps)
-        cols += [w.alias(name), ms.alias(f"{name}_ms")]
-    item_w = it.select("item", *cols)
+        it = with_rmsprop(it, name, f"g_{name}", f"{name}_ms", cfg.lr, cfg.rho, cfg.eps)
+    item_w = it.select("item", "gate_in", "cand_in", "out", "gate_in_ms", "cand_in_ms", "out_ms")
     gb = sum_arrays(res.where(F.col("kind") == "bias").select("id", "v1"), "id").first()
     gbv = list(gb["v1"]) if gb is not None else [0.0] * (3 * H)
     g_rows = [("gate_bias", gbv[:2 * H]), ("cand_bias", gbv[2 * H:])]
     g_df = spark.createDataFrame(g_rows, "name STRING, g ARRAY<DOUBLE>")
-    sw = t.shared_w.join(g_df, "name", "left")
-    w, ms = rmsprop_arrays("v", "g", "ms", cfg.lr, cfg.rho, cfg.eps)
-    shared_w = sw.select("name", w.alias("v"), ms.alias("ms"))
+    sw = with_rmsprop(t.shared_w.join(g_df, "name", "left"), "v", "g", "ms", cfg.lr, cfg.rho, cfg.eps)
+    shared_w = sw.select("name", "v", "ms")
     st = res.where(F.col("kind") == "stat").agg(F.sum("loss").alias("loss"), F.sum("cnt").alias("cnt"),
                                                 F.sum("hits").alias("hits")).first()
     ip, sp = scratch_path(spark, "item_w"), scratch_path(spark, "shared_w")

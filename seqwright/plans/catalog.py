@@ -460,3 +460,21 @@ def q_repeat_epochs(spark, sf_dir):
     rep = B.repeat_epochs(window_keys(spark, sf_dir), 3)
     return B.batch_ids(rep, N_BATCHES, SEED, F.col("epoch"), ("user", "chunk")).select(
         "epoch", "user", "chunk", "batch_id")
+
+
+@query("tfrecord_roundtrip", SEQ_SQL + """
+SELECT "user", CAST((pos - 1) // 4096 AS BIGINT) AS segment, CAST((pos - 1) % 4096 AS BIGINT) AS t,
+       CAST(item AS BIGINT) AS item FROM seq""")
+def q_tfrecord_roundtrip(spark, sf_dir):
+    """Sequences written as TFRecord Example files (float lists, as the reference's
+    output) and read back by the tfrecord data source; long form after the round trip."""
+    from seqwright.sources.tfrecord import read_tfrecord, write_tfrecord
+    ev = events_interactions(spark, sf_dir)
+    seqs = S.collect_sequences(ev, ["ts"], ["user"], ["item", "user"], tiebreak=["event_id"])
+    seqs = seqs.select("user", "segment", F.col("item_list").cast("array<float>").alias("item_list"),
+                       F.col("user_list").cast("array<float>").alias("user_list"))
+    path = scratch_path(spark, "tfrecord")
+    write_tfrecord(seqs, path)
+    back = read_tfrecord(spark, path, "user BIGINT, segment BIGINT, item_list ARRAY<FLOAT>, user_list ARRAY<FLOAT>")
+    out = back.select("user", "segment", F.posexplode("item_list").alias("t", "item"))
+    return out.select("user", "segment", F.col("t").cast("bigint").alias("t"), F.col("item").cast("bigint").alias("item"))

@@ -79,9 +79,8 @@ def _model(spark, sf_dir):
 
 def _scored(spark, sf_dir, **kw):
     seq, num_items, uw, iw, sw = _model(spark, sf_dir)
-    rows = seq.select("user", F.lit(0).alias("seg"), "pos", "item", "target")
+    rows = seq.select("user", F.lit(0).alias("seg"), "pos", "item", "target", "n")
     sc = scoring.score(spark, rows, uw, iw, sw, num_items=num_items, hidden=H, **kw)
-    sc = sc.join(seq.select("user", "pos", "n"), ["user", "pos"])
     sc = sc.withColumn("split", F.when(F.col("pos") <= F.floor(F.col("n") / 2), "train").otherwise("valid"))
     return X.with_loss(sc)
 
@@ -357,11 +356,11 @@ def q_rmsprop_update(spark, sf_dir):
     embeddings read as logit parameters, with the softmax cross-entropy gradient."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label",
                                                  F.col("embedding").cast("array<double>").alias("w"))
-    p = M.softmax("w")
-    g = F.transform(p, lambda x, j: x - F.when(j == F.col("label"), 1.0).otherwise(0.0))
-    ms0 = F.array_repeat(F.lit(0.0), F.size("w"))
-    w_new, ms_new = M.rmsprop_arrays(F.col("w"), g, ms0, 0.01, 0.9, 1e-8)
-    out = e.select("vec_id", F.posexplode(F.arrays_zip(w_new.alias("w"), ms_new.alias("ms"))).alias("j", "z"))
+    e = M.with_softmax(e, "w", "p")
+    e = e.withColumn("g", F.transform("p", lambda x, j: x - F.when(j == F.col("label"), 1.0).otherwise(0.0)))
+    e = e.withColumn("ms", F.array_repeat(F.lit(0.0), F.size("w")))
+    e = M.with_rmsprop(e, "w", "g", "ms", 0.01, 0.9, 1e-8)
+    out = e.select("vec_id", F.posexplode(F.arrays_zip(F.col("w").alias("w"), F.col("ms").alias("ms"))).alias("j", "z"))
     return out.select("vec_id", F.col("j").cast("bigint").alias("j"), M.round6("z.w").alias("w"),
                       M.round6("z.ms").alias("ms"))
 
