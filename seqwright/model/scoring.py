@@ -10,8 +10,8 @@ next batch, so memory is bounded by the Arrow batch, never by a user's length.
 A user's fold is sequential by the model's definition (each state depends on the
 previous one), so one user is always scored by one task; with ``carry=False``
 (state reset per window, M5) the windows are independent, and ``split_users``
-spreads a user's windows over tasks with the user's weight row replicated per
-piece.
+spreads a user's windows over tasks in pieces of ``piece_windows`` windows, with the
+user's weight row replicated once per piece.
 
 Item vectors, output rows and biases travel as one numpy value per task, after
 their size was checked (:func:`seqwright.model.weights.shared_arrays`).
@@ -40,7 +40,7 @@ def arrow_batch_rows(hidden: int) -> int:
 
 
 def _union_input(rows: DataFrame, user_w: DataFrame, init_state: DataFrame | None, hidden: int,
-                 piece: str | None) -> DataFrame:
+                 piece: int | None) -> DataFrame:
     n = F.col("n").cast("bigint") if "n" in rows.columns else F.lit(None).cast("bigint")
     ev = rows.select("user", F.lit(1).alias("kind"), F.col("seg").cast("bigint"), F.col("pos").cast("bigint"),
                      F.col("item").cast("bigint"), F.col("target").cast("bigint"), n.alias("n"),
@@ -55,10 +55,11 @@ def _union_input(rows: DataFrame, user_w: DataFrame, init_state: DataFrame | Non
     users = rows.select("user").distinct()
     w = w.join(users, "user", "left_semi")
     if piece is not None:
-        # replicate the weight row to every piece of the user that has rows
-        pieces = rows.select("user", F.col(piece).alias("_piece")).distinct()
+        # replicate the weight row to every piece (group of windows) of the user that has rows
+        pc = F.floor(F.col("seg") / piece).cast("bigint")
+        pieces = rows.select("user", pc.alias("_piece")).distinct()
         w = w.join(pieces, "user")
-        ev = ev.withColumn("_piece", F.col(piece) if piece != "seg" else F.col("seg"))
+        ev = ev.withColumn("_piece", pc)
     wt = w.select("user", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("seg"),
                   F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("bigint").alias("item"),
                   F.lit(None).cast("bigint").alias("target"), F.lit(None).cast("bigint").alias("n"),
@@ -70,7 +71,7 @@ def _union_input(rows: DataFrame, user_w: DataFrame, init_state: DataFrame | Non
 def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataFrame,
           shared_w: DataFrame, *, num_items: int, hidden: int, carry: bool = True,
           reset_gate: bool = False, act: str = "tanh", init_state: DataFrame | None = None,
-          split_users: bool = False, partitions: int | None = None) -> DataFrame:
+          split_users: bool = False, piece_windows: int = 1024, partitions: int | None = None) -> DataFrame:
     """Fold the cell over ``rows`` (user, seg, pos, item, target); one output row per input
     row with the state ``h`` after the step and softmax statistics of its logits.
 
@@ -80,7 +81,7 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
     H = hidden
     sh = shared_arrays(item_w, shared_w, num_items, H)
     bsh = spark.sparkContext.broadcast(sh)
-    piece = "seg" if (split_users and not carry) else None
+    piece = piece_windows if (split_users and not carry) else None
     data = _union_input(rows, user_w, init_state, H, piece)
     keys = ["user"] + (["_piece"] if piece else [])
     P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -51,15 +51,28 @@ class StepConfig:
     act: str = "tanh"
     mask_zero: bool = True
     update: bool = True      # False: emit raw gradients (A9) and leave weights as they are
+    split_users: bool = False  # reset mode: spread a user's windows over tasks (hot users)
+    piece_windows: int = 1024  # windows per piece when split_users
 
 
-def _union(rows: DataFrame, user_w: DataFrame) -> DataFrame:
+def _union(rows: DataFrame, user_w: DataFrame, piece_windows: int | None = None) -> DataFrame:
+    """Weight rows and event rows in one frame. With ``piece_windows`` a user's windows are
+    grouped into pieces of that many windows (``wpiece``) and the weight row is replicated
+    once per piece the batch touches; only those users' rows are sent."""
     ev = rows.select("user", F.lit(1).alias("kind"), F.col("seg").cast("bigint"), F.col("pos").cast("bigint"),
                      F.col("item").cast("bigint"), F.col("target").cast("bigint"),
                      *[F.lit(None).cast("array<double>").alias(c) for c in ("gate", "cand", "gate_ms", "cand_ms")])
-    wt = user_w.select("user", F.lit(0).alias("kind"), *[F.lit(None).cast("bigint").alias(c)
-                                                         for c in ("seg", "pos", "item", "target")],
-                       "gate", "cand", "gate_ms", "cand_ms")
+    w = user_w.select("user", "gate", "cand", "gate_ms", "cand_ms")
+    if piece_windows:
+        piece = F.floor(F.col("seg") / piece_windows).cast("bigint")
+        ev = ev.withColumn("wpiece", piece)
+        w = w.join(rows.select("user", piece.alias("wpiece")).distinct(), "user")
+    else:
+        ev = ev.withColumn("wpiece", F.lit(0).cast("bigint"))
+        w = w.withColumn("wpiece", F.lit(0).cast("bigint"))
+    wt = w.select("user", F.lit(0).alias("kind"), *[F.lit(None).cast("bigint").alias(c)
+                                                    for c in ("seg", "pos", "item", "target")],
+                  "gate", "cand", "gate_ms", "cand_ms", "wpiece")
     return wt.unionByName(ev)
 
 
@@ -71,13 +84,17 @@ def step_frame(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w:
     sh = shared_arrays(item_w, shared_w, cfg.num_items, cfg.hidden)
     bsh = spark.sparkContext.broadcast(sh)
     P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    data = _union(rows, user_w).repartition(P, "user").sortWithinPartitions("user", "kind", "seg", "pos")
+    split = cfg.split_users and not cfg.carry
+    keys = ["user", "wpiece"] if split else ["user"]
+    data = _union(rows, user_w, cfg.piece_windows if split else None)
+    data = data.repartition(P, *keys).sortWithinPartitions("user", "wpiece", "kind", "seg", "pos")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_batch_rows(cfg.hidden)))
     return data.mapInPandas(_make_step(bsh, cfg, scale), STEP_SCHEMA)
 
 
 def _make_step(bsh, cfg: StepConfig, scale: float):
     H = cfg.hidden
+    split = cfg.split_users and not cfg.carry
 
     def run(batches):
         sh = bsh.value
@@ -85,26 +102,27 @@ def _make_step(bsh, cfg: StepConfig, scale: float):
                "out": np.zeros_like(sh.out), "gate_bias": np.zeros_like(sh.gate_bias),
                "cand_bias": np.zeros_like(sh.cand_bias)}
         stats = [0.0, 0.0, 0.0]
-        users = {}          # user -> [G, C, G_ms, C_ms, gG, gC, touched]
-        order = []          # users in arrival order, not yet emitted
-        carried = {}        # user -> state at the end of its last processed chunk (carry mode)
-        pending = None      # rows of the (user, seg) run that may continue in the next batch
+        users = {}          # (user, piece) -> [G, C, G_ms, C_ms, gG, gC, touched]
+        order = []          # keys in arrival (= sort) order, not yet emitted
+        carried = {}        # key -> state at the end of its last processed chunk (carry mode)
+        pending = None      # rows of the (user, piece, seg) run that may continue in the next batch
 
         def process(ev: pd.DataFrame):
             if ev.empty:
                 return
             u = ev["user"].to_numpy().astype(np.int64)
+            p = ev["wpiece"].to_numpy().astype(np.int64)
             s = ev["seg"].to_numpy().astype(np.int64)
             it = ev["item"].to_numpy().astype(np.int64)
             tg = ev["target"].to_numpy().astype(np.int64)
-            starts = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (s[1:] != s[:-1])])
+            starts = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (p[1:] != p[:-1]) | (s[1:] != s[:-1])])
             ends = np.r_[starts[1:], len(ev)]
-            run_user = u[starts]
-            # round = rank of the run within its user (carry mode runs rounds in order)
+            keys = [(int(u[k]), int(p[k])) for k in starts]
+            # round = rank of the run within its key (carry mode runs rounds in order)
             rnd = np.zeros(len(starts), dtype=np.int64)
             if cfg.carry:
                 for k in range(1, len(starts)):
-                    rnd[k] = rnd[k - 1] + 1 if run_user[k] == run_user[k - 1] else 0
+                    rnd[k] = rnd[k - 1] + 1 if keys[k] == keys[k - 1] else 0
             for r in range(int(rnd.max()) + 1):
                 ks = np.flatnonzero(rnd == r)
                 T = int((ends[ks] - starts[ks]).max())
@@ -118,10 +136,10 @@ def _make_step(bsh, cfg: StepConfig, scale: float):
                     items[j, :n] = it[starts[k]:ends[k]]
                     targets[j, :n] = tg[starts[k]:ends[k]]
                     mask[j, :n] = True
-                    if cfg.carry and run_user[k] in carried:
-                        h0[j] = carried[run_user[k]]
-                G = np.stack([users[int(run_user[k])][0] for k in ks])
-                C = np.stack([users[int(run_user[k])][1] for k in ks])
+                    if cfg.carry and keys[k] in carried:
+                        h0[j] = carried[keys[k]]
+                G = np.stack([users[keys[k]][0] for k in ks])
+                C = np.stack([users[keys[k]][1] for k in ks])
                 loss, nval, hits, _, g, hT = cell.loss_and_grads(
                     h0, G, C, items, targets, mask, sh, scale, cfg.act, cfg.reset_gate, cfg.mask_zero)
                 stats[0] += loss
@@ -130,77 +148,80 @@ def _make_step(bsh, cfg: StepConfig, scale: float):
                 for name in acc:
                     acc[name] += getattr(g, name)
                 for j, k in enumerate(ks):
-                    st = users[int(run_user[k])]
+                    st = users[keys[k]]
                     st[4] += g.G[j]
                     st[5] += g.C[j]
                     st[6] = True
                     if cfg.carry:
-                        carried[int(run_user[k])] = hT[j]
+                        carried[keys[k]] = hT[j]
 
-        def emit_users(upto=None):
+        def emit(upto=None):
+            """Emit every open key before ``upto`` (all with None): its events are done."""
             out = []
             while order and (upto is None or order[0] < upto):
-                uid = order.pop(0)
-                G, C, Gm, Cm, gG, gC, touched = users.pop(uid)
-                carried.pop(uid, None)
-                if not cfg.update:
+                key = order.pop(0)
+                G, C, Gm, Cm, gG, gC, touched = users.pop(key)
+                carried.pop(key, None)
+                if not cfg.update or split:
                     if touched:
-                        out.append(("user_grad", uid, gG.ravel(), gC.ravel(), None, None))
+                        out.append(("user_grad", key[0], gG.ravel(), gC.ravel(), None, None))
                     continue
                 if touched:
                     G, Gm = cell.rmsprop(G, gG, Gm, cfg.lr, cfg.rho, cfg.eps)
                     C, Cm = cell.rmsprop(C, gC, Cm, cfg.lr, cfg.rho, cfg.eps)
-                out.append(("user", uid, G.ravel(), C.ravel(), Gm.ravel(), Cm.ravel()))
+                out.append(("user", key[0], G.ravel(), C.ravel(), Gm.ravel(), Cm.ravel()))
             return out
 
-        def frame(rows):
-            return pd.DataFrame({
-                "kind": [r[0] for r in rows], "id": [r[1] for r in rows],
-                "v1": [None if r[2] is None else np.asarray(r[2]) for r in rows],
-                "v2": [None if r[3] is None else np.asarray(r[3]) for r in rows],
-                "v3": [None if r[4] is None else np.asarray(r[4]) for r in rows],
-                "v4": [None if r[5] is None else np.asarray(r[5]) for r in rows],
-                "loss": [r[6] if len(r) > 6 else None for r in rows],
-                "cnt": [r[7] if len(r) > 7 else None for r in rows],
-                "hits": [r[8] if len(r) > 8 else None for r in rows]})
-
         for pdf in batches:
             if pdf.empty:
                 continue
             for row in pdf[pdf["kind"] == 0].itertuples(index=False):
-                uid = int(row.user)
-                users[uid] = [np.asarray(row.gate, float).reshape(H, 2 * H), np.asarray(row.cand, float).reshape(H, H),
+                key = (int(row.user), int(row.wpiece))
+                users[key] = [np.asarray(row.gate, float).reshape(H, 2 * H),
+                              np.asarray(row.cand, float).reshape(H, H),
                               np.asarray(row.gate_ms, float).reshape(H, 2 * H),
                               np.asarray(row.cand_ms, float).reshape(H, H),
                               np.zeros((H, 2 * H)), np.zeros((H, H)), False]
-                order.append(uid)
+                order.append(key)
             ev = pdf[pdf["kind"] == 1]
             if pending is not None:
                 ev = pd.concat([pending, ev], ignore_index=True)
                 pending = None
             if ev.empty:
                 continue
-            last_u, last_s = ev["user"].iloc[-1], ev["seg"].iloc[-1]
-            tail = (ev["user"] == last_u) & (ev["seg"] == last_s)
+            last = (int(ev["user"].iloc[-1]), int(ev["wpiece"].iloc[-1]))
+            tail = ((ev["user"] == last[0]) & (ev["wpiece"] == last[1])
+                    & (ev["seg"] == ev["seg"].iloc[-1]))
             pending = ev[tail]
             process(ev[~tail])
-            out = emit_users(int(last_u))
+            out = emit(last)
             if out:
-                yield frame(out)
+                yield _frame(out)
         if pending is not None:
             process(pending)
-        out = emit_users(None)
+        out = emit(None)
         # partial sums of the shared gradients of this task
         gi = np.concatenate([acc["gate_in"], acc["cand_in"], acc["out"]], axis=1)
-        nz = np.flatnonzero(np.any(gi != 0.0, axis=1))
-        for i in nz:
+        for i in np.flatnonzero(np.any(gi != 0.0, axis=1)):
             out.append(("item", int(i), gi[i], None, None, None))
         out.append(("bias", 0, np.concatenate([acc["gate_bias"], acc["cand_bias"]]), None, None, None))
         out.append(("stat", 0, None, None, None, None, stats[0], stats[1], stats[2]))
-        yield frame(out)
+        yield _frame(out)
     return run
 
 
+def _frame(rows):
+    def arr(r, i):
+        return None if r[i] is None else np.asarray(r[i])
+    return pd.DataFrame({
+        "kind": [r[0] for r in rows], "id": [r[1] for r in rows],
+        "v1": [arr(r, 2) for r in rows], "v2": [arr(r, 3) for r in rows],
+        "v3": [arr(r, 4) for r in rows], "v4": [arr(r, 5) for r in rows],
+        "loss": [r[6] if len(r) > 6 else None for r in rows],
+        "cnt": [r[7] if len(r) > 7 else None for r in rows],
+        "hits": [r[8] if len(r) > 8 else None for r in rows]})
+
+
 def sum_arrays(df: DataFrame, keys, col: str = "v1") -> DataFrame:
     """Element-wise sum of equal-length array partials per key (long form, partial aggregation)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
@@ -221,9 +242,21 @@ def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig)
     """Add up the partial gradients of a written step output and update the item and bias
     tables; returns the new tables (written and read back) and the step statistics."""
     H = cfg.hidden
-    user_w = res.where(F.col("kind") == "user").select(
-        F.col("id").alias("user"), F.col("v1").alias("gate"), F.col("v2").alias("cand"),
-        F.col("v3").alias("gate_ms"), F.col("v4").alias("cand_ms"))
+    if cfg.split_users and not cfg.carry:
+        # partial user gradients of the pieces, summed, then applied by a join on user
+        ug = res.where(F.col("kind") == "user_grad").select("id", F.concat("v1", "v2").alias("v1"))
+        ug = sum_arrays(ug, "id").select(F.col("id").alias("user"), F.slice("v1", 1, 2 * H * H).alias("g_gate"),
+                                         F.slice("v1", 2 * H * H + 1, H * H).alias("g_cand"))
+        uw = t.user_w.join(ug, "user", "left")
+        uw = with_rmsprop(uw, "gate", "g_gate", "gate_ms", cfg.lr, cfg.rho, cfg.eps)
+        uw = with_rmsprop(uw, "cand", "g_cand", "cand_ms", cfg.lr, cfg.rho, cfg.eps)
+        up = scratch_path(spark, "user_w")
+        uw.select("user", "gate", "cand", "gate_ms", "cand_ms").write.mode("overwrite").parquet(up)
+        user_w = spark.read.parquet(up)
+    else:
+        user_w = res.where(F.col("kind") == "user").select(
+            F.col("id").alias("user"), F.col("v1").alias("gate"), F.col("v2").alias("cand"),
+            F.col("v3").alias("gate_ms"), F.col("v4").alias("cand_ms"))
     gi = sum_arrays(res.where(F.col("kind") == "item").select("id", "v1"), "id")
     gi = gi.select(F.col("id").alias("item"), F.slice("v1", 1, 2 * H).alias("g_gate_in"),
                    F.slice("v1", 2 * H + 1, H).alias("g_cand_in"), F.slice("v1", 3 * H + 1, H).alias("g_out"))

@@ -478,3 +478,23 @@ def q_tfrecord_roundtrip(spark, sf_dir):
     back = read_tfrecord(spark, path, "user BIGINT, segment BIGINT, item_list ARRAY<FLOAT>, user_list ARRAY<FLOAT>")
     out = back.select("user", "segment", F.posexplode("item_list").alias("t", "item"))
     return out.select("user", "segment", F.col("t").cast("bigint").alias("t"), F.col("item").cast("bigint").alias("item"))
+
+
+@query("stream_pipeline", """
+SELECT event_id, CAST(user_id + 1 AS BIGINT) AS "user", event_type FROM events""")
+def q_stream_pipeline(spark, sf_dir):
+    """S10 on a stream: the events file as a streaming source, Select + Cast per micro-batch,
+    Parquet output per batch (restartable from the query checkpoint); the output read back."""
+    from seqwright.streaming.pipeline import start_stream
+    out = scratch_path(spark, "stream_out")
+    spec = {
+        "input": {"sources": [{"type": "Parquet", "path": sf_dir, "glob": "events.parquet"}]},
+        "transformations": [{"type": "Select", "cols": ["event_id", "user_id", "event_type"]},
+                            {"type": "Cast", "col": "user_id", "castedCol": "user", "toType": "bigint"}],
+        "output": [{"type": "Parquet", "name": "events", "path": out}],
+    }
+    schema = table(spark, sf_dir, "events").schema.simpleString()[len("struct<"):-1].replace(":", " ")
+    q = start_stream(spark, spec, schema, scratch_path(spark, "stream_ckpt"))
+    q.awaitTermination()
+    back = files.read_parquet(spark, out)
+    return back.select("event_id", (F.col("user") + 1).cast("bigint").alias("user"), "event_type")

@@ -59,3 +59,36 @@ def test_training_loss_falls(spark):
     losses = [r["log_loss"] for r in spark.read.parquet(log).orderBy("epoch").collect()]
     assert len(losses) == 6
     assert losses[-1] < losses[0] * 0.97, losses
+
+
+def test_split_users_step_equals_whole_user_step(spark):
+    """Spreading a user's windows over tasks (pieces of 2 windows) gives the same update."""
+    from seqwright.model.training import train_step
+    H = 3
+    rows, t, num_items = _setup(spark, H)
+    a, sa = train_step(spark, rows, t, StepConfig(hidden=H, num_items=num_items, lr=0.05), 16)
+    b, sb = train_step(spark, rows, t, StepConfig(hidden=H, num_items=num_items, lr=0.05, split_users=True,
+                                                  piece_windows=2), 16)
+    assert abs(sa["loss"] - sb["loss"]) < 1e-9 and sa["n"] == sb["n"]
+    ua = {r["user"]: np.asarray(r["gate"] + r["cand"]) for r in a.user_w.collect()}
+    ub = {r["user"]: np.asarray(r["gate"] + r["cand"]) for r in b.user_w.collect()}
+    assert ua.keys() == ub.keys()
+    for u in ua:
+        np.testing.assert_allclose(ua[u], ub[u], atol=1e-10)
+    ia = {r["item"]: np.asarray(r["out"]) for r in a.item_w.collect()}
+    ib = {r["item"]: np.asarray(r["out"]) for r in b.item_w.collect()}
+    for i in ia:
+        np.testing.assert_allclose(ia[i], ib[i], atol=1e-10)
+
+
+def test_split_users_scoring_equals_whole_user(spark):
+    from seqwright.model.scoring import score
+    H = 3
+    rows, t, num_items = _setup(spark, H)
+    kw = dict(num_items=num_items, hidden=H, carry=False)
+    a = score(spark, rows, t.user_w, t.item_w, t.shared_w, **kw).select("user", "seg", "pos", "h", "lse")
+    b = score(spark, rows, t.user_w, t.item_w, t.shared_w, split_users=True, piece_windows=1, **kw).select(
+        "user", "seg", "pos", "h", "lse")
+    ra = sorted((r["user"], r["seg"], r["pos"], tuple(r["h"]), r["lse"]) for r in a.collect())
+    rb = sorted((r["user"], r["seg"], r["pos"], tuple(r["h"]), r["lse"]) for r in b.collect())
+    assert ra == rb
