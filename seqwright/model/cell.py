@@ -41,6 +41,10 @@ class Shared:
     gate_bias: np.ndarray  # [2H]
     cand_bias: np.ndarray  # [H]
 
+    def arrays(self) -> dict:
+        return {"gate_in": self.gate_in, "cand_in": self.cand_in, "out": self.out,
+                "gate_bias": self.gate_bias, "cand_bias": self.cand_bias}
+
 
 def forward(h0, G, C, items, mask, sh: Shared, act="tanh", reset_gate=False, keep=False):
     """Fold ``S`` sequences of ``T`` steps. ``h0`` [S,H], ``G`` [S,H,2H], ``C`` [S,H,H],

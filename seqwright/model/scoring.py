@@ -80,7 +80,7 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
     ``init_state`` (user, h) starts users from saved states (resume, train -> valid)."""
     H = hidden
     sh = shared_arrays(item_w, shared_w, num_items, H)
-    bsh = spark.sparkContext.broadcast(sh)
+    bsh = spark.sparkContext.broadcast(sh.arrays())  # plain numpy: no package import on workers
     piece = piece_windows if (split_users and not carry) else None
     data = _union_input(rows, user_w, init_state, H, piece)
     keys = ["user"] + (["_piece"] if piece else [])
@@ -94,7 +94,7 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
 
 def _make_fold(bsh, H, carry, reset_gate, act):
     def fold(batches):
-        sh = bsh.value
+        sh = cell.Shared(**bsh.value)
         weights = {}
         open_key = None      # (user, seg) of the run still open at the end of the last batch
         open_h = None

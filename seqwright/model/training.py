@@ -82,7 +82,7 @@ def step_frame(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w:
     bias gradients ('item', 'bias'), raw user gradients ('user_grad', with update=False) and
     loss statistics ('stat')."""
     sh = shared_arrays(item_w, shared_w, cfg.num_items, cfg.hidden)
-    bsh = spark.sparkContext.broadcast(sh)
+    bsh = spark.sparkContext.broadcast(sh.arrays())  # plain numpy: no package import on workers
     P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = cfg.split_users and not cfg.carry
     keys = ["user", "wpiece"] if split else ["user"]
@@ -97,7 +97,7 @@ def _make_step(bsh, cfg: StepConfig, scale: float):
     split = cfg.split_users and not cfg.carry
 
     def run(batches):
-        sh = bsh.value
+        sh = cell.Shared(**bsh.value)
         acc = {"gate_in": np.zeros_like(sh.gate_in), "cand_in": np.zeros_like(sh.cand_in),
                "out": np.zeros_like(sh.out), "gate_bias": np.zeros_like(sh.gate_bias),
                "cand_bias": np.zeros_like(sh.cand_bias)}
