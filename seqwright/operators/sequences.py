@@ -63,14 +63,13 @@ def positions(df: DataFrame, key="user", order: Sequence[str] = ("ts", "event_id
                    .agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"), F.max(t).alias("_t1")))
         hot = (per_key.where(F.col("_n") > hot_rows)
                .withColumn("_nseg", F.ceil(F.col("_n") / F.lit(seg_rows)).cast("bigint")))
-        n_hot = hot.count()
+        st = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_nseg").alias("s")).first()
+        n_hot, n_segs = st["k"], st["s"] or 0
         if n_hot == 0:
             hot = None
-        else:
-            n_segs = hot.agg(F.sum("_nseg")).first()[0]
-            if n_hot > MAX_BROADCAST_ROWS or n_segs > MAX_BROADCAST_ROWS:
-                raise ValueError(f"{n_hot} hot keys / {n_segs} segments exceed the broadcast "
-                                 "bound; raise hot_rows and seg_rows")
+        elif n_hot > MAX_BROADCAST_ROWS or n_segs > MAX_BROADCAST_ROWS:
+            raise ValueError(f"{n_hot} hot keys / {n_segs} segments exceed the broadcast "
+                             "bound; raise hot_rows and seg_rows")
 
     if hot is None:
         w = Window.partitionBy(*keys).orderBy(*ordc)
