@@ -71,7 +71,7 @@ def _union_input(rows: DataFrame, user_w: DataFrame, init_state: DataFrame | Non
 def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataFrame,
           shared_w: DataFrame, *, num_items: int, hidden: int, carry: bool = True,
           reset_gate: bool = False, act: str = "tanh", init_state: DataFrame | None = None,
-          split_users: bool = False, piece_windows: int = 1024, partitions: int | None = None) -> DataFrame:
+          split_users: bool = True, piece_windows: int = 1024, partitions: int | None = None) -> DataFrame:
     """Fold the cell over ``rows`` (user, seg, pos, item, target); one output row per input
     row with the state ``h`` after the step and softmax statistics of its logits.
 

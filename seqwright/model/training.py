@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqwright.functions.math import with_rmsprop
@@ -51,7 +51,7 @@ class StepConfig:
     act: str = "tanh"
     mask_zero: bool = True
     update: bool = True      # False: emit raw gradients (A9) and leave weights as they are
-    split_users: bool = False  # reset mode: spread a user's windows over tasks (hot users)
+    split_users: bool = True   # reset mode: spread a hot user's windows over tasks
     piece_windows: int = 1024  # windows per piece when split_users
 
 
@@ -66,13 +66,16 @@ def _union(rows: DataFrame, user_w: DataFrame, piece_windows: int | None = None)
     if piece_windows:
         piece = F.floor(F.col("seg") / piece_windows).cast("bigint")
         ev = ev.withColumn("wpiece", piece)
-        w = w.join(rows.select("user", piece.alias("wpiece")).distinct(), "user")
+        pieces = rows.select("user", piece.alias("wpiece")).distinct()
+        pieces = pieces.withColumn("npieces", F.count(F.lit(1)).over(Window.partitionBy("user")))
+        w = w.join(pieces, "user")
     else:
         ev = ev.withColumn("wpiece", F.lit(0).cast("bigint"))
-        w = w.withColumn("wpiece", F.lit(0).cast("bigint"))
+        w = w.withColumn("wpiece", F.lit(0).cast("bigint")).withColumn("npieces", F.lit(1).cast("bigint"))
+    ev = ev.withColumn("npieces", F.lit(None).cast("bigint"))
     wt = w.select("user", F.lit(0).alias("kind"), *[F.lit(None).cast("bigint").alias(c)
                                                     for c in ("seg", "pos", "item", "target")],
-                  "gate", "cand", "gate_ms", "cand_ms", "wpiece")
+                  "gate", "cand", "gate_ms", "cand_ms", "wpiece", F.col("npieces").cast("bigint"))
     return wt.unionByName(ev)
 
 
@@ -102,7 +105,7 @@ def _make_step(bsh, cfg: StepConfig, scale: float):
                "out": np.zeros_like(sh.out), "gate_bias": np.zeros_like(sh.gate_bias),
                "cand_bias": np.zeros_like(sh.cand_bias)}
         stats = [0.0, 0.0, 0.0]
-        users = {}          # (user, piece) -> [G, C, G_ms, C_ms, gG, gC, touched]
+        users = {}          # (user, piece) -> [G, C, G_ms, C_ms, gG, gC, touched, npieces]
         order = []          # keys in arrival (= sort) order, not yet emitted
         carried = {}        # key -> state at the end of its last processed chunk (carry mode)
         pending = None      # rows of the (user, piece, seg) run that may continue in the next batch
@@ -160,9 +163,11 @@ def _make_step(bsh, cfg: StepConfig, scale: float):
             out = []
             while order and (upto is None or order[0] < upto):
                 key = order.pop(0)
-                G, C, Gm, Cm, gG, gC, touched = users.pop(key)
+                G, C, Gm, Cm, gG, gC, touched, npieces = users.pop(key)
                 carried.pop(key, None)
-                if not cfg.update or split:
+                # a user whose windows are in several pieces (other tasks) sends partial
+                # gradients to be summed; every other user is complete here
+                if not cfg.update or (split and npieces > 1):
                     if touched:
                         out.append(("user_grad", key[0], gG.ravel(), gC.ravel(), None, None))
                     continue
@@ -181,7 +186,7 @@ def _make_step(bsh, cfg: StepConfig, scale: float):
                               np.asarray(row.cand, float).reshape(H, H),
                               np.asarray(row.gate_ms, float).reshape(H, 2 * H),
                               np.asarray(row.cand_ms, float).reshape(H, H),
-                              np.zeros((H, 2 * H)), np.zeros((H, H)), False]
+                              np.zeros((H, 2 * H)), np.zeros((H, H)), False, int(row.npieces)]
                 order.append(key)
             ev = pdf[pdf["kind"] == 1]
             if pending is not None:
@@ -242,21 +247,26 @@ def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig)
     """Add up the partial gradients of a written step output and update the item and bias
     tables; returns the new tables (written and read back) and the step statistics."""
     H = cfg.hidden
+    done = res.where(F.col("kind") == "user").select(
+        F.col("id").alias("user"), F.col("v1").alias("gate"), F.col("v2").alias("cand"),
+        F.col("v3").alias("gate_ms"), F.col("v4").alias("cand_ms"))
     if cfg.split_users and not cfg.carry:
-        # partial user gradients of the pieces, summed, then applied by a join on user
+        # users spread over several tasks: partial gradients summed, applied by a join; users
+        # updated in their task come as they are; users outside the batch keep their rows
         ug = res.where(F.col("kind") == "user_grad").select("id", F.concat("v1", "v2").alias("v1"))
         ug = sum_arrays(ug, "id").select(F.col("id").alias("user"), F.slice("v1", 1, 2 * H * H).alias("g_gate"),
                                          F.slice("v1", 2 * H * H + 1, H * H).alias("g_cand"))
-        uw = t.user_w.join(ug, "user", "left")
-        uw = with_rmsprop(uw, "gate", "g_gate", "gate_ms", cfg.lr, cfg.rho, cfg.eps)
-        uw = with_rmsprop(uw, "cand", "g_cand", "cand_ms", cfg.lr, cfg.rho, cfg.eps)
+        multi = t.user_w.join(ug, "user")
+        multi = with_rmsprop(multi, "gate", "g_gate", "gate_ms", cfg.lr, cfg.rho, cfg.eps)
+        multi = with_rmsprop(multi, "cand", "g_cand", "cand_ms", cfg.lr, cfg.rho, cfg.eps)
+        cols = ["user", "gate", "cand", "gate_ms", "cand_ms"]
+        changed = done.unionByName(multi.select(*cols))
+        rest = t.user_w.select(*cols).join(changed.select("user"), "user", "left_anti")
         up = scratch_path(spark, "user_w")
-        uw.select("user", "gate", "cand", "gate_ms", "cand_ms").write.mode("overwrite").parquet(up)
+        rest.unionByName(changed).write.mode("overwrite").parquet(up)
         user_w = spark.read.parquet(up)
     else:
-        user_w = res.where(F.col("kind") == "user").select(
-            F.col("id").alias("user"), F.col("v1").alias("gate"), F.col("v2").alias("cand"),
-            F.col("v3").alias("gate_ms"), F.col("v4").alias("cand_ms"))
+        user_w = done
     gi = sum_arrays(res.where(F.col("kind") == "item").select("id", "v1"), "id")
     gi = gi.select(F.col("id").alias("item"), F.slice("v1", 1, 2 * H).alias("g_gate_in"),
                    F.slice("v1", 2 * H + 1, H).alias("g_cand_in"), F.slice("v1", 3 * H + 1, H).alias("g_out"))

@@ -62,23 +62,30 @@ def test_training_loss_falls(spark):
 
 
 def test_split_users_step_equals_whole_user_step(spark):
-    """Spreading a user's windows over tasks (pieces of 2 windows) gives the same update."""
+    """Spreading users' windows over tasks (pieces of 2 windows, or one piece per user) gives
+    the same update as one task per user; users outside the batch keep their weights."""
     from seqwright.model.training import train_step
     H = 3
     rows, t, num_items = _setup(spark, H)
-    a, sa = train_step(spark, rows, t, StepConfig(hidden=H, num_items=num_items, lr=0.05), 16)
-    b, sb = train_step(spark, rows, t, StepConfig(hidden=H, num_items=num_items, lr=0.05, split_users=True,
-                                                  piece_windows=2), 16)
-    assert abs(sa["loss"] - sb["loss"]) < 1e-9 and sa["n"] == sb["n"]
-    ua = {r["user"]: np.asarray(r["gate"] + r["cand"]) for r in a.user_w.collect()}
-    ub = {r["user"]: np.asarray(r["gate"] + r["cand"]) for r in b.user_w.collect()}
-    assert ua.keys() == ub.keys()
-    for u in ua:
-        np.testing.assert_allclose(ua[u], ub[u], atol=1e-10)
-    ia = {r["item"]: np.asarray(r["out"]) for r in a.item_w.collect()}
-    ib = {r["item"]: np.asarray(r["out"]) for r in b.item_w.collect()}
-    for i in ia:
-        np.testing.assert_allclose(ia[i], ib[i], atol=1e-10)
+    rows = rows.where(F.col("user") % 2 == 0)
+    cfgs = [StepConfig(hidden=H, num_items=num_items, lr=0.05, split_users=False),
+            StepConfig(hidden=H, num_items=num_items, lr=0.05, split_users=True, piece_windows=2),
+            StepConfig(hidden=H, num_items=num_items, lr=0.05, split_users=True)]
+    res = [train_step(spark, rows, t, c, 16) for c in cfgs]
+    base = {r["user"]: np.asarray(r["gate"] + r["cand"]) for r in t.user_w.collect()}
+    tabs = [{r["user"]: np.asarray(r["gate"] + r["cand"]) for r in n.user_w.collect()} for n, _ in res]
+    for (n, st), tab in zip(res[1:], tabs[1:]):
+        assert abs(st["loss"] - res[0][1]["loss"]) < 1e-9 and st["n"] == res[0][1]["n"]
+        assert tab.keys() == tabs[0].keys() == base.keys()
+        for u in tab:
+            np.testing.assert_allclose(tab[u], tabs[0][u], atol=1e-10)
+        ia = {r["item"]: np.asarray(r["out"]) for r in res[0][0].item_w.collect()}
+        ib = {r["item"]: np.asarray(r["out"]) for r in n.item_w.collect()}
+        for i in ia:
+            np.testing.assert_allclose(ia[i], ib[i], atol=1e-10)
+    for u in base:
+        changed = not np.allclose(tabs[0][u], base[u])
+        assert changed == (u % 2 == 0)
 
 
 def test_split_users_scoring_equals_whole_user(spark):
@@ -86,7 +93,8 @@ def test_split_users_scoring_equals_whole_user(spark):
     H = 3
     rows, t, num_items = _setup(spark, H)
     kw = dict(num_items=num_items, hidden=H, carry=False)
-    a = score(spark, rows, t.user_w, t.item_w, t.shared_w, **kw).select("user", "seg", "pos", "h", "lse")
+    a = score(spark, rows, t.user_w, t.item_w, t.shared_w, split_users=False, **kw).select(
+        "user", "seg", "pos", "h", "lse")
     b = score(spark, rows, t.user_w, t.item_w, t.shared_w, split_users=True, piece_windows=1, **kw).select(
         "user", "seg", "pos", "h", "lse")
     ra = sorted((r["user"], r["seg"], r["pos"], tuple(r["h"]), r["lse"]) for r in a.collect())
