@@ -13,9 +13,10 @@ from seqwright.functions import math as M
 from seqwright.functions import metrics as X
 from seqwright.model import scoring
 from seqwright.model import weights as Wt
+from seqwright.operators import batching as B
 from seqwright.operators import lookup as L
 from seqwright.operators import sequences as S
-from seqwright.plans.catalog import (CHUNK, ORDER_SQL, SEED, SEQ_SQL, WINDOW, _epoch_orders, query, seq_frame,
+from seqwright.plans.catalog import (CHUNK, N_BATCHES, ORDER_SQL, SEED, SEQ_SQL, WINDOW, _epoch_orders, query, seq_frame,
                                      window_frame, window_keys)
 from seqwright.sources.tables import table
 
@@ -169,7 +170,9 @@ def q_next_item_accuracy(spark, sf_dir):
 
 
 @query("running_metrics", FOLD_SQL + f""",
-ps AS (SELECT CAST((pos - 1) // {CHUNK} AS BIGINT) AS step, sum(masked) AS l, count(*) AS c,
+ps AS (SELECT CAST(CAST('0x' || substr(md5(concat_ws(':', '{SEED}', '1', CAST("user" AS VARCHAR),
+                   CAST((pos - 1) // {CHUNK} AS VARCHAR))), 1, 8) AS BIGINT) % {N_BATCHES} + 1 AS BIGINT) AS step,
+              sum(masked) AS l, count(*) AS c,
               sum(CASE WHEN target > 0 THEN hit ELSE 0 END) AS h,
               sum(CASE WHEN target > 0 THEN 1 ELSE 0 END) AS k FROM sc GROUP BY ALL)
 SELECT step, round(l / c, 6) AS step_loss, round(h / k, 6) AS step_accuracy,
@@ -177,9 +180,12 @@ SELECT step, round(l / c, 6) AS step_loss, round(h / k, 6) AS step_accuracy,
        round(sum(h) OVER w / sum(k) OVER w, 6) AS running_accuracy
 FROM ps WINDOW w AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def q_running_metrics(spark, sf_dir):
-    """Per-step metrics (reset each step) and running metrics (never reset); a step is a
-    chunk index of 64 positions."""
-    sc = _scored(spark, sf_dir).withColumn("step", F.floor((F.col("pos") - 1) / CHUNK).cast("bigint"))
+    """Per-step metrics (reset each step) and running metrics (never reset). Chunks of 64
+    positions are drawn into 8 seeded batches; step = batch id + 1, so the running window
+    covers at most ``n_batches`` rows."""
+    sc = _scored(spark, sf_dir).withColumn("chunk", F.floor((F.col("pos") - 1) / CHUNK).cast("bigint"))
+    sc = B.batch_ids(sc, N_BATCHES, SEED, 1, ("user", "chunk")).withColumn(
+        "step", (F.col("batch_id") + 1).cast("bigint"))
     real = F.col("target") > 0
     ps = sc.groupBy("step").agg(F.sum("masked").alias("l"), F.count(F.lit(1)).alias("c"),
                                 F.sum(F.when(real, F.col("hit")).otherwise(0)).alias("h"),
