@@ -46,11 +46,13 @@ class Shared:
                 "gate_bias": self.gate_bias, "cand_bias": self.cand_bias}
 
 
-def forward(h0, G, C, items, mask, sh: Shared, act="tanh", reset_gate=False, keep=False):
+def forward(h0, G, C, items, mask, sh: Shared, act="tanh", reset_gate=False, keep=False, xg=None, xc=None):
     """Fold ``S`` sequences of ``T`` steps. ``h0`` [S,H], ``G`` [S,H,2H], ``C`` [S,H,H],
-    ``items`` [S,T] int, ``mask`` [S,T] bool (padding keeps the state). Returns states
-    [S,T,H], the final state [S,H] (state after the last valid step) and, with ``keep``,
-    the per-step cache for :func:`backward`."""
+    ``items`` [S,T] int, ``mask`` [S,T] bool (padding keeps the state). The item input
+    vectors come from ``sh`` by id, or ready per position as ``xg`` [S,T,2H] / ``xc``
+    [S,T,H] (item table too large to hold). Returns states [S,T,H], the final state [S,H]
+    (state after the last valid step) and, with ``keep``, the per-step cache for the
+    backward pass."""
     f, _ = ACTIVATIONS[act]
     S, T = items.shape
     H = h0.shape[1]
@@ -59,11 +61,13 @@ def forward(h0, G, C, items, mask, sh: Shared, act="tanh", reset_gate=False, kee
     h = h0
     for t in range(T):
         it = items[:, t]
-        a = np.einsum("sh,shk->sk", h, G) + sh.gate_bias + sh.gate_in[it]
+        ig = sh.gate_in[it] if xg is None else xg[:, t]
+        ic = sh.cand_in[it] if xc is None else xc[:, t]
+        a = np.einsum("sh,shk->sk", h, G) + sh.gate_bias + ig
         g = sigmoid(a)
         r, u = g[:, :H], g[:, H:]
         hin = r * h if reset_gate else h
-        b = np.einsum("sh,shk->sk", hin, C) + sh.cand_bias + sh.cand_in[it]
+        b = np.einsum("sh,shk->sk", hin, C) + sh.cand_bias + ic
         c = f(b)
         hn = u * h + (1.0 - u) * c
         m = mask[:, t][:, None]

@@ -8,13 +8,17 @@ users; the state of the user still open at the end of a batch is carried into th
 next batch, so memory is bounded by the Arrow batch, never by a user's length.
 
 A user's fold is sequential by the model's definition (each state depends on the
-previous one), so one user is always scored by one task; with ``carry=False``
-(state reset per window, M5) the windows are independent, and ``split_users``
-spreads a user's windows over tasks in pieces of ``piece_windows`` windows, with the
-user's weight row replicated once per piece.
-
-Item vectors, output rows and biases travel as one numpy value per task, after
-their size was checked (:func:`seqwright.model.weights.shared_arrays`).
+previous one), so with state carry one user is scored by one task. With
+``carry=False`` (state reset per window, M5) the windows are independent, and
+``split_users`` spreads a user's windows over tasks in pieces of ``piece_windows``
+windows, with the user's weight row replicated once per piece.
+
+Item vectors. When the item table fits the size bound (``MAX_SHARED_BYTES``) every
+task holds it as numpy arrays. Above the bound, the input vectors are joined onto
+the event rows (a shuffle join on ``item``), the fold emits states, and the softmax
+statistics are computed in passes over blocks of the output rows: each pass
+broadcasts one block under the bound and emits per-block partial maxima and
+log-sum-exps, which one ``groupBy`` merges.
 """
 
 from __future__ import annotations
@@ -25,10 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqwright.model import cell
-from seqwright.model.weights import shared_arrays
+from seqwright.model.weights import MAX_SHARED_BYTES, shared_arrays
+from seqwright.session import scratch_path
 
 SCORE_SCHEMA = ("user BIGINT, seg BIGINT, pos BIGINT, item BIGINT, target BIGINT, n BIGINT, h ARRAY<DOUBLE>, "
                 "lse DOUBLE, tlogit DOUBLE, argmax BIGINT, maxlogit DOUBLE")
+PARTIAL_SCHEMA = ("user BIGINT, seg BIGINT, pos BIGINT, item BIGINT, target BIGINT, n BIGINT, h ARRAY<DOUBLE>, "
+                  "b_lse DOUBLE, b_tl DOUBLE, b_am BIGINT, b_mx DOUBLE")
 
 ROWS_PER_BLOCK = 1 << 20   # positions x items per numpy block of logits
 
@@ -39,31 +46,29 @@ def arrow_batch_rows(hidden: int) -> int:
     return int(max(16, min(10_000, (64 << 20) // per_row)))
 
 
-def _union_input(rows: DataFrame, user_w: DataFrame, init_state: DataFrame | None, hidden: int,
-                 piece: int | None) -> DataFrame:
+def _union_input(rows: DataFrame, user_w: DataFrame, init_state: DataFrame | None,
+                 piece: int | None, inputs: bool) -> DataFrame:
     n = F.col("n").cast("bigint") if "n" in rows.columns else F.lit(None).cast("bigint")
+    none = F.lit(None).cast("array<double>")
     ev = rows.select("user", F.lit(1).alias("kind"), F.col("seg").cast("bigint"), F.col("pos").cast("bigint"),
                      F.col("item").cast("bigint"), F.col("target").cast("bigint"), n.alias("n"),
-                     F.lit(None).cast("array<double>").alias("gate"),
-                     F.lit(None).cast("array<double>").alias("cand"),
-                     F.lit(None).cast("array<double>").alias("h0"))
+                     none.alias("gate"), none.alias("cand"), none.alias("h0"),
+                     (F.col("xg") if inputs else none).alias("xg"), (F.col("xc") if inputs else none).alias("xc"))
     w = user_w.select("user", "gate", "cand")
     if init_state is not None:
         w = w.join(init_state.select("user", F.col("h").alias("h0")), "user", "left")
     else:
-        w = w.withColumn("h0", F.lit(None).cast("array<double>"))
-    users = rows.select("user").distinct()
-    w = w.join(users, "user", "left_semi")
+        w = w.withColumn("h0", none)
+    w = w.join(rows.select("user").distinct(), "user", "left_semi")
     if piece is not None:
         # replicate the weight row to every piece (group of windows) of the user that has rows
         pc = F.floor(F.col("seg") / piece).cast("bigint")
-        pieces = rows.select("user", pc.alias("_piece")).distinct()
-        w = w.join(pieces, "user")
+        w = w.join(rows.select("user", pc.alias("_piece")).distinct(), "user")
         ev = ev.withColumn("_piece", pc)
     wt = w.select("user", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("seg"),
                   F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("bigint").alias("item"),
                   F.lit(None).cast("bigint").alias("target"), F.lit(None).cast("bigint").alias("n"),
-                  "gate", "cand", "h0",
+                  "gate", "cand", "h0", none.alias("xg"), none.alias("xc"),
                   *(["_piece"] if piece is not None else []))
     return wt.unionByName(ev)
 
@@ -71,32 +76,45 @@ def _union_input(rows: DataFrame, user_w: DataFrame, init_state: DataFrame | Non
 def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataFrame,
           shared_w: DataFrame, *, num_items: int, hidden: int, carry: bool = True,
           reset_gate: bool = False, act: str = "tanh", init_state: DataFrame | None = None,
-          split_users: bool = True, piece_windows: int = 1024, partitions: int | None = None) -> DataFrame:
-    """Fold the cell over ``rows`` (user, seg, pos, item, target); one output row per input
-    row with the state ``h`` after the step and softmax statistics of its logits.
+          split_users: bool = True, piece_windows: int = 1024, partitions: int | None = None,
+          shared_bytes: int | None = None) -> DataFrame:
+    """Fold the cell over ``rows`` (user, seg, pos, item, target[, n]); one output row per
+    input row with the state ``h`` after the step and softmax statistics of its logits
+    (``lse``, ``tlogit`` = logit of the target, ``argmax``, ``maxlogit``).
 
     ``carry=True``: one state per user across all ``seg`` (state carry, M4);
     ``carry=False``: the state restarts at zero for every ``(user, seg)`` (M5).
     ``init_state`` (user, h) starts users from saved states (resume, train -> valid)."""
     H = hidden
-    sh = shared_arrays(item_w, shared_w, num_items, H)
-    bsh = spark.sparkContext.broadcast(sh.arrays())  # plain numpy: no package import on workers
+    limit = shared_bytes or MAX_SHARED_BYTES
+    whole = (num_items + 1) * 4 * H * 8 <= limit
+    if whole:
+        arrays = shared_arrays(item_w, shared_w, num_items, H, limit).arrays()
+    else:
+        b = {r["name"]: np.asarray(r["v"], float) for r in shared_w.collect()}
+        arrays = {"gate_in": np.zeros((0, 2 * H)), "cand_in": np.zeros((0, H)), "out": np.zeros((0, H)),
+                  "gate_bias": b["gate_bias"], "cand_bias": b["cand_bias"]}
+        rows = rows.join(item_w.select("item", F.col("gate_in").alias("xg"), F.col("cand_in").alias("xc")), "item")
+    bsh = spark.sparkContext.broadcast(arrays)  # plain numpy: no package import on workers
     piece = piece_windows if (split_users and not carry) else None
-    data = _union_input(rows, user_w, init_state, H, piece)
+    data = _union_input(rows, user_w, init_state, piece, not whole)
     keys = ["user"] + (["_piece"] if piece else [])
     P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = data.repartition(P, *keys).sortWithinPartitions(*keys, "kind", "seg", "pos")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_batch_rows(H)))
-    fn = _make_fold(bsh, H, carry, reset_gate, act)
-    cols = ["user", "kind", "seg", "pos", "item", "target", "n", "gate", "cand", "h0"]
-    return data.select(*cols).mapInPandas(fn, SCORE_SCHEMA)
+    fn = _make_fold(bsh, H, carry, reset_gate, act, logits=whole)
+    cols = ["user", "kind", "seg", "pos", "item", "target", "n", "gate", "cand", "h0", "xg", "xc"]
+    states = data.select(*cols).mapInPandas(fn, SCORE_SCHEMA)
+    if whole:
+        return states
+    return _blocked_softmax(spark, states, item_w, num_items, H, limit)
 
 
-def _make_fold(bsh, H, carry, reset_gate, act):
+def _make_fold(bsh, H, carry, reset_gate, act, logits=True):
     def fold(batches):
         sh = cell.Shared(**bsh.value)
         weights = {}
-        open_key = None      # (user, seg) of the run still open at the end of the last batch
+        open_key = None      # (user[, seg]) of the run still open at the end of the last batch
         open_h = None
         for pdf in batches:
             if pdf.empty:
@@ -117,8 +135,9 @@ def _make_fold(bsh, H, carry, reset_gate, act):
             ends = np.r_[starts[1:], len(ev)]
             items = ev["item"].to_numpy().astype(np.int64)
             targets = ev["target"].to_numpy().astype(np.int64)
+            xg_rows = None if logits else np.stack(ev["xg"].to_numpy())
+            xc_rows = None if logits else np.stack(ev["xc"].to_numpy())
             out_h = np.empty((len(ev), H))
-            # initial state per run
             h0s = np.zeros((len(starts), H))
             for k, s in enumerate(starts):
                 key = (int(users[s]),) if carry else (int(users[s]), int(segs[s]))
@@ -138,36 +157,99 @@ def _make_fold(bsh, H, carry, reset_gate, act):
                 S = len(blk)
                 it = np.zeros((S, T), dtype=np.int64)
                 mk = np.zeros((S, T), dtype=bool)
+                ridx = np.zeros((S, T), dtype=np.int64)
                 for j, k in enumerate(blk):
                     n = lens[k]
                     it[j, :n] = items[starts[k]:ends[k]]
                     mk[j, :n] = True
+                    ridx[j, :n] = np.arange(starts[k], ends[k])
                 G = np.stack([weights[int(users[starts[k]])][0] for k in blk])
                 C = np.stack([weights[int(users[starts[k]])][1] for k in blk])
-                hs, hT, _ = cell.forward(h0s[blk], G, C, it, mk, sh, act, reset_gate)
+                xg = None if logits else xg_rows[ridx]
+                xc = None if logits else xc_rows[ridx]
+                hs, hT, _ = cell.forward(h0s[blk], G, C, it, mk, sh, act, reset_gate, xg=xg, xc=xc)
                 finals[blk] = hT
                 for j, k in enumerate(blk):
                     out_h[starts[k]:ends[k]] = hs[j, :lens[k]]
             last = len(starts) - 1
             open_key = (int(users[starts[last]]),) if carry else (int(users[starts[last]]), int(segs[starts[last]]))
             open_h = finals[last]
-            # softmax statistics of the logits, in blocks of positions
-            n_items = sh.out.shape[0]
-            step = max(1, ROWS_PER_BLOCK // n_items)
-            lse = np.empty(len(ev))
-            tl = np.empty(len(ev))
-            am = np.empty(len(ev), dtype=np.int64)
-            mx = np.empty(len(ev))
-            for a in range(0, len(ev), step):
-                lg = cell.logits_of(out_h[a:a + step], sh)
-                lse[a:a + step], tl[a:a + step], am[a:a + step], mx[a:a + step] = cell.softmax_stats(
-                    lg, targets[a:a + step])
-            yield pd.DataFrame({"user": users, "seg": segs, "pos": ev["pos"].to_numpy().astype(np.int64), "item": items,
-                                "target": targets, "n": ev["n"], "h": list(out_h), "lse": lse, "tlogit": tl,
-                                "argmax": am, "maxlogit": mx})
+            N = len(ev)
+            stats = {"lse": None, "tlogit": None, "argmax": None, "maxlogit": None}
+            if logits:
+                # softmax statistics of the logits, in blocks of positions
+                lse, tl, mx = np.empty(N), np.empty(N), np.empty(N)
+                am = np.empty(N, dtype=np.int64)
+                step = max(1, ROWS_PER_BLOCK // sh.out.shape[0])
+                for a in range(0, N, step):
+                    lg = cell.logits_of(out_h[a:a + step], sh)
+                    lse[a:a + step], tl[a:a + step], am[a:a + step], mx[a:a + step] = cell.softmax_stats(
+                        lg, targets[a:a + step])
+                stats = {"lse": lse, "tlogit": tl, "argmax": am, "maxlogit": mx}
+            yield pd.DataFrame({"user": users, "seg": segs, "pos": ev["pos"].to_numpy().astype(np.int64),
+                                "item": items, "target": targets, "n": ev["n"], "h": list(out_h), **stats})
     return fold
 
 
+def _blocked_softmax(spark: SparkSession, states: DataFrame, item_w: DataFrame, num_items: int, H: int,
+                     limit: int) -> DataFrame:
+    """Softmax statistics when the output rows exceed the size bound: the states are written
+    once, then each block of at most ``limit`` bytes of output rows is broadcast to a
+    map-only pass that emits per-block partial statistics; a groupBy merges them."""
+    spath = scratch_path(spark, "states")
+    states.write.mode("overwrite").parquet(spath)
+    st = spark.read.parquet(spath).drop("lse", "tlogit", "argmax", "maxlogit")
+    per_block = max(1, limit // (8 * H))
+    ppath = scratch_path(spark, "partials")
+    for b0 in range(0, num_items + 1, per_block):
+        b1 = min(num_items + 1, b0 + per_block)
+        blk = np.zeros((b1 - b0, H))
+        for r in item_w.where((F.col("item") >= b0) & (F.col("item") < b1)).select("item", "out").collect():
+            blk[r["item"] - b0] = r["out"]
+        bb = spark.sparkContext.broadcast({"out": blk, "lo": b0, "first": b0 == 0})
+        st.mapInPandas(_make_block_pass(bb), PARTIAL_SCHEMA).write.mode("append").parquet(ppath)
+    parts = spark.read.parquet(ppath)
+    keys = ["user", "seg", "pos"]
+    agg = parts.groupBy(*keys).agg(
+        F.collect_list("b_lse").alias("_l"), F.max("b_mx").alias("maxlogit"),
+        F.max_by("b_am", "b_mx").alias("argmax"), F.max("b_tl").alias("tlogit"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("item", "target", "n", "h")])
+    agg = agg.withColumn("_m", F.array_max("_l"))
+    lse = F.log(F.aggregate("_l", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_m")))) + F.col("_m")
+    return agg.select(*keys, "item", "target", "n", "h", lse.alias("lse"), "tlogit", "argmax", "maxlogit")
+
+
+def _make_block_pass(bb):
+    def run(batches):
+        W = bb.value["out"]
+        lo = bb.value["lo"]
+        first = bb.value["first"]
+        step = max(1, ROWS_PER_BLOCK // max(1, W.shape[0]))
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            h = np.stack(pdf["h"].to_numpy())
+            tg = pdf["target"].to_numpy().astype(np.int64)
+            N = len(pdf)
+            lse, mx = np.empty(N), np.empty(N)
+            tl = np.full(N, np.nan)
+            am = np.empty(N, dtype=np.int64)
+            inblk = (tg >= lo) & (tg < lo + W.shape[0])
+            for a in range(0, N, step):
+                lg = h[a:a + step] @ W.T
+                m = lg.max(axis=1)
+                mx[a:a + step] = m
+                am[a:a + step] = lg.argmax(axis=1) + lo
+                lse[a:a + step] = np.log(np.exp(lg - m[:, None]).sum(axis=1)) + m
+                sel = np.flatnonzero(inblk[a:a + step])
+                tl[a + sel] = lg[sel, tg[a + sel] - lo]
+            keep = {c: pdf[c] for c in ("item", "target", "n", "h")} if first else \
+                {c: None for c in ("item", "target", "n", "h")}
+            yield pd.DataFrame({"user": pdf["user"], "seg": pdf["seg"], "pos": pdf["pos"], **keep,
+                                "b_lse": lse, "b_tl": pd.Series(tl).where(inblk, None), "b_am": am, "b_mx": mx})
+    return run
+
+
 def final_states(scored: DataFrame) -> DataFrame:
     """State after each user's last scored position (user, h): the resume point (M4)."""
     return scored.groupBy("user").agg(F.max_by("h", F.struct("seg", "pos")).alias("h"))

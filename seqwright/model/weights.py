@@ -97,13 +97,15 @@ def shared_weights(spark: SparkSession, hidden: int) -> DataFrame:
     return spark.createDataFrame(rows, "name STRING, v ARRAY<DOUBLE>, ms ARRAY<DOUBLE>")
 
 
-def shared_arrays(item_w: DataFrame, shared_w: DataFrame, num_items: int, hidden: int) -> Shared:
+def shared_arrays(item_w: DataFrame, shared_w: DataFrame, num_items: int, hidden: int,
+                  limit: int | None = None) -> Shared:
     """Item vectors and biases as arrays every task holds. The size is checked first:
-    ``(num_items + 1) * 4H`` doubles must stay under ``MAX_SHARED_BYTES``."""
+    ``(num_items + 1) * 4H`` doubles must stay under ``limit`` (``MAX_SHARED_BYTES``)."""
     H = hidden
+    limit = limit or MAX_SHARED_BYTES
     size = (num_items + 1) * 4 * H * 8
-    if size > MAX_SHARED_BYTES:
-        raise ValueError(f"item table of {size} bytes exceeds the {MAX_SHARED_BYTES}-byte bound")
+    if size > limit:
+        raise ValueError(f"item table of {size} bytes exceeds the {limit}-byte bound")
     rows = item_w.select("item", "gate_in", "cand_in", "out").collect()
     gi = np.zeros((num_items + 1, 2 * H))
     ci = np.zeros((num_items + 1, H))

@@ -100,3 +100,22 @@ def test_split_users_scoring_equals_whole_user(spark):
     ra = sorted((r["user"], r["seg"], r["pos"], tuple(r["h"]), r["lse"]) for r in a.collect())
     rb = sorted((r["user"], r["seg"], r["pos"], tuple(r["h"]), r["lse"]) for r in b.collect())
     assert ra == rb
+
+
+def test_blocked_item_path_equals_in_memory_path(spark):
+    """Above the size bound: input vectors joined per row, softmax in broadcast item blocks."""
+    from seqwright.model.scoring import score
+    H = 3
+    rows, t, num_items = _setup(spark, H)
+    seq_rows = rows.select("user", "seg", "pos", "item", "target")
+    kw = dict(num_items=num_items, hidden=H, carry=True)
+    a = score(spark, seq_rows, t.user_w, t.item_w, t.shared_w, **kw)
+    b = score(spark, seq_rows, t.user_w, t.item_w, t.shared_w, shared_bytes=8 * H * 17, **kw)
+    cols = ["user", "seg", "pos", "target", "h", "lse", "tlogit", "argmax", "maxlogit"]
+    ra = sorted(tuple(r) for r in a.select(*cols).collect())
+    rb = sorted(tuple(r) for r in b.select(*cols).collect())
+    assert len(ra) == len(rb) > 0
+    for x, y in zip(ra, rb):
+        assert x[:4] == y[:4] and x[7] == y[7]
+        np.testing.assert_allclose(x[4], y[4], atol=1e-12)
+        np.testing.assert_allclose([x[5], x[6], x[8]], [y[5], y[6], y[8]], atol=1e-10)
