@@ -141,8 +141,8 @@ def q_scan_sequences(spark, sf_dir):
 
 
 @query("sequence_store", SEQ_SQL + """
-SELECT "user", 'valid' AS split, CAST(count(*) AS BIGINT) AS n_items,
-       string_agg(CAST(item AS VARCHAR), ',' ORDER BY pos) AS items
+SELECT "user", 'valid' AS split, CAST((pos - n // 2 - 1) // 4096 AS BIGINT) AS segment,
+       CAST(count(*) AS BIGINT) AS n_items, string_agg(CAST(item AS VARCHAR), ',' ORDER BY pos) AS items
 FROM seq WHERE pos > n // 2 GROUP BY ALL""")
 def q_sequence_store(spark, sf_dir):
     """train/valid sequences stored partitioned by split; reading one split prunes the other."""
@@ -151,10 +151,8 @@ def q_sequence_store(spark, sf_dir):
     path = scratch_path(spark, "store")
     files.write_parquet(seqs, path, partition_by=["split"])
     back = files.read_parquet(spark, path).where(F.col("split") == "valid")
-    return back.groupBy("user", "split").agg(
-        F.sum(F.size("item_list")).cast("bigint").alias("n_items"),
-        F.array_join(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("segment", "item_list"))),
-                                           lambda s: s["item_list"])).cast("array<string>"), ",").alias("items"))
+    return back.select("user", "split", "segment", F.size("item_list").cast("bigint").alias("n_items"),
+                       F.array_join(F.col("item_list").cast("array<string>"), ",").alias("items"))
 
 
 def _ranked_read(spark, path, schema: str) -> DataFrame:
@@ -207,10 +205,7 @@ def _events_as_text_csv(spark, sf_dir) -> str:
     return path
 
 
-@query("pipeline_sequences", SEQ_SQL + """
-SELECT "user", CAST(0 AS BIGINT) AS segment, CAST(count(*) AS BIGINT) AS n_items,
-       string_agg(CAST(item AS VARCHAR), ',' ORDER BY pos) AS items
-FROM seq GROUP BY ALL""")
+@query("pipeline_sequences", STORE_SQL)
 def q_pipeline_sequences(spark, sf_dir):
     """S9/S10 + P2 + A1: Csv source -> Cast x3 -> CollectList(orderBy date, groupBy user) -> Parquet."""
     src = _events_as_text_csv(spark, sf_dir)

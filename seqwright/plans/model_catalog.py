@@ -86,7 +86,7 @@ def _scored(spark, sf_dir, **kw):
     return X.with_loss(sc)
 
 
-def _h(c):
+def _h():
     return [M.round6(F.col("h")[0]).alias("h0"), M.round6(F.col("h")[1]).alias("h1")]
 
 
@@ -95,7 +95,7 @@ def _h(c):
 SELECT "user", pos, round(h0, 6) AS h0, round(h1, 6) AS h1 FROM sc""")
 def q_score_states(spark, sf_dir):
     """M1: fold the cell over each user's ordered items (state carried over the whole sequence)."""
-    return _scored(spark, sf_dir).select("user", "pos", *_h("h"))
+    return _scored(spark, sf_dir).select("user", "pos", *_h())
 
 
 @query("next_item_logits", FOLD_SQL + """
@@ -209,7 +209,7 @@ def q_carry_state(spark, sf_dir):
     tr = scoring.score(spark, rows.where(F.col("split") == "train"), uw, iw, sw, **kw)
     state = scoring.final_states(tr)
     va = scoring.score(spark, rows.where(F.col("split") == "valid"), uw, iw, sw, init_state=state, **kw)
-    return va.select("user", "pos", *_h("h"))
+    return va.select("user", "pos", *_h())
 
 
 WFOLD_SQL = SEQ_SQL.replace("WITH ev AS", "WITH RECURSIVE ev AS", 1) + f""",
@@ -231,7 +231,7 @@ def q_score_windows(spark, sf_dir):
     win = S.tumbling_windows(seq, WINDOW).select("user", F.col("chunk").alias("seg"), "t",
                                                  F.col("t").alias("pos"), "item", "target")
     sc = scoring.score(spark, win, uw, iw, sw, num_items=num_items, hidden=H, carry=False, split_users=True)
-    return sc.select("user", F.col("seg").alias("chunk"), F.col("pos").alias("t"), *_h("h"))
+    return sc.select("user", F.col("seg").alias("chunk"), F.col("pos").alias("t"), *_h())
 
 
 # ---------------------------------------------------------------- J1, J2
