@@ -159,7 +159,7 @@ def _ranked_read(spark, path, schema: str) -> DataFrame:
     """Read written CSV parts back with their global rank in file order: part files are
     numbered in partition order and lines keep their order inside a file. Ranks come from a
     per-file line number plus per-file offsets (one row per file), never a global window."""
-    df = files.read_csv(spark, path, schema).withColumn("_f", F.input_file_name()) \
+    df = files.read_csv(spark, path, schema).withColumn("_f", F.col("_metadata.file_path")) \
         .withColumn("_m", F.monotonically_increasing_id())
     from pyspark.sql import Window
     df = df.withColumn("_l", F.row_number().over(Window.partitionBy("_f").orderBy("_m")))

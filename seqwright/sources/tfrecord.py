@@ -276,6 +276,12 @@ class TFRecordWriter(DataSourceWriter):
         return _Done(name)
 
     def commit(self, messages):
+        """Keep exactly the files of the committed task attempts: a failed, retried or
+        speculative attempt may have left another part file for the same partition."""
+        keep = {os.path.basename(m.file) for m in messages if m is not None}
+        for f in glob.glob(os.path.join(self.path, "part-*")):
+            if os.path.basename(f) not in keep:
+                os.remove(f)
         open(os.path.join(self.path, "_SUCCESS"), "w").close()
 
     def abort(self, messages):
