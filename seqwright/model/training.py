@@ -307,19 +307,45 @@ def train_step(spark: SparkSession, rows: DataFrame, t: Tables, cfg: StepConfig,
     return new, st
 
 
+def scheduled_lr(step: int, lr0: float, total_steps: int, warmup_steps: int = 0) -> float:
+    """F8 for the driver loop (same rule as ``functions.math.lr_schedule``): linear warm-up
+    to ``lr0``, then linear decay to 0 at ``total_steps``."""
+    if warmup_steps and step < warmup_steps:
+        return lr0 * step / warmup_steps
+    return lr0 * (1.0 - min(step, total_steps) / total_steps)
+
+
 def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | None, t: Tables,
         cfg: StepConfig, *, window_len: int, epochs: int, n_batches: int, steps_per_epoch: int | None,
+        validation_steps: int | None = None, schedule: tuple[int, int] | None = None,
         seed: int = 0, log_path: str | None = None):
     """Epochs of seeded batches, a validation pass per epoch, a metrics history.
 
     ``train_windows`` has (user, seg, pos, item, target); batches are drawn per epoch by
-    hashing ``(seed, epoch, user, seg)`` and visited in a seeded order (O3-O6). Returns
-    the final tables and the path of the metrics history (epoch, step, split, ...)."""
+    hashing ``(seed, epoch, user, seg)`` and visited in a seeded order (O3-O6), at most
+    ``steps_per_epoch`` of them. ``valid_rows`` are scored after each epoch; with
+    ``validation_steps`` only that many seeded validation batches are scored.
+    ``schedule=(total_steps, warmup_steps)`` drives the learning rate from ``cfg.lr`` by
+    the global step (F8); the step advances on every update. Returns the final tables and
+    the path of the metrics history (epoch, step, split, log_loss, accuracy, n, seconds, lr)."""
+    from dataclasses import replace
+
     from seqwright.model.scoring import score
     from seqwright.operators.batching import batch_ids, epoch_order
 
     log_path = log_path or scratch_path(spark, "fit_log")
+    # written once: every step and validation pass starts from files, not from the lineage
+    # that derived the windows from the raw interactions
+    cols = ["user", "seg", "pos", "item", "target"]
+    tp = scratch_path(spark, "train_windows")
+    train_windows.select(*cols).write.mode("overwrite").parquet(tp)
+    train_windows = spark.read.parquet(tp)
+    if valid_rows is not None:
+        vp = scratch_path(spark, "valid_rows")
+        valid_rows.select(*cols).write.mode("overwrite").parquet(vp)
+        valid_rows = spark.read.parquet(vp)
     log = []
+    gstep = 0
     for epoch in range(1, epochs + 1):
         bw = batch_ids(train_windows, n_batches, seed, epoch, ("user", "seg"))
         order = epoch_order(bw.select("batch_id").distinct(), seed, epoch).orderBy("step").collect()
@@ -327,20 +353,28 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
             order = order[:steps_per_epoch]
         for o in order:
             t0 = time.time()
+            gstep += 1
+            lr = scheduled_lr(gstep, cfg.lr, *schedule) if schedule else cfg.lr
             rows = bw.where(F.col("batch_id") == o["batch_id"]).drop("batch_id")
-            t, st = train_step(spark, rows, t, cfg, window_len)
+            t, st = train_step(spark, rows, t, replace(cfg, lr=lr), window_len)
             log.append((epoch, int(o["step"]), "train", float(st["objective"]),
-                        float(st["hits"] / st["n"]) if st["n"] else None, int(st["n"]), time.time() - t0))
+                        float(st["hits"] / st["n"]) if st["n"] else None, int(st["n"]), time.time() - t0, lr))
         if valid_rows is not None:
             t0 = time.time()
-            sc = score(spark, valid_rows, t.user_w, t.item_w, t.shared_w, num_items=cfg.num_items,
+            vr = valid_rows
+            if validation_steps is not None:
+                vb = batch_ids(vr, n_batches, seed, epoch, ("user", "seg"))
+                keep = epoch_order(vb.select("batch_id").distinct(), seed, epoch).where(
+                    F.col("step") <= validation_steps).select("batch_id")
+                vr = vb.join(F.broadcast(keep), "batch_id").drop("batch_id")
+            sc = score(spark, vr, t.user_w, t.item_w, t.shared_w, num_items=cfg.num_items,
                        hidden=cfg.hidden, carry=cfg.carry, reset_gate=cfg.reset_gate, act=cfg.act)
             real = F.col("target") > 0
             m = sc.agg(F.avg(F.when(real, F.col("lse") - F.col("tlogit"))).alias("l"),
                        F.avg(F.when(real, (F.col("argmax") == F.col("target")).cast("double"))).alias("a"),
                        F.count(F.when(real, 1)).alias("n")).first()
-            log.append((epoch, 0, "valid", m["l"], m["a"], int(m["n"]), time.time() - t0))
+            log.append((epoch, 0, "valid", m["l"], m["a"], int(m["n"]), time.time() - t0, None))
     df = spark.createDataFrame(log, "epoch INT, step INT, split STRING, log_loss DOUBLE, accuracy DOUBLE, "
-                                    "n BIGINT, seconds DOUBLE")
+                                    "n BIGINT, seconds DOUBLE, lr DOUBLE")
     df.write.mode("overwrite").parquet(log_path)
     return t, log_path

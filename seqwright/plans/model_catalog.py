@@ -453,13 +453,14 @@ def _fit(spark, sf_dir):
     from seqwright.model.training import fit
     train, valid, t, cfg = _train_setup(spark, sf_dir)
     _, log_path = fit(spark, train, valid, t, cfg, window_len=WINDOW, epochs=2, n_batches=4,
-                      steps_per_epoch=2, seed=SEED)
+                      steps_per_epoch=2, validation_steps=2, schedule=(4, 1), seed=SEED)
     return spark.read.parquet(log_path)
 
 
 @query("fit_history")
 def q_fit_history(spark, sf_dir):
-    """Two epochs of two steps each, a validation pass per epoch; the metrics history."""
+    """Two epochs of two steps each (learning rate warmed up and decayed over the four
+    steps), a validation pass over two seeded batches per epoch; the metrics history."""
     return _fit(spark, sf_dir)
 
 

@@ -119,3 +119,11 @@ def test_blocked_item_path_equals_in_memory_path(spark):
         assert x[:4] == y[:4] and x[7] == y[7]
         np.testing.assert_allclose(x[4], y[4], atol=1e-12)
         np.testing.assert_allclose([x[5], x[6], x[8]], [y[5], y[6], y[8]], atol=1e-10)
+
+
+def test_scheduled_lr_matches_column_rule(spark):
+    from seqwright.functions.math import lr_schedule
+    from seqwright.model.training import scheduled_lr
+    df = spark.range(0, 25).select(F.col("id").alias("s"), lr_schedule("s", 0.1, 20, 5).alias("lr"))
+    for r in df.collect():
+        assert abs(r["lr"] - scheduled_lr(r["s"], 0.1, 20, 5)) < 1e-15
