@@ -11,9 +11,10 @@ Skew. ``Window.partitionBy(user)`` sends every row of a user to one task. A key
 holding a third of the data would then run in one task. :func:`positions`
 therefore finds keys above ``hot_rows`` rows (one partial aggregation; the hot
 table has at most ``total / hot_rows`` rows and its size is checked before it is
-broadcast), splits each hot key into time segments of about ``seg_rows`` rows,
-numbers rows inside ``(key, segment)`` and adds per-segment offsets from a small
-segment table. Keys below the threshold keep the plain one-exchange window.
+broadcast), splits each hot key into segments of about ``seg_rows`` rows (fine time
+buckets merged by row count, so bursts split too), numbers rows inside
+``(key, segment)`` and adds per-segment offsets from a small segment table. Keys
+below the threshold keep the plain one-exchange window.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 # Keys with more rows than this are split into segments (rows per segment ~ SEG_ROWS).
 HOT_ROWS = 4_000_000
 SEG_ROWS = 1_000_000
-# Most rows a broadcast side table may hold (hot keys, hot segments).
+# Most rows a broadcast side table may hold (hot keys, hot time buckets).
 MAX_BROADCAST_ROWS = 2_000_000
+# Fine time buckets per segment of a hot key (merged into segments by row count).
+FINE = 16
 
 
 def _as_list(x) -> list[str]:
@@ -47,7 +50,7 @@ def _order_number(df: DataFrame, c: str) -> Column:
 def positions(df: DataFrame, key="user", order: Sequence[str] = ("ts", "event_id"),
               lead_cols: Sequence[str] = ("item",), *, pos_col: str = "pos", n_col: str = "n",
               lead_default=0, hot_rows: int = HOT_ROWS, seg_rows: int = SEG_ROWS,
-              detect_skew: bool = True) -> DataFrame:
+              detect_skew: bool = True, keep_segments: bool = False) -> DataFrame:
     """Adds ``pos`` (1-based rank of the row within its key, by ``order``), ``n`` (rows of
     the key) and ``next_<c>`` for each ``c`` in ``lead_cols`` (``lead_default`` after the last
     row). ``order`` must be unique within a key for a deterministic result."""
@@ -81,12 +84,22 @@ def positions(df: DataFrame, key="user", order: Sequence[str] = ("ts", "event_id
         return out
 
     # --- hot keys present: segment them by time so no group exceeds ~seg_rows rows
+    # Fine time buckets (FINE per segment) of the hot keys are counted and merged in time
+    # order into segments of about seg_rows rows, so a burst of events in a short span
+    # still spreads over several segments. Bucket table: at most FINE * sum(_nseg) rows.
     t = _order_number(df, order[0])
-    seg = F.when(F.col("_nseg").isNull(), F.lit(0).cast("bigint")).otherwise(
-        F.least(F.floor((t - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + F.lit(1.0))
-                        * F.col("_nseg")), F.col("_nseg") - 1).cast("bigint"))
-    tagged = (df.join(F.broadcast(hot.select(*keys, "_n", "_t0", "_t1", "_nseg")), keys, "left")
-              .withColumn("_seg", seg))
+    nfine = F.col("_nseg") * FINE
+    fine = F.least(F.floor((t - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + F.lit(1.0)) * nfine),
+                   nfine - 1).cast("bigint")
+    hot_b = F.broadcast(hot.select(*keys, "_n", "_t0", "_t1", "_nseg"))
+    tagged = df.join(hot_b, keys, "left").withColumn(
+        "_fine", F.when(F.col("_nseg").isNull(), F.lit(0).cast("bigint")).otherwise(fine))
+    buckets = tagged.where(F.col("_nseg").isNotNull()).groupBy(*keys, "_fine").agg(F.count(F.lit(1)).alias("_bc"))
+    wb = Window.partitionBy(*keys).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select(*keys, "_fine", F.floor(F.coalesce(F.sum("_bc").over(wb), F.lit(0))
+                                                     / F.lit(seg_rows)).cast("bigint").alias("_bseg"))
+    tagged = tagged.join(F.broadcast(buckets), [*keys, "_fine"], "left").withColumn(
+        "_seg", F.coalesce(F.col("_bseg"), F.lit(0).cast("bigint"))).drop("_fine", "_bseg")
     w = Window.partitionBy(*keys, "_seg").orderBy(*ordc)
     wall = Window.partitionBy(*keys, "_seg")
     local = tagged.withColumn("_lpos", F.row_number().over(w)).withColumn(
@@ -110,7 +123,7 @@ def positions(df: DataFrame, key="user", order: Sequence[str] = ("ts", "event_id
     for c in lead_cols:
         out = out.withColumn(f"next_{c}", F.coalesce(F.col(f"_lnext_{c}"), F.col(f"_snext_{c}"),
                                                      F.lit(lead_default)))
-    drop = ["_n", "_t0", "_t1", "_nseg", "_seg", "_lpos", "_lcnt", "_off"]
+    drop = ["_n", "_t0", "_t1", "_nseg", "_lpos", "_lcnt", "_off"] + ([] if keep_segments else ["_seg"])
     drop += [f"_lnext_{c}" for c in lead_cols] + [f"_snext_{c}" for c in lead_cols]
     return out.drop(*drop)
 

@@ -26,6 +26,28 @@ def test_hot_key_segments_give_the_same_positions(spark):
     assert len(hot) > 3000 and max(r["pos"] for r in hot) == len(hot)
 
 
+def test_bursty_hot_key_is_split_into_bounded_segments(spark):
+    """90% of the hot user's events are squeezed into the first 5% of the time span: with
+    equal time slices most rows would share one segment; merged fine buckets keep segments
+    near seg_rows."""
+    ev = _hot_events(spark)
+    t0 = F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    burst = F.when((F.col("user") == 1) & (F.col("event_id") % 10 != 0),
+                   F.timestamp_micros(t0 + F.floor((us - t0) / 20).cast("bigint"))).otherwise(
+        F.col("ts").cast("timestamp"))
+    ev = ev.withColumn("ts", burst)
+    cols = ["user", "event_id", "pos", "n", "next_item"]
+    plain = sorted(S.positions(ev, detect_skew=False).select(*cols).collect())
+    got = S.positions(ev, hot_rows=400, seg_rows=150)
+    assert sorted(got.select(*cols).collect()) == plain
+    sizes = (S.positions(ev, hot_rows=400, seg_rows=150, keep_segments=True)
+             .where(F.col("user") == 1).groupBy("_seg").count().collect())
+    n_hot = sum(r["count"] for r in sizes)
+    assert len(sizes) >= n_hot // 150 - 1
+    assert max(r["count"] for r in sizes) <= 2 * 150
+
+
 def test_hot_key_plan_groups_by_segment(spark):
     ev = _hot_events(spark)
     plan = S.positions(ev, hot_rows=400, seg_rows=150)._jdf.queryExecution().executedPlan().toString()
