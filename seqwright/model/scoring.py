@@ -50,10 +50,10 @@ def _union_input(rows: DataFrame, user_w: DataFrame, init_state: DataFrame | Non
                  piece: int | None, inputs: bool) -> DataFrame:
     n = F.col("n").cast("bigint") if "n" in rows.columns else F.lit(None).cast("bigint")
     none = F.lit(None).cast("array<double>")
+    extra = [F.col("xg"), F.col("xc")] if inputs else []
     ev = rows.select("user", F.lit(1).alias("kind"), F.col("seg").cast("bigint"), F.col("pos").cast("bigint"),
                      F.col("item").cast("bigint"), F.col("target").cast("bigint"), n.alias("n"),
-                     none.alias("gate"), none.alias("cand"), none.alias("h0"),
-                     (F.col("xg") if inputs else none).alias("xg"), (F.col("xc") if inputs else none).alias("xc"))
+                     none.alias("gate"), none.alias("cand"), none.alias("h0"), *extra)
     w = user_w.select("user", "gate", "cand")
     if init_state is not None:
         w = w.join(init_state.select("user", F.col("h").alias("h0")), "user", "left")
@@ -68,7 +68,7 @@ def _union_input(rows: DataFrame, user_w: DataFrame, init_state: DataFrame | Non
     wt = w.select("user", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("seg"),
                   F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("bigint").alias("item"),
                   F.lit(None).cast("bigint").alias("target"), F.lit(None).cast("bigint").alias("n"),
-                  "gate", "cand", "h0", none.alias("xg"), none.alias("xc"),
+                  "gate", "cand", "h0", *([none.alias("xg"), none.alias("xc")] if inputs else []),
                   *(["_piece"] if piece is not None else []))
     return wt.unionByName(ev)
 
@@ -103,7 +103,7 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
     data = data.repartition(P, *keys).sortWithinPartitions(*keys, "kind", "seg", "pos")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_batch_rows(H)))
     fn = _make_fold(bsh, H, carry, reset_gate, act, logits=whole)
-    cols = ["user", "kind", "seg", "pos", "item", "target", "n", "gate", "cand", "h0", "xg", "xc"]
+    cols = ["user", "kind", "seg", "pos", "item", "target", "n", "gate", "cand", "h0"] + ([] if whole else ["xg", "xc"])
     states = data.select(*cols).mapInPandas(fn, SCORE_SCHEMA)
     if whole:
         return states
