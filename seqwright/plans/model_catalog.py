@@ -202,12 +202,20 @@ SELECT "user", pos, round(h0, 6) AS h0, round(h1, 6) AS h1 FROM sc WHERE split =
 def q_carry_state(spark, sf_dir):
     """M4: fold the train half, save the final states, resume the valid half from them; equals
     the full fold."""
+    from seqwright.session import scratch_path
     seq, num_items, uw, iw, sw = _model(spark, sf_dir)
     rows = S.temporal_split(seq, train_frac=0.5).select("user", F.lit(0).alias("seg"), "pos", "item",
                                                         "target", "split")
     kw = dict(num_items=num_items, hidden=H)
+    # the split sequences are written once; both folds read them
+    rp = scratch_path(spark, "split_rows")
+    rows.write.mode("overwrite").parquet(rp)
+    rows = spark.read.parquet(rp)
     tr = scoring.score(spark, rows.where(F.col("split") == "train"), uw, iw, sw, **kw)
-    state = scoring.final_states(tr)
+    # the resume point is a saved table: (user, h) after the last training position
+    sp = scratch_path(spark, "train_state")
+    scoring.final_states(tr).write.mode("overwrite").parquet(sp)
+    state = spark.read.parquet(sp)
     va = scoring.score(spark, rows.where(F.col("split") == "valid"), uw, iw, sw, init_state=state, **kw)
     return va.select("user", "pos", *_h())
 
