@@ -62,8 +62,10 @@ def positions(df: DataFrame, key="user", order: Sequence[str] = ("ts", "event_id
     hot = None
     if detect_skew:
         t = _order_number(df, order[0])
+        tb = _order_number(df, order[1]) if len(order) > 1 else F.lit(0.0)
         per_key = (df.groupBy(*keys)
-                   .agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"), F.max(t).alias("_t1")))
+                   .agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"), F.max(t).alias("_t1"),
+                        F.min(tb).alias("_b0"), F.max(tb).alias("_b1")))
         hot = (per_key.where(F.col("_n") > hot_rows)
                .withColumn("_nseg", F.ceil(F.col("_n") / F.lit(seg_rows)).cast("bigint")))
         st = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_nseg").alias("s")).first()
@@ -87,11 +89,16 @@ def positions(df: DataFrame, key="user", order: Sequence[str] = ("ts", "event_id
     # Fine time buckets (FINE per segment) of the hot keys are counted and merged in time
     # order into segments of about seg_rows rows, so a burst of events in a short span
     # still spreads over several segments. Bucket table: at most FINE * sum(_nseg) rows.
+    # Bucketing value, monotone in (first, second) order column: the integral offset of the
+    # first column plus the second column scaled into [0, 1), so equal first values still
+    # spread by the tie-break.
     t = _order_number(df, order[0])
+    tb = _order_number(df, order[1]) if len(order) > 1 else F.lit(0.0)
+    v = (F.floor(t - F.col("_t0")) + (tb - F.col("_b0")) / (F.col("_b1") - F.col("_b0") + F.lit(1.0)))
     nfine = F.col("_nseg") * FINE
-    fine = F.least(F.floor((t - F.col("_t0")) / (F.col("_t1") - F.col("_t0") + F.lit(1.0)) * nfine),
+    fine = F.least(F.floor(v / (F.floor(F.col("_t1") - F.col("_t0")) + F.lit(1.0)) * nfine),
                    nfine - 1).cast("bigint")
-    hot_b = F.broadcast(hot.select(*keys, "_n", "_t0", "_t1", "_nseg"))
+    hot_b = F.broadcast(hot.select(*keys, "_n", "_t0", "_t1", "_b0", "_b1", "_nseg"))
     tagged = df.join(hot_b, keys, "left").withColumn(
         "_fine", F.when(F.col("_nseg").isNull(), F.lit(0).cast("bigint")).otherwise(fine))
     buckets = tagged.where(F.col("_nseg").isNotNull()).groupBy(*keys, "_fine").agg(F.count(F.lit(1)).alias("_bc"))
@@ -123,7 +130,7 @@ def positions(df: DataFrame, key="user", order: Sequence[str] = ("ts", "event_id
     for c in lead_cols:
         out = out.withColumn(f"next_{c}", F.coalesce(F.col(f"_lnext_{c}"), F.col(f"_snext_{c}"),
                                                      F.lit(lead_default)))
-    drop = ["_n", "_t0", "_t1", "_nseg", "_lpos", "_lcnt", "_off"] + ([] if keep_segments else ["_seg"])
+    drop = ["_n", "_t0", "_t1", "_b0", "_b1", "_nseg", "_lpos", "_lcnt", "_off"] + ([] if keep_segments else ["_seg"])
     drop += [f"_lnext_{c}" for c in lead_cols] + [f"_snext_{c}" for c in lead_cols]
     return out.drop(*drop)
 

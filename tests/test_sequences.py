@@ -48,6 +48,20 @@ def test_bursty_hot_key_is_split_into_bounded_segments(spark):
     assert max(r["count"] for r in sizes) <= 2 * 150
 
 
+def test_hot_key_with_one_timestamp_splits_by_tiebreak(spark):
+    """Every event of the hot user carries the same timestamp: the tie-break orders them and
+    the segments still stay near seg_rows."""
+    ev = _hot_events(spark)
+    ev = ev.withColumn("ts", F.when(F.col("user") == 1, F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"))
+                       .otherwise(F.col("ts")))
+    cols = ["user", "event_id", "pos", "n", "next_item"]
+    plain = sorted(S.positions(ev, detect_skew=False).select(*cols).collect())
+    seg = S.positions(ev, hot_rows=400, seg_rows=150, keep_segments=True)
+    assert sorted(seg.select(*cols).collect()) == plain
+    sizes = [r["count"] for r in seg.where(F.col("user") == 1).groupBy("_seg").count().collect()]
+    assert len(sizes) >= sum(sizes) // 150 - 1 and max(sizes) <= 2 * 150
+
+
 def test_hot_key_plan_groups_by_segment(spark):
     ev = _hot_events(spark)
     plan = S.positions(ev, hot_rows=400, seg_rows=150)._jdf.queryExecution().executedPlan().toString()
