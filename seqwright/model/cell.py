@@ -126,12 +126,28 @@ def loss_and_grads(h0, G, C, items, targets, mask, sh: Shared, scale, act="tanh"
     dl *= (lw * scale)[..., None]
     gout = np.einsum("sth,sti->ih", hs, dl)
     dhs = dl @ sh.out
-    gG = np.zeros_like(G)
-    gC = np.zeros_like(C)
+    gG, gC, gbg, gbc, DA, DB = backprop(cache, G, C, mask, dhs, act, reset_gate)
     g_in_gate = np.zeros_like(sh.gate_in)
     g_in_cand = np.zeros_like(sh.cand_in)
-    gbg = np.zeros_like(sh.gate_bias)
-    gbc = np.zeros_like(sh.cand_bias)
+    np.add.at(g_in_gate, items, DA)
+    np.add.at(g_in_cand, items, DB)
+    grads = Grads(gG, gC, g_in_gate, g_in_cand, gout, gbg, gbc)
+    return float(loss.sum()), int(lw.sum()), int(hits), loss.sum(axis=1), grads, hT
+
+
+def backprop(cache, G, C, mask, dhs, act="tanh", reset_gate=False):
+    """Back-propagate ``dhs`` (dL/dh per position, [S,T,H], from the output layer) through
+    the ``T`` steps of :func:`forward` (``keep=True`` cache). Returns the per-sequence matrix
+    gradients ``gG`` [S,H,2H] and ``gC`` [S,H,H], the bias gradients, and the gradients of
+    the item input vectors per position ``DA`` [S,T,2H] and ``DB`` [S,T,H] (zero at padding)."""
+    _, dact = ACTIVATIONS[act]
+    S, T, H = dhs.shape
+    gG = np.zeros_like(G)
+    gC = np.zeros_like(C)
+    gbg = np.zeros(2 * H)
+    gbc = np.zeros(H)
+    DA = np.zeros((S, T, 2 * H))
+    DB = np.zeros((S, T, H))
     dnext = np.zeros((S, H))
     for t in range(T - 1, -1, -1):
         h, r, u, hin, b, c = cache[t]
@@ -156,12 +172,10 @@ def loss_and_grads(h0, G, C, items, targets, mask, sh: Shared, scale, act="tanh"
         gC += np.einsum("sh,sk->shk", hin, db)
         gbg += da.sum(axis=0)
         gbc += db.sum(axis=0)
-        it = items[:, t]
-        np.add.at(g_in_gate, it, da)
-        np.add.at(g_in_cand, it, db)
+        DA[:, t] = da
+        DB[:, t] = db
         dnext = np.where(m, dprev, dh)
-    grads = Grads(gG, gC, g_in_gate, g_in_cand, gout, gbg, gbc)
-    return float(loss.sum()), int(lw.sum()), int(hits), loss.sum(axis=1), grads, hT
+    return gG, gC, gbg, gbc, DA, DB
 
 
 def rmsprop(w, g, ms, lr, rho=0.9, eps=1e-8):

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from seqwright.functions.math import with_rmsprop
 from seqwright.model import cell
 from seqwright.model.scoring import arrow_batch_rows
-from seqwright.model.weights import shared_arrays
+from seqwright.model.weights import MAX_SHARED_BYTES, shared_arrays
 from seqwright.session import scratch_path
 
 STEP_SCHEMA = ("kind STRING, id BIGINT, v1 ARRAY<DOUBLE>, v2 ARRAY<DOUBLE>, v3 ARRAY<DOUBLE>, "
@@ -53,15 +53,18 @@ class StepConfig:
     update: bool = True      # False: emit raw gradients (A9) and leave weights as they are
     split_users: bool = True   # reset mode: spread a hot user's windows over tasks
     piece_windows: int = 1024  # windows per piece when split_users
+    shared_bytes: int | None = None  # item-table bound (MAX_SHARED_BYTES); above it: blocked step
 
 
-def _union(rows: DataFrame, user_w: DataFrame, piece_windows: int | None = None) -> DataFrame:
+def _union(rows: DataFrame, user_w: DataFrame, piece_windows: int | None = None,
+           extra: tuple[str, ...] = ()) -> DataFrame:
     """Weight rows and event rows in one frame. With ``piece_windows`` a user's windows are
     grouped into pieces of that many windows (``wpiece``) and the weight row is replicated
     once per piece the batch touches; only those users' rows are sent."""
     ev = rows.select("user", F.lit(1).alias("kind"), F.col("seg").cast("bigint"), F.col("pos").cast("bigint"),
                      F.col("item").cast("bigint"), F.col("target").cast("bigint"),
-                     *[F.lit(None).cast("array<double>").alias(c) for c in ("gate", "cand", "gate_ms", "cand_ms")])
+                     *[F.lit(None).cast("array<double>").alias(c) for c in ("gate", "cand", "gate_ms", "cand_ms")],
+                     *[F.col(c) for c in extra])
     w = user_w.select("user", "gate", "cand", "gate_ms", "cand_ms")
     if piece_windows:
         piece = F.floor(F.col("seg") / piece_windows).cast("bigint")
@@ -75,27 +78,39 @@ def _union(rows: DataFrame, user_w: DataFrame, piece_windows: int | None = None)
     ev = ev.withColumn("npieces", F.lit(None).cast("bigint"))
     wt = w.select("user", F.lit(0).alias("kind"), *[F.lit(None).cast("bigint").alias(c)
                                                     for c in ("seg", "pos", "item", "target")],
-                  "gate", "cand", "gate_ms", "cand_ms", "wpiece", F.col("npieces").cast("bigint"))
+                  "gate", "cand", "gate_ms", "cand_ms", "wpiece", F.col("npieces").cast("bigint"),
+                  *[F.lit(None).cast("array<double>").alias(c) for c in extra])
     return wt.unionByName(ev)
 
 
 def step_frame(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataFrame,
-               shared_w: DataFrame, cfg: StepConfig, scale: float, partitions: int | None = None) -> DataFrame:
+               shared_w: DataFrame, cfg: StepConfig, scale: float, partitions: int | None = None,
+               blocked: bool = False) -> DataFrame:
     """The per-task output of one step (lazy): updated user rows ('user'), partial item and
     bias gradients ('item', 'bias'), raw user gradients ('user_grad', with update=False) and
-    loss statistics ('stat')."""
-    sh = shared_arrays(item_w, shared_w, cfg.num_items, cfg.hidden)
-    bsh = spark.sparkContext.broadcast(sh.arrays())  # plain numpy: no package import on workers
+    loss statistics ('stat').
+
+    ``blocked=True``: no task holds the item table; ``rows`` carry the item input vectors
+    (``xg``, ``xc``) and dL/dh from the output layer (``dh``) per position, and item input
+    gradients are summed per item inside the task ('item' rows, output part zero)."""
+    if blocked:
+        b = {r["name"]: np.asarray(r["v"], float) for r in shared_w.collect()}
+        H = cfg.hidden
+        arrays = {"gate_in": np.zeros((0, 2 * H)), "cand_in": np.zeros((0, H)), "out": np.zeros((0, H)),
+                  "gate_bias": b["gate_bias"], "cand_bias": b["cand_bias"]}
+    else:
+        arrays = shared_arrays(item_w, shared_w, cfg.num_items, cfg.hidden, cfg.shared_bytes).arrays()
+    bsh = spark.sparkContext.broadcast(arrays)  # plain numpy: no package import on workers
     P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = cfg.split_users and not cfg.carry
     keys = ["user", "wpiece"] if split else ["user"]
-    data = _union(rows, user_w, cfg.piece_windows if split else None)
+    data = _union(rows, user_w, cfg.piece_windows if split else None, ("xg", "xc", "dh") if blocked else ())
     data = data.repartition(P, *keys).sortWithinPartitions("user", "wpiece", "kind", "seg", "pos")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_batch_rows(cfg.hidden)))
-    return data.mapInPandas(_make_step(bsh, cfg, scale), STEP_SCHEMA)
+    return data.mapInPandas(_make_step(bsh, cfg, scale, blocked), STEP_SCHEMA)
 
 
-def _make_step(bsh, cfg: StepConfig, scale: float):
+def _make_step(bsh, cfg: StepConfig, scale: float, blocked: bool = False):
     H = cfg.hidden
     split = cfg.split_users and not cfg.carry
 
@@ -105,6 +120,7 @@ def _make_step(bsh, cfg: StepConfig, scale: float):
                "out": np.zeros_like(sh.out), "gate_bias": np.zeros_like(sh.gate_bias),
                "cand_bias": np.zeros_like(sh.cand_bias)}
         stats = [0.0, 0.0, 0.0]
+        iacc = {}           # blocked: item -> summed input-vector gradient (gate_in ++ cand_in)
         users = {}          # (user, piece) -> [G, C, G_ms, C_ms, gG, gC, touched, npieces]
         order = []          # keys in arrival (= sort) order, not yet emitted
         carried = {}        # key -> state at the end of its last processed chunk (carry mode)
@@ -118,6 +134,10 @@ def _make_step(bsh, cfg: StepConfig, scale: float):
             s = ev["seg"].to_numpy().astype(np.int64)
             it = ev["item"].to_numpy().astype(np.int64)
             tg = ev["target"].to_numpy().astype(np.int64)
+            if blocked:
+                xg_rows = np.stack(ev["xg"].to_numpy())
+                xc_rows = np.stack(ev["xc"].to_numpy())
+                dh_rows = np.stack(ev["dh"].to_numpy())
             starts = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (p[1:] != p[:-1]) | (s[1:] != s[:-1])])
             ends = np.r_[starts[1:], len(ev)]
             keys = [(int(u[k]), int(p[k])) for k in starts]
@@ -133,23 +153,45 @@ def _make_step(bsh, cfg: StepConfig, scale: float):
                 items = np.zeros((S, T), dtype=np.int64)
                 targets = np.zeros((S, T), dtype=np.int64)
                 mask = np.zeros((S, T), dtype=bool)
+                ridx = np.zeros((S, T), dtype=np.int64)
                 h0 = np.zeros((S, H))
                 for j, k in enumerate(ks):
                     n = ends[k] - starts[k]
                     items[j, :n] = it[starts[k]:ends[k]]
                     targets[j, :n] = tg[starts[k]:ends[k]]
                     mask[j, :n] = True
+                    ridx[j, :n] = np.arange(starts[k], ends[k])
                     if cfg.carry and keys[k] in carried:
                         h0[j] = carried[keys[k]]
                 G = np.stack([users[keys[k]][0] for k in ks])
                 C = np.stack([users[keys[k]][1] for k in ks])
-                loss, nval, hits, _, g, hT = cell.loss_and_grads(
-                    h0, G, C, items, targets, mask, sh, scale, cfg.act, cfg.reset_gate, cfg.mask_zero)
-                stats[0] += loss
-                stats[1] += nval
-                stats[2] += hits
-                for name in acc:
-                    acc[name] += getattr(g, name)
+                if blocked:
+                    _, hT, cache = cell.forward(h0, G, C, items, mask, sh, cfg.act, cfg.reset_gate, keep=True,
+                                                xg=xg_rows[ridx], xc=xc_rows[ridx])
+                    dhs = dh_rows[ridx] * mask[..., None]
+                    gG, gC, gbg, gbc, DA, DB = cell.backprop(cache, G, C, mask, dhs, cfg.act, cfg.reset_gate)
+                    g = cell.Grads(gG, gC, None, None, None, gbg, gbc)
+                    acc["gate_bias"] += gbg
+                    acc["cand_bias"] += gbc
+                    sel = mask.ravel()
+                    ids = items.ravel()[sel]
+                    vals = np.concatenate([DA.reshape(-1, 2 * H)[sel], DB.reshape(-1, H)[sel]], axis=1)
+                    uniq, inv = np.unique(ids, return_inverse=True)
+                    part = np.zeros((len(uniq), 3 * H))
+                    np.add.at(part, inv, vals)
+                    for i, v in zip(uniq.tolist(), part):
+                        if i in iacc:
+                            iacc[i] += v
+                        else:
+                            iacc[i] = v
+                else:
+                    loss, nval, hits, _, g, hT = cell.loss_and_grads(
+                        h0, G, C, items, targets, mask, sh, scale, cfg.act, cfg.reset_gate, cfg.mask_zero)
+                    stats[0] += loss
+                    stats[1] += nval
+                    stats[2] += hits
+                    for name in acc:
+                        acc[name] += getattr(g, name)
                 for j, k in enumerate(ks):
                     st = users[keys[k]]
                     st[4] += g.G[j]
@@ -206,9 +248,13 @@ def _make_step(bsh, cfg: StepConfig, scale: float):
             process(pending)
         out = emit(None)
         # partial sums of the shared gradients of this task
-        gi = np.concatenate([acc["gate_in"], acc["cand_in"], acc["out"]], axis=1)
-        for i in np.flatnonzero(np.any(gi != 0.0, axis=1)):
-            out.append(("item", int(i), gi[i], None, None, None))
+        if blocked:
+            for i, v in iacc.items():
+                out.append(("item", int(i), np.concatenate([v, np.zeros(H)]), None, None, None))
+        else:
+            gi = np.concatenate([acc["gate_in"], acc["cand_in"], acc["out"]], axis=1)
+            for i in np.flatnonzero(np.any(gi != 0.0, axis=1)):
+                out.append(("item", int(i), gi[i], None, None, None))
         out.append(("bias", 0, np.concatenate([acc["gate_bias"], acc["cand_bias"]]), None, None, None))
         out.append(("stat", 0, None, None, None, None, stats[0], stats[1], stats[2]))
         yield _frame(out)
@@ -292,7 +338,13 @@ def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig)
 def train_step(spark: SparkSession, rows: DataFrame, t: Tables, cfg: StepConfig,
                window_len: int) -> tuple[Tables, dict]:
     """M6: one synchronous step over the windows in ``rows`` (user, seg, pos, item, target).
-    Returns the new tables and the step's statistics (summed loss, targets, hits, windows)."""
+    Returns the new tables and the step's statistics (summed loss, targets, hits, windows).
+    Above the item-table bound the step runs without holding the table
+    (:mod:`seqwright.model.training_blocked`)."""
+    limit = cfg.shared_bytes or MAX_SHARED_BYTES
+    if (cfg.num_items + 1) * 4 * cfg.hidden * 8 > limit:
+        from seqwright.model.training_blocked import train_step_blocked
+        return train_step_blocked(spark, rows, t, cfg, window_len, limit)
     n_windows = rows.select("user", "seg").distinct().count()
     if n_windows == 0:
         return t, {"loss": 0.0, "n": 0.0, "hits": 0.0, "windows": 0}
