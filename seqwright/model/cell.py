@@ -107,9 +107,6 @@ def loss_and_grads(h0, G, C, items, targets, mask, sh: Shared, scale, act="tanh"
     and its gradient by back-propagation through the ``T`` steps (no gradient into ``h0``:
     truncated at the block start). Returns (loss_sum, n_valid, hits, per-seq cost, grads,
     final state)."""
-    _, dact = ACTIVATIONS[act]
-    S, T = items.shape
-    H = h0.shape[1]
     hs, hT, cache = forward(h0, G, C, items, mask, sh, act, reset_gate, keep=True)
     logits = logits_of(hs, sh)
     mx = logits.max(axis=-1, keepdims=True)

@@ -431,7 +431,7 @@ def q_train_step(spark, sf_dir):
     item and bias tables in long form (param, id, j, w)."""
     from seqwright.model.training import train_step
     train, _, t, cfg = _train_setup(spark, sf_dir)
-    new, st = train_step(spark, _first_batch(train), t, cfg, WINDOW)
+    new, _ = train_step(spark, _first_batch(train), t, cfg, WINDOW)
     it = new.item_w.select(F.lit("item").alias("param"), F.col("item").alias("id"),
                            F.posexplode(F.concat("gate_in", "cand_in", "out")).alias("j", "w"))
     sh = new.shared_w.select(F.col("name").alias("param"), F.lit(0).cast("bigint").alias("id"),

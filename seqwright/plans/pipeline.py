@@ -75,6 +75,6 @@ def build_pipeline(spark: SparkSession, spec: dict) -> dict[str, DataFrame]:
 def run_pipeline(spark: SparkSession, spec: dict) -> dict[str, DataFrame]:
     """Build and write every output; returns the written frames by output name."""
     outs = build_pipeline(spark, spec)
-    for o, (name, df) in zip(spec.get("output", []), outs.items()):
+    for o, df in zip(spec.get("output", []), outs.values()):
         write_output(df, o)
     return outs

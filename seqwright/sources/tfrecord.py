@@ -171,7 +171,7 @@ def decode_example(buf: bytes) -> dict:
                     feat = v
             for kind, _, lst in _messages(feat):
                 vals = []
-                for vnum, wt, v in _messages(lst):
+                for _, wt, v in _messages(lst):
                     if kind == 2:
                         vals.extend(np.frombuffer(v, dtype="<f4").tolist() if wt == 2 else
                                     [struct.unpack("<f", v)[0]])
