@@ -316,7 +316,9 @@ def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig)
     gi = sum_arrays(res.where(F.col("kind") == "item").select("id", "v1"), "id")
     gi = gi.select(F.col("id").alias("item"), F.slice("v1", 1, 2 * H).alias("g_gate_in"),
                    F.slice("v1", 2 * H + 1, H).alias("g_cand_in"), F.slice("v1", 3 * H + 1, H).alias("g_out"))
-    it = t.item_w.join(F.broadcast(gi), "item", "left")
+    # the summed gradients have one row per item: broadcast only under the item-table bound
+    small = (cfg.num_items + 1) * 4 * H * 8 <= (cfg.shared_bytes or MAX_SHARED_BYTES)
+    it = t.item_w.join(F.broadcast(gi) if small else gi, "item", "left")
     for name in ("gate_in", "cand_in", "out"):
         it = with_rmsprop(it, name, f"g_{name}", f"{name}_ms", cfg.lr, cfg.rho, cfg.eps)
     item_w = it.select("item", "gate_in", "cand_in", "out", "gate_in_ms", "cand_in_ms", "out_ms")
@@ -418,7 +420,7 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
                 vb = batch_ids(vr, n_batches, seed, epoch, ("user", "seg"))
                 keep = epoch_order(vb.select("batch_id").distinct(), seed, epoch).where(
                     F.col("step") <= validation_steps).select("batch_id")
-                vr = vb.join(F.broadcast(keep), "batch_id").drop("batch_id")
+                vr = vb.join(F.broadcast(keep), "batch_id").drop("batch_id")  # <= validation_steps rows
             sc = score(spark, vr, t.user_w, t.item_w, t.shared_w, num_items=cfg.num_items,
                        hidden=cfg.hidden, carry=cfg.carry, reset_gate=cfg.reset_gate, act=cfg.act)
             real = F.col("target") > 0

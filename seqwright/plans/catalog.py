@@ -166,7 +166,7 @@ def _ranked_read(spark, path, schema: str) -> DataFrame:
     counts = df.groupBy("_f").agg(F.count(F.lit(1)).alias("_c"))
     counts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
         Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = df.join(F.broadcast(counts.select("_f", "_off")), "_f")
+    out = df.join(F.broadcast(counts.select("_f", "_off")), "_f")  # one row per written file
     return out.withColumn("rank", (F.col("_off") + F.col("_l")).cast("bigint")).drop("_f", "_m", "_l", "_off")
 
 
