@@ -77,7 +77,7 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
           shared_w: DataFrame, *, num_items: int, hidden: int, carry: bool = True,
           reset_gate: bool = False, act: str = "tanh", init_state: DataFrame | None = None,
           split_users: bool = True, piece_windows: int = 1024, partitions: int | None = None,
-          shared_bytes: int | None = None) -> DataFrame:
+          shared_bytes: int | None = None, batch_rows: int | None = None) -> DataFrame:
     """Fold the cell over ``rows`` (user, seg, pos, item, target[, n]); one output row per
     input row with the state ``h`` after the step and softmax statistics of its logits
     (``lse``, ``tlogit`` = logit of the target, ``argmax``, ``maxlogit``).
@@ -101,7 +101,7 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
     keys = ["user"] + (["_piece"] if piece else [])
     P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = data.repartition(P, *keys).sortWithinPartitions(*keys, "kind", "seg", "pos")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_batch_rows(H)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows or arrow_batch_rows(H)))
     fn = _make_fold(bsh, H, carry, reset_gate, act, logits=whole)
     cols = ["user", "kind", "seg", "pos", "item", "target", "n", "gate", "cand", "h0"] + ([] if whole else ["xg", "xc"])
     states = data.select(*cols).mapInPandas(fn, SCORE_SCHEMA)
@@ -174,6 +174,9 @@ def _make_fold(bsh, H, carry, reset_gate, act, logits=True):
             last = len(starts) - 1
             open_key = (int(users[starts[last]]),) if carry else (int(users[starts[last]]), int(segs[starts[last]]))
             open_h = finals[last]
+            # input is sorted by user: users before the last one of this batch are finished
+            done_below = int(users[-1])
+            weights = {u: w for u, w in weights.items() if u >= done_below}
             N = len(ev)
             stats = {"lse": None, "tlogit": None, "argmax": None, "maxlogit": None}
             if logits:

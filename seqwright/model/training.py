@@ -54,6 +54,7 @@ class StepConfig:
     split_users: bool = True   # reset mode: spread a hot user's windows over tasks
     piece_windows: int = 1024  # windows per piece when split_users
     shared_bytes: int | None = None  # item-table bound (MAX_SHARED_BYTES); above it: blocked step
+    batch_rows: int | None = None    # Arrow records per batch (default: from H)
 
 
 def _union(rows: DataFrame, user_w: DataFrame, piece_windows: int | None = None,
@@ -106,7 +107,8 @@ def step_frame(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w:
     keys = ["user", "wpiece"] if split else ["user"]
     data = _union(rows, user_w, cfg.piece_windows if split else None, ("xg", "xc", "dh") if blocked else ())
     data = data.repartition(P, *keys).sortWithinPartitions("user", "wpiece", "kind", "seg", "pos")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(arrow_batch_rows(cfg.hidden)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch",
+                   str(cfg.batch_rows or arrow_batch_rows(cfg.hidden)))
     return data.mapInPandas(_make_step(bsh, cfg, scale, blocked), STEP_SCHEMA)
 
 
