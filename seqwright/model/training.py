@@ -2,8 +2,8 @@
 
 One step:
 
-1. The batch's windows and every user's weight row are unioned, hash partitioned
-   by ``user`` and sorted, as for scoring.
+1. The batch's windows and the weight rows of the batch's users are unioned, hash
+   partitioned by ``user`` and sorted, as for scoring.
 2. ``mapInPandas`` runs forward and backward passes over blocks of windows (state
    reset per window, or carried across a user's chunks with the gradient truncated
    at chunk starts). A user's gradient is complete inside the task, so the user's
@@ -75,6 +75,7 @@ def _union(rows: DataFrame, user_w: DataFrame, piece_windows: int | None = None,
         w = w.join(pieces, "user")
     else:
         ev = ev.withColumn("wpiece", F.lit(0).cast("bigint"))
+        w = w.join(rows.select("user").distinct(), "user", "left_semi")
         w = w.withColumn("wpiece", F.lit(0).cast("bigint")).withColumn("npieces", F.lit(1).cast("bigint"))
     ev = ev.withColumn("npieces", F.lit(None).cast("bigint"))
     wt = w.select("user", F.lit(0).alias("kind"), *[F.lit(None).cast("bigint").alias(c)
@@ -298,23 +299,23 @@ def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig)
     done = res.where(F.col("kind") == "user").select(
         F.col("id").alias("user"), F.col("v1").alias("gate"), F.col("v2").alias("cand"),
         F.col("v3").alias("gate_ms"), F.col("v4").alias("cand_ms"))
+    # Only the batch's users went through the step: users updated in their task come as
+    # they are, users spread over several tasks (split_users) send partial gradients that
+    # are summed and applied by a join, and every other user keeps its row (anti-join).
+    cols = ["user", "gate", "cand", "gate_ms", "cand_ms"]
+    changed = done
     if cfg.split_users and not cfg.carry:
-        # users spread over several tasks: partial gradients summed, applied by a join; users
-        # updated in their task come as they are; users outside the batch keep their rows
         ug = res.where(F.col("kind") == "user_grad").select("id", F.concat("v1", "v2").alias("v1"))
         ug = sum_arrays(ug, "id").select(F.col("id").alias("user"), F.slice("v1", 1, 2 * H * H).alias("g_gate"),
                                          F.slice("v1", 2 * H * H + 1, H * H).alias("g_cand"))
         multi = t.user_w.join(ug, "user")
         multi = with_rmsprop(multi, "gate", "g_gate", "gate_ms", cfg.lr, cfg.rho, cfg.eps)
         multi = with_rmsprop(multi, "cand", "g_cand", "cand_ms", cfg.lr, cfg.rho, cfg.eps)
-        cols = ["user", "gate", "cand", "gate_ms", "cand_ms"]
         changed = done.unionByName(multi.select(*cols))
-        rest = t.user_w.select(*cols).join(changed.select("user"), "user", "left_anti")
-        up = scratch_path(spark, "user_w")
-        rest.unionByName(changed).write.mode("overwrite").parquet(up)
-        user_w = spark.read.parquet(up)
-    else:
-        user_w = done
+    rest = t.user_w.select(*cols).join(changed.select("user"), "user", "left_anti")
+    up = scratch_path(spark, "user_w")
+    rest.unionByName(changed.select(*cols)).write.mode("overwrite").parquet(up)
+    user_w = spark.read.parquet(up)
     gi = sum_arrays(res.where(F.col("kind") == "item").select("id", "v1"), "id")
     gi = gi.select(F.col("id").alias("item"), F.slice("v1", 1, 2 * H).alias("g_gate_in"),
                    F.slice("v1", 2 * H + 1, H).alias("g_cand_in"), F.slice("v1", 3 * H + 1, H).alias("g_out"))
