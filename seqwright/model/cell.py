@@ -63,11 +63,11 @@ def forward(h0, G, C, items, mask, sh: Shared, act="tanh", reset_gate=False, kee
         it = items[:, t]
         ig = sh.gate_in[it] if xg is None else xg[:, t]
         ic = sh.cand_in[it] if xc is None else xc[:, t]
-        a = np.einsum("sh,shk->sk", h, G) + sh.gate_bias + ig
+        a = np.matmul(h[:, None, :], G)[:, 0, :] + sh.gate_bias + ig
         g = sigmoid(a)
         r, u = g[:, :H], g[:, H:]
         hin = r * h if reset_gate else h
-        b = np.einsum("sh,shk->sk", hin, C) + sh.cand_bias + ic
+        b = np.matmul(hin[:, None, :], C)[:, 0, :] + sh.cand_bias + ic
         c = f(b)
         hn = u * h + (1.0 - u) * c
         m = mask[:, t][:, None]
@@ -153,7 +153,7 @@ def backprop(cache, G, C, mask, dhs, act="tanh", reset_gate=False):
         du = dh * (h - c)
         dc = dh * (1.0 - u)
         db = dc * dact(c, b)
-        dhin = np.einsum("sk,shk->sh", db, C)
+        dhin = np.matmul(C, db[:, :, None])[:, :, 0]
         if reset_gate:
             dr = dhin * h
             da_r = dr * r * (1.0 - r)
@@ -162,11 +162,11 @@ def backprop(cache, G, C, mask, dhs, act="tanh", reset_gate=False):
             da_r = np.zeros_like(r)
             dprev = dh * u + dhin
         da = np.concatenate([da_r, du * u * (1.0 - u)], axis=1)
-        dprev = dprev + np.einsum("sk,shk->sh", da, G)
+        dprev = dprev + np.matmul(G, da[:, :, None])[:, :, 0]
         da = da * m
         db = db * m
-        gG += np.einsum("sh,sk->shk", h, da)
-        gC += np.einsum("sh,sk->shk", hin, db)
+        gG += h[:, :, None] * da[:, None, :]
+        gC += hin[:, :, None] * db[:, None, :]
         gbg += da.sum(axis=0)
         gbc += db.sum(axis=0)
         DA[:, t] = da

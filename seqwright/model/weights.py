@@ -7,10 +7,10 @@
 Matrices are stored row-major (``gate[r*2H + c]``). ``*_ms`` are the RMSProp
 accumulators, zero at the start (the reference resets them before training).
 
-Two initialisers, both pure column expressions over ids the data provides:
-``formula`` (fixed trigonometric values, used by the SQL oracles) and ``normal``
-(seeded N(0, 1/sqrt(H)) from a hash of (seed, id, index), so a retried task or a
-rerun draws the same numbers whatever the partitioning).
+Two initialisers over ids the data provides: ``formula`` (fixed trigonometric values
+as column expressions, used by the SQL oracles) and ``normal`` (N(0, 1/sqrt(H)) drawn
+with numpy inside the tasks from a generator seeded by (seed, table, id), so a retried
+task or a rerun draws the same numbers whatever the partitioning).
 """
 
 from __future__ import annotations
@@ -41,37 +41,46 @@ def _formula_item(i: Column, width: int, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.cos(i * 3 + j * 2 + k) / 2)
 
 
-def _normal(seed: int, tag: str, idc: Column, width: int, std: float) -> Column:
-    """Seeded Box-Muller normal values from a hash of (seed, tag, id, index)."""
-    mask = (1 << 52) - 1
+def _zeros(width: int) -> Column:
+    return F.array_repeat(F.lit(0.0), width)
 
-    def draw(j):
-        h1 = F.xxhash64(F.lit(seed), F.lit(tag), idc, j, F.lit(1)).bitwiseAND(F.lit(mask))
-        h2 = F.xxhash64(F.lit(seed), F.lit(tag), idc, j, F.lit(2)).bitwiseAND(F.lit(mask))
-        u1 = (h1.cast("double") + 1.0) / float(mask + 2)
-        u2 = h2.cast("double") / float(mask + 1)
-        return F.sqrt(F.log(u1) * -2.0) * F.cos(u2 * (2 * math.pi)) * std
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), draw)
 
+# Stream numbers of the seeded generators, one per table.
+_TABLE_IDS = {"user": 1, "item": 2}
 
-def _zeros(width: int) -> Column:
-    return F.array_repeat(F.lit(0.0), width)
+
+def _seeded_normals(seed: int, table: str, key: str, widths: list[tuple[str, int]], std: float):
+    """mapInPandas body: per row, a generator seeded by (seed, table, id) draws the arrays."""
+    tid = _TABLE_IDS[table]
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+        for pdf in batches:
+            cols = {name: [] for name, _ in widths}
+            for i in pdf[key].to_numpy():
+                rng = np.random.default_rng([seed, tid, int(i)])
+                for name, w in widths:
+                    cols[name].append(rng.normal(0.0, std, w))
+            yield pd.DataFrame({key: pdf[key], **cols})
+    return run
 
 
 def user_weights(users: DataFrame, hidden: int, init: str = "normal", seed: int = 0) -> DataFrame:
     """One row per distinct ``user`` of ``users``."""
     H = hidden
     u = F.col("user")
+    ids = users.select("user").distinct()
     if init == "formula":
-        gate, cand = _formula_user(u, H * 2 * H, 2 * H, 0), _formula_user(u, H * H, H, 1)
+        out = ids.select("user", _formula_user(u, H * 2 * H, 2 * H, 0).alias("gate"),
+                         _formula_user(u, H * H, H, 1).alias("cand"))
     elif init == "normal":
-        std = 1.0 / math.sqrt(H)
-        gate, cand = _normal(seed, "gate_u", u, H * 2 * H, std), _normal(seed, "cand_u", u, H * H, std)
+        out = ids.mapInPandas(_seeded_normals(seed, "user", "user", [("gate", H * 2 * H), ("cand", H * H)],
+                                              1.0 / math.sqrt(H)),
+                              "user BIGINT, gate ARRAY<DOUBLE>, cand ARRAY<DOUBLE>")
     else:
         raise ValueError(init)
-    return users.select("user").distinct().select(
-        "user", gate.alias("gate"), cand.alias("cand"),
-        _zeros(H * 2 * H).alias("gate_ms"), _zeros(H * H).alias("cand_ms"))
+    return out.select("user", "gate", "cand", _zeros(H * 2 * H).alias("gate_ms"), _zeros(H * H).alias("cand_ms"))
 
 
 def item_weights(spark: SparkSession, num_items: int, hidden: int, init: str = "normal",
@@ -81,14 +90,17 @@ def item_weights(spark: SparkSession, num_items: int, hidden: int, init: str = "
     items = spark.range(0, num_items + 1).withColumnRenamed("id", "item")
     i = F.col("item")
     if init == "formula":
-        g, c, o = _formula_item(i, 2 * H, 0), _formula_item(i, H, 1), _formula_item(i, H, 2)
+        out = items.select("item", _formula_item(i, 2 * H, 0).alias("gate_in"),
+                           _formula_item(i, H, 1).alias("cand_in"), _formula_item(i, H, 2).alias("out"))
+    elif init == "normal":
+        out = items.mapInPandas(
+            _seeded_normals(seed, "item", "item", [("gate_in", 2 * H), ("cand_in", H), ("out", H)],
+                            1.0 / math.sqrt(H)),
+            "item BIGINT, gate_in ARRAY<DOUBLE>, cand_in ARRAY<DOUBLE>, out ARRAY<DOUBLE>")
     else:
-        std = 1.0 / math.sqrt(H)
-        g, c, o = (_normal(seed, "gate_i", i, 2 * H, std), _normal(seed, "cand_i", i, H, std),
-                   _normal(seed, "out", i, H, std))
-    return items.select("item", g.alias("gate_in"), c.alias("cand_in"), o.alias("out"),
-                        _zeros(2 * H).alias("gate_in_ms"), _zeros(H).alias("cand_in_ms"),
-                        _zeros(H).alias("out_ms"))
+        raise ValueError(init)
+    return out.select("item", "gate_in", "cand_in", "out", _zeros(2 * H).alias("gate_in_ms"),
+                      _zeros(H).alias("cand_in_ms"), _zeros(H).alias("out_ms"))
 
 
 def shared_weights(spark: SparkSession, hidden: int) -> DataFrame:
