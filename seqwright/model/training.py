@@ -381,13 +381,15 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
     ``train_windows`` has (user, seg, pos, item, target); batches are drawn per epoch by
     hashing ``(seed, epoch, user, seg)`` and visited in a seeded order (O3-O6), at most
     ``steps_per_epoch`` of them. ``valid_rows`` are scored after each epoch; with
-    ``validation_steps`` only that many seeded validation batches are scored.
+    ``validation_steps`` only that many seeded validation batches are scored. With state
+    carry (``cfg.carry``) validation starts from each user's state at the end of its
+    training windows (saved as a table), as one continuous sequence would.
     ``schedule=(total_steps, warmup_steps)`` drives the learning rate from ``cfg.lr`` by
     the global step (F8); the step advances on every update. Returns the final tables and
     the path of the metrics history (epoch, step, split, log_loss, accuracy, n, seconds, lr)."""
     from dataclasses import replace
 
-    from seqwright.model.scoring import score
+    from seqwright.model.scoring import final_states, score
     from seqwright.operators.batching import batch_ids, epoch_order
 
     log_path = log_path or scratch_path(spark, "fit_log")
@@ -424,8 +426,18 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
                 keep = epoch_order(vb.select("batch_id").distinct(), seed, epoch).where(
                     F.col("step") <= validation_steps).select("batch_id")
                 vr = vb.join(F.broadcast(keep), "batch_id").drop("batch_id")  # <= validation_steps rows
+            init = None
+            if cfg.carry:
+                # validation continues from each user's state at the end of its training data
+                tr = score(spark, train_windows, t.user_w, t.item_w, t.shared_w, num_items=cfg.num_items,
+                           hidden=cfg.hidden, carry=True, reset_gate=cfg.reset_gate, act=cfg.act,
+                           shared_bytes=cfg.shared_bytes)
+                sp = scratch_path(spark, "train_state")
+                final_states(tr).write.mode("overwrite").parquet(sp)
+                init = spark.read.parquet(sp)
             sc = score(spark, vr, t.user_w, t.item_w, t.shared_w, num_items=cfg.num_items,
-                       hidden=cfg.hidden, carry=cfg.carry, reset_gate=cfg.reset_gate, act=cfg.act)
+                       hidden=cfg.hidden, carry=cfg.carry, reset_gate=cfg.reset_gate, act=cfg.act,
+                       init_state=init, shared_bytes=cfg.shared_bytes)
             real = F.col("target") > 0
             m = sc.agg(F.avg(F.when(real, F.col("lse") - F.col("tlogit"))).alias("l"),
                        F.avg(F.when(real, (F.col("argmax") == F.col("target")).cast("double"))).alias("a"),

@@ -479,3 +479,26 @@ def q_progress_report(spark, sf_dir):
     log = log.withColumn("gstep", F.col("epoch") * 1000 + F.col("step"))
     return X.progress(log.select("gstep", "n", "seconds"), "gstep").select(
         "gstep", "n", "triplets", "elapsed", "wps")
+
+
+@query("fit_carry_history")
+def q_fit_carry_history(spark, sf_dir):
+    """M4/M10 session style: the last 2 chunks of 64 of each user's train half (O2), padded
+    chunks with state carried across them (W4, truncated back-propagation), validation on
+    the first chunk of the valid half starting from the saved final training states (J3)."""
+    from seqwright.model.training import StepConfig, Tables, fit
+    seq = seq_frame(spark, sf_dir)
+    num_items = int(seq.agg(F.max("item")).first()[0])
+    split = S.temporal_split(seq, train_frac=0.5)
+    tr = S.truncate(split.where(F.col("split") == "train"), 2 * CHUNK)
+    va = split.where(F.col("split") == "valid").withColumn("pos", F.col("pos") - F.floor(F.col("n") / 2))
+    va = S.truncate(va.withColumn("n", F.col("n") - F.floor(F.col("n") / 2)), CHUNK, keep_first=True)
+    cols = ["user", F.col("chunk").alias("seg"), "pos", "item", "target"]
+    train = S.tumbling_windows(tr, CHUNK, tail="keep").select(*cols)
+    valid = S.tumbling_windows(va, CHUNK, tail="keep").select(*cols)
+    t = Tables(Wt.user_weights(seq, H, "normal", seed=SEED), Wt.item_weights(spark, num_items, H, "normal", SEED),
+               Wt.shared_weights(spark, H))
+    cfg = StepConfig(hidden=H, num_items=num_items, lr=0.01, carry=True)
+    _, log_path = fit(spark, train, valid, t, cfg, window_len=CHUNK, epochs=2, n_batches=2,
+                      steps_per_epoch=None, seed=SEED)
+    return spark.read.parquet(log_path)
