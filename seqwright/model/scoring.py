@@ -77,14 +77,17 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
           shared_w: DataFrame, *, num_items: int, hidden: int, carry: bool = True,
           reset_gate: bool = False, act: str = "tanh", init_state: DataFrame | None = None,
           split_users: bool = True, piece_windows: int = 1024, partitions: int | None = None,
-          shared_bytes: int | None = None, batch_rows: int | None = None) -> DataFrame:
+          shared_bytes: int | None = None, batch_rows: int | None = None,
+          emit_states: bool = True) -> DataFrame:
     """Fold the cell over ``rows`` (user, seg, pos, item, target[, n]); one output row per
     input row with the state ``h`` after the step and softmax statistics of its logits
     (``lse``, ``tlogit`` = logit of the target, ``argmax``, ``maxlogit``).
 
     ``carry=True``: one state per user across all ``seg`` (state carry, M4);
     ``carry=False``: the state restarts at zero for every ``(user, seg)`` (M5).
-    ``init_state`` (user, h) starts users from saved states (resume, train -> valid)."""
+    ``init_state`` (user, h) starts users from saved states (resume, train -> valid).
+    ``emit_states=False`` leaves ``h`` NULL when only the softmax statistics are needed
+    (less data back from the Python workers); the blocked path always needs the states."""
     H = hidden
     limit = shared_bytes or MAX_SHARED_BYTES
     whole = (num_items + 1) * 4 * H * 8 <= limit
@@ -102,7 +105,7 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
     P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = data.repartition(P, *keys).sortWithinPartitions(*keys, "kind", "seg", "pos")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows or arrow_batch_rows(H)))
-    fn = _make_fold(bsh, H, carry, reset_gate, act, logits=whole)
+    fn = _make_fold(bsh, H, carry, reset_gate, act, logits=whole, states=emit_states or not whole)
     cols = ["user", "kind", "seg", "pos", "item", "target", "n", "gate", "cand", "h0"] + ([] if whole else ["xg", "xc"])
     states = data.select(*cols).mapInPandas(fn, SCORE_SCHEMA)
     if whole:
@@ -110,7 +113,7 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
     return _blocked_softmax(spark, states, item_w, num_items, H, limit)
 
 
-def _make_fold(bsh, H, carry, reset_gate, act, logits=True):
+def _make_fold(bsh, H, carry, reset_gate, act, logits=True, states=True):
     def fold(batches):
         sh = cell.Shared(**bsh.value)
         weights = {}
@@ -190,7 +193,8 @@ def _make_fold(bsh, H, carry, reset_gate, act, logits=True):
                         lg, targets[a:a + step])
                 stats = {"lse": lse, "tlogit": tl, "argmax": am, "maxlogit": mx}
             yield pd.DataFrame({"user": users, "seg": segs, "pos": ev["pos"].to_numpy().astype(np.int64),
-                                "item": items, "target": targets, "n": ev["n"], "h": list(out_h), **stats})
+                                "item": items, "target": targets, "n": ev["n"],
+                                "h": list(out_h) if states else None, **stats})
     return fold
 
 

@@ -325,19 +325,25 @@ def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig)
     for name in ("gate_in", "cand_in", "out"):
         it = with_rmsprop(it, name, f"g_{name}", f"{name}_ms", cfg.lr, cfg.rho, cfg.eps)
     item_w = it.select("item", "gate_in", "cand_in", "out", "gate_in_ms", "cand_in_ms", "out_ms")
-    gb = sum_arrays(res.where(F.col("kind") == "bias").select("id", "v1"), "id").first()
-    gbv = list(gb["v1"]) if gb is not None else [0.0] * (3 * H)
+    # bias partials and loss statistics: one row per task each, summed in one small job
+    small_rows = res.where(F.col("kind").isin("bias", "stat")).select("kind", "v1", "loss", "cnt", "hits").collect()
+    gbv = [0.0] * (3 * H)
+    tot = {"loss": 0.0, "cnt": 0.0, "hits": 0.0}
+    for r in small_rows:
+        if r["kind"] == "bias" and r["v1"] is not None:
+            gbv = [a + b for a, b in zip(gbv, r["v1"])]
+        elif r["kind"] == "stat":
+            for k in tot:
+                tot[k] += r[k] or 0.0
     g_rows = [("gate_bias", gbv[:2 * H]), ("cand_bias", gbv[2 * H:])]
     g_df = spark.createDataFrame(g_rows, "name STRING, g ARRAY<DOUBLE>")
     sw = with_rmsprop(t.shared_w.join(g_df, "name", "left"), "v", "g", "ms", cfg.lr, cfg.rho, cfg.eps)
     shared_w = sw.select("name", "v", "ms")
-    st = res.where(F.col("kind") == "stat").agg(F.sum("loss").alias("loss"), F.sum("cnt").alias("cnt"),
-                                                F.sum("hits").alias("hits")).first()
     ip, sp = scratch_path(spark, "item_w"), scratch_path(spark, "shared_w")
     item_w.write.mode("overwrite").parquet(ip)
     shared_w.write.mode("overwrite").parquet(sp)
     new = Tables(user_w, spark.read.parquet(ip), spark.read.parquet(sp))
-    return new, {"loss": st["loss"] or 0.0, "n": st["cnt"] or 0.0, "hits": st["hits"] or 0.0}
+    return new, {"loss": tot["loss"], "n": tot["cnt"], "hits": tot["hits"]}
 
 
 def train_step(spark: SparkSession, rows: DataFrame, t: Tables, cfg: StepConfig,
@@ -437,7 +443,7 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
                 init = spark.read.parquet(sp)
             sc = score(spark, vr, t.user_w, t.item_w, t.shared_w, num_items=cfg.num_items,
                        hidden=cfg.hidden, carry=cfg.carry, reset_gate=cfg.reset_gate, act=cfg.act,
-                       init_state=init, shared_bytes=cfg.shared_bytes)
+                       init_state=init, shared_bytes=cfg.shared_bytes, emit_states=False)
             real = F.col("target") > 0
             m = sc.agg(F.avg(F.when(real, F.col("lse") - F.col("tlogit"))).alias("l"),
                        F.avg(F.when(real, (F.col("argmax") == F.col("target")).cast("double"))).alias("a"),

@@ -78,10 +78,11 @@ def _model(spark, sf_dir):
     return seq, num_items, uw, iw, sw
 
 
-def _scored(spark, sf_dir, **kw):
+def _scored(spark, sf_dir, states=False, **kw):
+    """The scored positions of the whole sequences (``h`` only with ``states=True``)."""
     seq, num_items, uw, iw, sw = _model(spark, sf_dir)
     rows = seq.select("user", F.lit(0).alias("seg"), "pos", "item", "target", "n")
-    sc = scoring.score(spark, rows, uw, iw, sw, num_items=num_items, hidden=H, **kw)
+    sc = scoring.score(spark, rows, uw, iw, sw, num_items=num_items, hidden=H, emit_states=states, **kw)
     sc = sc.withColumn("split", F.when(F.col("pos") <= F.floor(F.col("n") / 2), "train").otherwise("valid"))
     return X.with_loss(sc)
 
@@ -95,7 +96,7 @@ def _h():
 SELECT "user", pos, round(h0, 6) AS h0, round(h1, 6) AS h1 FROM sc""")
 def q_score_states(spark, sf_dir):
     """M1: fold the cell over each user's ordered items (state carried over the whole sequence)."""
-    return _scored(spark, sf_dir).select("user", "pos", *_h())
+    return _scored(spark, sf_dir, states=True).select("user", "pos", *_h())
 
 
 @query("next_item_logits", FOLD_SQL + """
