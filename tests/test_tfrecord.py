@@ -48,3 +48,14 @@ def test_data_source_round_trip(spark, tmp_path):
     got = {r["user"]: (list(r["items"]), r["n"], r["tag"], r["missing"]) for r in back.collect()}
     exp = {r["user"]: (list(r["items"]), r["n"], r["tag"], []) for r in df.collect()}
     assert got == exp
+
+
+def test_vectorised_crc_and_framing_match_single():
+    import os
+    import numpy as np
+    rng = np.random.default_rng(0)
+    recs = [os.urandom(int(n)) for n in rng.integers(0, 700, 300)] + [b"123456789"]
+    many = T.crc32c_many(recs)
+    assert [int(x) for x in many] == [T.crc32c(r) for r in recs]
+    assert int(many[-1]) == 0xE3069283
+    assert T.frame_many(recs) == b"".join(T.frame(r) for r in recs)
