@@ -394,7 +394,8 @@ def _train_setup(spark, sf_dir, hidden=H, init="formula"):
     return train, valid, t, StepConfig(hidden=hidden, num_items=num_items, lr=0.01)
 
 
-def _first_batch(train, epoch=1, n_batches=8, seed=SEED):
+def _first_batch(train, epoch=1, n_batches=1, seed=SEED):
+    """The step's batch: with one batch per epoch (full-batch step) it holds every window."""
     from seqwright.operators.batching import batch_ids
     bw = batch_ids(train, n_batches, seed, epoch, ("user", "seg"))
     return bw.where(F.col("batch_id") == 0).drop("batch_id")
@@ -402,8 +403,8 @@ def _first_batch(train, epoch=1, n_batches=8, seed=SEED):
 
 @query("gradient_sum")
 def q_gradient_sum(spark, sf_dir):
-    """Gradient of the batch objective, per-task partial sums added up by a groupBy;
-    long form (param, id, j, g)."""
+    """Gradient of the objective over all training windows (one full batch), per-task
+    partial sums added up by a groupBy; long form (param, id, j, g)."""
     from seqwright.model.training import step_frame, sum_arrays
     from seqwright.session import scratch_path
     train, _, t, cfg = _train_setup(spark, sf_dir)
@@ -428,8 +429,8 @@ def q_gradient_sum(spark, sf_dir):
 
 @query("train_step")
 def q_train_step(spark, sf_dir):
-    """M6/M7/M8: one RMSProp step (accumulators reset to 0) on the first batch; the updated
-    item and bias tables in long form (param, id, j, w)."""
+    """M6/M7/M8: one RMSProp step (accumulators reset to 0) over all training windows (one
+    full batch); the updated item and bias tables in long form (param, id, j, w)."""
     from seqwright.model.training import train_step
     train, _, t, cfg = _train_setup(spark, sf_dir)
     new, _ = train_step(spark, _first_batch(train), t, cfg, WINDOW)
@@ -461,15 +462,16 @@ def q_init_weights(spark, sf_dir):
 def _fit(spark, sf_dir):
     from seqwright.model.training import fit
     train, valid, t, cfg = _train_setup(spark, sf_dir)
-    _, log_path = fit(spark, train, valid, t, cfg, window_len=WINDOW, epochs=2, n_batches=4,
-                      steps_per_epoch=2, validation_steps=2, schedule=(4, 1), seed=SEED)
+    _, log_path = fit(spark, train, valid, t, cfg, window_len=WINDOW, epochs=2, n_batches=2,
+                      steps_per_epoch=None, schedule=(4, 1), seed=SEED)
     return spark.read.parquet(log_path)
 
 
 @query("fit_history")
 def q_fit_history(spark, sf_dir):
-    """Two epochs of two steps each (learning rate warmed up and decayed over the four
-    steps), a validation pass over two seeded batches per epoch; the metrics history."""
+    """Two epochs, each over all training windows in two seeded batches (learning rate
+    warmed up and decayed over the four steps), a validation pass per epoch; the metrics
+    history."""
     return _fit(spark, sf_dir)
 
 

@@ -178,3 +178,18 @@ def test_tiny_arrow_batches_give_the_same_fold_and_step(spark):
         uy = {r["user"]: np.asarray(r["gate"] + r["cand"]) for r in y.user_w.collect()}
         for u in ux:
             np.testing.assert_allclose(ux[u], uy[u], atol=1e-10)
+
+
+def test_fit_limits_steps_and_validation_batches(spark):
+    """steps_per_epoch and validation_steps (the reference's step-limited epochs)."""
+    H = 3
+    rows, t, num_items = _setup(spark, H)
+    cfg = StepConfig(hidden=H, num_items=num_items, lr=0.01)
+    _, log = fit(spark, rows, rows, t, cfg, window_len=16, epochs=1, n_batches=4, steps_per_epoch=2,
+                 validation_steps=1, seed=5)
+    recs = spark.read.parquet(log).collect()
+    train = [r for r in recs if r["split"] == "train"]
+    valid = [r for r in recs if r["split"] == "valid"]
+    assert len(train) == 2 and len(valid) == 1
+    total = rows.where(F.col("target") > 0).count()
+    assert 0 < valid[0]["n"] < total
