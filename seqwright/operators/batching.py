@@ -24,14 +24,19 @@ def batch_ids(windows: DataFrame, n_batches: int, seed: int, epoch=0, keys=("use
 
 
 def shuffled_examples(windows: DataFrame, n_batches: int, seed: int, epoch=0,
-                      keys=("user", "chunk")) -> DataFrame:
-    """O3+O4: batches plus a shuffled rank (``slot``, 1-based) inside each batch. The rank
-    window is partitioned by batch, so it never gathers the whole table in one task."""
+                      keys=("user", "chunk"), **position_kw) -> DataFrame:
+    """O3+O4: batches plus a shuffled rank (``slot``, 1-based) inside each batch: windows are
+    ordered by a seeded hash (two 32-bit halves, then the key). A batch holds about
+    ``1/n_batches`` of all windows, so the rank is computed by the skew-aware
+    :func:`~seqwright.operators.sequences.positions`, which splits large batches into
+    bounded segments instead of ranking a whole batch in one task."""
+    from seqwright.operators.sequences import positions
     b = batch_ids(windows, n_batches, seed, epoch, keys)
-    b = b.withColumn("_h", F.md5(F.concat_ws(":", F.lit(f"{seed}:{epoch}:slot"),
-                                             *[F.col(k).cast("string") for k in keys])))
-    w = Window.partitionBy("batch_id").orderBy("_h", *keys)
-    return b.withColumn("slot", F.row_number().over(w).cast("bigint")).drop("_h")
+    h = F.md5(F.concat_ws(":", F.lit(f"{seed}:{epoch}:slot"), *[F.col(k).cast("string") for k in keys]))
+    b = (b.withColumn("_h1", F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"))
+         .withColumn("_h2", F.conv(F.substring(h, 9, 8), 16, 10).cast("bigint")))
+    out = positions(b, "batch_id", ["_h1", "_h2", *keys], [], pos_col="slot", n_col="_bn", **position_kw)
+    return out.drop("_h1", "_h2", "_bn")
 
 
 def epoch_order(batches: DataFrame, seed: int, epoch) -> DataFrame:

@@ -367,7 +367,9 @@ bat AS (SELECT "user", chunk, CAST({_hash_sql(f'{SEED}:1', '"user"', 'chunk')} %
                md5(concat_ws(':', '{SEED}:1:slot', CAST("user" AS VARCHAR), CAST(chunk AS VARCHAR))) AS h
         FROM wk),
 slots AS (SELECT "user", chunk, batch_id,
-                 CAST(row_number() OVER (PARTITION BY batch_id ORDER BY h, "user", chunk) AS BIGINT) AS slot
+                 CAST(row_number() OVER (PARTITION BY batch_id ORDER BY
+                      CAST('0x' || substr(h, 1, 8) AS BIGINT), CAST('0x' || substr(h, 9, 8) AS BIGINT),
+                      "user", chunk) AS BIGINT) AS slot
           FROM bat)"""
 
 

@@ -91,3 +91,18 @@ def test_temporal_split_train_precedes_valid(spark):
     r = seq.groupBy("user").agg(F.max(F.when(F.col("split") == "train", F.col("ts"))).alias("a"),
                                 F.min(F.when(F.col("split") == "valid", F.col("ts"))).alias("b")).collect()
     assert all(x["a"] < x["b"] for x in r)
+
+
+def test_batch_slots_with_large_batches_split(spark):
+    """A batch is a hot key at scale: ranking inside segmented batches equals the plain rank."""
+    from seqwright.operators import batching as B
+    seq = S.next_item(events_interactions(spark, SF01))
+    keys = S.tumbling_windows(seq, 16).select("user", "chunk").distinct()
+    cols = ["user", "chunk", "batch_id", "slot"]
+    plain = sorted(B.shuffled_examples(keys, 4, 7, 1, detect_skew=False).select(*cols).collect())
+    split = sorted(B.shuffled_examples(keys, 4, 7, 1, hot_rows=50, seg_rows=20).select(*cols).collect())
+    assert split == plain
+    sizes = {}
+    for r in plain:
+        sizes[r["batch_id"]] = sizes.get(r["batch_id"], 0) + 1
+    assert all(max(r["slot"] for r in plain if r["batch_id"] == b) == n for b, n in sizes.items())
