@@ -2,10 +2,11 @@
 
 The reference's sources are static files read in passes; here the same spec can
 run as a Structured Streaming query over a folder that receives new files. Row
-transforms (Select, Cast) run on the stream; each micro-batch is written by
-``foreachBatch`` with the output's own transforms (e.g. SortBy, sorted within the
-micro-batch) and writer, so every sink of the batch pipeline works unchanged and
-the query's checkpoint makes it restartable after a failure. CollectList needs
+transforms (Select, Cast) run on the stream. A single Parquet or CSV output without
+its own transforms goes to Spark's streaming file sink (exactly-once through the
+checkpoint); other outputs are written per micro-batch by ``foreachBatch`` with
+their own transforms (e.g. SortBy within the micro-batch) and writer. Either way the
+query's checkpoint makes it restartable after a failure. CollectList needs
 whole groups and is refused on a stream: run it on the stored output in batch.
 """
 
@@ -43,14 +44,23 @@ def start_stream(spark: SparkSession, spec: dict, schema: str, checkpoint: str,
     for t in spec.get("transformations", []):
         df = apply_transform(df, t)
     outputs = spec.get("output", [])
+    native = len(outputs) == 1 and not outputs[0].get("transformations") and outputs[0]["type"] in ("Parquet", "Csv")
+    if native:
+        # Spark's own streaming file sink: exactly-once through the checkpoint, no Python callback
+        o = outputs[0]
+        w = df.writeStream.format("parquet" if o["type"] == "Parquet" else "csv").option("path", o["path"])
+        if o["type"] == "Csv":
+            from seqwright.sources.files import TS_FORMATS
+            w = w.option("header", o.get("header", True)).option("sep", o.get("delimiter", ",")).options(**TS_FORMATS)
+        w = w.option("checkpointLocation", checkpoint).outputMode("append")
+    else:
+        def each(batch: DataFrame, batch_id: int) -> None:
+            for o in outputs:
+                part = dict(o)
+                part["path"] = f"{o['path'].rstrip('/')}/batch={batch_id}"
+                write_output(apply_all(batch, o.get("transformations", [])), part)
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        for o in outputs:
-            part = dict(o)
-            part["path"] = f"{o['path'].rstrip('/')}/batch={batch_id}"
-            write_output(apply_all(batch, o.get("transformations", [])), part)
-
-    w = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+        w = df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if available_now:
         w = w.trigger(availableNow=True)
     elif processing_time:
