@@ -78,7 +78,7 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
           reset_gate: bool = False, act: str = "tanh", init_state: DataFrame | None = None,
           split_users: bool = True, piece_windows: int = 1024, partitions: int | None = None,
           shared_bytes: int | None = None, batch_rows: int | None = None,
-          emit_states: bool = True) -> DataFrame:
+          emit_states: bool = True, workdir: str | None = None) -> DataFrame:
     """Fold the cell over ``rows`` (user, seg, pos, item, target[, n]); one output row per
     input row with the state ``h`` after the step and softmax statistics of its logits
     (``lse``, ``tlogit`` = logit of the target, ``argmax``, ``maxlogit``).
@@ -110,7 +110,7 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
     states = data.select(*cols).mapInPandas(fn, SCORE_SCHEMA)
     if whole:
         return states
-    return _blocked_softmax(spark, states, item_w, num_items, H, limit)
+    return _blocked_softmax(spark, states, item_w, num_items, H, limit, workdir)
 
 
 def _make_fold(bsh, H, carry, reset_gate, act, logits=True, states=True):
@@ -199,15 +199,15 @@ def _make_fold(bsh, H, carry, reset_gate, act, logits=True, states=True):
 
 
 def _blocked_softmax(spark: SparkSession, states: DataFrame, item_w: DataFrame, num_items: int, H: int,
-                     limit: int) -> DataFrame:
+                     limit: int, workdir: str | None = None) -> DataFrame:
     """Softmax statistics when the output rows exceed the size bound: the states are written
     once, then each block of at most ``limit`` bytes of output rows is broadcast to a
     map-only pass that emits per-block partial statistics; a groupBy merges them."""
-    spath = scratch_path(spark, "states")
+    spath = scratch_path(spark, "states", workdir)
     states.write.mode("overwrite").parquet(spath)
     st = spark.read.parquet(spath).drop("lse", "tlogit", "argmax", "maxlogit")
     per_block = max(1, limit // (8 * H))
-    ppath = scratch_path(spark, "partials")
+    ppath = scratch_path(spark, "partials", workdir)
     for b0 in range(0, num_items + 1, per_block):
         b1 = min(num_items + 1, b0 + per_block)
         blk = np.zeros((b1 - b0, H))

@@ -33,7 +33,7 @@ from seqwright.functions.math import with_rmsprop
 from seqwright.model import cell
 from seqwright.model.scoring import arrow_batch_rows
 from seqwright.model.weights import MAX_SHARED_BYTES, shared_arrays
-from seqwright.session import scratch_path
+from seqwright.session import remove_path, scratch_path
 
 STEP_SCHEMA = ("kind STRING, id BIGINT, v1 ARRAY<DOUBLE>, v2 ARRAY<DOUBLE>, v3 ARRAY<DOUBLE>, "
                "v4 ARRAY<DOUBLE>, loss DOUBLE, cnt DOUBLE, hits DOUBLE")
@@ -292,7 +292,8 @@ class Tables:
     shared_w: DataFrame
 
 
-def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig) -> tuple[Tables, dict]:
+def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig,
+               workdir: str | None = None) -> tuple[Tables, dict]:
     """Add up the partial gradients of a written step output and update the item and bias
     tables; returns the new tables (written and read back) and the step statistics."""
     H = cfg.hidden
@@ -313,7 +314,7 @@ def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig)
         multi = with_rmsprop(multi, "cand", "g_cand", "cand_ms", cfg.lr, cfg.rho, cfg.eps)
         changed = done.unionByName(multi.select(*cols))
     rest = t.user_w.select(*cols).join(changed.select("user"), "user", "left_anti")
-    up = scratch_path(spark, "user_w")
+    up = scratch_path(spark, "user_w", workdir)
     rest.unionByName(changed.select(*cols)).write.mode("overwrite").parquet(up)
     user_w = spark.read.parquet(up)
     gi = sum_arrays(res.where(F.col("kind") == "item").select("id", "v1"), "id")
@@ -339,7 +340,7 @@ def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig)
     g_df = spark.createDataFrame(g_rows, "name STRING, g ARRAY<DOUBLE>")
     sw = with_rmsprop(t.shared_w.join(g_df, "name", "left"), "v", "g", "ms", cfg.lr, cfg.rho, cfg.eps)
     shared_w = sw.select("name", "v", "ms")
-    ip, sp = scratch_path(spark, "item_w"), scratch_path(spark, "shared_w")
+    ip, sp = scratch_path(spark, "item_w", workdir), scratch_path(spark, "shared_w", workdir)
     item_w.write.mode("overwrite").parquet(ip)
     shared_w.write.mode("overwrite").parquet(sp)
     new = Tables(user_w, spark.read.parquet(ip), spark.read.parquet(sp))
@@ -347,24 +348,25 @@ def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig)
 
 
 def train_step(spark: SparkSession, rows: DataFrame, t: Tables, cfg: StepConfig,
-               window_len: int) -> tuple[Tables, dict]:
+               window_len: int, workdir: str | None = None) -> tuple[Tables, dict]:
     """M6: one synchronous step over the windows in ``rows`` (user, seg, pos, item, target).
     Returns the new tables and the step's statistics (summed loss, targets, hits, windows).
+    Every table the step writes goes below ``workdir`` (default: the checkpoint folder).
     Above the item-table bound the step runs without holding the table
     (:mod:`seqwright.model.training_blocked`)."""
     limit = cfg.shared_bytes or MAX_SHARED_BYTES
     if (cfg.num_items + 1) * 4 * cfg.hidden * 8 > limit:
         from seqwright.model.training_blocked import train_step_blocked
-        return train_step_blocked(spark, rows, t, cfg, window_len, limit)
+        return train_step_blocked(spark, rows, t, cfg, window_len, limit, workdir)
     n_windows = rows.select("user", "seg").distinct().count()
     if n_windows == 0:
         return t, {"loss": 0.0, "n": 0.0, "hits": 0.0, "windows": 0}
     scale = 1.0 / (n_windows * window_len)
     out = step_frame(spark, rows, t.user_w, t.item_w, t.shared_w, cfg, scale)
-    path = scratch_path(spark, "step")
+    path = scratch_path(spark, "step", workdir)
     out.write.mode("overwrite").partitionBy("kind").parquet(path)
     res = spark.read.parquet(path)
-    new, st = apply_step(spark, res, t, cfg)
+    new, st = apply_step(spark, res, t, cfg, workdir)
     st["windows"] = n_windows
     st["objective"] = st["loss"] * scale
     return new, st
@@ -391,7 +393,9 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
     carry (``cfg.carry``) validation starts from each user's state at the end of its
     training windows (saved as a table), as one continuous sequence would.
     ``schedule=(total_steps, warmup_steps)`` drives the learning rate from ``cfg.lr`` by
-    the global step (F8); the step advances on every update. Returns the final tables and
+    the global step (F8); the step advances on every update. Each step writes below its
+    own folder, and the previous step's folder is removed once the next step is done, so
+    storage holds one generation of tables, not one per step. Returns the final tables and
     the path of the metrics history (epoch, step, split, log_loss, accuracy, n, seconds, lr)."""
     from dataclasses import replace
 
@@ -411,6 +415,7 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
         valid_rows = spark.read.parquet(vp)
     log = []
     gstep = 0
+    prev_dir = None   # working folder of the step whose tables are current
     for epoch in range(1, epochs + 1):
         bw = batch_ids(train_windows, n_batches, seed, epoch, ("user", "seg"))
         order = epoch_order(bw.select("batch_id").distinct(), seed, epoch).orderBy("step").collect()
@@ -421,7 +426,11 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
             gstep += 1
             lr = scheduled_lr(gstep, cfg.lr, *schedule) if schedule else cfg.lr
             rows = bw.where(F.col("batch_id") == o["batch_id"]).drop("batch_id")
-            t, st = train_step(spark, rows, t, replace(cfg, lr=lr), window_len)
+            step_dir = scratch_path(spark, f"step{gstep:06d}")
+            t, st = train_step(spark, rows, t, replace(cfg, lr=lr), window_len, step_dir)
+            if prev_dir is not None:      # superseded: the new tables were read from step_dir
+                remove_path(spark, prev_dir)
+            prev_dir = step_dir
             log.append((epoch, int(o["step"]), "train", float(st["objective"]),
                         float(st["hits"] / st["n"]) if st["n"] else None, int(st["n"]), time.time() - t0, lr))
         if valid_rows is not None:

@@ -53,7 +53,8 @@ def _make_block_grad(bb, scale: float, mask_zero: bool, H: int):
     return run
 
 
-def train_step_blocked(spark: SparkSession, rows: DataFrame, t, cfg, window_len: int, limit: int):
+def train_step_blocked(spark: SparkSession, rows: DataFrame, t, cfg, window_len: int, limit: int,
+                       workdir: str | None = None):
     """One step of :func:`seqwright.model.training.train_step` without holding the item table."""
     from seqwright.model.training import STEP_SCHEMA, apply_step, step_frame
 
@@ -67,14 +68,14 @@ def train_step_blocked(spark: SparkSession, rows: DataFrame, t, cfg, window_len:
     # 1. forward with blocked softmax statistics, written once
     sc = scoring.score(spark, rows, t.user_w, t.item_w, t.shared_w, num_items=cfg.num_items, hidden=H,
                        carry=cfg.carry, reset_gate=cfg.reset_gate, act=cfg.act, split_users=cfg.split_users,
-                       piece_windows=cfg.piece_windows, shared_bytes=limit)
-    sp = scratch_path(spark, "fwd")
+                       piece_windows=cfg.piece_windows, shared_bytes=limit, workdir=workdir)
+    sp = scratch_path(spark, "fwd", workdir)
     sc.write.mode("overwrite").parquet(sp)
     sc = spark.read.parquet(sp)
 
     # 2. per-block expected output rows and output-layer gradients
     per_block = max(1, limit // (8 * H))
-    gp = scratch_path(spark, "out_grads")
+    gp = scratch_path(spark, "out_grads", workdir)
     for b0 in range(0, cfg.num_items + 1, per_block):
         b1 = min(cfg.num_items + 1, b0 + per_block)
         blk = np.zeros((b1 - b0, H))
@@ -104,7 +105,7 @@ def train_step_blocked(spark: SparkSession, rows: DataFrame, t, cfg, window_len:
     # 4. backward job (users updated as in the in-memory step), written
     out = step_frame(spark, back.select(*keys, "item", "target", "xg", "xc", "dh"), t.user_w, t.item_w,
                      t.shared_w, cfg, scale, blocked=True)
-    rp = scratch_path(spark, "step")
+    rp = scratch_path(spark, "step", workdir)
     out.write.mode("overwrite").partitionBy("kind").parquet(rp)
     res = spark.read.parquet(rp)
 
@@ -129,9 +130,9 @@ def train_step_blocked(spark: SparkSession, rows: DataFrame, t, cfg, window_len:
     allp = parts[0].select(*cols)
     for q in parts[1:]:
         allp = allp.unionByName(q.select(*cols))
-    ap = scratch_path(spark, "step_all")
+    ap = scratch_path(spark, "step_all", workdir)
     allp.write.mode("overwrite").partitionBy("kind").parquet(ap)
-    new, st = apply_step(spark, spark.read.parquet(ap), t, cfg)
+    new, st = apply_step(spark, spark.read.parquet(ap), t, cfg, workdir)
     st["windows"] = n_windows
     st["objective"] = st["loss"] * scale
     return new, st

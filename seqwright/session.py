@@ -47,9 +47,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the checkpoint folder for a written intermediate table."""
-    base = checkpoint_dir(spark).rstrip("/")
+def scratch_path(spark: SparkSession, name: str, under: str | None = None) -> str:
+    """A fresh path below the checkpoint folder (or below ``under``, itself a scratch path)
+    for a written intermediate table."""
+    base = (under or checkpoint_dir(spark)).rstrip("/")
     if base.startswith("file:"):
         base = base[len("file:"):]
     if "://" in base:
@@ -59,5 +60,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a scratch folder this library wrote (superseded step tables), on whatever file
+    system the checkpoint folder lives (Hadoop FileSystem API)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def ensure_utc(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.session.timeZone", "UTC")

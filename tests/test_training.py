@@ -193,3 +193,18 @@ def test_fit_limits_steps_and_validation_batches(spark):
     assert len(train) == 2 and len(valid) == 1
     total = rows.where(F.col("target") > 0).count()
     assert 0 < valid[0]["n"] < total
+
+
+def test_fit_keeps_one_generation_of_step_tables(spark):
+    """Superseded step folders are removed; the returned tables stay readable."""
+    import os
+    from seqwright.session import checkpoint_dir
+    H = 3
+    rows, t, num_items = _setup(spark, H)
+    cfg = StepConfig(hidden=H, num_items=num_items, lr=0.01)
+    base = checkpoint_dir(spark).replace("file:", "")
+    before = {d for d in os.listdir(base) if d.startswith("step0")}
+    t2, _ = fit(spark, rows, None, t, cfg, window_len=16, epochs=2, n_batches=2, steps_per_epoch=None, seed=3)
+    steps = {d for d in os.listdir(base) if d.startswith("step0")} - before
+    assert len(steps) == 1
+    assert t2.user_w.count() == t.user_w.count() and t2.item_w.count() == num_items + 1
