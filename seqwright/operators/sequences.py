@@ -24,6 +24,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqwright.session import checkpoint_dir
+
 # Keys with more rows than this are split into segments (rows per segment ~ SEG_ROWS).
 HOT_ROWS = 4_000_000
 SEG_ROWS = 1_000_000
@@ -68,6 +70,10 @@ def positions(df: DataFrame, key="user", order: Sequence[str] = ("ts", "event_id
                         F.min(tb).alias("_b0"), F.max(tb).alias("_b1")))
         hot = (per_key.where(F.col("_n") > hot_rows)
                .withColumn("_nseg", F.ceil(F.col("_n") / F.lit(seg_rows)).cast("bigint")))
+        # computed once and kept in the checkpoint folder: the size check and the broadcast
+        # below both read it instead of re-aggregating the input
+        checkpoint_dir(df.sparkSession)
+        hot = hot.checkpoint(eager=True)
         st = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_nseg").alias("s")).first()
         n_hot, n_segs = st["k"], st["s"] or 0
         if n_hot == 0:
