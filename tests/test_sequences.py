@@ -106,3 +106,16 @@ def test_batch_slots_with_large_batches_split(spark):
     for r in plain:
         sizes[r["batch_id"]] = sizes.get(r["batch_id"], 0) + 1
     assert all(max(r["slot"] for r in plain if r["batch_id"] == b) == n for b, n in sizes.items())
+
+
+def test_sequence_plan_has_one_exchange_and_a_pruned_scan(spark):
+    """next_item / count_windows: one hash exchange on user serves row_number, count and lead;
+    the scan reads only the four columns used."""
+    import re
+    for df in (S.next_item(events_interactions(spark, SF01), detect_skew=False),
+               S.tumbling_windows(S.next_item(events_interactions(spark, SF01), detect_skew=False), 16)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert len(re.findall(r"Exchange hashpartitioning\(user", plan)) == 1, plan
+        assert plan.count("Exchange") == 1
+        schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
+        assert sorted(c.split(":")[0] for c in schema.split(",")) == ["event_id", "props", "ts", "user_id"]
