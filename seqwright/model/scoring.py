@@ -59,12 +59,13 @@ def _union_input(rows: DataFrame, user_w: DataFrame, init_state: DataFrame | Non
         w = w.join(init_state.select("user", F.col("h").alias("h0")), "user", "left")
     else:
         w = w.withColumn("h0", none)
-    w = w.join(rows.select("user").distinct(), "user", "left_semi")
     if piece is not None:
         # replicate the weight row to every piece (group of windows) of the user that has rows
         pc = F.floor(F.col("seg") / piece).cast("bigint")
         w = w.join(rows.select("user", pc.alias("_piece")).distinct(), "user")
         ev = ev.withColumn("_piece", pc)
+    else:
+        w = w.join(rows.select("user").distinct(), "user", "left_semi")   # only users with rows
     wt = w.select("user", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("seg"),
                   F.lit(None).cast("bigint").alias("pos"), F.lit(None).cast("bigint").alias("item"),
                   F.lit(None).cast("bigint").alias("target"), F.lit(None).cast("bigint").alias("n"),
