@@ -153,6 +153,8 @@ def tumbling_windows(seq: DataFrame, size: int, *, tail: str = "drop") -> DataFr
     Adds ``chunk`` (0-based), ``t`` (0-based offset in the chunk) and ``seq_len`` (true length
     of the chunk). ``tail='drop'`` removes incomplete chunks (P6, drop_remainder);
     ``tail='keep'`` keeps them with their true length (padded chunks, W4)."""
+    if size < 1:
+        raise ValueError("size must be at least 1")
     out = (seq.withColumn("chunk", F.floor((F.col("pos") - 1) / size).cast("bigint"))
            .withColumn("t", ((F.col("pos") - 1) % size).cast("bigint"))
            .withColumn("seq_len", F.least(F.lit(size), F.col("n") - F.col("chunk") * size).cast("int")))
@@ -168,11 +170,15 @@ def sliding_windows(seq: DataFrame, size: int, shift: int, stride: int = 1) -> D
     incomplete windows are dropped. Each row is emitted once per window that contains it
     (at most ``ceil(span / shift)`` times) with ``window_id`` and offset ``t``; no per-user
     array is built, so a long sequence never becomes one value."""
+    if min(size, shift, stride) < 1:
+        raise ValueError("size, shift and stride must be at least 1")
     span = (size - 1) * stride + 1
     q = F.col("pos") - 1
-    lo = F.greatest(F.lit(0), F.ceil((q - span + 1) / F.lit(shift)))
-    hi = F.floor(q / F.lit(shift))
-    out = seq.withColumn("window_id", F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))))
+    lo = F.greatest(F.lit(0), F.ceil((q - span + 1) / F.lit(shift))).cast("bigint")
+    hi = F.floor(q / F.lit(shift)).cast("bigint")
+    # rows between windows (shift > span) belong to none: an empty list, not a reversed range
+    cand = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
+    out = seq.withColumn("window_id", F.explode(cand))
     start = F.col("window_id") * shift
     out = out.where(((q - start) % stride == 0) & (start + span <= F.col("n")))
     return out.withColumn("t", ((q - start) / stride).cast("bigint"))

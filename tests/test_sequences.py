@@ -119,3 +119,24 @@ def test_sequence_plan_has_one_exchange_and_a_pruned_scan(spark):
         assert plan.count("Exchange") == 1
         schema = re.search(r"ReadSchema: struct<([^>]*)>", plan).group(1)
         assert sorted(c.split(":")[0] for c in schema.split(",")) == ["event_id", "props", "ts", "user_id"]
+
+
+def test_sliding_windows_match_brute_force_including_gaps(spark):
+    """Every (size, shift, stride), gaps included (shift > span), against a direct listing."""
+    seq = S.next_item(events_interactions(spark, SF01)).where(F.col("user") <= 20)
+    by_user = {}
+    for r in seq.select("user", "pos", "item", "n").collect():
+        by_user.setdefault(r["user"], {})[r["pos"]] = r["item"]
+    for size, shift, stride in ((8, 4, 2), (3, 10, 1), (4, 4, 3), (5, 1, 1)):
+        got = sorted(tuple(r) for r in S.sliding_windows(seq, size, shift, stride).select(
+            "user", "window_id", "t", "item").collect())
+        exp = []
+        span = (size - 1) * stride + 1
+        for u, items in by_user.items():
+            n = len(items)
+            w = 0
+            while w * shift + span <= n:
+                for t in range(size):
+                    exp.append((u, w, t, items[w * shift + t * stride + 1]))
+                w += 1
+        assert got == sorted(exp), (size, shift, stride)
