@@ -199,6 +199,8 @@ def temporal_split(seq: DataFrame, *, train_len: int | None = None,
     fixed number of rows (``train_len``) or a fraction of the user's rows."""
     if (train_len is None) == (train_frac is None):
         raise ValueError("give exactly one of train_len, train_frac")
+    if train_frac is not None and not 0.0 <= train_frac <= 1.0:
+        raise ValueError("train_frac must be within [0, 1]")
     k = F.lit(train_len) if train_len is not None else F.floor(F.col("n") * F.lit(train_frac))
     return seq.withColumn("split", F.when(F.col("pos") <= k, F.lit("train")).otherwise(F.lit("valid")))
 
@@ -206,6 +208,8 @@ def temporal_split(seq: DataFrame, *, train_len: int | None = None,
 def truncate(seq: DataFrame, size: int, *, keep_first: bool = False) -> DataFrame:
     """O2: keep ``size`` rows per user, the last ones by default, the first with
     ``keep_first``; ``pos`` and ``n`` are renumbered."""
+    if size < 1:
+        raise ValueError("size must be at least 1")
     if keep_first:
         out = seq.where(F.col("pos") <= size)
         return out.withColumn("n", F.least(F.col("n"), F.lit(size)).cast("bigint"))
@@ -238,6 +242,8 @@ def collect_sequences(df: DataFrame, order_by, group_by, cols, *, segment_len: i
     A group is cut into segments of ``segment_len`` rows (``segment`` column, 0-based) so a
     list never grows without bound; groups no longer than ``segment_len`` give one row as in
     the reference. ``segment_len=None`` gives one row per group (bounded input only)."""
+    if segment_len is not None and segment_len < 1:
+        raise ValueError("segment_len must be at least 1")
     g = _as_list(group_by)
     order = _as_list(order_by) + (_as_list(tiebreak) if tiebreak else [])
     cols = _as_list(cols)
