@@ -3,17 +3,22 @@
 One step:
 
 1. The batch's windows and the weight rows of the batch's users are unioned, hash
-   partitioned by ``user`` and sorted, as for scoring.
+   partitioned by ``user`` (by ``(user, piece)`` when hot users are split) and
+   sorted, as for scoring.
 2. ``mapInPandas`` runs forward and backward passes over blocks of windows (state
    reset per window, or carried across a user's chunks with the gradient truncated
-   at chunk starts). A user's gradient is complete inside the task, so the user's
-   weights are updated there (RMSProp) and written back by the same stage. Item,
-   output and bias gradients are partial sums per task.
-3. The partial sums are added up by a ``groupBy`` (map-side partial aggregation)
-   and applied to the small item and bias tables with array column expressions.
-4. All new tables are written below the checkpoint folder and read back, so each
-   step starts from files: lineage stays one step long and a lost executor costs
-   at most the current step.
+   at chunk starts). A user whose windows are all in the task is updated there
+   (RMSProp); a user split over several tasks sends partial gradients. Item, output
+   and bias gradients are partial sums per task.
+3. The partial sums are added up by a ``groupBy`` (map-side partial aggregation) and
+   applied with array column expressions; users outside the batch keep their rows
+   (anti-join).
+4. All new tables are written below the step's folder under the checkpoint folder and
+   read back, so each step starts from files: lineage stays one step long and a lost
+   executor costs at most the current step.
+
+Above the item-table size bound the step runs without holding the item table
+(:mod:`seqwright.model.training_blocked`).
 
 The objective is the reference's: masked softmax cross-entropy summed over the
 batch and divided by ``windows x window length``.
