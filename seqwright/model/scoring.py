@@ -261,3 +261,31 @@ def _make_block_pass(bb):
 def final_states(scored: DataFrame) -> DataFrame:
     """State after each user's last scored position (user, h): the resume point (M4)."""
     return scored.groupBy("user").agg(F.max_by("h", F.struct("seg", "pos")).alias("h"))
+
+
+def item_logits(spark: SparkSession, scored: DataFrame, item_w: DataFrame, num_items: int, hidden: int,
+                shared_bytes: int | None = None) -> DataFrame:
+    """M2 when the logits themselves are wanted: one ``logits`` array (items ``0..num_items``)
+    per scored position (``scored`` from :func:`score` with states). Each row is I+1 wide,
+    so the output rows must fit the size bound as a whole table; they are broadcast after
+    the check."""
+    H = hidden
+    limit = shared_bytes or MAX_SHARED_BYTES
+    size = (num_items + 1) * H * 8
+    if size > limit:
+        raise ValueError(f"output rows of {size} bytes exceed the {limit}-byte bound; use the "
+                         "softmax statistics of score() instead of full logits")
+    out = np.zeros((num_items + 1, H))
+    for r in item_w.select("item", "out").collect():
+        out[r["item"]] = r["out"]
+    bo = spark.sparkContext.broadcast(out)
+
+    def run(batches):
+        W = bo.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            lg = np.stack(pdf["h"].to_numpy()) @ W.T
+            yield pd.DataFrame({"user": pdf["user"], "seg": pdf["seg"], "pos": pdf["pos"], "logits": list(lg)})
+    return scored.select("user", "seg", "pos", "h").mapInPandas(
+        run, "user BIGINT, seg BIGINT, pos BIGINT, logits ARRAY<DOUBLE>")

@@ -208,3 +208,18 @@ def test_fit_keeps_one_generation_of_step_tables(spark):
     steps = {d for d in os.listdir(base) if d.startswith("step0")} - before
     assert len(steps) == 1
     assert t2.user_w.count() == t.user_w.count() and t2.item_w.count() == num_items + 1
+
+
+def test_item_logits_agree_with_fold_statistics(spark):
+    from seqwright.model.scoring import item_logits, score
+    H = 3
+    rows, t, num_items = _setup(spark, H)
+    sc = score(spark, rows, t.user_w, t.item_w, t.shared_w, num_items=num_items, hidden=H, carry=True)
+    lg = item_logits(spark, sc, t.item_w, num_items, H)
+    j = {(r["user"], r["seg"], r["pos"]): r for r in sc.collect()}
+    for r in lg.collect():
+        s = j[(r["user"], r["seg"], r["pos"])]
+        v = np.asarray(r["logits"])
+        assert len(v) == num_items + 1 and int(v.argmax()) == s["argmax"]
+        assert abs(np.log(np.exp(v - v.max()).sum()) + v.max() - s["lse"]) < 1e-10
+        assert abs(v[s["target"]] - s["tlogit"]) < 1e-10
