@@ -392,7 +392,8 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
     """Epochs of seeded batches, a validation pass per epoch, a metrics history.
 
     ``train_windows`` has (user, seg, pos, item, target); batches are drawn per epoch by
-    hashing ``(seed, epoch, user, seg)`` and visited in a seeded order (O3-O6), at most
+    hashing ``(seed, epoch, user, seg)`` (``(seed, epoch, user)`` with state carry, so a
+    user's chunks stay together) and visited in a seeded order (O3-O6), at most
     ``steps_per_epoch`` of them. ``valid_rows`` are scored after each epoch; with
     ``validation_steps`` only that many seeded validation batches are scored. With state
     carry (``cfg.carry``) validation starts from each user's state at the end of its
@@ -422,7 +423,9 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
     gstep = 0
     prev_dir = None   # working folder of the step whose tables are current
     for epoch in range(1, epochs + 1):
-        bw = batch_ids(train_windows, n_batches, seed, epoch, ("user", "seg"))
+        # with state carry a batch holds whole users (all their chunks, in order), as the
+        # carried state needs; otherwise windows are drawn into batches independently
+        bw = batch_ids(train_windows, n_batches, seed, epoch, ("user",) if cfg.carry else ("user", "seg"))
         order = epoch_order(bw.select("batch_id").distinct(), seed, epoch).orderBy("step").collect()
         if steps_per_epoch is not None:
             order = order[:steps_per_epoch]

@@ -223,3 +223,20 @@ def test_item_logits_agree_with_fold_statistics(spark):
         assert len(v) == num_items + 1 and int(v.argmax()) == s["argmax"]
         assert abs(np.log(np.exp(v - v.max()).sum()) + v.max() - s["lse"]) < 1e-10
         assert abs(v[s["target"]] - s["tlogit"]) < 1e-10
+
+
+def test_carry_fit_batches_hold_whole_users(spark):
+    """With state carry, a step's batch holds all chunks of its users: the objective of a
+    one-batch fit equals the objective of one step over all windows."""
+    from seqwright.model.training import train_step
+    H = 3
+    rows, t, num_items = _setup(spark, H)
+    cfg = StepConfig(hidden=H, num_items=num_items, lr=0.01, carry=True)
+    _, log = fit(spark, rows, None, t, cfg, window_len=16, epochs=1, n_batches=3, steps_per_epoch=None, seed=9)
+    recs = spark.read.parquet(log).collect()
+    n_total = sum(r["n"] for r in recs)
+    _, st = train_step(spark, rows, t, cfg, 16)
+    assert n_total == st["n"]
+    from seqwright.operators.batching import batch_ids
+    b = batch_ids(rows, 3, 9, 1, ("user",)).groupBy("user").agg(F.countDistinct("batch_id").alias("k"))
+    assert b.where(F.col("k") > 1).count() == 0
