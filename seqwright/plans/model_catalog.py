@@ -35,7 +35,7 @@ def _cand_pre(h0: str, h1: str, usr: str, item: str, k: int) -> str:
             f" + cos({item} * 3 + {k} * 2 + 1) / 2)")
 
 
-def _step_sql(src: str, join: str, keys: str, reset_gate: bool = False) -> str:
+def _step_sql(src: str, join: str, keys: str, reset_gate: bool = False, act: str = "tanh") -> str:
     """One recursive step: new state from the previous one (``r``) and the event (``s``).
     With ``reset_gate`` the candidate sees the state scaled by the reset gate."""
     u0 = f"1 / (1 + exp(-{_gate_pre('r.h0', 'r.h1', 'r.usr', 's.item', 2)}))"
@@ -45,8 +45,9 @@ def _step_sql(src: str, join: str, keys: str, reset_gate: bool = False) -> str:
         r0 = f"1 / (1 + exp(-{_gate_pre('r.h0', 'r.h1', 'r.usr', 's.item', 0)}))"
         r1 = f"1 / (1 + exp(-{_gate_pre('r.h0', 'r.h1', 'r.usr', 's.item', 1)}))"
         h0, h1 = f"(r.h0 * {r0})", f"(r.h1 * {r1})"
-    c0 = f"tanh({_cand_pre(h0, h1, 'r.usr', 's.item', 0)})"
-    c1 = f"tanh({_cand_pre(h0, h1, 'r.usr', 's.item', 1)})"
+    wrap = {"tanh": "tanh({})", "relu": "greatest({}, 0)", "sigmoid": "1 / (1 + exp(-{}))"}[act]
+    c0 = wrap.format(_cand_pre(h0, h1, 'r.usr', 's.item', 0))
+    c1 = wrap.format(_cand_pre(h0, h1, 'r.usr', 's.item', 1))
     return (f"SELECT {keys}, u0 * h0 + (1 - u0) * c0 AS h0, u1 * h1 + (1 - u1) * c1 AS h1 FROM ("
             f"SELECT {', '.join('r.usr' if k == 'usr' else 's.' + k for k in keys.split(', '))}, r.h0, r.h1, "
             f"{u0} AS u0, {u1} AS u1, {c0} AS c0, {c1} AS c1 FROM {src} {join})")
@@ -523,3 +524,15 @@ SELECT usr AS "user", pos, round(h0, 6) AS h0, round(h1, 6) AS h1 FROM rec WHERE
 def q_score_states_reset(spark, sf_dir):
     """M1 with the textbook cell (D1, ``reset_gate=True``): the candidate sees ``r * h``."""
     return _scored(spark, sf_dir, states=True, reset_gate=True).select("user", "pos", *_h())
+
+
+@query("score_states_relu", SEQ_SQL.replace("WITH ev AS", "WITH RECURSIVE ev AS", 1) + """,
+rec(usr, pos, h0, h1) AS (
+  SELECT DISTINCT "user", CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM seq
+  UNION ALL
+  """ + _step_sql("rec r", 'JOIN seq s ON s."user" = r.usr AND s.pos = r.pos + 1', "usr, pos", act="relu")
+    + """)
+SELECT usr AS "user", pos, round(h0, 6) AS h0, round(h1, 6) AS h1 FROM rec WHERE pos > 0""")
+def q_score_states_relu(spark, sf_dir):
+    """M1 with a replaced cell activation (the reference's pluggable activation): relu."""
+    return _scored(spark, sf_dir, states=True, act="relu").select("user", "pos", *_h())
