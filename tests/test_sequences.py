@@ -140,3 +140,18 @@ def test_sliding_windows_match_brute_force_including_gaps(spark):
                     exp.append((u, w, t, items[w * shift + t * stride + 1]))
                 w += 1
         assert got == sorted(exp), (size, shift, stride)
+
+
+def test_lookup_broadcasts_only_under_the_bound(spark):
+    from seqwright.model import weights as W
+    from seqwright.operators import lookup as L
+    seq = S.next_item(events_interactions(spark, SF01), detect_skew=False)
+    iw = W.item_weights(spark, 100, 2, "formula")
+    small = L.lookup(seq, iw, "item", est_rows=101, row_bytes=64)
+    big = L.lookup(seq, iw, "item", est_rows=10 ** 9, row_bytes=64)
+    ps = small._jdf.queryExecution().executedPlan().toString()
+    pb = big._jdf.queryExecution().optimizedPlan().toString()
+    assert "BroadcastHashJoin" in ps
+    assert "broadcast" not in pb.lower() or "strategy=broadcast" not in pb
+    cols = ["user", "pos", "item", "gate_in"]
+    assert sorted(map(tuple, small.select(*cols).collect())) == sorted(map(tuple, big.select(*cols).collect()))
