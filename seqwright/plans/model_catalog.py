@@ -536,3 +536,15 @@ SELECT usr AS "user", pos, round(h0, 6) AS h0, round(h1, 6) AS h1 FROM rec WHERE
 def q_score_states_relu(spark, sf_dir):
     """M1 with a replaced cell activation (the reference's pluggable activation): relu."""
     return _scored(spark, sf_dir, states=True, act="relu").select("user", "pos", *_h())
+
+
+@query("score_states_sigmoid", SEQ_SQL.replace("WITH ev AS", "WITH RECURSIVE ev AS", 1) + """,
+rec(usr, pos, h0, h1) AS (
+  SELECT DISTINCT "user", CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM seq
+  UNION ALL
+  """ + _step_sql("rec r", 'JOIN seq s ON s."user" = r.usr AND s.pos = r.pos + 1', "usr, pos", act="sigmoid")
+    + """)
+SELECT usr AS "user", pos, round(h0, 6) AS h0, round(h1, 6) AS h1 FROM rec WHERE pos > 0""")
+def q_score_states_sigmoid(spark, sf_dir):
+    """M1 with a replaced cell activation (the reference's pluggable activation): sigmoid."""
+    return _scored(spark, sf_dir, states=True, act="sigmoid").select("user", "pos", *_h())
