@@ -72,3 +72,16 @@ def test_strict_cast_raises_and_try_cast_nulls(spark):
     import pytest
     with pytest.raises(Exception):
         cast(df, "v", "bigint", strict=True).collect()
+
+
+def test_triplet_source_to_parquet_output(spark, tmp_path):
+    ev = events_interactions(spark, SF001).select("user", "item", F.col("event_id").alias("date"))
+    src = str(tmp_path / "triplets")
+    files.write_triplets(ev, src)
+    out = str(tmp_path / "out")
+    run_pipeline(spark, {"input": {"sources": [{"type": "Triplets", "path": src, "label": "t"}]},
+                         "transformations": [{"type": "Select", "cols": ["user", "date", "item"]}],
+                         "output": [{"type": "Parquet", "name": "o", "path": out}]})
+    back = spark.read.parquet(out)
+    assert back.columns == ["user", "date", "item"]
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, ev.select("user", "date", "item").collect()))
