@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwright.llm import mixing, quality_rules
+from seqwright.llm import mixing, quality_rules, setsketch
 from seqwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents by source weights 5, 2, 1."""
     m = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return m.select("doc_id", "size", "source_size", F.col("target"), "taken")
+
+
+# ---------------------------------------------------------------- 4 MinHash near-dedup
+@query("op4_near_duplicates")
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with similar 4-word shingle sets."""
+    return setsketch.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=4)
