@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwright.llm import mixing, quality_rules, setsketch
+from seqwright.llm import mixing, quality_rules, setsketch, suffix_dedup
 from seqwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents with similar 4-word shingle sets."""
     return setsketch.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), k=4)
+
+
+# ---------------------------------------------------------------- 3 suffix-array dedup
+@query("op3_repeated_strings")
+def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removal of every byte covered by a 400-byte string that occurs elsewhere."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
