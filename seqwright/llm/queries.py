@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwright.llm import mixing, quality_rules, setsketch, suffix_dedup
+from seqwright.llm import lm_scoring, mixing, quality_rules, setsketch, suffix_dedup, url_filter
 from seqwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,32 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Removal of every byte covered by a 400-byte string that occurs elsewhere."""
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+# ---------------------------------------------------------------- 6 URL filters
+def _rules_sql() -> str:
+    return ", ".join(
+        f"CASE WHEN (host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}') "
+        f"THEN {{'n': {len(r.name)}, 'rule': '{r.name}', 'verdict': '{r.verdict}'}} END" for r in url_filter.RULES)
+
+
+URL_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+h AS (SELECT page_id, translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r AS (SELECT *, list_max(list_filter([{_rules_sql()}], lambda x: x IS NOT NULL)) AS best FROM h)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN regexp_matches(host,
+  '(^|[.-])({"|".join(url_filter.LISTED_WORDS)})([.-]|$)') THEN 'block' ELSE 'allow' END) AS verdict FROM r"""
+
+
+@query("op6_url_filter", URL_SQL)
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's URL."""
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"))
+
+
+# ---------------------------------------------------------------- 1 LM scoring
+@query("op1_lm_scores")
+def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model scores of every document."""
+    return lm_scoring.score(table(spark, sf_dir, "documents", "doc_id", "text"))
