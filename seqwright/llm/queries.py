@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwright.llm import lm_scoring, mixing, quality_rules, setsketch, suffix_dedup, url_filter
+from seqwright.llm import decontaminate, lm_scoring, mixing, quality_rules, setsketch, suffix_dedup, token_shards, url_filter
 from seqwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +137,18 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and model scores of every document."""
     return lm_scoring.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+# ---------------------------------------------------------------- 9 benchmark decontamination
+@query("op9_benchmark_leaks")
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item or a re-parameterised one: one row per pair."""
+    m = decontaminate.matches(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return m.select("doc_id", "item_id", "n_windows", "n_matched", "share", "reparameterised")
+
+
+# ---------------------------------------------------------------- 7 token-ID / binary output
+@query("op7_token_shards")
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sequence of the documents with its slot, shard and the digest of its record."""
+    return token_shards.materialised(table(spark, sf_dir, "documents", "doc_id", "text"))
