@@ -141,6 +141,24 @@ def _planned(sizes, weights, max_epochs, shards, seed):
     return target_table, written(draws(block_plan(block_table, target_table, seed), shards, seed), "mix-draws")
 
 
+def _by_block(drawn: DataFrame) -> DataFrame:
+    """Per drawn block (_s, _b): ``drawn``, its copies in order, and ``cut``, the words taken of the
+    last copy if it is the block that holds the source's cut."""
+    return drawn.groupBy("source", "block").agg(
+        F.array_sort(F.collect_list(F.struct("copy", "shard", "take"))).alias("drawn"),
+        F.max(F.when(F.col("take") < F.col("words"), F.col("take"))).alias("cut")) \
+        .withColumnRenamed("source", "_s").withColumnRenamed("block", "_b")
+
+
+def _cut_rows(sizes: DataFrame, per_block: DataFrame) -> DataFrame:
+    """Rows of blocks that hold a cut, with ``last``, the words taken in the last copy."""
+    d = sizes.join(per_block.where("cut is not null"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")))
+    order = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(
+        Window.unboundedPreceding, -1)
+    left = F.col("cut") - F.coalesce(F.sum("size").over(order), F.lit(0))
+    return d.withColumn("last", F.greatest(F.lit(0).cast("bigint"), F.least(F.col("size"), left)))
+
+
 def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", *,
         weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, blocks: int = BLOCKS,
         shards: int = SHARDS, seed: int = 17) -> DataFrame:
@@ -152,44 +170,51 @@ def mix(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str =
     """
     sizes = sized(df, id_col, text, source, seed, blocks)
     target_table, drawn = _planned(sizes, weights, max_epochs, shards, seed)
-    per_block = drawn.groupBy("source", "block").agg(
-        F.array_sort(F.collect_list(F.struct("copy", "shard", "take"))).alias("drawn"),
-        F.max(F.when(F.col("take") < F.col("words"), F.col("take"))).alias("cut"))
-    d = sizes.join(per_block.withColumnRenamed("source", "_s").withColumnRenamed("block", "_b"),
-                   F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left").drop("_s", "_b")
+    per_block = _by_block(drawn)
+    d = sizes.join(per_block, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("_b")), "left")
     # only rows of blocks with a cut are numbered; the others skip the window
-    whole = d.where(F.col("cut").isNull()).withColumn("upto", F.lit(None).cast("bigint"))
-    order = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(
-        Window.unboundedPreceding, -1)
-    cut = d.where(F.col("cut").isNotNull()).withColumn("upto", F.coalesce(F.sum("size").over(order), F.lit(0)))
-    last = F.when(F.col("cut").isNotNull(), F.greatest(F.lit(0).cast("bigint"), F.least(
-        F.col("size"), F.col("cut") - F.col("upto"))))
-    d = whole.unionByName(cut).withColumn("last", last)
+    whole = d.where(F.col("cut").isNull()).withColumn("last", F.lit(None).cast("bigint"))
+    d = whole.unionByName(_cut_rows(sizes, per_block)).drop("_s", "_b")
     n = F.size("drawn")
     copies = F.when(F.col("drawn").isNull(), 0).when(F.col("cut").isNull(), n).otherwise(n - 1).cast("bigint")
     d = d.withColumn("taken", copies * F.col("size") + F.coalesce(F.col("last"), F.lit(0)))
     # the cut copy is the block's last draw
     parts = F.expr("""transform(coalesce(drawn, array()), (x, i) -> named_struct('shard', x.shard, 'copy', x.copy,
         'words', if(cut is not null and i = size(drawn) - 1, last, size)))""")
-    d = d.withColumn("parts", F.filter(parts, lambda x: x["words"] > 0)).drop("drawn", "cut", "upto", "last")
-    t = F.broadcast(target_table) if target_table.count() <= 100_000 else target_table
-    return d.join(t.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))) \
+    d = d.withColumn("parts", F.filter(parts, lambda x: x["words"] > 0)).drop("drawn", "cut", "last")
+    t = target_table.withColumnRenamed("source", "_s").select("_s", "source_size", "target")
+    t = F.broadcast(t) if t.count() <= 100_000 else t
+    return d.join(t, F.col("source").eqNullSafe(F.col("_s"))) \
         .select("doc_id", "source", "size", "key", "source_size", "target", "taken", "parts")
 
 
-def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", *,
+          weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, blocks: int = BLOCKS,
+          shards: int = SHARDS, seed: int = 17) -> DataFrame:
     """The mixture's rows: each document once per draw that takes words of it, with the input's
     columns plus ``shard``, in each shard ordered by a seeded key. The document that holds a
-    source's cut is given whole (documents are never cut here)."""
-    shard, copy = fresh(df, "shard", "copy")
-    m = mix(df, id_col, text, source, **options)
-    # rows of one id may repeat: match on id, source and size, and once per distinct combination
-    plan = m.groupBy("doc_id", "source", "size").agg(F.first("parts").alias("parts"), F.first("key").alias("key"))
-    i, s, z, p, k = fresh(df, "_i", "_s", "_z", "_p", "_k")
-    plan = plan.toDF(i, s, z, p, k)
-    out = df.join(plan, F.col(id_col).eqNullSafe(F.col(i)) & F.col(source).eqNullSafe(F.col(s))
-                  & (n_words(F.col(text)) == F.col(z)))
-    out = out.withColumn(p, F.explode(p)).withColumn(shard, F.col(p)["shard"]).withColumn(copy, F.col(p)["copy"])
-    n = options.get("shards", SHARDS)
-    return out.repartition(n, shard).sortWithinPartitions(shard, F.xxhash64(k, copy), k) \
+    source's cut is given whole (documents are never cut here); blank documents are not given.
+
+    The texts move once, to their shards: the block table (at most ``blocks`` rows a source)
+    comes to them, and only rows of blocks with a cut are looked up one by one.
+    """
+    sizes = sized(df, id_col, text, source, seed, blocks)
+    _, drawn = _planned(sizes, weights, max_epochs, shards, seed)
+    per_block = written(_by_block(drawn), "mix-by-block")
+    chosen = _cut_rows(sizes, per_block).where("last > 0").select(
+        F.col("doc_id").alias("_i"), F.col("source").alias("_cs"), F.col("size").alias("_z")).distinct()
+    shard, key, copies = fresh(df, "shard", "_key", "_copies")
+    d = df.withColumn(key, md5_number(str(seed), F.col(id_col))).where(n_words(F.col(text)) > 0)
+    small = F.broadcast(per_block) if per_block.count() <= 200_000 else per_block
+    d = d.join(small, F.col(source).eqNullSafe(F.col("_s")) & ((F.col(key) % blocks) == F.col("_b")))
+    whole = d.where("cut is null").withColumn(copies, F.col("drawn"))
+    part = d.where("cut is not null").join(
+        chosen, F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source).eqNullSafe(F.col("_cs"))
+        & (n_words(F.col(text)) == F.col("_z")), "left")
+    part = part.withColumn(copies, F.when(F.col("_z").isNotNull(), F.col("drawn")).otherwise(
+        F.expr("slice(drawn, 1, size(drawn) - 1)")))
+    keep = [*df.columns, key, copies]
+    out = whole.select(*keep).unionByName(part.select(*keep)).withColumn(copies, F.explode(copies))
+    out = out.withColumn(shard, F.col(copies)["shard"])
+    return out.repartition(shards, shard).sortWithinPartitions(shard, F.xxhash64(key, F.col(copies)["copy"]), key) \
         .select(*df.columns, shard)

@@ -95,7 +95,10 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
             f"size(array_distinct(flatten(transform(filter({near}, (x, j) -> x.s <=> get({near}, j - 1).s"
             f" OR x.s <=> get({near}, j + 1).s), x -> array(x.p, x.p + 1, x.p + 2)))))"),
     }
-    return out.select(*df.columns, *[count[f].cast("bigint").alias(names[f]) for f in FEATURES])
+    # a generator of one row keeps filters on the features above it: pushed below, each would
+    # repeat the expressions it is made of
+    row = F.struct(*[count[f].cast("bigint").alias(names[f]) for f in FEATURES])
+    return out.select(*df.columns, F.inline(F.array(row)))
 
 
 def passes(rule: Rule, cols: dict[str, str] | None = None) -> Column:
