@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwright.llm import decontaminate, lm_scoring, mixing, quality_rules, setsketch, suffix_dedup, token_shards, url_filter
+from seqwright.llm import decontaminate, html_text, lm_scoring, mixing, quality_rules, setsketch, suffix_dedup, token_shards, url_filter
 from seqwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -152,3 +152,10 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sequence of the documents with its slot, shard and the digest of its record."""
     return token_shards.materialised(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+# ---------------------------------------------------------------- 2 HTML extraction
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page, laid out."""
+    return html_text.extract(table(spark, sf_dir, "pages", "page_id", "html"))
