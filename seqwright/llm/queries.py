@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwright.llm import decontaminate, html_text, lm_scoring, mixing, quality_rules, setsketch, suffix_dedup, token_shards, url_filter
+from seqwright.llm import decontaminate, html_text, licenses, lm_scoring, mixing, quality_rules, setsketch, suffix_dedup, token_shards, url_filter
 from seqwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,10 @@ def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible text of every page, laid out."""
     return html_text.extract(table(spark, sf_dir, "pages", "page_id", "html"))
+
+
+# ---------------------------------------------------------------- 10 license scans
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License paragraphs of every document with their family."""
+    return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
