@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows (native: DataFrame and SQL functions only).
 
 ``canonical`` turns a text into template tokens: numbers become ``<num>``, a unit after a number
-``<unit>``, a capitalised word inside a sentence ``<name>``; the rest is lower-cased words
+``<unit>``, a capitalised word inside a sentence ``<name>`` (not one all in capitals); the rest is lower-cased words
 without punctuation. The marked form keeps each value (``<num=12>``), token by token beside it.
 
 Benchmark items and documents are cut into windows of ``WINDOW`` template tokens (an item with
@@ -40,7 +40,7 @@ UNITS = ("kg g mg lb lbs oz km m cm mm mi mile miles ft feet foot inch inches ya
 def marked(text: Column) -> Column:
     """The template with values, tokens separated by single spaces."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "[<>=]+", " ")
-    t = F.regexp_replace(t, "(?<=[\\p{Ll},;:]\\s)\\p{Lu}\\p{L}*+", "<name=$0>")
+    t = F.regexp_replace(t, "(?<=[\\p{Ll},;:]\\s)\\p{Lu}\\p{Ll}++(?!\\p{L})", "<name=$0>")
     t = F.regexp_replace(t, "[0-9]++(?:[.,][0-9]++)*+", " <num=$0> ")
     t = F.regexp_replace(t, f"(?i)(?<=> {{1,2}})({'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", "<unit=$1>")
     t = F.regexp_replace(t, "[^\\p{L}\\p{N}<>=.,]++|(?<![0-9])[.,]++|[.,]++(?![0-9])", " ")

@@ -366,15 +366,15 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, max_filt
         for b in t:
             for keys, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 k, n = np.frombuffer(keys, U), np.frombuffer(counts, np.int64)
-                yield pa.RecordBatch.from_arrays([i64(k[n >= floor]), pa.array(n[n >= floor])], names=["k", "n"])
+                top = (n >= floor) | (k == END)
+                yield pa.RecordBatch.from_arrays([i64(k[top]), pa.array(n[top])], names=["k", "n"])
 
     top = table.where("kind = 1").select("keys", "counts").mapInArrow(heavy, "k bigint, n bigint").toArrow()
     hk, hn = top.column(0).to_numpy().view(U), top.column(1).to_numpy()
     order = np.argsort(hk)
     hk, hn = hk[order], hn[order]
     # a start mark begins every training text, an end closes it: the count of END
-    at = np.searchsorted(hk, END)
-    n_starts = float(hn[at]) if at < len(hk) and hk[at] == END else 0.0
+    n_starts = float(hn[hk == END].sum())
     if word_bytes > max_filter:
         raise ValueError(f"the words' filter has {word_bytes} bytes, over max_filter; raise it with the workers' memory")
     rounds = max(1, math.ceil(pair_bytes / max(1, max_filter - word_bytes)))

@@ -201,18 +201,21 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
     sizes = sized(df, id_col, text, source, seed, blocks)
     _, drawn = _planned(sizes, weights, max_epochs, shards, seed)
     per_block = written(_by_block(drawn), "mix-by-block")
-    chosen = _cut_rows(sizes, per_block).where("last > 0").select(
-        F.col("doc_id").alias("_i"), F.col("source").alias("_cs"), F.col("size").alias("_z")).distinct()
-    shard, key, copies = fresh(df, "shard", "_key", "_copies")
+    chosen = _cut_rows(sizes, per_block).where("last > 0").select("doc_id", "source", "size").distinct()
+    # names that the input does not have: every column of it is carried along
+    shard, key, copies, bs, bb, bd, bc, ci, cs, cz = fresh(
+        df, "shard", "_key", "_copies", "_bs", "_bb", "_drawn", "_cut", "_ci", "_cs", "_cz")
+    per_block = per_block.toDF(bs, bb, bd, bc)
+    chosen = chosen.toDF(ci, cs, cz)
     d = df.withColumn(key, md5_number(str(seed), F.col(id_col))).where(n_words(F.col(text)) > 0)
     small = F.broadcast(per_block) if per_block.count() <= 200_000 else per_block
-    d = d.join(small, F.col(source).eqNullSafe(F.col("_s")) & ((F.col(key) % blocks) == F.col("_b")))
-    whole = d.where("cut is null").withColumn(copies, F.col("drawn"))
-    part = d.where("cut is not null").join(
-        chosen, F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source).eqNullSafe(F.col("_cs"))
-        & (n_words(F.col(text)) == F.col("_z")), "left")
-    part = part.withColumn(copies, F.when(F.col("_z").isNotNull(), F.col("drawn")).otherwise(
-        F.expr("slice(drawn, 1, size(drawn) - 1)")))
+    d = d.join(small, F.col(source).eqNullSafe(F.col(bs)) & ((F.col(key) % blocks) == F.col(bb)))
+    whole = d.where(F.col(bc).isNull()).withColumn(copies, F.col(bd))
+    part = d.where(F.col(bc).isNotNull()).join(
+        chosen, F.col(id_col).eqNullSafe(F.col(ci)) & F.col(source).eqNullSafe(F.col(cs))
+        & (n_words(F.col(text)) == F.col(cz)), "left")
+    part = part.withColumn(copies, F.when(F.col(cz).isNotNull(), F.col(bd)).otherwise(
+        F.expr(f"slice({bd}, 1, size({bd}) - 1)")))
     keep = [*df.columns, key, copies]
     out = whole.select(*keep).unionByName(part.select(*keep)).withColumn(copies, F.explode(copies))
     out = out.withColumn(shard, F.col(copies)["shard"])

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqwright.llm import textnp as T
-from seqwright.llm.common import written
+from seqwright.llm.common import fresh, written
 
 M = 163          # registers; a prime, so that every step size visits all of them
 ROWS, BANDS = 4, 40
@@ -381,9 +381,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", *
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each group, with the input's columns: the row with the least id (rows that share
-    that id are one document and stay as one row)."""
-    n = near_duplicates(df, id_col, text, **options)
-    kept = n.where("kept").select(F.col("doc_id").alias("_kept_id"))
+    that id are one document and stay as one row; rows without an id go)."""
+    n = written(near_duplicates(df, id_col, text, **options), "near-duplicates")
+    (name,) = fresh(df, "_kept_id")
+    kept = n.where("kept").select(F.col("doc_id").alias(name))
     if kept.count() != kept.distinct().count() or n.where("doc_id is null").limit(1).count():
         df = df.dropDuplicates([id_col])
-    return df.join(kept.distinct(), F.col(id_col).cast("bigint") == F.col("_kept_id"), "left_semi")
+    same = F.col(id_col).cast("bigint") == F.col(name)
+    return df.where(F.col(id_col).isNotNull()).join(kept.distinct(), same, "left_semi")
