@@ -9,12 +9,14 @@ sequential (the recurrent fold).
 
 Skew. ``Window.partitionBy(user)`` sends every row of a user to one task. A key
 holding a third of the data would then run in one task. :func:`positions`
-therefore finds keys above ``hot_rows`` rows (one partial aggregation; the hot
-table has at most ``total / hot_rows`` rows and its size is checked before it is
-broadcast), splits each hot key into segments of about ``seg_rows`` rows (fine time
-buckets merged by row count, so bursts split too), numbers rows inside
-``(key, segment)`` and adds per-segment offsets from a small segment table. Keys
-below the threshold keep the plain one-exchange window.
+therefore finds keys above ``hot_rows`` rows (one partial aggregation) and splits
+each into segments of about ``seg_rows`` rows. Segment boundaries are order values
+(the struct of the order columns, whatever their types) taken from a hashed sample
+of the key's rows, so they follow the rows' ranks: bursts, outliers and close
+values split like any others. Rows are numbered inside ``(key, segment)`` and get
+offsets from a small segment table. Keys below the threshold keep the plain
+one-exchange window; both ways give the same rows, also for NULL keys, NULL items
+and equal timestamps.
 """
 
 from __future__ import annotations
@@ -29,58 +31,61 @@ from seqwright.session import checkpoint_dir
 # Keys with more rows than this are split into segments (rows per segment ~ SEG_ROWS).
 HOT_ROWS = 4_000_000
 SEG_ROWS = 1_000_000
-# Most rows a broadcast side table may hold (hot keys, hot time buckets).
+# Most rows a broadcast side table may hold (boundaries of hot keys); above it the joins shuffle.
 MAX_BROADCAST_ROWS = 2_000_000
-# Fine time buckets per segment of a hot key (merged into segments by row count).
-FINE = 16
+# Sampled order values per segment of a hot key.
+SAMPLE = 32
 
 
 def _as_list(x) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
-def _order_number(df: DataFrame, c: str) -> Column:
-    """A numeric, order-preserving view of the first order column."""
-    t = dict(df.dtypes)[c]
-    if t.startswith("timestamp"):
-        return F.unix_micros(F.col(c).cast("timestamp")).cast("double")
-    if t == "date":
-        return F.unix_date(F.col(c)).cast("double")
-    return F.col(c).cast("double")
+def _hot_keys(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
+    """(keys, _n) of the keys above ``hot_rows`` rows, or None. The answer "none" is kept for
+    frames with the same plan, so operators on one input look once; a stale answer costs
+    time, never rows."""
+    spark = df.sparkSession
+    known = _NO_HOT.setdefault(spark.sparkContext.applicationId, set())
+    mark = (df.semanticHash(), tuple(keys), hot_rows)
+    if mark in known:
+        return None
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    if not hot.limit(1).count():
+        known.add(mark)
+        return None
+    checkpoint_dir(spark)
+    return hot.checkpoint(eager=True)  # read by the sample, the boundaries and the join
+
+
+_NO_HOT: dict[str, set] = {}
+
+
+def _on_keys(left: DataFrame, right: DataFrame, keys: list[str], more=None, how: str = "left") -> DataFrame:
+    """Null-safe join on ``keys``; the right side's key columns are dropped."""
+    r = right.toDF(*[f"_k_{c}" if c in keys else c for c in right.columns])
+    cond = more
+    for k in keys:
+        c = F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(r, cond, how).drop(*[f"_k_{k}" for k in keys])
 
 
 def positions(df: DataFrame, key="user", order: Sequence[str] = ("ts", "event_id"),
               lead_cols: Sequence[str] = ("item",), *, pos_col: str = "pos", n_col: str = "n",
-              lead_default=0, hot_rows: int = HOT_ROWS, seg_rows: int = SEG_ROWS,
+              lead_default=0, hot_rows: int | None = None, seg_rows: int | None = None,
               detect_skew: bool = True, keep_segments: bool = False) -> DataFrame:
     """Adds ``pos`` (1-based rank of the row within its key, by ``order``), ``n`` (rows of
     the key) and ``next_<c>`` for each ``c`` in ``lead_cols`` (``lead_default`` after the last
-    row). ``order`` must be unique within a key for a deterministic result."""
+    row; a NULL in the next row stays NULL). ``order`` must be unique within a key for a
+    deterministic result; its columns may have any orderable type, NULLs come first."""
+    hot_rows = HOT_ROWS if hot_rows is None else hot_rows
+    seg_rows = SEG_ROWS if seg_rows is None else seg_rows
     keys = _as_list(key)
     order = _as_list(order)
     lead_cols = _as_list(lead_cols)
     ordc = [F.col(c) for c in order]
-
-    hot = None
-    if detect_skew:
-        t = _order_number(df, order[0])
-        tb = _order_number(df, order[1]) if len(order) > 1 else F.lit(0.0)
-        per_key = (df.groupBy(*keys)
-                   .agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"), F.max(t).alias("_t1"),
-                        F.min(tb).alias("_b0"), F.max(tb).alias("_b1")))
-        hot = (per_key.where(F.col("_n") > hot_rows)
-               .withColumn("_nseg", F.ceil(F.col("_n") / F.lit(seg_rows)).cast("bigint")))
-        # computed once and kept in the checkpoint folder: the size check and the broadcast
-        # below both read it instead of re-aggregating the input
-        checkpoint_dir(df.sparkSession)
-        hot = hot.checkpoint(eager=True)
-        st = hot.agg(F.count(F.lit(1)).alias("k"), F.sum("_nseg").alias("s")).first()
-        n_hot, n_segs = st["k"], st["s"] or 0
-        if n_hot == 0:
-            hot = None
-        elif n_hot > MAX_BROADCAST_ROWS or n_segs > MAX_BROADCAST_ROWS:
-            raise ValueError(f"{n_hot} hot keys / {n_segs} segments exceed the broadcast "
-                             "bound; raise hot_rows and seg_rows")
+    hot = _hot_keys(df, keys, hot_rows) if detect_skew else None
 
     if hot is None:
         w = Window.partitionBy(*keys).orderBy(*ordc)
@@ -91,53 +96,53 @@ def positions(df: DataFrame, key="user", order: Sequence[str] = ("ts", "event_id
             out = out.withColumn(f"next_{c}", F.lead(c, 1, lead_default).over(w))
         return out
 
-    # --- hot keys present: segment them by time so no group exceeds ~seg_rows rows
-    # Fine time buckets (FINE per segment) of the hot keys are counted and merged in time
-    # order into segments of about seg_rows rows, so a burst of events in a short span
-    # still spreads over several segments. Bucket table: at most FINE * sum(_nseg) rows.
-    # Bucketing value, monotone in (first, second) order column: the integral offset of the
-    # first column plus the second column scaled into [0, 1), so equal first values still
-    # spread by the tie-break.
-    t = _order_number(df, order[0])
-    tb = _order_number(df, order[1]) if len(order) > 1 else F.lit(0.0)
-    v = (F.floor(t - F.col("_t0")) + (tb - F.col("_b0")) / (F.col("_b1") - F.col("_b0") + F.lit(1.0)))
-    nfine = F.col("_nseg") * FINE
-    fine = F.least(F.floor(v / (F.floor(F.col("_t1") - F.col("_t0")) + F.lit(1.0)) * nfine),
-                   nfine - 1).cast("bigint")
-    hot_b = F.broadcast(hot.select(*keys, "_n", "_t0", "_t1", "_b0", "_b1", "_nseg"))
-    tagged = df.join(hot_b, keys, "left").withColumn(
-        "_fine", F.when(F.col("_nseg").isNull(), F.lit(0).cast("bigint")).otherwise(fine))
-    buckets = tagged.where(F.col("_nseg").isNotNull()).groupBy(*keys, "_fine").agg(F.count(F.lit(1)).alias("_bc"))
-    wb = Window.partitionBy(*keys).orderBy("_fine").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = buckets.select(*keys, "_fine", F.floor(F.coalesce(F.sum("_bc").over(wb), F.lit(0))
-                                                     / F.lit(seg_rows)).cast("bigint").alias("_bseg"))
-    tagged = tagged.join(F.broadcast(buckets), [*keys, "_fine"], "left").withColumn(
-        "_seg", F.coalesce(F.col("_bseg"), F.lit(0).cast("bigint"))).drop("_fine", "_bseg")
+    # --- hot keys present: boundaries are order values sampled by rank, SAMPLE for a segment
+    rank = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    nseg = F.ceil(F.col("_n") / F.lit(seg_rows))
+    segs_total = hot.agg(F.sum(nseg)).first()[0]
+    small = segs_total * SAMPLE <= MAX_BROADCAST_ROWS  # size of the boundary table, checked
+    hint = F.broadcast if small else (lambda d: d)
+    drawn = _on_keys(df, hint(hot.withColumn("_nseg", nseg)), keys, how="inner")
+    share = F.least(F.lit(1.0), F.col("_nseg") * SAMPLE / F.col("_n"))
+    drawn = drawn.where(F.pmod(F.xxhash64(*order, *keys), F.lit(1 << 20)) < share * (1 << 20))
+    cuts = drawn.groupBy(*keys, "_n", "_nseg").agg(F.array_sort(F.collect_list(rank)).alias("_s"))
+    # every SAMPLE-th sampled value opens a segment
+    cuts = cuts.withColumn("_cuts", F.expr(f"filter(_s, (x, i) -> i % {SAMPLE} = {SAMPLE - 1})")).drop("_s", "_nseg")
+    cuts = _on_keys(hot, cuts.drop("_n"), keys).withColumn("_hot", F.lit(True))
+    checkpoint_dir(df.sparkSession)
+    cuts = cuts.checkpoint(eager=True)
+    tagged = _on_keys(df, hint(cuts), keys).withColumn("_o", rank)
+    # binary search: the number of boundaries at or below the row's order value
+    steps = max(1, int(segs_total * SAMPLE + 1).bit_length())
+    find = F.expr(f"""aggregate(sequence(1, {steps}), named_struct('lo', 0, 'hi', size(_cuts)),
+        (a, i) -> if(a.lo < a.hi,
+            if(get(_cuts, (a.lo + a.hi) div 2) <= _o,
+               named_struct('lo', cast((a.lo + a.hi) div 2 as int) + 1, 'hi', a.hi),
+               named_struct('lo', a.lo, 'hi', cast((a.lo + a.hi) div 2 as int))), a), a -> a.lo)""")
+    tagged = tagged.withColumn("_seg", F.when(F.size("_cuts") > 0, find).otherwise(F.lit(0)).cast("bigint")) \
+        .drop("_cuts", "_o")
     w = Window.partitionBy(*keys, "_seg").orderBy(*ordc)
     wall = Window.partitionBy(*keys, "_seg")
     local = tagged.withColumn("_lpos", F.row_number().over(w)).withColumn(
         "_lcnt", F.count(F.lit(1)).over(wall))
-    for c in lead_cols:
-        local = local.withColumn(f"_lnext_{c}", F.lead(c, 1).over(w))
+    # a struct says that there is a next row, whatever its value
+    vals = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(lead_cols)], F.lit(1).alias("row"))
+    local = local.withColumn("_lnext", F.lead(vals, 1).over(w))
 
-    # segment table of the hot keys: rows, first values, offsets, next segment's first value
-    first = F.min(F.struct(*ordc, *[F.col(c).alias(f"_v_{c}") for c in lead_cols]))
-    segs = (tagged.where(F.col("_nseg").isNotNull())
-            .groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_c"), first.alias("_first")))
+    # segment table of the hot keys: rows, first values, offsets, next segment's first values
+    segs = (tagged.where(F.col("_hot")).groupBy(*keys, "_seg")
+            .agg(F.count(F.lit(1)).alias("_c"), F.min_by(vals, rank).alias("_first")))
     ws = Window.partitionBy(*keys).orderBy("_seg")
     segs = segs.withColumn(
         "_off", F.coalesce(F.sum("_c").over(ws.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    for c in lead_cols:
-        segs = segs.withColumn(f"_snext_{c}", F.lead(F.col(f"_first._v_{c}")).over(ws))
-    segs = segs.drop("_first", "_c")
-    out = local.join(F.broadcast(segs), [*keys, "_seg"], "left")
+    segs = segs.withColumn("_snext", F.lead("_first").over(ws)).drop("_first", "_c").withColumnRenamed("_seg", "_ss")
+    out = _on_keys(local, hint(segs), keys, F.col("_seg") == F.col("_ss")).drop("_ss")
     out = out.withColumn(pos_col, (F.col("_lpos") + F.coalesce(F.col("_off"), F.lit(0))).cast("bigint"))
     out = out.withColumn(n_col, F.coalesce(F.col("_n"), F.col("_lcnt")).cast("bigint"))
-    for c in lead_cols:
-        out = out.withColumn(f"next_{c}", F.coalesce(F.col(f"_lnext_{c}"), F.col(f"_snext_{c}"),
-                                                     F.lit(lead_default)))
-    drop = ["_n", "_t0", "_t1", "_b0", "_b1", "_nseg", "_lpos", "_lcnt", "_off"] + ([] if keep_segments else ["_seg"])
-    drop += [f"_lnext_{c}" for c in lead_cols] + [f"_snext_{c}" for c in lead_cols]
+    nxt = F.coalesce("_lnext", "_snext")
+    for i, c in enumerate(lead_cols):
+        out = out.withColumn(f"next_{c}", F.when(nxt.isNull(), F.lit(lead_default)).otherwise(nxt[f"v{i}"]))
+    drop = ["_n", "_hot", "_lpos", "_lcnt", "_off", "_lnext", "_snext"] + ([] if keep_segments else ["_seg"])
     return out.drop(*drop)
 
 
@@ -235,28 +240,32 @@ def flat_labels(batched: DataFrame, size: int) -> DataFrame:
                       F.col("label").cast("int").alias("label"))
 
 
-def collect_sequences(df: DataFrame, order_by, group_by, cols, *, segment_len: int | None = 4096,
+SEGMENT_LEN = 4096
+
+
+def collect_sequences(df: DataFrame, order_by, group_by, cols, *, segment_len: int | None = None,
                       tiebreak=None) -> DataFrame:
     """A1 (CollectList): ordered, aligned ``<col>_list`` arrays per group.
 
-    A group is cut into segments of ``segment_len`` rows (``segment`` column, 0-based) so a
-    list never grows without bound; groups no longer than ``segment_len`` give one row as in
-    the reference. ``segment_len=None`` gives one row per group (bounded input only)."""
-    if segment_len is not None and segment_len < 1:
+    A group is cut into segments of ``segment_len`` rows so a list never grows without bound;
+    groups no longer than that give one row as in the reference. Nothing is lost at a seam:
+    besides ``segment`` (0-based) a row has ``start`` (position of its first element, from 1),
+    ``n`` (rows of the group) and ``<col>_next``, the value that follows its last element in the
+    group (NULL after the group's last), so labels and windows across segments are the
+    group's own."""
+    segment_len = SEGMENT_LEN if segment_len is None else segment_len
+    if segment_len < 1:
         raise ValueError("segment_len must be at least 1")
     g = _as_list(group_by)
     order = _as_list(order_by) + (_as_list(tiebreak) if tiebreak else [])
     cols = _as_list(cols)
-    if segment_len is None:
-        s = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in order],
-                                                 *[F.col(c).alias(f"_c_{c}") for c in cols])))
-        out = df.groupBy(*g).agg(s.alias("_s"))
-        return out.select(*g, *[F.col(f"_s._c_{c}").alias(f"{c}_list") for c in cols])
-    p = positions(df, g, order, [], pos_col="_pos", n_col="_n")
+    p = positions(df, g, order, cols, pos_col="_pos", n_col="_n", lead_default=None)
     p = p.withColumn("segment", F.floor((F.col("_pos") - 1) / segment_len).cast("bigint"))
     s = F.sort_array(F.collect_list(F.struct(F.col("_pos"), *[F.col(c).alias(f"_c_{c}") for c in cols])))
-    out = p.groupBy(*g, "segment").agg(s.alias("_s"))
-    return out.select(*g, "segment", *[F.col(f"_s._c_{c}").alias(f"{c}_list") for c in cols])
+    nexts = [F.max_by(F.col(f"next_{c}"), F.col("_pos")).alias(f"{c}_next") for c in cols]
+    out = p.groupBy(*g, "segment").agg(s.alias("_s"), F.min("_pos").alias("start"), F.max("_n").alias("n"), *nexts)
+    return out.select(*g, "segment", "start", "n", *[F.col(f"_s._c_{c}").alias(f"{c}_list") for c in cols],
+                      *[f"{c}_next" for c in cols])
 
 
 def unnest_windows(windows: DataFrame, group=("user", "chunk"), cols=("item", "target")) -> DataFrame:

@@ -48,7 +48,7 @@ TRANSFORMS = {
                                strict=s.get("strict", False), from_type=s.get("fromType")),
     "SortBy": lambda df, s: sort_by(df, s["column"], s.get("ascending", True)),
     "CollectList": lambda df, s: collect_list(df, s["orderBy"], s["groupBy"], s["cols"],
-                                              segment_len=s.get("segmentLen", 4096),
+                                              segment_len=s.get("segmentLen"),
                                               tiebreak=s.get("tiebreak")),
 }
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -36,29 +36,34 @@ def build_session(master: str = "local[8]", partitions: int = 8, app: str = "seq
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting is given (SparkContext adopts it at start) and points at
-    shared storage; a local folder is only made when it is unset (local runs, tests).
-    """
+    The setting is read from the session (or SparkContext adopts it at start) and points at
+    storage that driver and executors share. Only a local master may leave it unset: then a
+    temporary folder is made, since driver and tasks are one process. Any other master is
+    refused, because executors would write to their own disks."""
     sc = spark.sparkContext
-    d = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
+    d = (spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+         or sc.getCheckpointDir())
     if not d:
+        require_shared_dir(sc.master)
         d = tempfile.mkdtemp(prefix="seqwright-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(d)
-    return sc.getCheckpointDir() or d
+    return d
+
+
+def require_shared_dir(master: str) -> None:
+    """Raise unless ``master`` runs everything in this process."""
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"spark.checkpoint.dir is not set and the master is {master!r}: set it to a folder "
+                         "that the driver and all executors share")
 
 
 def scratch_path(spark: SparkSession, name: str, under: str | None = None) -> str:
     """A fresh path below the checkpoint folder (or below ``under``, itself a scratch path)
-    for a written intermediate table."""
+    for a written intermediate table. Only the name is made: whoever writes the table creates
+    the folder through Spark, on whatever file system the checkpoint folder is."""
     base = (under or checkpoint_dir(spark)).rstrip("/")
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    if "://" in base:
-        import uuid
-        return f"{base}/{name}-{uuid.uuid4().hex}"
-    os.makedirs(base, exist_ok=True)
-    return tempfile.mkdtemp(prefix=f"{name}-", dir=base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
