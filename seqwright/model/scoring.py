@@ -40,10 +40,11 @@ PARTIAL_SCHEMA = ("user BIGINT, seg BIGINT, pos BIGINT, item BIGINT, target BIGI
 ROWS_PER_BLOCK = 1 << 20   # positions x items per numpy block of logits
 
 
-def arrow_batch_rows(hidden: int) -> int:
-    """Records per Arrow batch so that a batch of weight rows stays near 64 MiB."""
-    per_row = 8 * (3 * hidden * hidden * 2 + 16)
-    return int(max(16, min(10_000, (64 << 20) // per_row)))
+def sub_batches(batches, rows: int | None):
+    """Arrow batches as they come (Spark bounds their bytes), or cut to ``rows`` rows."""
+    for pdf in batches:
+        for a in range(0, len(pdf), rows or max(1, len(pdf))):
+            yield pdf.iloc[a:a + rows] if rows else pdf
 
 
 def _union_input(rows: DataFrame, user_w: DataFrame, init_state: DataFrame | None,
@@ -88,7 +89,12 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
     ``carry=False``: the state restarts at zero for every ``(user, seg)`` (M5).
     ``init_state`` (user, h) starts users from saved states (resume, train -> valid).
     ``emit_states=False`` leaves ``h`` NULL when only the softmax statistics are needed
-    (less data back from the Python workers); the blocked path always needs the states."""
+    (less data back from the Python workers); the blocked path always needs the states.
+    ``batch_rows`` cuts Arrow batches further inside the task (tests).
+
+    Ids without a row are defined the same way on every path: an unknown item has zero input
+    vectors, a user without weights has zero matrices, and a target without an output row has
+    a NULL ``tlogit``. Ties of the arg-max go to the lowest id."""
     H = hidden
     limit = shared_bytes or MAX_SHARED_BYTES
     whole = (num_items + 1) * 4 * H * 8 <= limit
@@ -98,15 +104,17 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
         b = {r["name"]: np.asarray(r["v"], float) for r in shared_w.collect()}
         arrays = {"gate_in": np.zeros((0, 2 * H)), "cand_in": np.zeros((0, H)), "out": np.zeros((0, H)),
                   "gate_bias": b["gate_bias"], "cand_bias": b["cand_bias"]}
-        rows = rows.join(item_w.select("item", F.col("gate_in").alias("xg"), F.col("cand_in").alias("xc")), "item")
+        rows = rows.join(item_w.select("item", F.col("gate_in").alias("xg"), F.col("cand_in").alias("xc")), "item", "left")
+        rows = rows.withColumn("xg", F.coalesce("xg", F.array_repeat(F.lit(0.0), 2 * H))) \
+            .withColumn("xc", F.coalesce("xc", F.array_repeat(F.lit(0.0), H)))
     bsh = spark.sparkContext.broadcast(arrays)  # plain numpy: no package import on workers
     piece = piece_windows if (split_users and not carry) else None
     data = _union_input(rows, user_w, init_state, piece, not whole)
     keys = ["user"] + (["_piece"] if piece else [])
     P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     data = data.repartition(P, *keys).sortWithinPartitions(*keys, "kind", "seg", "pos")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows or arrow_batch_rows(H)))
-    fn = _make_fold(bsh, H, carry, reset_gate, act, logits=whole, states=emit_states or not whole)
+    fn = _make_fold(bsh, H, carry, reset_gate, act, logits=whole, states=emit_states or not whole,
+                    batch_rows=batch_rows)
     cols = ["user", "kind", "seg", "pos", "item", "target", "n", "gate", "cand", "h0"] + ([] if whole else ["xg", "xc"])
     states = data.select(*cols).mapInPandas(fn, SCORE_SCHEMA)
     if whole:
@@ -114,13 +122,18 @@ def score(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataF
     return _blocked_softmax(spark, states, item_w, num_items, H, limit, workdir)
 
 
-def _make_fold(bsh, H, carry, reset_gate, act, logits=True, states=True):
+def _make_fold(bsh, H, carry, reset_gate, act, logits=True, states=True, batch_rows=None):
     def fold(batches):
         sh = cell.Shared(**bsh.value)
+        n_items = len(sh.out)
+        if logits:   # one more input row, of zeros, for ids that have none
+            sh.gate_in = np.vstack([sh.gate_in, np.zeros((1, 2 * H))])
+            sh.cand_in = np.vstack([sh.cand_in, np.zeros((1, H))])
+        cold = (np.zeros((H, 2 * H)), np.zeros((H, H)), None)
         weights = {}
         open_key = None      # (user[, seg]) of the run still open at the end of the last batch
         open_h = None
-        for pdf in batches:
+        for pdf in sub_batches(batches, batch_rows):
             if pdf.empty:
                 continue
             wrows = pdf[pdf["kind"] == 0]
@@ -137,8 +150,10 @@ def _make_fold(bsh, H, carry, reset_gate, act, logits=True, states=True):
             else:
                 starts = np.flatnonzero(np.r_[True, (users[1:] != users[:-1]) | (segs[1:] != segs[:-1])])
             ends = np.r_[starts[1:], len(ev)]
-            items = ev["item"].to_numpy().astype(np.int64)
-            targets = ev["target"].to_numpy().astype(np.int64)
+            given = ev["item"]
+            items = given.fillna(-1).to_numpy().astype(np.int64)
+            inputs = np.where((items >= 0) & (items < n_items), items, n_items) if logits else items
+            targets = ev["target"].fillna(-1).to_numpy().astype(np.int64)
             xg_rows = None if logits else np.stack(ev["xg"].to_numpy())
             xc_rows = None if logits else np.stack(ev["xc"].to_numpy())
             out_h = np.empty((len(ev), H))
@@ -148,7 +163,7 @@ def _make_fold(bsh, H, carry, reset_gate, act, logits=True, states=True):
                 if open_key is not None and key == open_key:
                     h0s[k] = open_h
                 else:
-                    h0 = weights[int(users[s])][2]
+                    h0 = weights.get(int(users[s]), cold)[2]
                     if carry and h0 is not None:
                         h0s[k] = h0
             lens = ends - starts
@@ -164,11 +179,11 @@ def _make_fold(bsh, H, carry, reset_gate, act, logits=True, states=True):
                 ridx = np.zeros((S, T), dtype=np.int64)
                 for j, k in enumerate(blk):
                     n = lens[k]
-                    it[j, :n] = items[starts[k]:ends[k]]
+                    it[j, :n] = inputs[starts[k]:ends[k]]
                     mk[j, :n] = True
                     ridx[j, :n] = np.arange(starts[k], ends[k])
-                G = np.stack([weights[int(users[starts[k]])][0] for k in blk])
-                C = np.stack([weights[int(users[starts[k]])][1] for k in blk])
+                G = np.stack([weights.get(int(users[starts[k]]), cold)[0] for k in blk])
+                C = np.stack([weights.get(int(users[starts[k]]), cold)[1] for k in blk])
                 xg = None if logits else xg_rows[ridx]
                 xc = None if logits else xc_rows[ridx]
                 hs, hT, _ = cell.forward(h0s[blk], G, C, it, mk, sh, act, reset_gate, xg=xg, xc=xc)
@@ -190,11 +205,13 @@ def _make_fold(bsh, H, carry, reset_gate, act, logits=True, states=True):
                 step = max(1, ROWS_PER_BLOCK // sh.out.shape[0])
                 for a in range(0, N, step):
                     lg = cell.logits_of(out_h[a:a + step], sh)
-                    lse[a:a + step], tl[a:a + step], am[a:a + step], mx[a:a + step] = cell.softmax_stats(
-                        lg, targets[a:a + step])
-                stats = {"lse": lse, "tlogit": tl, "argmax": am, "maxlogit": mx}
+                    tg = targets[a:a + step]
+                    has = (tg >= 0) & (tg < n_items)
+                    lse[a:a + step], t, am[a:a + step], mx[a:a + step] = cell.softmax_stats(lg, np.where(has, tg, 0))
+                    tl[a:a + step] = np.where(has, t, np.nan)
+                stats = {"lse": lse, "tlogit": pd.Series(tl).where(~np.isnan(tl), None), "argmax": am, "maxlogit": mx}
             yield pd.DataFrame({"user": users, "seg": segs, "pos": ev["pos"].to_numpy().astype(np.int64),
-                                "item": items, "target": targets, "n": ev["n"],
+                                "item": given.to_numpy(), "target": ev["target"].to_numpy(), "n": ev["n"].to_numpy(),
                                 "h": list(out_h) if states else None, **stats})
     return fold
 
@@ -220,7 +237,7 @@ def _blocked_softmax(spark: SparkSession, states: DataFrame, item_w: DataFrame,
     keys = ["user", "seg", "pos"]
     agg = parts.groupBy(*keys).agg(
         F.collect_list("b_lse").alias("_l"), F.max("b_mx").alias("maxlogit"),
-        F.max_by("b_am", "b_mx").alias("argmax"), F.max("b_tl").alias("tlogit"),
+        F.max_by("b_am", F.struct("b_mx", -F.col("b_am"))).alias("argmax"), F.max("b_tl").alias("tlogit"),
         *[F.first(c, ignorenulls=True).alias(c) for c in ("item", "target", "n", "h")])
     agg = agg.withColumn("_m", F.array_max("_l"))
     lse = F.log(F.aggregate("_l", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_m")))) + F.col("_m")
@@ -237,7 +254,7 @@ def _make_block_pass(bb):
             if pdf.empty:
                 continue
             h = np.stack(pdf["h"].to_numpy())
-            tg = pdf["target"].to_numpy().astype(np.int64)
+            tg = pdf["target"].fillna(-1).to_numpy().astype(np.int64)
             N = len(pdf)
             lse, mx = np.empty(N), np.empty(N)
             tl = np.full(N, np.nan)
@@ -266,26 +283,34 @@ def final_states(scored: DataFrame) -> DataFrame:
 def item_logits(spark: SparkSession, scored: DataFrame, item_w: DataFrame, num_items: int, hidden: int,
                 shared_bytes: int | None = None) -> DataFrame:
     """M2 when the logits themselves are wanted: one ``logits`` array (items ``0..num_items``)
-    per scored position (``scored`` from :func:`score` with states). Each row is I+1 wide,
-    so the output rows must fit the size bound as a whole table; they are broadcast after
-    the check."""
+    per scored position (``scored`` from :func:`score` with states). When the output rows exceed
+    the size bound, each position has one row per block of items instead, with ``first_item``,
+    the id of its first logit."""
     H = hidden
-    limit = shared_bytes or MAX_SHARED_BYTES
-    size = (num_items + 1) * H * 8
-    if size > limit:
-        raise ValueError(f"output rows of {size} bytes exceed the {limit}-byte bound; use the "
-                         "softmax statistics of score() instead of full logits")
-    out = np.zeros((num_items + 1, H))
-    for r in item_w.select("item", "out").collect():
-        out[r["item"]] = r["out"]
-    bo = spark.sparkContext.broadcast(out)
+    per_block = max(1, (shared_bytes or MAX_SHARED_BYTES) // (8 * H))
+    src = scored.select("user", "seg", "pos", "h")
+    parts = []
+    for b0 in range(0, num_items + 1, per_block):
+        b1 = min(num_items + 1, b0 + per_block)
+        out = np.zeros((b1 - b0, H))
+        for r in item_w.where((F.col("item") >= b0) & (F.col("item") < b1)).select("item", "out").collect():
+            out[r["item"] - b0] = r["out"]
+        parts.append(src.mapInPandas(_make_logits(spark.sparkContext.broadcast(out), b0),
+                                     "user BIGINT, seg BIGINT, pos BIGINT, first_item BIGINT, logits ARRAY<DOUBLE>"))
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    return df.drop("first_item") if len(parts) == 1 else df
+
 
+def _make_logits(bo, first: int):
     def run(batches):
         W = bo.value
+        step = max(1, ROWS_PER_BLOCK // max(1, len(W)))
         for pdf in batches:
-            if pdf.empty:
-                continue
-            lg = np.stack(pdf["h"].to_numpy()) @ W.T
-            yield pd.DataFrame({"user": pdf["user"], "seg": pdf["seg"], "pos": pdf["pos"], "logits": list(lg)})
-    return scored.select("user", "seg", "pos", "h").mapInPandas(
-        run, "user BIGINT, seg BIGINT, pos BIGINT, logits ARRAY<DOUBLE>")
+            for a in range(0, len(pdf), step):
+                p = pdf.iloc[a:a + step]
+                lg = np.stack(p["h"].to_numpy()) @ W.T
+                yield pd.DataFrame({"user": p["user"].to_numpy(), "seg": p["seg"].to_numpy(), "pos": p["pos"].to_numpy(),
+                                    "first_item": first, "logits": list(lg)})
+    return run

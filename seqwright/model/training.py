@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from seqwright.functions.math import with_rmsprop
 from seqwright.model import cell
-from seqwright.model.scoring import arrow_batch_rows
+from seqwright.model.scoring import sub_batches
 from seqwright.model.weights import MAX_SHARED_BYTES, shared_arrays
 from seqwright.session import remove_path, scratch_path
 
@@ -59,7 +59,7 @@ class StepConfig:
     split_users: bool = True   # reset mode: spread a hot user's windows over tasks
     piece_windows: int = 1024  # windows per piece when split_users
     shared_bytes: int | None = None  # item-table bound (MAX_SHARED_BYTES); above it: blocked step
-    batch_rows: int | None = None    # Arrow records per batch (default: from H)
+    batch_rows: int | None = None    # rows per piece of an Arrow batch (tests)
 
 
 def _union(rows: DataFrame, user_w: DataFrame, piece_windows: int | None = None,
@@ -113,8 +113,6 @@ def step_frame(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w:
     keys = ["user", "wpiece"] if split else ["user"]
     data = _union(rows, user_w, cfg.piece_windows if split else None, ("xg", "xc", "dh") if blocked else ())
     data = data.repartition(P, *keys).sortWithinPartitions("user", "wpiece", "kind", "seg", "pos")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch",
-                   str(cfg.batch_rows or arrow_batch_rows(cfg.hidden)))
     return data.mapInPandas(_make_step(bsh, cfg, scale, blocked), STEP_SCHEMA)
 
 
@@ -227,7 +225,7 @@ def _make_step(bsh, cfg: StepConfig, scale: float, blocked: bool = False):
                 out.append(("user", key[0], G.ravel(), C.ravel(), Gm.ravel(), Cm.ravel()))
             return out
 
-        for pdf in batches:
+        for pdf in sub_batches(batches, cfg.batch_rows):
             if pdf.empty:
                 continue
             for row in pdf[pdf["kind"] == 0].itertuples(index=False):
@@ -282,12 +280,36 @@ def _frame(rows):
 
 
 def sum_arrays(df: DataFrame, keys, col: str = "v1") -> DataFrame:
-    """Element-wise sum of equal-length array partials per key (long form, partial aggregation)."""
+    """Element-wise sum of equal-length array partials per key. Rows are dealt out by key as
+    arrays; a task adds them as they stream in and holds one array per key of a batch run."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    x = df.select(*keys, F.posexplode(col).alias("j", "x"))
-    s = x.groupBy(*keys, "j").agg(F.sum("x").alias("x"))
-    back = s.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("j", "x"))).alias("_s"))
-    return back.select(*keys, F.col("_s.x").alias(col))
+    src = df.select(*keys, col)
+    fields = [src.schema[k] for k in keys]
+
+    def add(batches):
+        held_key, held = None, None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            m = np.stack(pdf[col].to_numpy())
+            k = pdf[keys]
+            first = np.flatnonzero(np.r_[True, (k.iloc[1:].to_numpy() != k.iloc[:-1].to_numpy()).any(axis=1)])
+            total = np.add.reduceat(m, first, axis=0)
+            ids = [tuple(r) for r in k.iloc[first].to_numpy().tolist()]
+            if held_key is not None:
+                if held_key == ids[0]:
+                    total[0] += held
+                else:
+                    ids, total = [held_key, *ids], np.vstack([held[None], total])
+            held_key, held = ids[-1], total[-1].copy()
+            if len(ids) > 1:
+                yield pd.DataFrame({**{c: [i[j] for i in ids[:-1]] for j, c in enumerate(keys)}, col: list(total[:-1])})
+        if held_key is not None:
+            yield pd.DataFrame({**{c: [held_key[j]] for j, c in enumerate(keys)}, col: [held]})
+
+    P = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + f", {col} array<double>"
+    return src.repartition(P, *keys).sortWithinPartitions(*keys).mapInPandas(add, schema)
 
 
 @dataclass
