@@ -34,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqwright.llm import textnp as T
@@ -45,7 +45,8 @@ GRAM = 64
 BUCKET_ROWS = 20_000
 MAX_BUCKETS = 4096
 SAMPLE = 20
-UNIT_ROWS = 4096
+UNIT_ROWS = 100_000
+WINDOWS = 1_000_000
 
 U = np.uint64
 BASE2 = U(0xC2B2AE3D27D4EB4F)
@@ -308,52 +309,68 @@ def neighbours(contexts: DataFrame, major: str, minor: str, wide: int, narrow: i
     return inner.unionByName(edge).groupBy("c1", "c2").agg(top.alias("t")).select("c1", "c2", "t.best", "t.other")
 
 
+def _window_hashes(ahead, back, first, last, length: int):
+    """(row, j, hash 1, hash 2) of the windows that start j = first[row]..last[row] bytes before the
+    anchor."""
+    row, j, h1, h2 = [], [], [], []
+    step = max(1, T.SLICE_BYTES // (2 * length))
+    for lo in range(0, len(ahead), step):
+        text = [y[::-1] + x for x, y in zip(ahead[lo:lo + step], back[lo:lo + step])]
+        left = np.array([len(y) for y in back[lo:lo + step]])
+        size = np.array([len(x) for x in text])
+        data = np.frombuffer(b"".join(text), np.uint8)
+        n = np.maximum(0, last[lo:lo + step] - first[lo:lo + step] + 1)
+        r = np.repeat(np.arange(len(text)), n)
+        k = np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n) + first[lo:lo + step][r]
+        s = (np.cumsum(size) - size)[r] + left[r] - k
+        row.append(r + lo)
+        j.append(k)
+        h1.append(T.span_hash(T.prefix_hash(data), s, s + length))
+        h2.append(_span2(_prefix2(data), s, s + length))
+    return tuple(np.concatenate(x) for x in (row, j, h1, h2))
+
+
 def exact_windows(contexts: DataFrame, length: int) -> DataFrame:
     """(c1, c2, cl, cr): how far the repeated windows of each context reach before and after its
-    anchor, by counting 128-bit hashes of all windows of the contexts of a gram. Large grams are
-    dealt out by window position."""
+    anchor, by 128-bit hashes of the windows of all contexts of a gram. Only windows within a
+    context's longest matches (``l2`` before, ``r1`` after the anchor) can repeat. Grams with more
+    than ``UNIT_ROWS`` contexts are dealt out by window position."""
     size = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("size"))
-    work = contexts.join(size, "gram").withColumn(
+    work = contexts.where(f"l2 + r1 >= {length}").join(size, "gram").withColumn(
         "parts", F.least(F.lit(length), F.ceil(F.col("size") / UNIT_ROWS)).cast("int"))
     work = work.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))) \
         .withColumn("unit", F.concat_ws(":", "gram", "part"))
-    reach = length - GRAM
 
     def run(batches):
         for t in T.runs(batches, "unit"):
-            unit = t.column("unit").combine_chunks().dictionary_encode().indices.to_numpy()
-            cut = np.flatnonzero(np.diff(unit, prepend=-1, append=-1))
-            for lo, hi in zip(cut[:-1], cut[1:]):
-                part = t.slice(lo, hi - lo)
-                ahead, back = part.column("ahead").to_pylist(), part.column("back").to_pylist()
-                parts, mine = part.column("parts")[0].as_py(), part.column("part")[0].as_py()
-                text = [b[::-1] + a for a, b in zip(ahead, back)]
-                left = np.array([len(b) for b in back])
-                total = np.array([len(x) for x in text])
-                data = np.frombuffer(b"".join(text), np.uint8)
-                start = np.cumsum(total) - total
-                p1, p2 = T.prefix_hash(data), _prefix2(data)
-                cl, cr = np.full(len(text), -1), np.full(len(text), -1)
-                for j in range(mine, length, parts):
-                    i = np.flatnonzero((left >= j) & (total - left >= length - j))
-                    if len(i) < 2:
-                        continue
-                    s = start[i] + left[i] - j
-                    key = np.stack([T.span_hash(p1, s, s + length), _span2(p2, s, s + length)], axis=1)
-                    _, inv, freq = np.unique(key, axis=0, return_inverse=True, return_counts=True)
-                    twice = i[freq[inv.ravel()] > 1]
-                    cl[twice] = np.maximum(cl[twice], j)
-                    cr[twice] = np.maximum(cr[twice], length - j)
-                hit = np.flatnonzero(cl >= 0)
-                if len(hit):
-                    k = part.take(pa.array(hit))
-                    yield from pa.Table.from_arrays(
-                        [k.column("c1"), k.column("c2"), pa.array(cl[hit].astype(np.int32)), pa.array(cr[hit].astype(np.int32))],
-                        names=["c1", "c2", "cl", "cr"]).combine_chunks().to_batches()
-
-    del reach
+            unit = t.column("unit").combine_chunks().dictionary_encode().indices.to_numpy().astype(U)
+            ahead, back = t.column("ahead").to_pylist(), t.column("back").to_pylist()
+            part, parts = t.column("part").to_numpy(), t.column("parts").to_numpy()
+            lowest = np.maximum(length - np.minimum(t.column("r1").to_numpy(), [len(x) for x in ahead]), 0)
+            highest = np.minimum(t.column("l2").to_numpy(), [len(x) for x in back])
+            cl, cr = np.full(len(unit), -1), np.full(len(unit), -1)
+            step = max(1, WINDOWS // len(unit))
+            for j0 in range(int(lowest.min()), int(highest.max()) + 1, step):
+                row, j, h1, h2 = _window_hashes(ahead, back, np.maximum(lowest, j0), np.minimum(highest, j0 + step - 1), length)
+                mine = j % parts[row] == part[row]
+                row, j, h1, h2 = row[mine], j[mine], h1[mine], h2[mine]
+                key = T.mix(h1 ^ T.mix(unit[row] * U(length + 1) + j.astype(U)))
+                order = np.argsort(key)
+                same = (key[order[1:]] == key[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+                twice = np.zeros(len(order), bool)
+                twice[order[1:]] |= same
+                twice[order[:-1]] |= same
+                np.maximum.at(cl, row[twice], j[twice])
+                np.maximum.at(cr, row[twice], length - j[twice])
+            hit = np.flatnonzero(cl >= 0)
+            if len(hit):
+                k = t.take(pa.array(hit))
+                yield pa.RecordBatch.from_arrays(
+                    [k.column("c1").combine_chunks(), k.column("c2").combine_chunks(), pa.array(cl[hit].astype(np.int32)),
+                     pa.array(cr[hit].astype(np.int32))], names=["c1", "c2", "cl", "cr"])
+
     n = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    got = work.select("unit", "part", "parts", "c1", "c2", "ahead", "back").repartition(n, "unit") \
+    got = work.select("unit", "part", "parts", "c1", "c2", "ahead", "back", "l2", "r1").repartition(n, "unit") \
         .sortWithinPartitions("unit").mapInArrow(run, "c1 bigint, c2 bigint, cl int, cr int")
     return got.groupBy("c1", "c2").agg(F.max("cl").alias("cl"), F.max("cr").alias("cr"))
 
@@ -382,9 +399,13 @@ def repeated_spans(src: DataFrame, length: int, gram: int) -> DataFrame:
     open_ = F.col("nul") | (F.col("l2") + F.col("r1") >= length) & (
         (F.col("l1") + F.col("r1") < length) | (F.col("l2") + F.col("r2") < length))
     both = written(both.withColumn("open", open_), "settled")
+    # zero bytes make the neighbours' matches too short to bound anything
+    bounds = [F.when(F.max("nul").over(Window.partitionBy("gram")), most).otherwise(F.col(c)).alias(c)
+              for c, most in (("l2", F.lit(before)), ("r1", F.lit(length)))]
     settled = both.where(f"not open and l1 + r1 >= {length} and l2 + r2 >= {length}") \
         .select("c1", "c2", F.col("l2").alias("cl"), F.col("r1").alias("cr"))
-    rest = suffixes.join(both.where("open").select("gram").distinct(), "gram", "left_semi")
+    rest = suffixes.join(both.where("open").select("gram").distinct(), "gram", "left_semi") \
+        .join(both.select("c1", "c2", *bounds), ["c1", "c2"])
     exact = exact_windows(rest, length).join(both.where("open").select("c1", "c2"), ["c1", "c2"], "left_semi")
     whole = contexts.where("n > 1").select("c1", "c2", F.col("l").alias("cl"), F.col("r").alias("cr"))
     cover = whole.unionByName(settled).unionByName(exact).groupBy("c1", "c2").agg(
