@@ -36,12 +36,15 @@ def macro_mean(errors: DataFrame, keys=(), col="error") -> DataFrame:
     return errors.groupBy(*keys).agg(F.avg(col).alias("log_loss"))
 
 
-def mean_loss(scored: DataFrame, keys=()) -> DataFrame:
-    """Position-level mean of the loss over real targets, and the training objective
-    (masked sum over all positions, padding included)."""
-    return scored.groupBy(*keys).agg(
-        F.avg(F.when(F.col("target") > 0, F.col("loss"))).alias("mean_loss"),
-        (F.sum("masked") / F.count(F.lit(1))).alias("objective"))
+def mean_loss(scored: DataFrame, keys=(), *, window_len: int, seq=("user", "chunk")) -> DataFrame:
+    """Position-level mean of the loss over real targets, and the training objective: the
+    masked sum over ``windows * window_len`` positions, the padding of short windows included."""
+    w = scored.groupBy(*dict.fromkeys([*keys, *seq])).agg(
+        F.sum(F.when(F.col("target") > 0, F.col("loss"))).alias("_l"),
+        F.count(F.when(F.col("target") > 0, F.lit(1))).alias("_k"), F.sum("masked").alias("_m"))
+    return w.groupBy(*keys).agg(
+        F.try_divide(F.sum("_l"), F.sum("_k")).alias("mean_loss"),
+        (F.sum("_m") / (F.count(F.lit(1)) * F.lit(window_len))).alias("objective"))
 
 
 def accuracy(scored: DataFrame, keys=()) -> DataFrame:

@@ -94,12 +94,31 @@ def softmax_stats(logits, targets):
 class Grads:
     G: np.ndarray          # [S,H,2H] per sequence (summed per user by the caller)
     C: np.ndarray          # [S,H,H]
-    gate_in: np.ndarray    # [I+1,2H]
-    cand_in: np.ndarray    # [I+1,H]
+    items: np.ndarray      # [K] ids of the items that occur
+    item_in: np.ndarray    # [K,3H] their input-vector gradients (gate ++ candidate)
     out: np.ndarray        # [I+1,H]
     gate_bias: np.ndarray  # [2H]
     cand_bias: np.ndarray  # [H]
 
+    @property
+    def gate_in(self) -> np.ndarray:
+        """[I+1,2H], dense (for inspection; the jobs add the occurring rows only)."""
+        return self._dense(slice(0, self.gate_bias.size))
+
+    @property
+    def cand_in(self) -> np.ndarray:
+        return self._dense(slice(self.gate_bias.size, None))
+
+    def _dense(self, part: slice) -> np.ndarray:
+        rows = self.item_in[:, part]
+        full = np.zeros((len(self.out), rows.shape[1]))
+        full[self.items] = rows
+        return full
+
+
+#: Most logits that are held at once.
+POSITIONS_X_ITEMS = 1 << 22
+
 
 def loss_and_grads(h0, G, C, items, targets, mask, sh: Shared, scale, act="tanh",
                    reset_gate=False, mask_zero=True):
@@ -108,28 +127,34 @@ def loss_and_grads(h0, G, C, items, targets, mask, sh: Shared, scale, act="tanh"
     truncated at the block start). Returns (loss_sum, n_valid, hits, per-seq cost, grads,
     final state)."""
     hs, hT, cache = forward(h0, G, C, items, mask, sh, act, reset_gate, keep=True)
-    logits = logits_of(hs, sh)
-    mx = logits.max(axis=-1, keepdims=True)
-    e = np.exp(logits - mx)
-    z = e.sum(axis=-1, keepdims=True)
-    p = e / z
-    lse = (np.log(z) + mx)[..., 0]
-    tl = np.take_along_axis(logits, targets[..., None], axis=-1)[..., 0]
-    lw = mask & (targets > 0) if mask_zero else mask.copy()
-    loss = (lse - tl) * lw
-    hits = ((logits.argmax(axis=-1) == targets) & lw).sum()
-    dl = p
-    np.put_along_axis(dl, targets[..., None], np.take_along_axis(dl, targets[..., None], axis=-1) - 1.0, axis=-1)
-    dl *= (lw * scale)[..., None]
-    gout = np.einsum("sth,sti->ih", hs, dl)
-    dhs = dl @ sh.out
-    gG, gC, gbg, gbc, DA, DB = backprop(cache, G, C, mask, dhs, act, reset_gate)
-    g_in_gate = np.zeros_like(sh.gate_in)
-    g_in_cand = np.zeros_like(sh.cand_in)
-    np.add.at(g_in_gate, items, DA)
-    np.add.at(g_in_cand, items, DB)
-    grads = Grads(gG, gC, g_in_gate, g_in_cand, gout, gbg, gbc)
-    return float(loss.sum()), int(lw.sum()), int(hits), loss.sum(axis=1), grads, hT
+    S, T, H = hs.shape
+    lw = (mask & (targets > 0) if mask_zero else mask.copy()).ravel()
+    flat, tg = hs.reshape(S * T, H), targets.ravel()
+    loss, hits = np.zeros(S * T), 0
+    gout, dhs = np.zeros_like(sh.out), np.zeros((S * T, H))
+    # logits of a block of positions at a time: positions x items never exceeds POSITIONS_X_ITEMS
+    step = max(1, POSITIONS_X_ITEMS // len(sh.out))
+    live = np.flatnonzero(lw)
+    for a in range(0, len(live), step):
+        i = live[a:a + step]
+        logits = flat[i] @ sh.out.T
+        lse, tl, am, _ = softmax_stats(logits, tg[i])
+        loss[i] = lse - tl
+        hits += int((am == tg[i]).sum())
+        logits -= lse[:, None]
+        dl = np.exp(logits, out=logits)
+        dl[np.arange(len(i)), tg[i]] -= 1.0
+        dl *= scale
+        gout += dl.T @ flat[i]
+        dhs[i] = dl @ sh.out
+    loss = loss.reshape(S, T)
+    gG, gC, gbg, gbc, DA, DB = backprop(cache, G, C, mask, dhs.reshape(S, T, H), act, reset_gate)
+    # input gradients only of the items that occur
+    ids, at = np.unique(items, return_inverse=True)
+    g_in = np.zeros((len(ids), 3 * H))
+    np.add.at(g_in, at.ravel(), np.concatenate([DA, DB], axis=2).reshape(S * T, 3 * H))
+    grads = Grads(gG, gC, ids, g_in, gout, gbg, gbc)
+    return float(loss.sum()), int(lw.sum()), hits, loss.sum(axis=1), grads, hT
 
 
 def backprop(cache, G, C, mask, dhs, act="tanh", reset_gate=False):

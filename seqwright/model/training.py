@@ -196,8 +196,10 @@ def _make_step(bsh, cfg: StepConfig, scale: float, blocked: bool = False):
                     stats[0] += loss
                     stats[1] += nval
                     stats[2] += hits
-                    for name in acc:
+                    for name in ("out", "gate_bias", "cand_bias"):
                         acc[name] += getattr(g, name)
+                    acc["gate_in"][g.items] += g.item_in[:, :2 * H]
+                    acc["cand_in"][g.items] += g.item_in[:, 2 * H:]
                 for j, k in enumerate(ks):
                     st = users[keys[k]]
                     st[4] += g.G[j]
@@ -416,7 +418,8 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
     ``train_windows`` has (user, seg, pos, item, target); batches are drawn per epoch by
     hashing ``(seed, epoch, user, seg)`` (``(seed, epoch, user)`` with state carry, so a
     user's chunks stay together) and visited in a seeded order (O3-O6), at most
-    ``steps_per_epoch`` of them. ``valid_rows`` are scored after each epoch; with
+    ``steps_per_epoch`` of them; if there are more steps than batches, the epoch goes on with
+    further passes, each in an order of its own. ``valid_rows`` are scored after each epoch; with
     ``validation_steps`` only that many seeded validation batches are scored. With state
     carry (``cfg.carry``) validation starts from each user's state at the end of its
     training windows (saved as a table), as one continuous sequence would.
@@ -424,7 +427,9 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
     the global step (F8); the step advances on every update. Each step writes below its
     own folder, and the previous step's folder is removed once the next step is done, so
     storage holds one generation of tables, not one per step. Returns the final tables and
-    the path of the metrics history (epoch, step, split, log_loss, accuracy, n, seconds, lr)."""
+    the path of the metrics history (epoch, step, split, log_loss, accuracy, n, seconds, lr, macro_log_loss). A train row's
+    ``log_loss`` is the step's objective, a valid row's the mean over positions; its
+    ``macro_log_loss`` is the mean over sequences of cost over length."""
     from dataclasses import replace
 
     from seqwright.model.scoring import final_states, score
@@ -435,10 +440,12 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
     # that derived the windows from the raw interactions
     cols = ["user", "seg", "pos", "item", "target"]
     tp = scratch_path(spark, "train_windows")
+    scratch = [tp]   # tables of this fit that nothing needs after it
     train_windows.select(*cols).write.mode("overwrite").parquet(tp)
     train_windows = spark.read.parquet(tp)
     if valid_rows is not None:
         vp = scratch_path(spark, "valid_rows")
+        scratch.append(vp)
         valid_rows.select(*cols).write.mode("overwrite").parquet(vp)
         valid_rows = spark.read.parquet(vp)
     log = []
@@ -448,21 +455,27 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
         # with state carry a batch holds whole users (all their chunks, in order), as the
         # carried state needs; otherwise windows are drawn into batches independently
         bw = batch_ids(train_windows, n_batches, seed, epoch, ("user",) if cfg.carry else ("user", "seg"))
-        order = epoch_order(bw.select("batch_id").distinct(), seed, epoch).orderBy("step").collect()
+        ids = bw.select("batch_id").distinct()
+        order = [r["batch_id"] for r in epoch_order(ids, seed, epoch).orderBy("step").collect()]
         if steps_per_epoch is not None:
+            again = 1
+            while order and len(order) < steps_per_epoch:   # further passes, each in an order of its own
+                more = epoch_order(ids, seed, f"{epoch}.{again}").orderBy("step").collect()
+                order += [r["batch_id"] for r in more]
+                again += 1
             order = order[:steps_per_epoch]
-        for o in order:
+        for step, batch in enumerate(order, 1):
             t0 = time.time()
             gstep += 1
             lr = scheduled_lr(gstep, cfg.lr, *schedule) if schedule else cfg.lr
-            rows = bw.where(F.col("batch_id") == o["batch_id"]).drop("batch_id")
+            rows = bw.where(F.col("batch_id") == batch).drop("batch_id")
             step_dir = scratch_path(spark, f"step{gstep:06d}")
             t, st = train_step(spark, rows, t, replace(cfg, lr=lr), window_len, step_dir)
             if prev_dir is not None:      # superseded: the new tables were read from step_dir
                 remove_path(spark, prev_dir)
             prev_dir = step_dir
-            log.append((epoch, int(o["step"]), "train", float(st["objective"]),
-                        float(st["hits"] / st["n"]) if st["n"] else None, int(st["n"]), time.time() - t0, lr))
+            log.append((epoch, step, "train", float(st["objective"]),
+                        float(st["hits"] / st["n"]) if st["n"] else None, int(st["n"]), time.time() - t0, lr, None))
         if valid_rows is not None:
             t0 = time.time()
             vr = valid_rows
@@ -478,17 +491,25 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
                            hidden=cfg.hidden, carry=True, reset_gate=cfg.reset_gate, act=cfg.act,
                            shared_bytes=cfg.shared_bytes)
                 sp = scratch_path(spark, "train_state")
+                scratch.append(sp)
                 final_states(tr).write.mode("overwrite").parquet(sp)
                 init = spark.read.parquet(sp)
             sc = score(spark, vr, t.user_w, t.item_w, t.shared_w, num_items=cfg.num_items,
                        hidden=cfg.hidden, carry=cfg.carry, reset_gate=cfg.reset_gate, act=cfg.act,
                        init_state=init, shared_bytes=cfg.shared_bytes, emit_states=False)
             real = F.col("target") > 0
-            m = sc.agg(F.avg(F.when(real, F.col("lse") - F.col("tlogit"))).alias("l"),
-                       F.avg(F.when(real, (F.col("argmax") == F.col("target")).cast("double"))).alias("a"),
-                       F.count(F.when(real, 1)).alias("n")).first()
-            log.append((epoch, 0, "valid", m["l"], m["a"], int(m["n"]), time.time() - t0, None))
+            loss = F.when(real, F.col("lse") - F.col("tlogit"))
+            hit = F.when(real, (F.col("argmax") == F.col("target")).cast("double"))
+            # per sequence first: cost over length, then the mean over sequences beside the mean
+            # over positions
+            per = sc.groupBy("user", "seg").agg(F.sum(loss).alias("c"), F.sum(hit).alias("h"), F.count(loss).alias("k"),
+                                                F.count(F.lit(1)).alias("len"))
+            m = per.agg(F.try_divide(F.sum("c"), F.sum("k")).alias("l"), F.try_divide(F.sum("h"), F.sum("k")).alias("a"),
+                        F.sum("k").alias("n"), F.avg(F.coalesce("c", F.lit(0.0)) / F.col("len")).alias("macro")).first()
+            log.append((epoch, 0, "valid", m["l"], m["a"], int(m["n"]), time.time() - t0, None, m["macro"]))
     df = spark.createDataFrame(log, "epoch INT, step INT, split STRING, log_loss DOUBLE, accuracy DOUBLE, "
-                                    "n BIGINT, seconds DOUBLE, lr DOUBLE")
+                                    "n BIGINT, seconds DOUBLE, lr DOUBLE, macro_log_loss DOUBLE")
     df.write.mode("overwrite").parquet(log_path)
+    for path in scratch:
+        remove_path(spark, path)
     return t, log_path

@@ -41,8 +41,8 @@ def _formula_item(i: Column, width: int, k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.cos(i * 3 + j * 2 + k) / 2)
 
 
-def _zeros(width: int) -> Column:
-    return F.array_repeat(F.lit(0.0), width)
+def _zeros(width: int, ms: float = 0.0) -> Column:
+    return F.array_repeat(F.lit(float(ms)), width)
 
 
 # Stream numbers of the seeded generators, one per table.
@@ -56,18 +56,24 @@ def _seeded_normals(seed: int, table: str, key: str, widths: list[tuple[str, int
     def run(batches):
         import numpy as np
         import pandas as pd
+        # a few rows at a time: a drawn row may be much wider than its id
+        step = max(1, (32 << 20) // (8 * sum(w for _, w in widths)))
         for pdf in batches:
-            cols = {name: [] for name, _ in widths}
-            for i in pdf[key].to_numpy():
-                rng = np.random.default_rng([seed, tid, int(i)])
-                for name, w in widths:
-                    cols[name].append(rng.normal(0.0, std, w))
-            yield pd.DataFrame({key: pdf[key], **cols})
+            for a in range(0, len(pdf), step):
+                ids = pdf[key].to_numpy()[a:a + step]
+                cols = {name: [] for name, _ in widths}
+                for i in ids:
+                    rng = np.random.default_rng([seed, tid, int(i)])
+                    for name, w in widths:
+                        cols[name].append(rng.normal(0.0, std, w))
+                yield pd.DataFrame({key: ids, **cols})
     return run
 
 
-def user_weights(users: DataFrame, hidden: int, init: str = "normal", seed: int = 0) -> DataFrame:
-    """One row per distinct ``user`` of ``users``."""
+def user_weights(users: DataFrame, hidden: int, init: str = "normal", seed: int = 0,
+                 ms: float = 0.0) -> DataFrame:
+    """One row per distinct ``user`` of ``users``; ``ms`` is where the RMSProp accumulators start
+    (0 after a reset; 1 where a run keeps the optimiser's own start)."""
     H = hidden
     u = F.col("user")
     ids = users.select("user").distinct()
@@ -80,11 +86,12 @@ def user_weights(users: DataFrame, hidden: int, init: str = "normal", seed: int
                               "user BIGINT, gate ARRAY<DOUBLE>, cand ARRAY<DOUBLE>")
     else:
         raise ValueError(init)
-    return out.select("user", "gate", "cand", _zeros(H * 2 * H).alias("gate_ms"), _zeros(H * H).alias("cand_ms"))
+    return out.select("user", "gate", "cand", _zeros(H * 2 * H, ms).alias("gate_ms"),
+                      _zeros(H * H, ms).alias("cand_ms"))
 
 
 def item_weights(spark: SparkSession, num_items: int, hidden: int, init: str = "normal",
-                 seed: int = 0) -> DataFrame:
+                 seed: int = 0, ms: float = 0.0) -> DataFrame:
     """One row per item id ``0..num_items`` (``num_items`` = the largest id in the data)."""
     H = hidden
     items = spark.range(0, num_items + 1).withColumnRenamed("id", "item")
@@ -99,13 +106,13 @@ def item_weights(spark: SparkSession, num_items: int, hidden: int, init: str = "
             "item BIGINT, gate_in ARRAY<DOUBLE>, cand_in ARRAY<DOUBLE>, out ARRAY<DOUBLE>")
     else:
         raise ValueError(init)
-    return out.select("item", "gate_in", "cand_in", "out", _zeros(2 * H).alias("gate_in_ms"),
-                      _zeros(H).alias("cand_in_ms"), _zeros(H).alias("out_ms"))
+    return out.select("item", "gate_in", "cand_in", "out", _zeros(2 * H, ms).alias("gate_in_ms"),
+                      _zeros(H, ms).alias("cand_in_ms"), _zeros(H, ms).alias("out_ms"))
 
 
-def shared_weights(spark: SparkSession, hidden: int) -> DataFrame:
+def shared_weights(spark: SparkSession, hidden: int, ms: float = 0.0) -> DataFrame:
     H = hidden
-    rows = [("gate_bias", [1.0] * (2 * H), [0.0] * (2 * H)), ("cand_bias", [0.0] * H, [0.0] * H)]
+    rows = [("gate_bias", [1.0] * (2 * H), [float(ms)] * (2 * H)), ("cand_bias", [0.0] * H, [float(ms)] * H)]
     return spark.createDataFrame(rows, "name STRING, v ARRAY<DOUBLE>, ms ARRAY<DOUBLE>")
 
 

@@ -47,6 +47,15 @@ def epoch_order(batches: DataFrame, seed: int, epoch) -> DataFrame:
     return batches.select("batch_id").distinct().withColumn("step", F.row_number().over(w).cast("bigint"))
 
 
+def epoch_orders(batches: DataFrame, seed: int, epochs: int) -> DataFrame:
+    """O5 for epochs ``1..epochs`` at once: ``batches`` (one row per ``batch_id``, other columns kept)
+    with ``epoch`` and ``step``."""
+    b = batches.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).withColumn("epoch", F.col("epoch").cast("int"))
+    h = F.md5(F.concat_ws(":", F.lit(f"{seed}:order"), F.col("epoch").cast("string"), F.col("batch_id").cast("string")))
+    w = Window.partitionBy("epoch").orderBy(h, "batch_id")
+    return b.withColumn("step", F.row_number().over(w).cast("bigint"))
+
+
 def epoch_steps(order: DataFrame, max_steps: int) -> DataFrame:
     """Only the first ``max_steps`` batches of an epoch are drawn."""
     return order.where(F.col("step") <= max_steps)

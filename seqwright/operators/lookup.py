@@ -31,8 +31,17 @@ def lookup_item_weights(df: DataFrame, item_weights: DataFrame, num_items: int,
     return lookup(df, item_weights, "item", est_rows=num_items + 1, row_bytes=8 * 4 * hidden + 64)
 
 
-def train_valid_pairs(train: DataFrame, valid: DataFrame) -> DataFrame:
-    """Users present in both splits, so the state can carry from train into valid."""
-    t = train.groupBy("user").agg(F.count(F.lit(1)).cast("bigint").alias("n_train"))
-    v = valid.groupBy("user").agg(F.count(F.lit(1)).cast("bigint").alias("n_valid"))
-    return t.join(v, "user")
+def train_valid_pairs(split: DataFrame, col: str = "item", segment_len: int | None = None) -> DataFrame:
+    """The train and valid sequences of the users that have both, so the state can carry from
+    one into the other. ``split`` is a positioned frame with a ``split`` column
+    (:func:`~seqwright.operators.sequences.temporal_split`); the result has one row per user,
+    split and segment with ``start``, ``n`` and ``<col>_list``. The parts of a user are paired on
+    the collected rows, which are few, in one pass over the events."""
+    from pyspark.sql import Window
+
+    from seqwright.operators.sequences import collect_sequences
+
+    seqs = collect_sequences(split, ["pos"], ["user", "split"], [col], segment_len=segment_len)
+    both = Window.partitionBy("user")
+    seqs = seqs.withColumn("_a", F.min("split").over(both)).withColumn("_b", F.max("split").over(both))
+    return seqs.where((F.col("_a") == "train") & (F.col("_b") == "valid")).drop("_a", "_b")

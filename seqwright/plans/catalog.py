@@ -83,7 +83,8 @@ def window_frame(spark, sf_dir, size=WINDOW):
 
 
 def window_keys(spark, sf_dir):
-    return window_frame(spark, sf_dir).select("user", "chunk").distinct()
+    """One row per window: its first row."""
+    return window_frame(spark, sf_dir).where(F.col("t") == 0).select("user", "chunk")
 
 
 # ---------------------------------------------------------------- 2.1 sources / sinks
@@ -91,8 +92,7 @@ def window_keys(spark, sf_dir):
 SELECT "user", item, CAST(epoch_us(ev.ts) AS BIGINT) AS date, event_type FROM ev JOIN events USING (event_id)""")
 def q_scan_csv(spark, sf_dir):
     """A table written as CSV with a header comes back as strings; Cast restores types."""
-    ev = events_interactions(spark, sf_dir).join(table(spark, sf_dir, "events").select("event_id", "event_type"),
-                                                 "event_id")
+    ev = events_interactions(spark, sf_dir, "event_type")
     out = ev.select("user", "item", F.unix_micros(F.col("ts").cast("timestamp")).alias("date"), "event_type")
     path = scratch_path(spark, "scan_csv")
     files.write_csv(out, path)
@@ -163,10 +163,12 @@ def _ranked_read(spark, path, schema: str) -> DataFrame:
         .withColumn("_m", F.monotonically_increasing_id())
     from pyspark.sql import Window
     df = df.withColumn("_l", F.row_number().over(Window.partitionBy("_f").orderBy("_m")))
+    # part files in the order of their numbers (as text, part-100000 would come before part-99999)
     counts = df.groupBy("_f").agg(F.count(F.lit(1)).alias("_c"))
+    number = F.regexp_extract("_f", "part-([0-9]+)", 1).cast("bigint")
     counts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(
-        Window.orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    out = df.join(F.broadcast(counts.select("_f", "_off")), "_f")  # one row per written file
+        Window.orderBy(number, "_f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    out = df.join(counts.select("_f", "_off"), "_f")  # one row per written file
     return out.withColumn("rank", (F.col("_off") + F.col("_l")).cast("bigint")).drop("_f", "_m", "_l", "_off")
 
 
@@ -195,8 +197,7 @@ def q_sort_by(spark, sf_dir):
 
 def _events_as_text_csv(spark, sf_dir) -> str:
     """The events table as an all-text CSV file with a header, as the reference's sources."""
-    ev = events_interactions(spark, sf_dir).join(
-        table(spark, sf_dir, "events").select("event_id", "event_type"), "event_id")
+    ev = events_interactions(spark, sf_dir, "event_type")
     ev = ev.select("user", "item", F.unix_micros(F.col("ts").cast("timestamp")).alias("date"),
                    F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("timestamp"),
                    F.col("event_type").alias("event"))
@@ -384,14 +385,16 @@ def q_flat_labels(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- 2.3 joins
-@query("train_valid_pairs", SEQ_SQL + """
-SELECT "user", CAST(sum(CASE WHEN pos <= n // 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_train,
-       CAST(sum(CASE WHEN pos > n // 2 THEN 1 ELSE 0 END) AS BIGINT) AS n_valid
-FROM seq GROUP BY "user" HAVING n_train > 0 AND n_valid > 0""")
+@query("train_valid_pairs", SEQ_SQL + """,
+sp AS (SELECT *, CASE WHEN pos <= n // 2 THEN 'train' ELSE 'valid' END AS split FROM seq),
+u AS (SELECT "user" FROM sp GROUP BY "user" HAVING count(DISTINCT split) = 2)
+SELECT "user", split, CAST(count(*) AS BIGINT) AS n_items, string_agg(CAST(item AS VARCHAR), ',' ORDER BY pos) AS items
+FROM sp WHERE "user" IN (SELECT "user" FROM u) GROUP BY ALL""")
 def q_train_valid_pairs(spark, sf_dir):
     """Per-user train and valid sequences paired on the user."""
-    s = S.temporal_split(seq_frame(spark, sf_dir), train_frac=0.5)
-    return L.train_valid_pairs(s.where(F.col("split") == "train"), s.where(F.col("split") == "valid"))
+    p = L.train_valid_pairs(S.temporal_split(seq_frame(spark, sf_dir), train_frac=0.5))
+    return p.select("user", "split", F.size("item_list").cast("bigint").alias("n_items"),
+                    F.array_join(F.col("item_list").cast("array<string>"), ",").alias("items"))
 
 
 # ---------------------------------------------------------------- 2.6 order and batching
@@ -419,12 +422,10 @@ ord AS (SELECT e.epoch, b.batch_id,
 
 
 def _epoch_orders(spark, sf_dir, epochs=2):
-    batches = B.batch_ids(window_keys(spark, sf_dir), N_BATCHES, SEED, 1).select("batch_id").distinct()
-    orders = [B.epoch_order(batches, SEED, e).withColumn("epoch", F.lit(e).cast("int")) for e in range(1, epochs + 1)]
-    out = orders[0]
-    for o in orders[1:]:
-        out = out.unionByName(o)
-    return out
+    """Two epochs' orders of the batches with their window counts: one pass over the windows."""
+    batches = B.batch_ids(window_keys(spark, sf_dir), N_BATCHES, SEED, 1).groupBy("batch_id").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_windows"))
+    return B.epoch_orders(batches, SEED, epochs)
 
 
 @query("epoch_order", ORDER_SQL + """
@@ -439,10 +440,7 @@ SELECT o.epoch, o.step, o.batch_id, CAST(count(*) AS BIGINT) AS n_windows
 FROM ord o JOIN bat b USING (batch_id) WHERE o.step <= 3 GROUP BY ALL""")
 def q_epoch_steps(spark, sf_dir):
     """Each epoch stops after 3 batches; the windows drawn per step."""
-    steps = B.epoch_steps(_epoch_orders(spark, sf_dir), 3)
-    counts = B.batch_ids(window_keys(spark, sf_dir), N_BATCHES, SEED, 1).groupBy("batch_id").agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_windows"))
-    return steps.join(counts, "batch_id").select("epoch", "step", "batch_id", "n_windows")
+    return B.epoch_steps(_epoch_orders(spark, sf_dir), 3).select("epoch", "step", "batch_id", "n_windows")
 
 
 @query("repeat_epochs", WIN_SQL + f""",
@@ -477,6 +475,66 @@ def q_tfrecord_roundtrip(spark, sf_dir):
     return out.select("user", "segment", F.col("t").cast("bigint").alias("t"), F.col("item").cast("bigint").alias("item"))
 
 
+@query("tfrecord_append", SEQ_SQL + """
+SELECT "user", CAST(count(*) AS BIGINT) AS n_items, string_agg(CAST(item AS VARCHAR), ',' ORDER BY pos) AS items
+FROM seq GROUP BY "user" """)
+def q_tfrecord_append(spark, sf_dir):
+    """Two appends to one path keep each other's records."""
+    from seqwright.sources.tfrecord import read_tfrecord, write_tfrecord
+    seqs = _user_sequences(spark, sf_dir)
+    path = scratch_path(spark, "tfrecord_append")
+    write_tfrecord(seqs.where(F.col("user") % 2 == 0), path, mode="append")
+    write_tfrecord(seqs.where(F.col("user") % 2 == 1), path, mode="append")
+    return _items_by_user(read_tfrecord(spark, path, "user BIGINT, item_list ARRAY<FLOAT>"))
+
+
+@query("pipeline_tfrecord_source", SEQ_SQL + """
+SELECT "user", CAST(count(*) AS BIGINT) AS n_items, string_agg(CAST(item AS VARCHAR), ',' ORDER BY pos) AS items
+FROM seq GROUP BY "user" """)
+def q_pipeline_tfrecord_source(spark, sf_dir):
+    """A pipeline whose source is a TFRecord path."""
+    from seqwright.sources.tfrecord import write_tfrecord
+    src, out = scratch_path(spark, "tfrecord_source"), scratch_path(spark, "tfrecord_out")
+    write_tfrecord(_user_sequences(spark, sf_dir), src)
+    run_pipeline(spark, {
+        "input": {"sources": [{"type": "TFRecord", "path": src, "schema": "user BIGINT, item_list ARRAY<FLOAT>"}]},
+        "transformations": [{"type": "Select", "cols": ["user", "item_list"]}],
+        "output": [{"type": "Parquet", "name": "sequences", "path": out}]})
+    return _items_by_user(files.read_parquet(spark, out))
+
+
+def _user_sequences(spark, sf_dir):
+    ev = events_interactions(spark, sf_dir)
+    return S.collect_sequences(ev, ["ts"], ["user"], ["item"], tiebreak=["event_id"], segment_len=1 << 20).select(
+        "user", F.col("item_list").cast("array<float>").alias("item_list"))
+
+
+def _items_by_user(df):
+    return df.select("user", F.size("item_list").cast("bigint").alias("n_items"), F.array_join(
+        F.col("item_list").cast("array<bigint>").cast("array<string>"), ",").alias("items"))
+
+
+# ---------------------------------------------------------------- the paths above a size, at tiny sizes
+@query("next_item_hot", SEQ_SQL + """
+SELECT "user", pos, item, target, n FROM seq""")
+def q_next_item_hot(spark, sf_dir):
+    """W1/W3 on the hot-key path: every user of more than 20 events is cut into segments of 8."""
+    return seq_frame(spark, sf_dir, hot_rows=20, seg_rows=8).select("user", "pos", "item", "target", "n")
+
+
+@query("collect_sequences_segmented", SEQ_SQL + """
+SELECT "user", CAST((pos - 1) // 16 AS BIGINT) AS segment, CAST(min(pos) AS BIGINT) AS start, max(n) AS n,
+       string_agg(CAST(item AS VARCHAR), ',' ORDER BY pos) AS items,
+       nullif(arg_max(target, pos), 0) AS item_next
+FROM seq GROUP BY ALL""")
+def q_collect_sequences_segmented(spark, sf_dir):
+    """A1 in segments of 16: each knows its place and the item that follows it."""
+    ev = events_interactions(spark, sf_dir)
+    s = S.collect_sequences(ev, ["ts"], ["user"], ["item"], tiebreak=["event_id"], segment_len=16)
+    return s.select("user", "segment", "start", "n", F.array_join(F.col("item_list").cast("array<string>"), ",").alias("items"),
+                    "item_next")
+
+
 @query("stream_pipeline", """
 SELECT event_id, CAST(user_id + 1 AS BIGINT) AS "user", event_type FROM events""")
 def q_stream_pipeline(spark, sf_dir):

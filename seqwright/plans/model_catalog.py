@@ -106,6 +106,15 @@ def q_score_states(spark, sf_dir):
     return _scored(spark, sf_dir, states=True).select("user", "pos", *_h())
 
 
+@query("score_states_blocked", FOLD_SQL + """
+SELECT "user", pos, round(h0, 6) AS h0, round(h1, 6) AS h1, round(lse, 6) AS lse, round(tlogit, 6) AS tlogit,
+       argmax FROM sc""")
+def q_score_states_blocked(spark, sf_dir):
+    """M1/M2 above the item-table bound: input vectors joined, output rows in blocks of 16."""
+    sc = _scored(spark, sf_dir, states=True, shared_bytes=8 * H * 16)
+    return sc.select("user", "pos", *_h(), M.round6("lse").alias("lse"), M.round6("tlogit").alias("tlogit"), "argmax")
+
+
 @query("next_item_logits", FOLD_SQL + """
 SELECT "user", pos, target, round(lse, 6) AS lse, round(tlogit, 6) AS tlogit, argmax,
        round(maxlogit, 6) AS maxlogit FROM sc""")
@@ -159,12 +168,14 @@ def q_epoch_log_loss(spark, sf_dir):
     return X.macro_mean(e, ["split"]).select("split", M.round6("log_loss").alias("log_loss"))
 
 
-@query("mean_loss", FOLD_SQL + """
+@query("mean_loss", FOLD_SQL + f""",
+ch AS (SELECT *, (pos - 1) // {CHUNK} AS chunk FROM sc)
 SELECT split, round(avg(CASE WHEN target > 0 THEN loss END), 6) AS mean_loss,
-       round(sum(masked) / count(*), 6) AS objective FROM sc GROUP BY split""")
+       round(sum(masked) / (count(DISTINCT ("user", chunk)) * {CHUNK}), 6) AS objective FROM ch GROUP BY split""")
 def q_mean_loss(spark, sf_dir):
-    """Position-level mean loss and the masked objective, per split."""
-    m = X.mean_loss(_scored(spark, sf_dir), ["split"])
+    """Position-level mean loss and the masked objective over padded chunks, per split."""
+    sc = _scored(spark, sf_dir).withColumn("chunk", F.floor((F.col("pos") - 1) / CHUNK))
+    m = X.mean_loss(sc, ["split"], window_len=CHUNK)
     return m.select("split", M.round6("mean_loss").alias("mean_loss"), M.round6("objective").alias("objective"))
 
 
@@ -493,16 +504,16 @@ def q_progress_report(spark, sf_dir):
 
 @query("fit_carry_history")
 def q_fit_carry_history(spark, sf_dir):
-    """M4/M10 session style: the last 2 chunks of 64 of each user's train half (O2), padded
-    chunks with state carried across them (W4, truncated back-propagation), validation on
-    the first chunk of the valid half starting from the saved final training states (J3)."""
+    """M4/M10 session style: each user's train half in padded chunks of 64 with state carried across
+    them (W4, truncated back-propagation), validation on the valid half starting from the
+    saved final training states (J3)."""
     from seqwright.model.training import StepConfig, Tables, fit
     seq = seq_frame(spark, sf_dir)
     num_items = int(seq.agg(F.max("item")).first()[0])
     split = S.temporal_split(seq, train_frac=0.5)
-    tr = S.truncate(split.where(F.col("split") == "train"), 2 * CHUNK)
+    tr = split.where(F.col("split") == "train")
     va = split.where(F.col("split") == "valid").withColumn("pos", F.col("pos") - F.floor(F.col("n") / 2))
-    va = S.truncate(va.withColumn("n", F.col("n") - F.floor(F.col("n") / 2)), CHUNK, keep_first=True)
+    va = va.withColumn("n", F.col("n") - F.floor(F.col("n") / 2))
     cols = ["user", F.col("chunk").alias("seg"), "pos", "item", "target"]
     train = S.tumbling_windows(tr, CHUNK, tail="keep").select(*cols)
     valid = S.tumbling_windows(va, CHUNK, tail="keep").select(*cols)

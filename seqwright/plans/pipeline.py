@@ -33,7 +33,7 @@ def load_source(spark: SparkSession, src: dict) -> DataFrame:
         return files.read_parquet(spark, src["path"])
     if kind == "TFRecord":
         from seqwright.sources.tfrecord import read_tfrecord
-        return read_tfrecord(spark, src["path"], src.get("features", ["user_list", "item_list"]))
+        return read_tfrecord(spark, src["path"], src.get("schema"), features=src.get("features", ["user_list", "item_list"]))
     if kind == "Table":
         return spark.table(src["table"])
     raise ValueError(f"unknown source type {kind!r}")

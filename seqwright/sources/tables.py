@@ -13,29 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def events_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_interactions(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """``events`` as interactions: user = user_id + 1, item = props.k + 1, ordered by
-    ``(ts, event_id)``. Columns: user, item, ts, event_id."""
+    ``(ts, event_id)``. Columns: user, item, ts, event_id and ``more`` of the table."""
     ev = table(spark, sf_dir, "events")
     return ev.select(
         (F.col("user_id") + 1).cast("bigint").alias("user"),
         (F.get_json_object("props", "$.k").cast("bigint") + 1).alias("item"),
         F.col("ts"),
-        F.col("event_id"),
-    )
-
-
-def order_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``orders`` joined with ``lineitem``: user = o_custkey, item = l_partkey + 1.
-
-    Both sides are large, so this is a shuffle join on the order key; the planner
-    prunes both scans to the four columns used."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber")
-    j = o.join(li, o.o_orderkey == li.l_orderkey)
-    return j.select(
-        F.col("o_custkey").cast("bigint").alias("user"),
-        (F.col("l_partkey") + 1).cast("bigint").alias("item"),
-        F.col("o_orderdate").alias("ts"),
-        F.col("l_orderkey"), F.col("l_linenumber"),
+        F.col("event_id"), *more,
     )

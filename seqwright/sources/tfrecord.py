@@ -26,9 +26,11 @@ import struct
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import (DataSource, DataSourceReader, DataSourceWriter, InputPartition,
                                     WriterCommitMessage)
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, LongType, StringType, StructType
 
 # ---------------------------------------------------------------- CRC-32C and framing
@@ -230,7 +232,8 @@ def _messages(buf: bytes):
             raise ValueError(f"unsupported wire type {wt}")
 
 
-def decode_example(buf: bytes) -> dict:
+def decode_example(buf: bytes, arrays: bool = False) -> dict:
+    """Features by name as (kind, values); with ``arrays`` packed floats stay numpy arrays."""
     out = {}
     for num, _, features in _messages(buf):
         if num != 1:
@@ -247,7 +250,10 @@ def decode_example(buf: bytes) -> dict:
             for kind, _, lst in _messages(feat):
                 vals = []
                 for _, wt, v in _messages(lst):
-                    if kind == 2:
+                    if kind == 2 and wt == 2 and arrays:
+                        got = np.frombuffer(v, dtype="<f4")
+                        vals = [np.concatenate([*vals, got])] if vals else [got]
+                    elif kind == 2:
                         vals.extend(np.frombuffer(v, dtype="<f4").tolist() if wt == 2 else
                                     [struct.unpack("<f", v)[0]])
                     elif kind == 3:
@@ -260,6 +266,8 @@ def decode_example(buf: bytes) -> dict:
                             vals.append(v - (1 << 64) if v >= 1 << 63 else v)
                     else:
                         vals.append(v)
+                if arrays and kind == 2 and len(vals) == 1 and isinstance(vals[0], np.ndarray):
+                    vals = vals[0]
                 out[name] = ("float" if kind == 2 else "int64" if kind == 3 else "bytes", vals)
     return out
 
@@ -277,6 +285,15 @@ def _kind(dt) -> str:
     raise TypeError(f"unsupported TFRecord column type {dt}")
 
 
+def _local(path: str) -> str:
+    """The path on the shared mount; other schemes are refused."""
+    if path.startswith("file:"):
+        path = "/" + path[len("file:"):].lstrip("/")
+    if "://" in path:
+        raise ValueError(f"tfrecord reads and writes a mounted file system, not {path!r}")
+    return path
+
+
 def _files(path: str) -> list[str]:
     if os.path.isdir(path):
         return sorted(f for f in glob.glob(os.path.join(path, "*")) if not os.path.basename(f).startswith(("_", ".")))
@@ -289,30 +306,51 @@ class _FilePartition(InputPartition):
         self.path = path
 
 
+BATCH = 1024
+
+
+def _arrow_batch(records: list[dict], fields) -> pa.RecordBatch:
+    cols = []
+    for name, dt, kind in fields:
+        vals = [r.get(name, (None, []))[1] for r in records]
+        if not isinstance(dt, ArrayType):
+            vals = [(v[0] if len(v) else None) for v in vals]
+            cols.append(pa.array([v.decode() if isinstance(v, bytes) else v for v in vals], kind))
+        elif isinstance(dt.elementType, StringType):
+            cols.append(pa.array([[x.decode() for x in v] for v in vals], kind))
+        else:
+            flat = [np.asarray(v, kind.value_type.to_pandas_dtype()) for v in vals]
+            offsets = np.concatenate([[0], np.cumsum([len(v) for v in flat])]).astype(np.int32)
+            values = pa.array(np.concatenate(flat), kind.value_type)
+            cols.append(pa.ListArray.from_arrays(pa.array(offsets), values).cast(kind))
+    return pa.RecordBatch.from_arrays(cols, names=[f[0] for f in fields])
+
+
 class TFRecordReader(DataSourceReader):
     def __init__(self, options, schema: StructType):
-        self.path = options["path"]
+        self.path = _local(options["path"])
         self.schema = schema
         self.check = options.get("verifyChecksums", "true").lower() == "true"
 
     def partitions(self):
-        return [_FilePartition(f) for f in _files(self.path)]
+        files = _files(self.path)
+        if not files and not os.path.isdir(self.path):
+            raise FileNotFoundError(f"no TFRecord file at {self.path}")
+        return [_FilePartition(f) for f in files]
 
     def read(self, partition):
-        fields = [(f.name, f.dataType) for f in self.schema.fields]
+        """Arrow record batches of up to ``BATCH`` records."""
+        if not isinstance(partition, _FilePartition):
+            return  # an empty folder has no partition
+        fields = [(f.name, f.dataType, to_arrow_type(f.dataType)) for f in self.schema.fields]
+        batch = []
         for rec in read_records(partition.path, self.check):
-            ex = decode_example(rec)
-            row = []
-            for name, dt in fields:
-                vals = ex.get(name, (None, []))[1]
-                if isinstance(dt, ArrayType):
-                    if isinstance(dt.elementType, StringType):
-                        vals = [v.decode() for v in vals]
-                    row.append(list(vals))
-                else:
-                    v = vals[0] if vals else None
-                    row.append(v.decode() if isinstance(v, bytes) else v)
-            yield tuple(row)
+            batch.append(decode_example(rec, arrays=True))
+            if len(batch) == BATCH:
+                yield _arrow_batch(batch, fields)
+                batch = []
+        if batch:
+            yield _arrow_batch(batch, fields)
 
 
 class _Done(WriterCommitMessage):
@@ -322,12 +360,10 @@ class _Done(WriterCommitMessage):
 
 class TFRecordWriter(DataSourceWriter):
     def __init__(self, options, schema: StructType, overwrite: bool):
-        self.path = options["path"]
+        self.path = _local(options["path"])
         self.schema = schema
         self.overwrite = overwrite
-        if overwrite and os.path.isdir(self.path):
-            for old in glob.glob(os.path.join(self.path, "part-*.tfrecord")):
-                os.remove(old)
+        self.job = uuid.uuid4().hex  # in the name of every file this write makes
 
     def write(self, iterator):
         from pyspark import TaskContext
@@ -335,7 +371,7 @@ class TFRecordWriter(DataSourceWriter):
         pid = ctx.partitionId() if ctx else 0
         os.makedirs(self.path, exist_ok=True)
         kinds = [(f.name, _kind(f.dataType), isinstance(f.dataType, ArrayType)) for f in self.schema.fields]
-        name = os.path.join(self.path, f"part-{pid:05d}-{uuid.uuid4().hex}.tfrecord")
+        name = os.path.join(self.path, f"part-{pid:05d}-{self.job}-{uuid.uuid4().hex}.tfrecord")
         tmp = name + ".inprogress"
         with open(tmp, "wb") as f:
             batch = []
@@ -358,17 +394,19 @@ class TFRecordWriter(DataSourceWriter):
 
     def commit(self, messages):
         """Keep exactly the files of the committed task attempts: a failed, retried or
-        speculative attempt may have left another part file for the same partition."""
+        speculative attempt may have left another part file for the same partition. Files of
+        earlier writes go only now, and only if this one overwrites."""
         keep = {os.path.basename(m.file) for m in messages if m is not None}
+        os.makedirs(self.path, exist_ok=True)
         for f in glob.glob(os.path.join(self.path, "part-*")):
-            if os.path.basename(f) not in keep:
+            mine = self.job in os.path.basename(f)
+            if (mine or self.overwrite) and os.path.basename(f) not in keep:
                 os.remove(f)
         open(os.path.join(self.path, "_SUCCESS"), "w").close()
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and os.path.exists(m.file):
-                os.remove(m.file)
+        for f in glob.glob(os.path.join(self.path, f"part-*-{self.job}-*")):
+            os.remove(f)
 
 
 class TFRecordDataSource(DataSource):
