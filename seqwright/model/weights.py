@@ -70,6 +70,17 @@ def _seeded_normals(seed: int, table: str, key: str, widths: list[tuple[str, int
     return run
 
 
+def hashed_normals(seed: int, param: str, key: Column, width: int, std: float) -> Column:
+    """Seeded normals as a SQL expression: two 52-bit numbers of an MD5 over (seed, param, id, j) through
+    the Box-Muller transform. Any engine with MD5 draws the same values."""
+    def draw(j):
+        h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(param), key.cast("string"), j.cast("string")))
+        a, b = (F.conv(F.substring(h, at, 13), 16, 10).cast("double") for at in (1, 14))
+        u = (a + 1.0) / float(1 << 52)
+        return F.sqrt(F.lit(-2.0) * F.log(u)) * F.cos(F.lit(2 * math.pi) * (b / float(1 << 52))) * F.lit(std)
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), draw)
+
+
 def user_weights(users: DataFrame, hidden: int, init: str = "normal", seed: int = 0,
                  ms: float = 0.0) -> DataFrame:
     """One row per distinct ``user`` of ``users``; ``ms`` is where the RMSProp accumulators start
@@ -80,6 +91,9 @@ def user_weights(users: DataFrame, hidden: int, init: str = "normal", seed: int
     if init == "formula":
         out = ids.select("user", _formula_user(u, H * 2 * H, 2 * H, 0).alias("gate"),
                          _formula_user(u, H * H, H, 1).alias("cand"))
+    elif init == "hashed":
+        out = ids.select("user", *[hashed_normals(seed, c, u, w, 1.0 / math.sqrt(H)).alias(c)
+                                   for c, w in (("gate", 2 * H * H), ("cand", H * H))])
     elif init == "normal":
         out = ids.mapInPandas(_seeded_normals(seed, "user", "user", [("gate", H * 2 * H), ("cand", H * H)],
                                               1.0 / math.sqrt(H)),
@@ -99,6 +113,9 @@ def item_weights(spark: SparkSession, num_items: int, hidden: int, init: str = "
     if init == "formula":
         out = items.select("item", _formula_item(i, 2 * H, 0).alias("gate_in"),
                            _formula_item(i, H, 1).alias("cand_in"), _formula_item(i, H, 2).alias("out"))
+    elif init == "hashed":
+        out = items.select("item", *[hashed_normals(seed, c, i, w, 1.0 / math.sqrt(H)).alias(c)
+                                     for c, w in (("gate_in", 2 * H), ("cand_in", H), ("out", H))])
     elif init == "normal":
         out = items.mapInPandas(
             _seeded_normals(seed, "item", "item", [("gate_in", 2 * H), ("cand_in", H), ("out", H)],

@@ -16,7 +16,7 @@ from seqwright.model import weights as Wt
 from seqwright.operators import batching as B
 from seqwright.operators import lookup as L
 from seqwright.operators import sequences as S
-from seqwright.plans.catalog import (CHUNK, N_BATCHES, ORDER_SQL, SEED, SEQ_SQL, WINDOW, _epoch_orders, query, seq_frame,
+from seqwright.plans.catalog import (CHUNK, EV_SQL, N_BATCHES, ORDER_SQL, SEED, SEQ_SQL, WINDOW, _epoch_orders, query, seq_frame,
                                      window_frame, window_keys)
 from seqwright.sources.tables import table
 
@@ -412,6 +412,58 @@ def _train_setup(spark, sf_dir, hidden=H, init="formula"):
     return train, valid, t, StepConfig(hidden=hidden, num_items=num_items, lr=0.01)
 
 
+# Back-propagation through the windows of the train half, H = 2, formula weights, one batch:
+# forward states, softmax of every position, then the recursion from the last step to the first.
+_U = [f"1 / (1 + exp(-{_gate_pre('r.h0', 'r.h1', 'r.usr', 's.item', c)}))" for c in (2, 3)]
+_C = [f"tanh({_cand_pre('r.h0', 'r.h1', 'r.usr', 's.item', k)})" for k in (0, 1)]
+GRAD_SQL = SEQ_SQL.replace("WITH ev AS", "WITH RECURSIVE ev AS", 1) + f""",
+tw AS (SELECT "user" AS usr, (pos - 1) // {WINDOW} AS chunk, (pos - 1) % {WINDOW} AS t, item, target FROM seq
+       WHERE pos <= n // 2 AND ((pos - 1) // {WINDOW} + 1) * {WINDOW} <= n),
+sca AS (SELECT 1.0 / (count(*) * {WINDOW}) AS scale FROM (SELECT DISTINCT usr, chunk FROM tw)),
+fw(usr, chunk, t, p0, p1, u0, u1, c0, c1, h0, h1) AS (
+  SELECT DISTINCT usr, chunk, CAST(-1 AS BIGINT), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE,
+         0.0::DOUBLE, 0.0::DOUBLE FROM tw
+  UNION ALL
+  SELECT usr, chunk, t, p0, p1, u0, u1, c0, c1, u0 * p0 + (1 - u0) * c0, u1 * p1 + (1 - u1) * c1 FROM (
+    SELECT r.usr, r.chunk, s.t, r.h0 AS p0, r.h1 AS p1, {_U[0]} AS u0, {_U[1]} AS u1, {_C[0]} AS c0, {_C[1]} AS c1
+    FROM fw r JOIN tw s ON s.usr = r.usr AND s.chunk = r.chunk AND s.t = r.t + 1)),
+st AS (SELECT fw.*, tw.item, tw.target FROM fw JOIN tw USING (usr, chunk, t)),
+items AS (SELECT CAST(range AS BIGINT) AS i, cos(range * 3 + 2) / 2 AS o0, cos(range * 3 + 4) / 2 AS o1
+          FROM range(0, (SELECT max(item) FROM ev) + 1)),
+lg AS (SELECT usr, chunk, t, h0, h1, target, i, o0, o1, h0 * o0 + h1 * o1 AS logit FROM st, items),
+sm AS (SELECT usr, chunk, t, max(logit) AS mx, arg_max(i, logit) AS am,
+              max(CASE WHEN i = target THEN logit END) AS tl FROM lg GROUP BY ALL),
+ls AS (SELECT sm.usr, sm.chunk, sm.t, sm.am, sm.tl, sm.mx + ln(sum(exp(logit - sm.mx))) AS lse
+       FROM lg JOIN sm USING (usr, chunk, t) GROUP BY sm.usr, sm.chunk, sm.t, sm.mx, sm.am, sm.tl),
+dl AS (SELECT lg.*, CASE WHEN target > 0 THEN (exp(logit - lse) - CASE WHEN i = target THEN 1 ELSE 0 END) * scale ELSE 0 END AS d
+       FROM lg JOIN ls USING (usr, chunk, t), sca),
+dh AS (SELECT usr, chunk, t, sum(d * o0) AS d0, sum(d * o1) AS d1 FROM dl GROUP BY ALL),
+gout AS (SELECT i, sum(d * h0) AS g0, sum(d * h1) AS g1 FROM dl GROUP BY i),
+fd AS (SELECT st.*, dh.d0, dh.d1 FROM st JOIN dh USING (usr, chunk, t)),
+bw(usr, chunk, t, n0, n1, a0, a1, b0, b1) AS (
+  SELECT usr, chunk, max(t) + 1, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM fd GROUP BY usr, chunk
+  UNION ALL
+  SELECT usr, chunk, t,
+    e0 * u0 + sin(usr * 7 + 1) / 2 * b0 + sin(usr * 7 + 6) / 2 * b1 + sin(usr * 7 + 10) / 2 * a0 + sin(usr * 7 + 15) / 2 * a1,
+    e1 * u1 + sin(usr * 7 + 4) / 2 * b0 + sin(usr * 7 + 9) / 2 * b1 + sin(usr * 7 + 13) / 2 * a0 + sin(usr * 7 + 18) / 2 * a1,
+    a0, a1, b0, b1 FROM (
+    SELECT usr, chunk, t, e0, e1, u0, u1, e0 * (p0 - c0) * u0 * (1 - u0) AS a0, e1 * (p1 - c1) * u1 * (1 - u1) AS a1,
+           e0 * (1 - u0) * (1 - c0 * c0) AS b0, e1 * (1 - u1) * (1 - c1 * c1) AS b1 FROM (
+      SELECT s.*, s.d0 + r.n0 AS e0, s.d1 + r.n1 AS e1
+      FROM bw r JOIN fd s ON s.usr = r.usr AND s.chunk = r.chunk AND s.t = r.t - 1))),
+pg AS (SELECT fd.usr, fd.item, fd.p0, fd.p1, bw.a0, bw.a1, bw.b0, bw.b1 FROM fd JOIN bw USING (usr, chunk, t)),
+ug AS (SELECT usr, [0, 0, sum(p0 * a0), sum(p0 * a1), 0, 0, sum(p1 * a0), sum(p1 * a1)] AS g,
+              [sum(p0 * b0), sum(p0 * b1), sum(p1 * b0), sum(p1 * b1)] AS c FROM pg GROUP BY usr),
+ig AS (SELECT gout.i, [0, 0, coalesce(sum(a0), 0), coalesce(sum(a1), 0), coalesce(sum(b0), 0), coalesce(sum(b1), 0), g0, g1] AS g
+       FROM gout LEFT JOIN pg ON pg.item = gout.i GROUP BY gout.i, g0, g1),
+bg AS (SELECT [0, 0, sum(a0), sum(a1), sum(b0), sum(b1)] AS g FROM pg),
+grad AS (
+  SELECT 'gate_u' AS param, usr AS id, CAST(unnest(range(0, 8)) AS BIGINT) AS j, unnest(g) AS g FROM ug
+  UNION ALL SELECT 'cand_u', usr, CAST(unnest(range(0, 4)) AS BIGINT), unnest(c) FROM ug
+  UNION ALL SELECT 'item', i, CAST(unnest(range(0, 8)) AS BIGINT), unnest(g) FROM ig
+  UNION ALL SELECT 'bias', CAST(0 AS BIGINT), CAST(unnest(range(0, 6)) AS BIGINT), unnest(g) FROM bg)"""
+
+
 def _first_batch(train, epoch=1, n_batches=1, seed=SEED):
     """The step's batch: with one batch per epoch (full-batch step) it holds every window."""
     from seqwright.operators.batching import batch_ids
@@ -419,7 +471,8 @@ def _first_batch(train, epoch=1, n_batches=1, seed=SEED):
     return bw.where(F.col("batch_id") == 0).drop("batch_id")
 
 
-@query("gradient_sum")
+@query("gradient_sum", GRAD_SQL + """
+SELECT param, id, j, round(g, 9) + 0.0 AS g FROM grad""")
 def q_gradient_sum(spark, sf_dir):
     """Gradient of the objective over all training windows (one full batch), per-task
     partial sums added up by a groupBy; long form (param, id, j, g)."""
@@ -442,10 +495,16 @@ def q_gradient_sum(spark, sf_dir):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("param", "id", F.col("j").cast("bigint").alias("j"), "g")
+    return out.select("param", "id", F.col("j").cast("bigint").alias("j"), (F.round("g", 9) + F.lit(0.0)).alias("g"))
 
 
-@query("train_step")
+@query("train_step", GRAD_SQL + """,
+wt AS (SELECT param, id, j, g, CASE WHEN param = 'item' THEN CASE WHEN j < 4 THEN cos(id * 3 + j * 2) / 2
+         WHEN j < 6 THEN cos(id * 3 + (j - 4) * 2 + 1) / 2 ELSE cos(id * 3 + (j - 6) * 2 + 2) / 2 END
+         WHEN j < 4 THEN 1 ELSE 0 END AS w FROM grad WHERE param IN ('item', 'bias'))
+SELECT CASE WHEN param = 'item' THEN 'item' WHEN j < 4 THEN 'gate_bias' ELSE 'cand_bias' END AS param, id,
+       CASE WHEN param = 'bias' AND j >= 4 THEN j - 4 ELSE j END AS j,
+       round(w - 0.01 * g / sqrt(0.1 * g * g + 1e-8), 6) + 0.0 AS w FROM wt""")
 def q_train_step(spark, sf_dir):
     """M6/M7/M8: one RMSProp step (accumulators reset to 0) over all training windows (one
     full batch); the updated item and bias tables in long form (param, id, j, w)."""
@@ -456,25 +515,52 @@ def q_train_step(spark, sf_dir):
                            F.posexplode(F.concat("gate_in", "cand_in", "out")).alias("j", "w"))
     sh = new.shared_w.select(F.col("name").alias("param"), F.lit(0).cast("bigint").alias("id"),
                              F.posexplode("v").alias("j", "w"))
-    return it.unionByName(sh).select("param", "id", F.col("j").cast("bigint").alias("j"), "w")
+    return it.unionByName(sh).select("param", "id", F.col("j").cast("bigint").alias("j"),
+                                     (F.round("w", 6) + F.lit(0.0)).alias("w"))
+
+
+@query("fit_first_step", GRAD_SQL + """
+SELECT 1 AS epoch, 1 AS step, 'train' AS split, round(sum(CASE WHEN target > 0 THEN lse - tl ELSE 0 END) * max(scale), 6) AS log_loss,
+       round(avg(CASE WHEN target > 0 THEN CASE WHEN am = target THEN 1.0 ELSE 0.0 END END), 6) AS accuracy,
+       CAST(count(CASE WHEN target > 0 THEN 1 END) AS BIGINT) AS n, CAST(0.01 AS DOUBLE) AS lr
+FROM ls JOIN st USING (usr, chunk, t), sca""")
+def q_fit_first_step(spark, sf_dir):
+    """The history of a fit of one step over all training windows from formula weights."""
+    from seqwright.model.training import fit
+    train, _, t, cfg = _train_setup(spark, sf_dir)
+    _, log_path = fit(spark, train, None, t, cfg, window_len=WINDOW, epochs=1, n_batches=1, steps_per_epoch=1, seed=SEED)
+    return spark.read.parquet(log_path).select("epoch", "step", "split", M.round6("log_loss").alias("log_loss"),
+                                               M.round6("accuracy").alias("accuracy"), "n", "lr")
 
 
-@query("init_weights")
+def _normal_sql(param: str, ids: str, width: int) -> str:
+    """Long-form seeded normals of one table, as ``weights.hashed_normals`` draws them (H = 4)."""
+    return (f"SELECT '{param}' AS param, id, j, md5(concat_ws(':', '{SEED}', '{param}', CAST(id AS VARCHAR), CAST(j AS VARCHAR))) AS h"
+            f" FROM ({ids}), (SELECT CAST(range AS BIGINT) AS j FROM range({width}))")
+
+
+INIT_SQL = EV_SQL + f""",
+us AS (SELECT DISTINCT "user" AS id FROM ev), it AS (SELECT CAST(unnest(range(0, (SELECT max(item) FROM ev) + 1)) AS BIGINT) AS id),
+h AS ({_normal_sql('gate', 'SELECT id FROM us', 32)} UNION ALL {_normal_sql('cand', 'SELECT id FROM us', 16)}
+  UNION ALL {_normal_sql('gate_in', 'SELECT id FROM it', 8)} UNION ALL {_normal_sql('cand_in', 'SELECT id FROM it', 4)}
+  UNION ALL {_normal_sql('out', 'SELECT id FROM it', 4)})
+SELECT param, id, j, round(sqrt(-2 * ln((CAST('0x' || substr(h, 1, 13) AS BIGINT) + 1) / 4503599627370496.0::DOUBLE))
+       * cos(2 * pi() * (CAST('0x' || substr(h, 14, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)) / 2, 6) + 0.0 AS w FROM h"""
+
+
+@query("init_weights", INIT_SQL)
 def q_init_weights(spark, sf_dir):
-    """M9: seeded N(0, 1/sqrt(H)) initial weights (H = 8) for every user and item of the data;
-    one summary row per table row."""
+    """M9: seeded N(0, 1/sqrt(H)) initial weights (H = 4) of every user and item, in long form."""
     seq = seq_frame(spark, sf_dir)
     num_items = int(seq.agg(F.max("item")).first()[0])
-    uw = Wt.user_weights(seq, 8, "normal", seed=SEED)
-    iw = Wt.item_weights(spark, num_items, 8, "normal", seed=SEED)
-
-    def summ(df, param, idc, col):
-        x = df.select(idc, F.explode(col).alias("x"))
-        return x.groupBy(idc).agg(F.count(F.lit(1)).cast("bigint").alias("n_values"),
-                                  F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")).select(
-            F.lit(param).alias("param"), F.col(idc).alias("id"), "n_values", "mean", "std")
-    return (summ(uw, "gate_u", "user", "gate").unionByName(summ(uw, "cand_u", "user", "cand"))
-            .unionByName(summ(iw, "item", "item", F.concat("gate_in", "cand_in", "out"))))
+    uw = Wt.user_weights(seq, 4, "hashed", seed=SEED)
+    iw = Wt.item_weights(spark, num_items, 4, "hashed", seed=SEED)
+    parts = [df.select(F.lit(c).alias("param"), F.col(i).alias("id"), F.posexplode(c).alias("j", "w"))
+             for df, i, cols in ((uw, "user", ("gate", "cand")), (iw, "item", ("gate_in", "cand_in", "out"))) for c in cols]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.select("param", "id", F.col("j").cast("bigint").alias("j"), (F.round("w", 6) + F.lit(0.0)).alias("w"))
 
 
 def _fit(spark, sf_dir):
@@ -493,13 +579,21 @@ def q_fit_history(spark, sf_dir):
     return _fit(spark, sf_dir)
 
 
-@query("progress_report")
+@query("progress_report", ORDER_SQL + f""",
+s AS (SELECT CAST(o.epoch * 1000 + o.step AS BIGINT) AS gstep, CAST(count(*) * {WINDOW} AS BIGINT) AS n,
+             count(*) * {WINDOW} / 2000.0::DOUBLE + 0.5 AS seconds
+      FROM ord o JOIN bat b USING (batch_id) GROUP BY o.epoch, o.step)
+SELECT gstep, n, CAST(sum(n) OVER w AS BIGINT) AS triplets, round(sum(seconds) OVER w, 6) AS elapsed,
+       round(sum(n) OVER w / sum(seconds) OVER w, 6) AS wps
+FROM s WINDOW w AS (ORDER BY gstep ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
 def q_progress_report(spark, sf_dir):
-    """triplets per second over the training steps of a fit, cumulative."""
-    log = _fit(spark, sf_dir).where(F.col("split") == "train")
-    log = log.withColumn("gstep", F.col("epoch") * 1000 + F.col("step"))
-    return X.progress(log.select("gstep", "n", "seconds"), "gstep").select(
-        "gstep", "n", "triplets", "elapsed", "wps")
+    """triplets per second over the steps of two epochs, cumulative; the steps' windows are the
+    data's, their seconds a fixed function of the windows, so that the report can be checked."""
+    n = F.col("n_windows") * WINDOW
+    steps = _epoch_orders(spark, sf_dir).select(
+        (F.col("epoch") * 1000 + F.col("step")).alias("gstep"), n.alias("n"), (n / F.lit(2000.0) + F.lit(0.5)).alias("seconds"))
+    p = X.progress(steps, "gstep")
+    return p.select("gstep", "n", "triplets", M.round6("elapsed").alias("elapsed"), M.round6("wps").alias("wps"))
 
 
 @query("fit_carry_history")
