@@ -42,7 +42,8 @@ SHARD_BYTES = 16 << 20
 SEED = 20
 ROUNDS = 6
 STRIDE = 2 * SEQ_LEN + 1
-CACHE = 400_000
+CACHE = 4_000_000
+FLUSH_BYTES = 32 << 20  # of records a task holds before it sends them
 
 # Fixed value: the split pattern that the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -50,30 +51,90 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 U = np.uint64
 
 
-class Encoder(dict):
-    """Ids of the pieces of a text as 16-bit bytes. The pattern never joins a space with what stands
-    before it, so a text without double spaces is the sum of its space-led pieces; those are kept."""
+class Encoder:
+    """Ids of texts by their pieces. The pattern never joins a space with what stands before it, so a
+    text without double spaces is the sum of its pieces, each from one space up to the next. Every
+    distinct piece a task meets is encoded once; its ids stay in one array, found by a sorted
+    array of 64-bit piece hashes (started anew beyond ``CACHE`` pieces)."""
 
     def __init__(self, vocabulary: bytes):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines())}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-
-    def bytes_of(self, text: str) -> bytes:
-        return np.array(self.encode(text), "<u2").tobytes()
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        got = self[piece] = self.bytes_of(" " + piece)
-        return got
-
-    def text(self, text: str) -> bytes:
-        if "  " in text:
-            return self.bytes_of(text)
-        first, *rest = text.split(" ")
-        return (self.bytes_of(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+        self.length = np.zeros(END_ID + 1, np.int64)  # bytes of each id
+        self.length[list(ranks.values())] = list(map(len, ranks))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.keys = np.zeros(0, U)
+        self.at = self.size = np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, "<u2"), 0
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Adds sorted new keys. Pieces that start with a space are encoded in one call: no id reaches
+        over a space, so the ids' byte lengths tell where each piece ends."""
+        led = np.array([p[:1] == b" " for p in pieces], bool)
+        size = np.zeros(len(pieces), np.int64)
+        at = np.zeros(len(pieces), np.int64)
+        one = [p for p, x in zip(pieces, led.tolist()) if x]
+        parts = [np.array(self.encode(b"".join(one).decode()), "<u2")]
+        cut = np.searchsorted(np.cumsum(self.length[parts[0]]), np.cumsum(list(map(len, one))), "right")
+        size[led] = np.diff(cut, prepend=0)
+        at[led] = cut - size[led]
+        n = len(parts[0])
+        for i in np.flatnonzero(~led).tolist():
+            parts.append(np.array(self.encode(pieces[i].decode()), "<u2"))
+            at[i], size[i] = n, len(parts[-1])
+            n += len(parts[-1])
+        if self.used + n > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.used], np.zeros(2 * (self.used + n) - self.used, "<u2")])
+        self.ids[self.used:self.used + n] = np.concatenate(parts)
+        where = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, where, keys)
+        self.at = np.insert(self.at, where, at + self.used)
+        self.size = np.insert(self.size, where, size)
+        self.used += n
+
+    def slice(self, data: np.ndarray, offs: np.ndarray, only_counts: bool = False):
+        """(ids of all rows one after another, number of ids per row); no ids with ``only_counts``."""
+        n = len(offs) - 1
+        space = data == 32
+        start = space.copy()
+        start[offs[:-1][offs[:-1] < len(data)]] = True
+        start = np.flatnonzero(start)
+        end = np.append(start[1:], len(data))
+        row_piece = np.searchsorted(start, offs)
+        keys, first, inverse = np.unique(T.span_hash(T.prefix_hash(data), start, end), return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE:
+            self._forget()
+        i = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        new[i < len(self.keys)] = self.keys[i[i < len(self.keys)]] != keys[i < len(self.keys)]
+        raw = data.tobytes()
+        if new.any():
+            f = first[new]
+            self._learn(keys[new], [raw[x:y] for x, y in zip(start[f].tolist(), end[f].tolist())])
+            i = np.searchsorted(self.keys, keys)
+        each = self.size[i][inverse]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        counts = upto[row_piece[1:]] - upto[row_piece[:-1]]
+        # rows with double spaces are encoded whole
+        both = np.flatnonzero(space[:-1] & space[1:])
+        twice = np.unique(np.searchsorted(offs, both, "right") - 1).tolist()
+        whole = {r: np.array(self.encode(raw[offs[r]:offs[r + 1]].decode()), "<u2") for r in twice}
+        ids = None
+        if not only_counts:
+            at = self.at[i][inverse] - upto[:-1]
+            ids = self.ids[np.repeat(at, each) + np.arange(upto[-1])]
+            if whole:
+                parts = np.split(ids, upto[row_piece[1:-1]])
+                ids = np.concatenate([whole.get(r, x) for r, x in enumerate(parts)])
+        if whole:
+            counts = counts.copy()
+            for r, x in whole.items():
+                counts[r] = len(x)
+        return ids, counts
 
 
 # ---------------------------------------------------------------- the permutation
@@ -104,48 +165,56 @@ def permute(x: np.ndarray, n: int, key: int, back: bool = False) -> np.ndarray:
 
 
 # ---------------------------------------------------------------- passes
-def _texts(batches, encoder):
-    """(id, id bytes with the end) of every row, and a running checksum of the texts."""
-    end = np.array([END_ID], "<u2").tobytes()
-    for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            yield i, t, (encoder.text(t) if t else b"") + end
+class Checksum:
+    """Of the texts of a partition in order, however they come in slices."""
+
+    def __init__(self):
+        self.text = self.size = 0
+
+    def add(self, data: np.ndarray, offs: np.ndarray) -> int:
+        self.text = zlib.crc32(data, self.text)
+        self.size = zlib.crc32(np.diff(offs).astype(np.int64), self.size)
+        return self.text << 31 ^ self.size
 
 
 def count_sequences(src: DataFrame, vocabulary) -> DataFrame:
-    """(split, ord, doc_id, n_tokens, n_seqs, crc): crc is of all texts of the split up to this one."""
+    """(split, ord, doc_id, n_tokens, n_seqs, crc): crc is of all texts of the split up to this slice."""
 
     def run(batches):
-        enc, split, ord_, crc = Encoder(vocabulary.value), TaskContext.get().partitionId(), 0, 0
+        enc, split, ord_, sums = Encoder(vocabulary.value), TaskContext.get().partitionId(), 0, Checksum()
         for b in batches:
-            ids, n = [], []
-            crcs = []
-            for i, t, raw in _texts([b], enc):
-                crc = zlib.crc32(f"{i}:{len(t or '')}:".encode() + (t or "").encode(), crc)
-                ids.append(i)
-                n.append(len(raw) // 2)
-                crcs.append(crc)
-            n = np.array(n, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(n), split, np.int32)), pa.array(np.arange(ord_, ord_ + len(n))), pa.array(ids, pa.int64()),
-                 pa.array(n), pa.array(-(-n // SEQ_LEN)), pa.array(crcs, pa.int64())],
-                names=["split", "ord", "doc_id", "n_tokens", "n_seqs", "crc"])
-            ord_ += len(n)
+            for lo, hi, data, offs in T.slices(b, 1):
+                crc = sums.add(data, offs)
+                n = enc.slice(data, offs, only_counts=True)[1] + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(n), split, np.int32)), pa.array(np.arange(ord_, ord_ + len(n))), b.column(0).slice(lo, hi - lo),
+                     pa.array(n), pa.array(-(-n // SEQ_LEN)), pa.array(np.full(len(n), crc, np.int64))],
+                    names=["split", "ord", "doc_id", "n_tokens", "n_seqs", "crc"])
+                ord_ += len(n)
 
     return src.mapInArrow(run, "split int, ord bigint, doc_id bigint, n_tokens bigint, n_seqs bigint, crc bigint")
 
 
+def sequences(ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """(sequences, SEQ_LEN): every row's ids, its end id and end ids to fill its last sequence."""
+    seqs = -(-(counts + 1) // SEQ_LEN)
+    out = np.full(int(seqs.sum()) * SEQ_LEN, END_ID, "<u2")
+    at = (np.cumsum(seqs) - seqs) * SEQ_LEN
+    out[np.arange(len(ids)) + np.repeat(at - (np.cumsum(counts) - counts), counts)] = ids
+    return out.reshape(-1, SEQ_LEN)
+
+
 def deal(src: DataFrame, vocabulary, starts, n: int, per_shard: int, key: int) -> DataFrame:
     """(shard, slots, records): a task's records of one shard in one row, compressed."""
 
     def run(batches):
         enc, split = Encoder(vocabulary.value), TaskContext.get().partitionId()
         at, expected = starts.value.get(split, (0, 0))
-        crc, held, size = 0, [], 0
+        sums, crc, held, size = Checksum(), 0, [], 0
 
-        def flush():
-            raw = np.frombuffer(b"".join(held), "<u2").reshape(-1, SEQ_LEN)
-            slots = permute(np.arange(at, at + len(raw)), n, key).astype(np.int64)
+        def packed(first: int):
+            raw = np.concatenate(held)
+            slots = permute(np.arange(first, first + len(raw)), n, key).astype(np.int64)
             shard = slots // per_shard
             order = np.argsort(slots)
             cut = np.flatnonzero(np.diff(shard[order], prepend=-1, append=-1))
@@ -156,17 +225,16 @@ def deal(src: DataFrame, vocabulary, starts, n: int, per_shard: int, key: int) -
                     [pa.array([int(shard[i[0]])], pa.int32()), pa.array([slots[i].tobytes()], pa.binary()),
                      pa.array([pack.compress(raw[i].tobytes())], pa.binary())], names=["shard", "slots", "records"])
 
-        for i, t, raw in _texts(batches, enc):
-            crc = zlib.crc32(f"{i}:{len(t or '')}:".encode() + (t or "").encode(), crc)
-            fill = -(len(raw) // 2) % SEQ_LEN
-            held.append(raw + np.full(fill, END_ID, "<u2").tobytes())
-            size += len(held[-1])
-            if size > SHARD_BYTES * 2:
-                yield from flush()
-                at += size // (2 * SEQ_LEN)
-                held, size = [], 0
-        if held:
-            yield from flush()
+        for b in batches:
+            for _, _, data, offs in T.slices(b, 1):
+                crc = sums.add(data, offs)
+                held.append(sequences(*enc.slice(data, offs)))
+                size += len(held[-1])
+                if size * 2 * SEQ_LEN > FLUSH_BYTES:
+                    yield from packed(at)
+                    at, held, size = at + size, [], 0
+        if size:
+            yield from packed(at)
         if crc != expected:
             raise RuntimeError(f"input partition {split} changed between the passes")
 

@@ -296,8 +296,26 @@ def test_permutation_is_one_to_one_and_inverts(n):
 
 def test_pieces_give_the_same_ids_as_whole_texts():
     enc = token_shards.Encoder(open(token_shards.VOCABULARY, "rb").read())
-    for t in [*filter(None, texts()), "it's  a b", "a \nb\n c", " lead", "trail ", "a\u00a0 b", "x\t y 's 12,5"]:
-        assert enc.text(t) == enc.bytes_of(t), t
+    rows = [*(t or "" for t in texts()), "it's  a b", "a \nb\n c", " lead", "trail ", "a\u00a0 b", "x\t y 's 12,5", " ", "  ", "", "a"]
+    raw = [t.encode() for t in rows]
+    offs = np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    ids, counts = enc.slice(np.frombuffer(b"".join(raw), np.uint8), offs)
+    for t, got in zip(rows, np.split(ids, np.cumsum(counts)[:-1])):
+        assert got.tolist() == enc.encode(t), t
+    assert (enc.slice(np.frombuffer(b"".join(raw), np.uint8), offs, only_counts=True)[1] == counts).all()
+
+
+def test_null_ids_do_not_break_any_operator(spark):
+    rows = [(None, prose(8, 90), None), (None, None, "s"), (3, prose(8, 90), "s")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    bench = spark.createDataFrame([(None, prose(8, 90)[:200]), (1, None)], "item_id bigint, text string")
+    for got in (quality_rules.verdicts(d), setsketch.near_duplicates(d), suffix_dedup.remove_repeats(d), lm_scoring.score(d),
+                mixing.mix(d), token_shards.materialised(d)):
+        assert got.count() == 3
+    assert decontaminate.matches(d, bench).count() == 2
+    assert decontaminate.clean(d, bench).count() == 1
+    assert setsketch.keep_one(d).count() <= 1
+    assert licenses.scan(d).count() == 0
 
 
 # ---------------------------------------------------------------- 6
