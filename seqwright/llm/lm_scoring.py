@@ -385,8 +385,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, max_filt
         pairs = Filter([(r[0], bytes(r[1])) for r in rows.toLocalIterator()], buckets, shift)
         now = spark.sparkContext.broadcast((words, pairs, hk, hn, n_starts))
         part = scored_round(src, now, n_train, vocab, i == 0)
-        if rounds > 1:
-            part = written(part, "lm-round")  # one round's filter at a time
+        part = written(part, "lm-round")  # scored once, and one round's filter at a time
         out = part if out is None else out.unionByName(part)
         sent = sent or now
     small = spark.sparkContext.broadcast((None, None, hk))
