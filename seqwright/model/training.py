@@ -377,17 +377,19 @@ def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig,
 
 
 def train_step(spark: SparkSession, rows: DataFrame, t: Tables, cfg: StepConfig,
-               window_len: int, workdir: str | None = None) -> tuple[Tables, dict]:
+               window_len: int, workdir: str | None = None, n_windows: int | None = None) -> tuple[Tables, dict]:
     """M6: one synchronous step over the windows in ``rows`` (user, seg, pos, item, target).
     Returns the new tables and the step's statistics (summed loss, targets, hits, windows).
     Every table the step writes goes below ``workdir`` (default: the checkpoint folder).
+    ``n_windows`` is the number of windows in ``rows``, where the caller has it.
     Above the item-table bound the step runs without holding the table
     (:mod:`seqwright.model.training_blocked`)."""
     limit = cfg.shared_bytes or MAX_SHARED_BYTES
     if (cfg.num_items + 1) * 4 * cfg.hidden * 8 > limit:
         from seqwright.model.training_blocked import train_step_blocked
         return train_step_blocked(spark, rows, t, cfg, window_len, limit, workdir)
-    n_windows = rows.select("user", "seg").distinct().count()
+    if n_windows is None:
+        n_windows = rows.select("user", "seg").distinct().count()
     if n_windows == 0:
         return t, {"loss": 0.0, "n": 0.0, "hits": 0.0, "windows": 0}
     scale = 1.0 / (n_windows * window_len)
@@ -455,7 +457,14 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
         # with state carry a batch holds whole users (all their chunks, in order), as the
         # carried state needs; otherwise windows are drawn into batches independently
         bw = batch_ids(train_windows, n_batches, seed, epoch, ("user",) if cfg.carry else ("user", "seg"))
-        ids = bw.select("batch_id").distinct()
+        # the epoch's windows, one folder per batch: a step reads its own batch only, and the
+        # batches' window counts come from one pass
+        epoch_dir = scratch_path(spark, f"epoch{epoch:04d}")
+        bw.repartition("batch_id", "user").write.partitionBy("batch_id").parquet(epoch_dir)
+        bw = spark.read.parquet(epoch_dir)
+        sizes = {r["batch_id"]: r["n"] for r in bw.select("batch_id", "user", "seg").distinct().groupBy("batch_id").agg(
+            F.count(F.lit(1)).alias("n")).collect()}   # n_batches rows
+        ids = spark.createDataFrame([(int(b),) for b in sizes], "batch_id BIGINT")
         order = [r["batch_id"] for r in epoch_order(ids, seed, epoch).orderBy("step").collect()]
         if steps_per_epoch is not None:
             again = 1
@@ -470,12 +479,13 @@ def fit(spark: SparkSession, train_windows: DataFrame, valid_rows: DataFrame | N
             lr = scheduled_lr(gstep, cfg.lr, *schedule) if schedule else cfg.lr
             rows = bw.where(F.col("batch_id") == batch).drop("batch_id")
             step_dir = scratch_path(spark, f"step{gstep:06d}")
-            t, st = train_step(spark, rows, t, replace(cfg, lr=lr), window_len, step_dir)
+            t, st = train_step(spark, rows, t, replace(cfg, lr=lr), window_len, step_dir, n_windows=sizes[batch])
             if prev_dir is not None:      # superseded: the new tables were read from step_dir
                 remove_path(spark, prev_dir)
             prev_dir = step_dir
             log.append((epoch, step, "train", float(st["objective"]),
                         float(st["hits"] / st["n"]) if st["n"] else None, int(st["n"]), time.time() - t0, lr, None))
+        remove_path(spark, epoch_dir)
         if valid_rows is not None:
             t0 = time.time()
             vr = valid_rows
