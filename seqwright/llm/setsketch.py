@@ -18,7 +18,7 @@ Buckets and families of any size are worked off in blocks of ``BLOCK`` nodes: a
 holds two blocks, and gives at most one edge per node, never all pairs. Nothing is capped.
 
 Defined cases: null and blank texts have an empty set and stand alone. Rows that share an id
-are grouped by their own texts. Extra columns are ignored here. An empty table gives no rows.
+are grouped by their own texts; a row without an id is never the one that is kept. Extra columns are ignored here. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -191,7 +191,8 @@ def band_rows(nodes: DataFrame) -> DataFrame:
 def bucket_edges(nodes: DataFrame) -> DataFrame:
     """(a, b): each node of a bucket and the least node that its likely-similar pairs connect it to."""
     rows = band_rows(nodes)
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # written, so that the join has a plain shuffle on both sides and a hot bucket can be split
+    shared = written(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "buckets")
     members = rows.join(shared, "key")
     members = members.withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     work = units(members, "key", "blocks").join(nodes.select("node", "n_shingles", "regs"), "node")
@@ -370,13 +371,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", *
     sets = full_sets(df, id_col, text, k, family.select("node", "rep"))
     linked = components(verified_edges(family, sets, percent), "links")
     linked = linked.join(nodes.select("node", "rep"), "node")
-    least = linked.groupBy("root").agg(F.min("rep").alias("component_id"))
+    least = written(linked.groupBy("root").agg(F.min("rep").alias("component_id")), "groups")
     linked = linked.join(least, "root").select("node", F.col("component_id").alias("_c"))
     rep = nodes.select("node", F.col("rep").alias("_r")).join(linked, "node", "left")
-    rep = rep.select("node", F.coalesce("_c", "_r").alias("component_id"))
+    rep = written(rep.select("node", F.coalesce("_c", "_r").alias("component_id")), "groups")
     out = rows.select("doc_id", "n_shingles", "node").join(rep, "node", "left")
     c = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", c.alias("component_id"), (F.col("doc_id") == c).alias("kept"))
+    return out.select("doc_id", "n_shingles", c.alias("component_id"), F.coalesce(F.col("doc_id") == c, F.lit(False)).alias("kept"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

@@ -379,11 +379,12 @@ def exact_windows(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_spans(src: DataFrame, length: int, gram: int) -> DataFrame:
     """(text_key, spans): array of (lo, hi) byte ranges of each text that repeat, unmerged."""
     found = written(anchor_table(src, length, gram), "anchors")
-    grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # written, so that the join has a plain shuffle on both sides and a hot gram can be split
+    grams = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"), "grams")
     shared = written(found.join(grams, "gram"), "shared-anchors")
     contexts = written(shared.groupBy("gram", "c1", "c2").agg(
         F.count(F.lit(1)).alias("n"), F.min("l").alias("l"), F.min("r").alias("r")), "contexts")
-    several = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram")
+    several = written(contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("gram"), "grams")
     wanted = written(contexts.join(several, "gram").select("gram", "c1", "c2", "n"), "wanted")
     texts = shared.join(wanted.select("c1", "c2"), ["c1", "c2"], "left_semi").select("text_key").distinct()
     parts = int(src.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -408,8 +409,8 @@ def repeated_spans(src: DataFrame, length: int, gram: int) -> DataFrame:
         .join(both.select("c1", "c2", *bounds), ["c1", "c2"])
     exact = exact_windows(rest, length).join(both.where("open").select("c1", "c2"), ["c1", "c2"], "left_semi")
     whole = contexts.where("n > 1").select("c1", "c2", F.col("l").alias("cl"), F.col("r").alias("cr"))
-    cover = whole.unionByName(settled).unionByName(exact).groupBy("c1", "c2").agg(
-        F.max("cl").alias("cl"), F.max("cr").alias("cr"))
+    cover = written(whole.unionByName(settled).unionByName(exact).groupBy("c1", "c2").agg(
+        F.max("cl").alias("cl"), F.max("cr").alias("cr")), "cover")
     spans = shared.select("text_key", "at", "c1", "c2").join(cover, ["c1", "c2"])
     spans = spans.select("text_key", (F.col("at") - F.col("cl")).alias("lo"), (F.col("at") + F.col("cr")).alias("hi"))
     return spans.distinct().groupBy("text_key").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
