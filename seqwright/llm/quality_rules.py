@@ -82,7 +82,7 @@ def features(df: DataFrame, text: str = "text") -> DataFrame:
         f" OR shiftright(x, {bits}) <=> shiftright(get({keys}, j + 1), {bits})),"
         f" x -> cast(x & (shiftleft(1L, {bits}) - 1) as int))"))
     out = out.withColumn(near, F.expr(
-        f"array_sort(transform({near}, p -> named_struct('s', array_join(slice({w}, p + 1, 3), ' '), 'p', p)))"))
+        f"array_sort(transform({near}, p -> named_struct('s', concat_ws(' ', get({w}, p), get({w}, p + 1), get({w}, p + 2)), 'p', p)))"))
     stop = ", ".join(f"'{x}'" for y in STOP_WORDS for x in (y, y.capitalize()))
     count = {
         "n_words": F.col(n),
