@@ -43,7 +43,7 @@ SEED = 20
 ROUNDS = 6
 STRIDE = 2 * SEQ_LEN + 1
 CACHE = 4_000_000
-FLUSH_BYTES = 32 << 20  # of records a task holds before it sends them
+FLUSH_BYTES = 16 << 20  # of records a task holds before it sends them
 
 # Fixed value: the split pattern that the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
