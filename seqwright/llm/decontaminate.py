@@ -6,7 +6,8 @@ without punctuation. The marked form keeps each value (``<num=12>``), token by t
 
 Benchmark items and documents are cut into windows of ``WINDOW`` template tokens (an item with
 fewer is one window of its own length, and documents get windows of that length too). Windows
-meet in a hash join on 64 bits. The benchmark side is broadcast only when it has at most
+meet in a hash join on 64 bits, first by hashes alone; the texts that share a window are then
+read again with their slots' values. The benchmark side is broadcast only when it has at most
 ``BROADCAST_WINDOWS`` windows; beyond that Spark picks the join.
 
 A re-parameterised question has the item's template with other values. Along one alignment
@@ -55,22 +56,52 @@ def _tokens(col: Column) -> Column:
     return F.when(col == "", F.array().cast("array<string>")).otherwise(F.split(col, " "))
 
 
-def windows(df: DataFrame, keys: list[str], text: str, lengths: list[int], short_whole: bool) -> DataFrame:
-    """One row per window: ``keys``, pos, len, h (hash of the template window) and vals (the marked
-    window, null if it has no slot). ``short_whole``: a text below the first length is one window."""
+def _token_arrays(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """``keys``, _w (template tokens), _v (marked tokens, null if the text has no slot), _n."""
     d = df.select(*keys, marked(F.col(text)).alias("_m"))
     d = d.withColumn("_c", template(F.col("_m")))
     d = d.select(*keys, _tokens(F.col("_c")).alias("_w"),
                  F.when(F.instr("_c", "<") > 0, _tokens(F.col("_m"))).alias("_v"))
-    d = d.withColumn("_n", F.size("_w"))
-    out = None
+    return d.withColumn("_n", F.size("_w"))
+
+
+def _hashed(d: DataFrame, k: int, fits: str) -> DataFrame:
+    """Adds _h: the hashes of all windows of ``k`` tokens, null where ``fits`` fails. For a power of two
+    a window's hash is made of those of its halves; tokens are taken by position, since slice()
+    would copy the whole array for every window."""
+    if k & (k - 1):
+        at = ", ".join(f"get(_w, i + {x})" for x in range(k))
+        return d.withColumn("_h", F.expr(f"if({fits}, transform(sequence(0, _n - {k}), i -> xxhash64({at})), null)"))
+    half, now = 1, "_w"
+    while half < k // 2:
+        name = f"_h{half}"
+        d = d.withColumn(name, F.expr(f"transform({now}, (x, i) -> xxhash64(x, get({now}, i + {half})))"))
+        half, now = half * 2, name
+    pair = f"xxhash64(get({now}, i), get({now}, i + {half}))" if k > 1 else "xxhash64(get(_w, i))"
+    return d.withColumn("_h", F.expr(f"if({fits}, transform(sequence(0, _n - {k}), i -> {pair}), null)"))
+
+
+def window_hashes(df: DataFrame, keys: list[str], text: str, lengths: list[int]) -> DataFrame:
+    """One row per window: ``keys``, pos, len, h. The outer form of explode, since Spark would derive
+    a filter from the plain one and repeat the expressions of all columns inside it."""
+    d, out = _token_arrays(df, keys, text), None
     for k in lengths:
-        size = f"if(_n > 0 and _n < {k}, _n, {k})" if short_whole else f"{k}"
-        one = (f"named_struct('pos', i, 'len', {size}, 'h', xxhash64(slice(_w, i + 1, {size})),"
-               f" 'vals', if(_v is null, null, array_join(slice(_v, i + 1, {size}), ' ')))")
-        part = d.where(F.expr(f"_n >= {size} and _n > 0")).select(
-            *keys, F.explode(F.expr(f"transform(sequence(0, _n - {size}), i -> {one})")).alias("_x"))
-        part = part.select(*keys, "_x.pos", "_x.len", "_x.h", F.when(F.instr("_x.vals", "<") > 0, F.col("_x.vals")).alias("vals"))
+        part = _hashed(d, k, f"_n >= {k}").select(*keys, F.posexplode_outer("_h").alias("pos", "h"), F.lit(k).alias("len"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def windows(df: DataFrame, keys: list[str], text: str, lengths: list[int], short_whole: bool) -> DataFrame:
+    """As ``window_hashes``, with vals (the marked window, null if it has no slot). ``short_whole``: a
+    text below the first length is one window."""
+    d, out = _token_arrays(df, keys, text), None
+    for k in sorted({*lengths, *(range(1, max(lengths)) if short_whole else ())}):
+        part = _hashed(d, k, f"_n >= {k}" if k in lengths else f"_n = {k}")
+        vals = ", ".join(f"get(_v, i + {x})" for x in range(k))
+        one = f"named_struct('pos', i, 'h', x, 'vals', if(_v is null, null, concat_ws(' ', {vals})))"
+        part = part.select(*keys, F.explode_outer(F.expr(f"transform(_h, (x, i) -> {one})")).alias("_x"))
+        part = part.where("_x is not null").select(*keys, "_x.pos", F.lit(k).alias("len"), "_x.h",
+                                                   F.when(F.instr("_x.vals", "<") > 0, F.col("_x.vals")).alias("vals"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -88,9 +119,17 @@ def matches(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str
                  F.col("h").alias("item_h"), F.col("vals").alias("item_vals"))
     if b.count() <= BROADCAST_WINDOWS:
         b, size = F.broadcast(b), F.broadcast(size)
-    d = windows(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("t")),
-                ["doc_id", "text_hash"], "t", lengths or [window], False)
-    hit = d.join(b, (F.col("h") == F.col("item_h")) & (F.col("len") == F.col("item_len")))
+    src = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("t"))
+    at = (F.col("h") == F.col("item_h")) & (F.col("len") == F.col("item_len"))
+    lengths = lengths or [window]
+    # first the texts that share any window, by hashes alone; only those are looked at again with values
+    some = window_hashes(src, ["doc_id", "text_hash"], "t", lengths).join(b, at).select(
+        F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
+    some = written(some, "benchmark-candidates")
+    if some.count() <= BROADCAST_WINDOWS:
+        some = F.broadcast(some)
+    src = src.join(some, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left_semi")
+    hit = windows(src, ["doc_id", "text_hash"], "t", lengths, False).join(b, at)
     hit = hit.withColumn("shift", F.col("pos") - F.col("item_pos"))
     # slot pairs (item value, document value) of a window: tokens that are marked
     pairs = F.expr("filter(zip_with(split(item_vals, ' '), split(vals, ' '), (x, y) -> named_struct('i', x, 'd', y)),"
