@@ -16,8 +16,8 @@ A byte goes if a 400-byte string that covers it starts at two or more places of
    other direction. The longest match to the right (with its match to the left) and the
    longest to the left (with its match to the right) settle a context, if both matches have 400
    bytes, or if even the longest two together have less.
-4. The rest are settled exactly: all windows of the contexts of their gram are hashed (128
-   bits) and counted.
+4. The rest are settled exactly: the windows of the contexts of their gram are hashed (128 bits)
+   where they lie, counted with a map-side aggregation, and the repeated ones join back.
 5. Covered spans join back to the anchors and are merged for each text.
 
 Grams, contexts and windows are found by hashes of 64 and 128 bits. A colliding gram only costs
@@ -34,7 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqwright.llm import textnp as T
@@ -330,49 +330,52 @@ def _window_hashes(ahead, back, first, last, length: int):
     return tuple(np.concatenate(x) for x in (row, j, h1, h2))
 
 
+WINDOW_KEYS = "k1 bigint, k2 bigint"
+
+
 def exact_windows(contexts: DataFrame, length: int) -> DataFrame:
-    """(c1, c2, cl, cr): how far the repeated windows of each context reach before and after its
-    anchor, by 128-bit hashes of the windows of all contexts of a gram. Only windows within a
-    context's longest matches (``l2`` before, ``r1`` after the anchor) can repeat. Grams with more
-    than ``UNIT_ROWS`` contexts are dealt out by window position."""
-    size = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("size"))
-    work = contexts.where(f"l2 + r1 >= {length}").join(size, "gram").withColumn(
-        "parts", F.least(F.lit(length), F.ceil(F.col("size") / UNIT_ROWS)).cast("int"))
-    work = work.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))) \
-        .withColumn("unit", F.concat_ws(":", "gram", "part"))
+    """(c1, c2, cl, cr): how far the repeated windows of each open context reach before and after its
+    anchor. Only windows within a context's longest matches (``l2`` before, ``r1`` after the anchor)
+    can repeat; they are hashed where the context lies (128 bits, with gram and position) and counted
+    by Spark with a map-side aggregation, so no task holds a gram. Windows of contexts that are not
+    open only count, and travel only if they pass a filter over those of the open ones."""
+    spark = contexts.sparkSession
+    work = contexts.where(f"l2 + r1 >= {length}").select("gram", "c1", "c2", "ahead", "back", "l2", "r1", "open")
 
-    def run(batches):
-        for t in T.runs(batches, "unit"):
-            unit = t.column("unit").combine_chunks().dictionary_encode().indices.to_numpy().astype(U)
-            ahead, back = t.column("ahead").to_pylist(), t.column("back").to_pylist()
-            part, parts = t.column("part").to_numpy(), t.column("parts").to_numpy()
-            lowest = np.maximum(length - np.minimum(t.column("r1").to_numpy(), [len(x) for x in ahead]), 0)
-            highest = np.minimum(t.column("l2").to_numpy(), [len(x) for x in back])
-            cl, cr = np.full(len(unit), -1), np.full(len(unit), -1)
-            step = max(1, WINDOWS // len(unit))
-            for j0 in range(int(lowest.min()), int(highest.max()) + 1, step):
-                row, j, h1, h2 = _window_hashes(ahead, back, np.maximum(lowest, j0), np.minimum(highest, j0 + step - 1), length)
-                mine = j % parts[row] == part[row]
-                row, j, h1, h2 = row[mine], j[mine], h1[mine], h2[mine]
-                key = T.mix(h1 ^ T.mix(unit[row] * U(length + 1) + j.astype(U)))
-                order = np.argsort(key)
-                same = (key[order[1:]] == key[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
-                twice = np.zeros(len(order), bool)
-                twice[order[1:]] |= same
-                twice[order[:-1]] |= same
-                np.maximum.at(cl, row[twice], j[twice])
-                np.maximum.at(cr, row[twice], length - j[twice])
-            hit = np.flatnonzero(cl >= 0)
-            if len(hit):
-                k = t.take(pa.array(hit))
-                yield pa.RecordBatch.from_arrays(
-                    [k.column("c1").combine_chunks(), k.column("c2").combine_chunks(), pa.array(cl[hit].astype(np.int32)),
-                     pa.array(cr[hit].astype(np.int32))], names=["c1", "c2", "cl", "cr"])
-
-    n = int(work.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    got = work.select("unit", "part", "parts", "c1", "c2", "ahead", "back", "l2", "r1").repartition(n, "unit") \
-        .sortWithinPartitions("unit").mapInArrow(run, "c1 bigint, c2 bigint, cl int, cr int")
-    return got.groupBy("c1", "c2").agg(F.max("cl").alias("cl"), F.max("cr").alias("cr"))
+    def hashed(batches):
+        step = max(1, min(UNIT_ROWS, WINDOWS // length))
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                t = b.slice(lo, step)
+                ahead, back = t.column("ahead").to_pylist(), t.column("back").to_pylist()
+                lowest = np.maximum(length - np.minimum(t.column("r1").to_numpy(), [len(x) for x in ahead]), 0)
+                highest = np.minimum(t.column("l2").to_numpy(), [len(x) for x in back])
+                row, j, h1, h2 = _window_hashes(ahead, back, lowest, highest, length)
+                if len(row):
+                    gram = t.column("gram").to_numpy().view(U)[row]
+                    yield t, row, j, T.mix(h1 ^ T.mix(gram * U(length + 1) + j.astype(U))), h2
+
+    def of_open(batches):
+        for t, row, j, k1, k2 in hashed(batches):
+            c1, c2 = (t.column(c).to_numpy()[row] for c in ("c1", "c2"))
+            yield pa.RecordBatch.from_arrays([i64(k1), i64(k2), pa.array(j.astype(np.int32)), i64(c1), i64(c2)],
+                                             names=["k1", "k2", "j", "c1", "c2"])
+
+    # written, so that the join has a plain shuffle on both sides and a window of many contexts can be split
+    mine = written(work.where("open").mapInArrow(of_open, f"{WINDOW_KEYS}, j int, c1 bigint, c2 bigint"), "open-windows")
+    words, bits = bit_filter(mine, "k1")
+    sent = spark.sparkContext.broadcast(words)
+
+    def of_others(batches):
+        for _, _, _, k1, k2 in hashed(batches):
+            keep = in_filter(sent.value, bits, k1)
+            yield pa.RecordBatch.from_arrays([i64(k1[keep]), i64(k2[keep])], names=["k1", "k2"])
+
+    every = mine.select("k1", "k2").unionByName(work.where("not open").mapInArrow(of_others, WINDOW_KEYS))
+    twice = written(every.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k1", "k2"),
+                    "repeated-windows")
+    return mine.join(twice, ["k1", "k2"]).groupBy("c1", "c2").agg(
+        F.max("j").alias("cl"), (F.lit(length) - F.min("j")).alias("cr"))
 
 
 # ---------------------------------------------------------------- the operator
@@ -400,14 +403,14 @@ def repeated_spans(src: DataFrame, length: int, gram: int) -> DataFrame:
     open_ = F.col("nul") | (F.col("l2") + F.col("r1") >= length) & (
         (F.col("l1") + F.col("r1") < length) | (F.col("l2") + F.col("r2") < length))
     both = written(both.withColumn("open", open_), "settled")
-    # zero bytes make the neighbours' matches too short to bound anything
-    bounds = [F.when(F.max("nul").over(Window.partitionBy("gram")), most).otherwise(F.col(c)).alias(c)
-              for c, most in (("l2", F.lit(before)), ("r1", F.lit(length)))]
+    # grams with an open context; zero bytes make the neighbours' matches too short to bound anything
+    grams = written(both.groupBy("gram").agg(F.max("open").alias("any_open"), F.max("nul").alias("any_nul"))
+                    .where("any_open").select("gram", "any_nul"), "open-grams")
+    bounds = [F.when(F.col("any_nul"), most).otherwise(F.col(c)).alias(c) for c, most in (("l2", F.lit(before)), ("r1", F.lit(length)))]
     settled = both.where(f"not open and l1 + r1 >= {length} and l2 + r2 >= {length}") \
         .select("c1", "c2", F.col("l2").alias("cl"), F.col("r1").alias("cr"))
-    rest = suffixes.join(both.where("open").select("gram").distinct(), "gram", "left_semi") \
-        .join(both.select("c1", "c2", *bounds), ["c1", "c2"])
-    exact = exact_windows(rest, length).join(both.where("open").select("c1", "c2"), ["c1", "c2"], "left_semi")
+    rest = both.join(grams, "gram").select("c1", "c2", "open", *bounds).where(f"l2 + r1 >= {length}")
+    exact = exact_windows(suffixes.join(rest, ["c1", "c2"]), length)
     whole = contexts.where("n > 1").select("c1", "c2", F.col("l").alias("cl"), F.col("r").alias("cr"))
     cover = written(whole.unionByName(settled).unionByName(exact).groupBy("c1", "c2").agg(
         F.max("cl").alias("cl"), F.max("cr").alias("cr")), "cover")

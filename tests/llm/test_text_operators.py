@@ -147,6 +147,27 @@ def test_repeated_strings(docs, monkeypatch, bucket_rows, unit_rows):
                 len(t), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(left).hexdigest()), i
 
 
+def test_repeated_windows_of_a_hot_gram(spark, monkeypatch):
+    """Truncated copies of one passage: their contexts share a gram, and no call may hold all of them."""
+    whole = suffix_dedup._window_hashes
+
+    def few(ahead, back, *rest):
+        assert len(ahead) <= 4, "the contexts of a gram were brought together"
+        return whole(ahead, back, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "_window_hashes", few)
+    monkeypatch.setattr(suffix_dedup, "UNIT_ROWS", 4)
+    rng = np.random.default_rng(8)
+    passage = prose(20, 300)[:900]
+    all_texts = [prose(100 + i, 90) + " " + passage[a:a + int(rng.integers(300, 600))] + " " + prose(200 + i, 90)
+                 for i, a in enumerate(rng.integers(0, 400, 60))]
+    seen = Counter(t[p:p + 400] for t in all_texts for p in range(len(t) - 399))
+    want = {i: len({x for p in range(len(t) - 399) if seen[t[p:p + 400]] > 1 for x in range(p, p + 400)})
+            for i, t in enumerate(all_texts)}
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(all_texts)), "doc_id bigint, text string").repartition(1))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == want
+
+
 def test_repeated_strings_of_nothing(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
