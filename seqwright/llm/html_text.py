@@ -3,9 +3,12 @@
 The parser reads tags, text, comments and raw-text elements in one scan, and builds a tree with
 the end tags that HTML implies (``p`` before a block, ``li`` before ``li``, cells and rows of
 tables, options, definition lists; a stray end tag is dropped, an unclosed element ends with its
-parent). The layout pass leaves out what a browser does not show (scripts, styles, templates,
-the head, comments, ``hidden``, ``display:none``, ``visibility:hidden``, closed ``details``) and
-writes the rest: white space collapses except in ``pre``, blocks stand on lines of their own, and
+parent). A cell without a row gets one; text and other elements straight inside a table or row
+go before the table, as in a browser, and end where the table goes on. The layout pass leaves out
+what a browser does not show (scripts, styles, templates, the head, comments, ``hidden``,
+``display:none``, ``visibility:hidden``, closed ``details``, the fallback in frames, ``object``,
+media and ``canvas``, suggestions in ``datalist``, options that are not chosen, annotations of
+formulas, and what is not text in ``svg``) and writes the rest: white space collapses except in ``pre``, blocks stand on lines of their own, and
 paragraphs, headings, lists and tables have a blank line between them; list items have their
 bullet or number and are indented by depth; table cells are padded to aligned columns.
 
@@ -30,9 +33,10 @@ from pyspark.sql import functions as F
 # Element kinds of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title xmp iframe noembed noframes noscript".split())
-UNSEEN = set("head script style template title noscript iframe noembed noframes datalist object audio video canvas svg math "
-             "select textarea xmp map".split())
-SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
+UNSEEN = set("head script style template title noscript iframe noembed noframes datalist object audio video canvas "
+             "annotation annotation-xml".split())
+UNDRAWN = set("defs symbol desc metadata clippath mask pattern marker".split())
+SPACED = set("p h1 h2 h3 h4 h5 h6 ul ol dl table pre xmp blockquote figure hr".split())
 BLOCKS = SPACED | set("html body div section article nav aside header footer main address form fieldset legend li dt dd "
                       "figcaption details summary caption tr td th thead tbody tfoot hgroup search center menu dir dialog".split())
 CLOSES_P = SPACED | set("div section article nav aside header footer main address form fieldset figcaption details summary "
@@ -50,8 +54,21 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}),
     "optgroup": ({"option", "optgroup"}, {"select"}),
+    "input": ({"select"}, {"table"}),
+    "textarea": ({"select"}, {"table"}),
     "body": ({"head"}, set()),
 }
+SECTIONS = {"thead", "tbody", "tfoot"}
+# a part of a table ends everything up to one of the values
+TABLE_PARTS = {
+    **dict.fromkeys(("td", "th"), {"tr", *SECTIONS, "table"}),
+    "tr": {*SECTIONS, "table"},
+    **dict.fromkeys((*SECTIONS, "caption", "colgroup"), {"table"}),
+    "col": {"colgroup", "table"},
+}
+# elements that hold only parts of a table, and those that may stand there beside them
+TABLE_LEVELS = {"table", "tr", "colgroup", *SECTIONS}
+IN_TABLE = {*TABLE_PARTS, "script", "style", "template"}
 MAX_DEPTH = 200
 
 TOKEN = re.compile(
@@ -90,14 +107,36 @@ def parse(page: str) -> Node:
                 return None
         return None
 
+    def nearest(tags: set[str]) -> int:
+        """Position of the innermost open element of ``tags``, 0 if there is none in this template."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i].tag in tags:
+                return i
+            if stack[i].tag == "template":
+                break
+        return 0
+
+    def insert(node: Node | str) -> None:
+        """Into the open element; what may not stand straight in a table goes before the table."""
+        top = stack[-1]
+        if top.tag in TABLE_LEVELS and not (not node.strip() if isinstance(node, str) else node.tag in IN_TABLE or hidden(node)):
+            i = nearest({"table"})
+            if i:
+                if top.tag == "colgroup":
+                    stack.pop()
+                before = stack[i - 1].kids  # its last element is the open table
+                before.insert(len(before) - 1, node)
+                return
+        top.kids.append(node)
+
     at, n = 0, len(page)
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
-            stack[-1].kids.append(entities.unescape(page[at:]))
+            insert(entities.unescape(page[at:]))
             break
         if m.start() > at:
-            stack[-1].kids.append(entities.unescape(page[at:m.start()]))
+            insert(entities.unescape(page[at:m.start()]))
         at = m.end()
         end, start, rest = m.groups()
         if start:
@@ -106,9 +145,20 @@ def parse(page: str) -> Node:
                 close({"p"}, {"td", "th", "li", "table", "button", "object", "caption"})
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
+            if tag in TABLE_PARTS and nearest({"table"}):
+                del stack[nearest(TABLE_PARTS[tag]) + 1:]
+                if tag in ("td", "th") and stack[-1].tag != "tr" and len(stack) < MAX_DEPTH:
+                    row = Node("tr")
+                    stack[-1].kids.append(row)
+                    stack.append(row)
+            elif stack[-1].tag in TABLE_LEVELS and nearest({"table"}):
+                if tag == "form":
+                    continue  # holds nothing there
+                if tag == "table":
+                    del stack[nearest({"table"}):]
             node = Node(tag, attributes(rest) if rest.strip(" /\n\t") else None)
             if len(stack) < MAX_DEPTH or tag in VOID or tag in RAW:
-                stack[-1].kids.append(node)
+                insert(node)
             else:
                 node = None  # too deep: its content goes to the ancestor
             if tag in RAW:
@@ -121,7 +171,7 @@ def parse(page: str) -> Node:
         elif end:
             tag = end.lower()
             if tag == "br":
-                stack[-1].kids.append(Node("br"))
+                insert(Node("br"))
             else:
                 barrier = "table" if tag not in ("table", "html", "body") else None
                 for i in range(len(stack) - 1, 0, -1):
@@ -251,6 +301,23 @@ def render(nodes, w: Writer, counts: Counts, depth: int = 0, pre: bool = False)
         elif tag == "input":
             if node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text"):
                 w.text(" " + node.attrs.get("value", "") + " ")
+        elif tag == "select":
+            w.text(" ")
+            for option in chosen(node):
+                if option.attrs.get("label"):
+                    w.text(option.attrs["label"])
+                else:
+                    render(option.kids, w, counts, depth + 1)
+                w.text(" ")
+        elif tag == "textarea":
+            w.break_(1)
+            render([re.sub(r"\A\r?\n", "", k) for k in node.kids], w, counts, depth + 1, True)
+            w.break_(1)
+        elif tag == "svg":
+            w.text(" ")
+            for drawn in drawn_text(node):
+                render(drawn.kids, w, counts, depth + 1)
+                w.text(" ")
         elif tag == "table":
             counts.tables += 1
             table(node, w, counts, depth)
@@ -270,7 +337,7 @@ def render(nodes, w: Writer, counts: Counts, depth: int = 0, pre: bool = False)
                 render(node.kids, sub, counts, depth + 1, pre)
                 w.block(["  " + x if x else x for x in sub.result()], gap)
             else:
-                render(node.kids, w, counts, depth + 1, pre or tag == "pre")
+                render(node.kids, w, counts, depth + 1, pre or tag in ("pre", "xmp"))
             w.break_(gap)
         else:
             if tag == "q":
@@ -280,6 +347,29 @@ def render(nodes, w: Writer, counts: Counts, depth: int = 0, pre: bool = False)
                 w.text('"')
 
 
+def within(node: Node, tags: set[str], skip: set[str]):
+    """The outermost elements of ``tags`` below a node, in order, not inside ``skip`` or hidden ones."""
+    for kid in node.kids:
+        if isinstance(kid, Node) and kid.tag not in skip and not hidden(kid):
+            if kid.tag in tags:
+                yield kid
+            else:
+                yield from within(kid, tags, skip)
+
+
+def drawn_text(svg: Node):
+    return within(svg, {"text", "foreignobject"}, UNDRAWN)
+
+
+def chosen(select: Node) -> list[Node]:
+    """The options that a select shows: all in a list box, else the last selected or the first enabled."""
+    options = list(within(select, {"option"}, set()))
+    if "multiple" in select.attrs or span(select.attrs.get("size")) > 1:
+        return options
+    picked = [o for o in options if "selected" in o.attrs]
+    return picked[-1:] or [o for o in options if "disabled" not in o.attrs][:1]
+
+
 def listing(node: Node, w: Writer, counts: Counts, depth: int) -> None:
     lines: list[str] = []
     number = int(node.attrs["start"]) if re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 1

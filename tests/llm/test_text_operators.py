@@ -387,6 +387,23 @@ def test_html_text(page, text):
     assert html_text.to_text(page)[0] == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<table><td>a</table>", "a"), ("<table><tbody><td>a<td>b<tr><td>c</table>", "a | b\nc"),
+    *[(f"<table><{t}><tr><td>a<td>b<tr><td>c</{t}></table>z", "a | b\nc\n\nz") for t in ("form", "font", "a", "center", "div", "tbody><form")],
+    ("x<table>in<tr>row<td>a</td>after<b>bold</b></tr><p>par</table>", "xinrowafterbold\n\npar\n\na"),
+    ("<table style='display:none'>seen<tr><td>no</table>", "seen"), ("<table><colgroup><col>t<tr><td>a</table>", "t\n\na"),
+    ("<table><tr><td>a<table><tr><td>b</table>c</table>", "a\n\nb\n\nc"), ("<table><tr><td>a<tr><table><td>b</table>", "a\n\nb"),
+    ("<table><caption>t<tr><td>a<input type=hidden value=n></table>", "t\n\na"),
+    ("a<textarea>\nb &amp;\n  c</textarea>d", "a\nb &\n  c\nd"), ("<xmp>a <b>\n c</xmp>d", "a <b>\n c\n\nd"),
+    ("a<select><option>b<option selected>c</select>d", "a c d"), ("a<select><option disabled>b<option>c<option>e</select>d", "a c d"),
+    ("<select multiple><option>a<optgroup label=g><option label=l>b</select>", "a l"), ("<select><option>a<input value=b>c", "a b c"),
+    ("<math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>tex</annotation></semantics></math>", "x=1"),
+    ("a<svg>no<title>no</title><defs><text>no</text></defs><g><text>b<tspan>c</tspan></text><path/></g></svg>d", "a bc d"),
+    ("<map><area>a</map>", "a")])
+def test_html_text_in_tables_and_controls(page, text):
+    assert html_text.to_text(page)[0] == text
+
+
 def test_html_extract(spark):
     d = spark.createDataFrame([(1, "<p>a", 3), (1, "<p>a", 3), (2, None, 4)], "page_id bigint, html string, text int")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(d).collect()) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]
