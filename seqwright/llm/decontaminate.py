@@ -2,7 +2,9 @@
 
 ``canonical`` turns a text into template tokens: numbers become ``<num>``, a unit after a number
 ``<unit>``, a capitalised word inside a sentence ``<name>`` (not one all in capitals); the rest is lower-cased words
-without punctuation. The marked form keeps each value (``<num=12>``), token by token beside it.
+without punctuation. A second, wide form has ``<name>`` for every capitalised word wherever it stands (also
+McDonald), but not for ``NO_NAMES``, which open sentences. Both forms have the same tokens by position, and a
+window may match by either; neither depends on the text around, so a copy always has its item's windows. The marked form keeps each value (``<num=12>``), token by token beside it.
 
 Benchmark items and documents are cut into windows of ``WINDOW`` template tokens (an item with
 fewer is one window of its own length, and documents get windows of that length too). Windows
@@ -37,11 +39,23 @@ UNITS = ("kg g mg lb lbs oz km m cm mm mi mile miles ft feet foot inch inches ya
          "min second seconds sec day days week weeks month months year years dollar dollars cent cents euro euros usd eur "
          "percent liter liters litre litres ml pound pounds ton tons degree degrees mph kmh watt watts").split()
 
+# Words that are capitalised at the start of a sentence only.
+NO_NAMES = ("The An This That These Those There Here He She It They We You His Her Its Their Our Your My Each Every All Both Some "
+            "Any No None Many Most Few Several Another One Two Three Four Five Six Seven Eight Nine Ten How What When Where Which "
+            "Who Whose Whom Why If Then Else So But And Or Nor Yet For From In On At By To Of Off With Without Into Over Under "
+            "Between Before After During Until While Since Because Although Though Once As Is Are Was Were Do Does Did Has Have "
+            "Had Can Could Should Would Shall Must Not Only Also Now Later Next Last First Second Third Finally Suppose Given Let "
+            "Find Calculate Determine Assume Yes Question Answer Mr Mrs Ms Dr").split()
 
-def marked(text: Column) -> Column:
+
+def marked(text: Column, wide: bool = False) -> Column:
     """The template with values, tokens separated by single spaces."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "[<>=]+", " ")
-    t = F.regexp_replace(t, "(?<=[\\p{Ll},;:]\\s)\\p{Lu}\\p{Ll}++(?!\\p{L})", "<name=$0>")
+    name = "(?<=[\\p{Ll},;:]\\s)\\p{Lu}\\p{Ll}++(?!\\p{L})"
+    if wide:
+        name = (f"(?<!\\p{{L}})(?=\\p{{Lu}})(?!(?:{'|'.join(NO_NAMES)})(?!\\p{{L}}))"
+                "(?=[\\p{L}&&[^\\p{Ll}]]++\\p{Ll})\\p{L}++")
+    t = F.regexp_replace(t, name, "<name=$0>")
     t = F.regexp_replace(t, "[0-9]++(?:[.,][0-9]++)*+", " <num=$0> ")
     t = F.regexp_replace(t, f"(?i)(?<=> {{1,2}})({'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", "<unit=$1>")
     t = F.regexp_replace(t, "[^\\p{L}\\p{N}<>=.,]++|(?<![0-9])[.,]++|[.,]++(?![0-9])", " ")
@@ -56,9 +70,9 @@ def _tokens(col: Column) -> Column:
     return F.when(col == "", F.array().cast("array<string>")).otherwise(F.split(col, " "))
 
 
-def _token_arrays(df: DataFrame, keys: list[str], text: str) -> DataFrame:
+def _token_arrays(df: DataFrame, keys: list[str], text: str, wide: bool) -> DataFrame:
     """``keys``, _w (template tokens), _v (marked tokens, null if the text has no slot), _n."""
-    d = df.select(*keys, marked(F.col(text)).alias("_m"))
+    d = df.select(*keys, marked(F.col(text), wide).alias("_m"))
     d = d.withColumn("_c", template(F.col("_m")))
     d = d.select(*keys, _tokens(F.col("_c")).alias("_w"),
                  F.when(F.instr("_c", "<") > 0, _tokens(F.col("_m"))).alias("_v"))
@@ -82,11 +96,13 @@ def _hashed(d: DataFrame, k: int, fits: str) -> DataFrame:
 
 
 def window_hashes(df: DataFrame, keys: list[str], text: str, lengths: list[int]) -> DataFrame:
-    """One row per window: ``keys``, pos, len, h. The outer form of explode, since Spark would derive
+    """One row per window and form: ``keys``, pos, len, h, wide. The outer form of explode, since Spark would derive
     a filter from the plain one and repeat the expressions of all columns inside it."""
-    d, out = _token_arrays(df, keys, text), None
-    for k in lengths:
-        part = _hashed(d, k, f"_n >= {k}").select(*keys, F.posexplode_outer("_h").alias("pos", "h"), F.lit(k).alias("len"))
+    out = None
+    for wide, k in ((w, k) for w in (False, True) for k in lengths):
+        d = _token_arrays(df, keys, text, wide)
+        part = _hashed(d, k, f"_n >= {k}").select(*keys, F.posexplode_outer("_h").alias("pos", "h"), F.lit(k).alias("len"),
+                                                  F.lit(wide).alias("wide"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -94,14 +110,16 @@ def window_hashes(df: DataFrame, keys: list[str], text: str, lengths: list[int])
 def windows(df: DataFrame, keys: list[str], text: str, lengths: list[int], short_whole: bool) -> DataFrame:
     """As ``window_hashes``, with vals (the marked window, null if it has no slot). ``short_whole``: a
     text below the first length is one window."""
-    d, out = _token_arrays(df, keys, text), None
-    for k in sorted({*lengths, *(range(1, max(lengths)) if short_whole else ())}):
+    out, every = None, sorted({*lengths, *(range(1, max(lengths)) if short_whole else ())})
+    for wide, k in ((w, k) for w in (False, True) for k in every):
+        d = _token_arrays(df, keys, text, wide)
         part = _hashed(d, k, f"_n >= {k}" if k in lengths else f"_n = {k}")
         vals = ", ".join(f"get(_v, i + {x})" for x in range(k))
         one = f"named_struct('pos', i, 'h', x, 'vals', if(_v is null, null, concat_ws(' ', {vals})))"
         part = part.select(*keys, F.explode_outer(F.expr(f"transform(_h, (x, i) -> {one})")).alias("_x"))
         part = part.where("_x is not null").select(*keys, "_x.pos", F.lit(k).alias("len"), "_x.h",
-                                                   F.when(F.instr("_x.vals", "<") > 0, F.col("_x.vals")).alias("vals"))
+                                                   F.when(F.instr("_x.vals", "<") > 0, F.col("_x.vals")).alias("vals"),
+                                                   F.lit(wide).alias("wide"))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -114,13 +132,13 @@ def matches(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str
                          F.col(item_text).alias("t")).dropDuplicates(["item_id", "item_hash"])
     b = written(windows(items, ["item_id", "item_hash"], "t", [window], True), "benchmark-windows")
     lengths = [r[0] for r in b.select("len").distinct().collect()]  # at most `window` numbers
-    size = b.groupBy("item_id", "item_hash").agg(F.count(F.lit(1)).alias("n_windows"))
+    size = b.where("not wide").groupBy("item_id", "item_hash").agg(F.count(F.lit(1)).alias("n_windows"))
     b = b.select("item_id", "item_hash", F.col("pos").alias("item_pos"), F.col("len").alias("item_len"),
-                 F.col("h").alias("item_h"), F.col("vals").alias("item_vals"))
+                 F.col("h").alias("item_h"), F.col("vals").alias("item_vals"), F.col("wide").alias("item_wide"))
     if b.count() <= BROADCAST_WINDOWS:
         b, size = F.broadcast(b), F.broadcast(size)
     src = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).alias("t"))
-    at = (F.col("h") == F.col("item_h")) & (F.col("len") == F.col("item_len"))
+    at = (F.col("h") == F.col("item_h")) & (F.col("len") == F.col("item_len")) & (F.col("wide") == F.col("item_wide"))
     lengths = lengths or [window]
     # first the texts that share any window, by hashes alone; only those are looked at again with values
     some = window_hashes(src, ["doc_id", "text_hash"], "t", lengths).join(b, at).select(
@@ -138,14 +156,14 @@ def matches(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str
     literal = F.col("len") - F.coalesce(F.size("pairs"), F.lit(0))
     hit = hit.withColumn("poor", F.col("vals").isNotNull() & (literal * 2 < F.col("len")))
     pair = ["doc_id", "text_hash", "item_id", "item_hash"]
-    slots = hit.where("pairs is not null").select(*pair, "shift", F.explode("pairs").alias("p"))
-    slots = slots.groupBy(*pair, "shift").agg(F.count_distinct("p").alias("n"), F.count_distinct("p.i").alias("ni"),
+    slots = hit.where("pairs is not null").select(*pair, "shift", "wide", F.explode("pairs").alias("p"))
+    slots = slots.groupBy(*pair, "shift", "wide").agg(F.count_distinct("p").alias("n"), F.count_distinct("p.i").alias("ni"),
                                               F.count_distinct("p.d").alias("nd"))
-    bad = slots.where("n != ni or n != nd").select(*[F.col(c).alias(f"_{c}") for c in (*pair, "shift")])
+    bad = slots.where("n != ni or n != nd").select(*[F.col(c).alias(f"_{c}") for c in (*pair, "shift", "wide")])
     same = F.col("vals").isNull() | (F.col("vals") == F.col("item_vals"))
     free = hit.where(same)  # equal values need no further check
     other = hit.where(~same & ~F.col("poor"))
-    cond = F.col("shift") == F.col("_shift")
+    cond = (F.col("shift") == F.col("_shift")) & (F.col("wide") == F.col("_wide"))
     for c in pair:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
     good = free.withColumn("changed", F.lit(False)).unionByName(

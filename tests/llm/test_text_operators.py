@@ -253,6 +253,24 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.matches(empty, bench).count() == 0
 
 
+def test_decontamination_of_renamed_sentence_starts(spark):
+    one = "Anna has 3 apples. Anna eats 1 apple. Anna buys 5 apples. How many apples has Anna?"
+    two = '"McDonald grows 7 pears," says Mr. Miller. "Miller sells 2 pears to McDonald." How many pears are left?'
+    bench = spark.createDataFrame([(1, one), (2, two)], "item_id bigint, text string")
+    renamed = {"Anna": "Bob", "3": "8", "1": "2", "5": "9"}
+    other = {"McDonald": "Smith", "Miller": "MacArthur", "7": "6", "2": "4"}
+    first = re.sub(r"Anna|\d", lambda m: renamed[m[0]], one)
+    second = re.sub(r"McDonald|Miller|\d", lambda m: other[m[0]], two)
+    noise = "Bob came. The end. Bob left. The old apples. How are you? How nice. "
+    rows = [(1, one), (2, first), (3, noise + first + " " + noise), (4, noise + one + " Anna slept."), (5, second),
+            (6, first.replace("Bob buys", "Carl buys").replace("has Bob", "has Dora")),  # one name for three: no renaming
+            (7, "Bob likes pears. How many pears does Bob like?")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.matches(d, bench).collect()}
+    assert got == {(1, 1): False, (2, 1): True, (3, 1): True, (4, 1): False, (5, 2): True}
+    assert sorted(r.doc_id for r in decontaminate.clean(d, bench).collect()) == [6, 7]
+
+
 def rows_text():
     return "the same id but another text that has nothing to do with the benchmark at all"
 
