@@ -393,6 +393,23 @@ def test_license_scan(spark, docs, empty):
     assert all(re.search(licenses.ANCHOR[4:], t, re.I) for ts in licenses.TEMPLATES.values() for t in ts)
 
 
+def test_license_scan_of_wrapped_notices(spark, docs):
+    mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation "
+           "files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, "
+           "modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, subject to the following conditions:")
+    bsd = ("Redistribution\nand use in source and binary forms, with or without\nmodification, are permitted provided that the following "
+           "conditions are met:")
+    gpl = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as "
+           "published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.")
+    notices = {400: (f"A title\n\n{mit}\n\nThe end", "MIT", 2),
+               401: ("/*\n * A tool.\n *\n" + "\n".join(f" * {x}" for x in bsd.split("\n")) + "\n */\nint x;", "BSD", 3),
+               402: ("\n".join(f"# {x}" for x in gpl.split("\n")) + "\r\n#\r\n\r\nimport os", "GPL-3.0", 0),
+               403: ("dnl " + bsd.replace("\n", "\ndnl "), "BSD", 0)}
+    d = spark.createDataFrame([(i, t) for i, (t, *_) in notices.items()], "doc_id bigint, text string")
+    got = [(r.doc_id, r.family, r.paragraph) for r in licenses.scan(d, model=licenses.train(docs)).collect()]
+    assert sorted(got) == [(i, f, n) for i, (_, f, n) in notices.items()]
+
+
 # ---------------------------------------------------------------- 2
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("<p>a<p>b", "a\n\nb"), ("<ul><li>x<li>y<ol start=3><li>k<li>l</ol></ul>z", "- x\n- y\n  3. k\n  4. l\n\nz"),
