@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwright.llm import decontaminate, html_text, licenses, lm_scoring, mixing, quality_rules, setsketch, suffix_dedup, token_shards, url_filter
+from seqwright.llm import decontaminate, html_text, licenses, lm_scoring, mixing, quality_rules, setsketch, suffix_dedup, token_shards, url_filter, warc
 from seqwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,21 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License paragraphs of every document with their family."""
     return licenses.scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+# ---------------------------------------------------------------- 11 WARC
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, (i // 4) * 5 + 1, 5) AS BIGINT)
+    >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN page_id IS DISTINCT FROM first AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM g"""
+
+
+@query("op11_warc", WARC_SQL)
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through their merged index."""
+    index = warc.archived(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
