@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwright.llm import decontaminate, html_text, licenses, lm_scoring, mixing, quality_rules, setsketch, suffix_dedup, token_shards, url_filter, warc
+from seqwright.llm import (conversations, decontaminate, html_text, licenses, lm_scoring, mixing, quality_rules, setsketch, suffix_dedup,
+                           token_shards, url_filter, warc)
 from seqwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +185,11 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back through their merged index."""
     index = warc.archived(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+# ---------------------------------------------------------------- 12 conversation structure repair
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return conversations.repaired(conversations.damaged(rows))
