@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqwright.llm import (conversations, decontaminate, html_text, licenses, lm_scoring, mixing, quality_rules, setsketch, suffix_dedup,
-                           token_shards, url_filter, warc)
+from seqwright.llm import (conversations, decontaminate, html_text, licenses, lm_scoring, mixing, phrases, quality_rules, setsketch,
+                           suffix_dedup, token_shards, url_filter, warc)
 from seqwright.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,30 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every damaged conversation."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     return conversations.repaired(conversations.damaged(rows))
+
+
+# ---------------------------------------------------------------- 13 phrase collocations
+PHRASE_SQL = """
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM w, unnest(range(1, 6)) AS a(k), unnest(range(1, len(w) - k + 2)) AS b(i)),
+f AS (SELECT lang, k, phrase, count(*) AS c FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+h AS (SELECT * FROM f WHERE c >= 100),
+x AS (SELECT h.lang, h.k, h.phrase, h.c AS a, j, array_to_string(string_split(h.phrase, ' ')[:j], ' ') AS s1,
+        array_to_string(string_split(h.phrase, ' ')[j + 1:], ' ') AS s2 FROM h, unnest(range(1, k)) AS u(j) WHERE h.k > 1),
+s AS (SELECT x.*, l.c AS l, r.c AS r, t.n, CAST((1000::HUGEINT * a * t.n) // (l.c::HUGEINT * r.c) AS BIGINT) AS score
+      FROM x JOIN h l ON l.lang = x.lang AND l.phrase = s1 JOIN h r ON r.lang = x.lang AND r.phrase = s2 JOIN t ON t.lang = x.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+d AS (SELECT DISTINCT q.lang, q.phrase FROM h q JOIN (SELECT lang, c, unnest([array_to_string(string_split(phrase, ' ')[1:k - 1], ' '),
+        array_to_string(string_split(phrase, ' ')[2:k], ' ')]) AS inside FROM h WHERE k > 2) y
+      ON y.lang = q.lang AND y.inside = q.phrase AND 100 * y.c >= 100 * q.c),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN d USING (lang, phrase))
+SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, score FROM o WHERE rank <= 2000"""
+
+
+@query("op13_collocations", PHRASE_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first 2,000 collocations of 2 to 5 words."""
+    return phrases.collocations(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
