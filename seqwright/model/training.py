@@ -60,11 +60,13 @@ class StepConfig:
     piece_windows: int = 1024  # windows per piece when split_users
     shared_bytes: int | None = None  # item-table bound (MAX_SHARED_BYTES); above it: blocked step
     batch_rows: int | None = None    # rows per piece of an Arrow batch (tests)
+    emit_state: bool = False         # carry mode: 'state' rows (user, state, summed loss, positions, hits)
 
 
 def _union(rows: DataFrame, user_w: DataFrame, piece_windows: int | None = None,
-           extra: tuple[str, ...] = ()) -> DataFrame:
-    """Weight rows and event rows in one frame. With ``piece_windows`` a user's windows are
+           extra: tuple[str, ...] = (), init_state: DataFrame | None = None) -> DataFrame:
+    """Weight rows and event rows in one frame; a weight row carries the user's state at the start (``h0``, null:
+    zero). With ``piece_windows`` a user's windows are
     grouped into pieces of that many windows (``wpiece``) and the weight row is replicated
     once per piece the batch touches; only those users' rows are sent."""
     ev = rows.select("user", F.lit(1).alias("kind"), F.col("seg").cast("bigint"), F.col("pos").cast("bigint"),
@@ -72,6 +74,12 @@ def _union(rows: DataFrame, user_w: DataFrame, piece_windows: int | None = None,
                      *[F.lit(None).cast("array<double>").alias(c) for c in ("gate", "cand", "gate_ms", "cand_ms")],
                      *[F.col(c) for c in extra])
     w = user_w.select("user", "gate", "cand", "gate_ms", "cand_ms")
+    none = F.lit(None).cast("array<double>")
+    ev = ev.withColumn("h0", none)
+    if init_state is not None:
+        w = w.join(init_state.select("user", F.col("h").alias("h0")), "user", "left")
+    else:
+        w = w.withColumn("h0", none)
     if piece_windows:
         piece = F.floor(F.col("seg") / piece_windows).cast("bigint")
         ev = ev.withColumn("wpiece", piece)
@@ -85,17 +93,18 @@ def _union(rows: DataFrame, user_w: DataFrame, piece_windows: int | None = None,
     ev = ev.withColumn("npieces", F.lit(None).cast("bigint"))
     wt = w.select("user", F.lit(0).alias("kind"), *[F.lit(None).cast("bigint").alias(c)
                                                     for c in ("seg", "pos", "item", "target")],
-                  "gate", "cand", "gate_ms", "cand_ms", "wpiece", F.col("npieces").cast("bigint"),
-                  *[F.lit(None).cast("array<double>").alias(c) for c in extra])
+                  "gate", "cand", "gate_ms", "cand_ms", "h0", "wpiece", F.col("npieces").cast("bigint"),
+                  *[none.alias(c) for c in extra])
     return wt.unionByName(ev)
 
 
 def step_frame(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w: DataFrame,
                shared_w: DataFrame, cfg: StepConfig, scale: float, partitions: int | None = None,
-               blocked: bool = False) -> DataFrame:
+               blocked: bool = False, init_state: DataFrame | None = None) -> DataFrame:
     """The per-task output of one step (lazy): updated user rows ('user'), partial item and
     bias gradients ('item', 'bias'), raw user gradients ('user_grad', with update=False) and
-    loss statistics ('stat').
+    loss statistics ('stat'). With state carry users start from ``init_state`` (user, h), and with
+    ``cfg.emit_state`` a 'state' row per user has the state at its last position.
 
     ``blocked=True``: no task holds the item table; ``rows`` carry the item input vectors
     (``xg``, ``xc``) and dL/dh from the output layer (``dh``) per position, and item input
@@ -111,7 +120,7 @@ def step_frame(spark: SparkSession, rows: DataFrame, user_w: DataFrame, item_w:
     P = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     split = cfg.split_users and not cfg.carry
     keys = ["user", "wpiece"] if split else ["user"]
-    data = _union(rows, user_w, cfg.piece_windows if split else None, ("xg", "xc", "dh") if blocked else ())
+    data = _union(rows, user_w, cfg.piece_windows if split else None, ("xg", "xc", "dh") if blocked else (), init_state)
     data = data.repartition(P, *keys).sortWithinPartitions("user", "wpiece", "kind", "seg", "pos")
     return data.mapInPandas(_make_step(bsh, cfg, scale, blocked), STEP_SCHEMA)
 
@@ -129,6 +138,7 @@ def _make_step(bsh, cfg: StepConfig, scale: float, blocked: bool = False):
         iacc = {}           # blocked: item -> summed input-vector gradient (gate_in ++ cand_in)
         users = {}          # (user, piece) -> [G, C, G_ms, C_ms, gG, gC, touched, npieces]
         order = []          # keys in arrival (= sort) order, not yet emitted
+        tally = {}          # key -> [loss, positions, hits] (emit_state)
         carried = {}        # key -> state at the end of its last processed chunk (carry mode)
         pending = None      # rows of the (user, piece, seg) run that may continue in the next batch
 
@@ -191,7 +201,7 @@ def _make_step(bsh, cfg: StepConfig, scale: float, blocked: bool = False):
                         else:
                             iacc[i] = v
                 else:
-                    loss, nval, hits, _, g, hT = cell.loss_and_grads(
+                    loss, nval, hits, cost, g, hT = cell.loss_and_grads(
                         h0, G, C, items, targets, mask, sh, scale, cfg.act, cfg.reset_gate, cfg.mask_zero)
                     stats[0] += loss
                     stats[1] += nval
@@ -207,6 +217,10 @@ def _make_step(bsh, cfg: StepConfig, scale: float, blocked: bool = False):
                     st[6] = True
                     if cfg.carry:
                         carried[keys[k]] = hT[j]
+                    if cfg.emit_state:
+                        seen = tally.setdefault(keys[k], [0.0, 0])
+                        seen[0] += 0.0 if blocked else float(cost[j])
+                        seen[1] += int(mask[j].sum())
 
         def emit(upto=None):
             """Emit every open key before ``upto`` (all with None): its events are done."""
@@ -214,7 +228,9 @@ def _make_step(bsh, cfg: StepConfig, scale: float, blocked: bool = False):
             while order and (upto is None or order[0] < upto):
                 key = order.pop(0)
                 G, C, Gm, Cm, gG, gC, touched, npieces = users.pop(key)
-                carried.pop(key, None)
+                state = carried.pop(key, None)
+                if cfg.emit_state and state is not None:
+                    out.append(("state", key[0], state, None, None, None, *tally.pop(key, (0.0, 0)), 0.0))
                 # a user whose windows are in several pieces (other tasks) sends partial
                 # gradients to be summed; every other user is complete here
                 if not cfg.update or (split and npieces > 1):
@@ -237,6 +253,8 @@ def _make_step(bsh, cfg: StepConfig, scale: float, blocked: bool = False):
                               np.asarray(row.gate_ms, float).reshape(H, 2 * H),
                               np.asarray(row.cand_ms, float).reshape(H, H),
                               np.zeros((H, 2 * H)), np.zeros((H, H)), False, int(row.npieces)]
+                if cfg.carry and row.h0 is not None:
+                    carried[key] = np.asarray(row.h0, float)
                 order.append(key)
             ev = pdf[pdf["kind"] == 1]
             if pending is not None:
@@ -321,10 +339,8 @@ class Tables:
     shared_w: DataFrame
 
 
-def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig,
-               workdir: str | None = None) -> tuple[Tables, dict]:
-    """Add up the partial gradients of a written step output and update the item and bias
-    tables; returns the new tables (written and read back) and the step statistics."""
+def updated_users(res: DataFrame, user_w: DataFrame, cfg: StepConfig) -> DataFrame:
+    """All rows of ``user_w`` after a written step output: rows of users outside the step as they are."""
     H = cfg.hidden
     done = res.where(F.col("kind") == "user").select(
         F.col("id").alias("user"), F.col("v1").alias("gate"), F.col("v2").alias("cand"),
@@ -338,14 +354,17 @@ def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig,
         ug = res.where(F.col("kind") == "user_grad").select("id", F.concat("v1", "v2").alias("v1"))
         ug = sum_arrays(ug, "id").select(F.col("id").alias("user"), F.slice("v1", 1, 2 * H * H).alias("g_gate"),
                                          F.slice("v1", 2 * H * H + 1, H * H).alias("g_cand"))
-        multi = t.user_w.join(ug, "user")
+        multi = user_w.join(ug, "user")
         multi = with_rmsprop(multi, "gate", "g_gate", "gate_ms", cfg.lr, cfg.rho, cfg.eps)
         multi = with_rmsprop(multi, "cand", "g_cand", "cand_ms", cfg.lr, cfg.rho, cfg.eps)
         changed = done.unionByName(multi.select(*cols))
-    rest = t.user_w.select(*cols).join(changed.select("user"), "user", "left_anti")
-    up = scratch_path(spark, "user_w", workdir)
-    rest.unionByName(changed.select(*cols)).write.mode("overwrite").parquet(up)
-    user_w = spark.read.parquet(up)
+    rest = user_w.select(*cols).join(changed.select("user"), "user", "left_anti")
+    return rest.unionByName(changed.select(*cols))
+
+
+def updated_shared(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig) -> tuple[DataFrame, DataFrame, dict]:
+    """The item and bias tables after a written step output (lazy), and the step's statistics."""
+    H = cfg.hidden
     gi = sum_arrays(res.where(F.col("kind") == "item").select("id", "v1"), "id")
     gi = gi.select(F.col("id").alias("item"), F.slice("v1", 1, 2 * H).alias("g_gate_in"),
                    F.slice("v1", 2 * H + 1, H).alias("g_cand_in"), F.slice("v1", 3 * H + 1, H).alias("g_out"))
@@ -368,12 +387,21 @@ def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig,
     g_rows = [("gate_bias", gbv[:2 * H]), ("cand_bias", gbv[2 * H:])]
     g_df = spark.createDataFrame(g_rows, "name STRING, g ARRAY<DOUBLE>")
     sw = with_rmsprop(t.shared_w.join(g_df, "name", "left"), "v", "g", "ms", cfg.lr, cfg.rho, cfg.eps)
-    shared_w = sw.select("name", "v", "ms")
+    return item_w, sw.select("name", "v", "ms"), {"loss": tot["loss"], "n": tot["cnt"], "hits": tot["hits"]}
+
+
+def apply_step(spark: SparkSession, res: DataFrame, t: Tables, cfg: StepConfig,
+               workdir: str | None = None) -> tuple[Tables, dict]:
+    """Add up the partial gradients of a written step output and update all tables; returns the
+    new tables (written and read back) and the step statistics."""
+    up = scratch_path(spark, "user_w", workdir)
+    updated_users(res, t.user_w, cfg).write.mode("overwrite").parquet(up)
+    user_w = spark.read.parquet(up)
+    item_w, shared_w, stat = updated_shared(spark, res, t, cfg)
     ip, sp = scratch_path(spark, "item_w", workdir), scratch_path(spark, "shared_w", workdir)
     item_w.write.mode("overwrite").parquet(ip)
     shared_w.write.mode("overwrite").parquet(sp)
-    new = Tables(user_w, spark.read.parquet(ip), spark.read.parquet(sp))
-    return new, {"loss": tot["loss"], "n": tot["cnt"], "hits": tot["hits"]}
+    return Tables(user_w, spark.read.parquet(ip), spark.read.parquet(sp)), stat
 
 
 def train_step(spark: SparkSession, rows: DataFrame, t: Tables, cfg: StepConfig,
