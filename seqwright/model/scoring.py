@@ -16,9 +16,8 @@ windows, with the user's weight row replicated once per piece.
 Item vectors. When the item table fits the size bound (``MAX_SHARED_BYTES``) every
 task holds it as numpy arrays. Above the bound, the input vectors are joined onto
 the event rows (a shuffle join on ``item``), the fold emits states, and the softmax
-statistics are computed in passes over blocks of the output rows: each pass
-broadcasts one block under the bound and emits per-block partial maxima and
-log-sum-exps, which one ``groupBy`` merges.
+statistics come from one job over tiles of positions and item blocks
+(:mod:`seqwright.model.tiles`), whose partial maxima and log-sum-exps one ``groupBy`` merges.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqwright.model import cell
+from seqwright.model.tiles import steps, tiled
 from seqwright.model.weights import MAX_SHARED_BYTES, shared_arrays
 from seqwright.session import scratch_path
 
@@ -218,22 +218,12 @@ def _make_fold(bsh, H, carry, reset_gate, act, logits=True, states=True, batch_r
 
 def _blocked_softmax(spark: SparkSession, states: DataFrame, item_w: DataFrame, num_items: int, H: int,
                      limit: int, workdir: str | None = None) -> DataFrame:
-    """Softmax statistics when the output rows exceed the size bound: the states are written
-    once, then each block of at most ``limit`` bytes of output rows is broadcast to a
-    map-only pass that emits per-block partial statistics; a groupBy merges them."""
+    """Softmax statistics when the output rows exceed the size bound: the states are written once, one job over tiles
+    of positions and item blocks gives partial statistics, and a groupBy merges them."""
     spath = scratch_path(spark, "states", workdir)
     states.write.mode("overwrite").parquet(spath)
     st = spark.read.parquet(spath).drop("lse", "tlogit", "argmax", "maxlogit")
-    per_block = max(1, limit // (8 * H))
-    ppath = scratch_path(spark, "partials", workdir)
-    for b0 in range(0, num_items + 1, per_block):
-        b1 = min(num_items + 1, b0 + per_block)
-        blk = np.zeros((b1 - b0, H))
-        for r in item_w.where((F.col("item") >= b0) & (F.col("item") < b1)).select("item", "out").collect():
-            blk[r["item"] - b0] = r["out"]
-        bb = spark.sparkContext.broadcast({"out": blk, "lo": b0, "first": b0 == 0})
-        st.mapInPandas(_make_block_pass(bb), PARTIAL_SCHEMA).write.mode("append").parquet(ppath)
-    parts = spark.read.parquet(ppath)
+    parts = tiled(st, item_w, num_items, H, limit, _tile_stats, PARTIAL_SCHEMA)
     keys = ["user", "seg", "pos"]
     agg = parts.groupBy(*keys).agg(
         F.collect_list("b_lse").alias("_l"), F.max("b_mx").alias("maxlogit"),
@@ -244,35 +234,26 @@ def _blocked_softmax(spark: SparkSession, states: DataFrame, item_w: DataFrame,
     return agg.select(*keys, "item", "target", "n", "h", lse.alias("lse"), "tlogit", "argmax", "maxlogit")
 
 
-def _make_block_pass(bb):
-    def run(batches):
-        W = bb.value["out"]
-        lo = bb.value["lo"]
-        first = bb.value["first"]
-        step = max(1, ROWS_PER_BLOCK // max(1, W.shape[0]))
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            h = np.stack(pdf["h"].to_numpy())
-            tg = pdf["target"].fillna(-1).to_numpy().astype(np.int64)
-            N = len(pdf)
-            lse, mx = np.empty(N), np.empty(N)
-            tl = np.full(N, np.nan)
-            am = np.empty(N, dtype=np.int64)
-            inblk = (tg >= lo) & (tg < lo + W.shape[0])
-            for a in range(0, N, step):
-                lg = h[a:a + step] @ W.T
-                m = lg.max(axis=1)
-                mx[a:a + step] = m
-                am[a:a + step] = lg.argmax(axis=1) + lo
-                lse[a:a + step] = np.log(np.exp(lg - m[:, None]).sum(axis=1)) + m
-                sel = np.flatnonzero(inblk[a:a + step])
-                tl[a + sel] = lg[sel, tg[a + sel] - lo]
-            keep = {c: pdf[c] for c in ("item", "target", "n", "h")} if first else \
-                {c: None for c in ("item", "target", "n", "h")}
-            yield pd.DataFrame({"user": pdf["user"], "seg": pdf["seg"], "pos": pdf["pos"], **keep,
-                                "b_lse": lse, "b_tl": pd.Series(tl).where(inblk, None), "b_am": am, "b_mx": mx})
-    return run
+def _tile_stats(rows: pd.DataFrame, out: np.ndarray, first: int) -> pd.DataFrame:
+    """Per position of a tile: log-sum-exp, target logit, arg-max and largest logit over its items. The first block's
+    rows also carry the position itself."""
+    h = np.stack(rows["h"].to_numpy())
+    tg = rows["target"].fillna(-1).to_numpy().astype(np.int64)
+    N = len(rows)
+    lse, mx, tl = np.empty(N), np.empty(N), np.full(N, np.nan)
+    am = np.empty(N, dtype=np.int64)
+    here = (tg >= first) & (tg < first + len(out))
+    for a, b in steps(N, len(out)):
+        lg = h[a:b] @ out.T
+        m = lg.max(axis=1)
+        mx[a:b] = m
+        am[a:b] = lg.argmax(axis=1) + first
+        lse[a:b] = np.log(np.exp(lg - m[:, None]).sum(axis=1)) + m
+        sel = np.flatnonzero(here[a:b])
+        tl[a + sel] = lg[sel, tg[a + sel] - first]
+    keep = {c: rows[c] if first == 0 else None for c in ("item", "target", "n", "h")}
+    return pd.DataFrame({"user": rows["user"], "seg": rows["seg"], "pos": rows["pos"], **keep,
+                         "b_lse": lse, "b_tl": pd.Series(tl, rows.index).where(here, None), "b_am": am, "b_mx": mx})
 
 
 def final_states(scored: DataFrame) -> DataFrame:
@@ -287,23 +268,25 @@ def item_logits(spark: SparkSession, scored: DataFrame, item_w: DataFrame, num_i
     the size bound, each position has one row per block of items instead, with ``first_item``,
     the id of its first logit."""
     H = hidden
-    per_block = max(1, (shared_bytes or MAX_SHARED_BYTES) // (8 * H))
+    limit = shared_bytes or MAX_SHARED_BYTES
     src = scored.select("user", "seg", "pos", "h")
-    parts = []
-    for b0 in range(0, num_items + 1, per_block):
-        b1 = min(num_items + 1, b0 + per_block)
-        out = np.zeros((b1 - b0, H))
-        for r in item_w.where((F.col("item") >= b0) & (F.col("item") < b1)).select("item", "out").collect():
-            out[r["item"] - b0] = r["out"]
-        parts.append(src.mapInPandas(_make_logits(spark.sparkContext.broadcast(out), b0),
-                                     "user BIGINT, seg BIGINT, pos BIGINT, first_item BIGINT, logits ARRAY<DOUBLE>"))
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
-    return df.drop("first_item") if len(parts) == 1 else df
+    schema = "user BIGINT, seg BIGINT, pos BIGINT, first_item BIGINT, logits ARRAY<DOUBLE>"
+    if (num_items + 1) * 8 * H <= limit:
+        out = np.zeros((num_items + 1, H))
+        for r in item_w.select("item", "out").collect():   # under the bound
+            out[r["item"]] = r["out"]
+        return src.mapInPandas(_make_logits(spark.sparkContext.broadcast(out)), schema).drop("first_item")
+    path = scratch_path(spark, "states")
+    src.write.parquet(path)
+    return tiled(spark.read.parquet(path), item_w, num_items, H, limit, _tile_logits, schema)
+
+
+def _tile_logits(rows: pd.DataFrame, out: np.ndarray, first: int) -> pd.DataFrame:
+    lg = np.stack(rows["h"].to_numpy()) @ out.T
+    return pd.DataFrame({"user": rows["user"], "seg": rows["seg"], "pos": rows["pos"], "first_item": first, "logits": list(lg)})
 
 
-def _make_logits(bo, first: int):
+def _make_logits(bo):
     def run(batches):
         W = bo.value
         step = max(1, ROWS_PER_BLOCK // max(1, len(W)))
@@ -312,5 +295,5 @@ def _make_logits(bo, first: int):
                 p = pdf.iloc[a:a + step]
                 lg = np.stack(p["h"].to_numpy()) @ W.T
                 yield pd.DataFrame({"user": p["user"].to_numpy(), "seg": p["seg"].to_numpy(), "pos": p["pos"].to_numpy(),
-                                    "first_item": first, "logits": list(lg)})
+                                    "first_item": 0, "logits": list(lg)})
     return run

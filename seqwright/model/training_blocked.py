@@ -4,11 +4,11 @@ The output layer needs every item's row for every position. Above the bound a st
 runs as a sequence of jobs, none of which holds more than one block of item rows:
 
 1. forward: ``scoring.score`` with the blocked path (input vectors joined per row,
-   per-block log-sum-exp passes) gives each position's state ``h``, ``lse`` and target
+   log-sum-exp by tiles) gives each position's state ``h``, ``lse`` and target
    logit; the result is written once;
-2. per block of output rows (broadcast, under the bound): the expected output row
-   ``E = sum_i p_i O_i`` per position (partial per block) and the dense output-layer
-   gradient ``sum_t w_t p_ti h_t`` per item (partial per task);
+2. per tile of positions and item blocks (:mod:`seqwright.model.tiles`, one job): the expected
+   output row ``E = sum_i p_i O_i`` per position (partial per block) and the dense output-layer
+   gradient ``sum_t w_t p_ti h_t`` per item (partial per group of positions);
 3. ``dL/dh = w_t (E_t - O_target)`` per position (the target row joined by id), where
    ``w_t`` is the mask times the objective's scale;
 4. backward: the step job re-runs the forward fold per window from the joined input
@@ -25,32 +25,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqwright.model import scoring
+from seqwright.model.tiles import steps, tiled
 from seqwright.session import scratch_path
 
 GRAD_SCHEMA = "kind STRING, user BIGINT, seg BIGINT, pos BIGINT, id BIGINT, v ARRAY<DOUBLE>"
 
 
-def _make_block_grad(bb, scale: float, mask_zero: bool, H: int):
-    def run(batches):
-        W = bb.value["out"]
-        lo = bb.value["lo"]
-        gacc = np.zeros_like(W)
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            h = np.stack(pdf["h"].to_numpy())
-            tg = pdf["target"].to_numpy().astype(np.int64)
-            lse = pdf["lse"].to_numpy()
-            w = ((tg > 0) if mask_zero else np.ones(len(tg), dtype=bool)).astype(float) * scale
-            p = np.exp(h @ W.T - lse[:, None])            # softmax probabilities of this block's items
-            e = p @ W                                      # partial expected output row per position
-            gacc += (p * w[:, None]).T @ h                 # dense output-layer gradient, this block
-            yield pd.DataFrame({"kind": "e", "user": pdf["user"], "seg": pdf["seg"], "pos": pdf["pos"],
-                                "id": None, "v": list(e)})
+def _tile_grad(scale: float, mask_zero: bool, H: int):
+    def tile(rows: pd.DataFrame, out: np.ndarray, first: int) -> pd.DataFrame:
+        gacc, e = np.zeros_like(out), np.empty((len(rows), H))
+        h = np.stack(rows["h"].to_numpy())
+        tg = rows["target"].to_numpy().astype(np.int64)
+        lse = rows["lse"].to_numpy()
+        w = ((tg > 0) if mask_zero else np.ones(len(tg), dtype=bool)).astype(float) * scale
+        for a, b in steps(len(rows), len(out)):
+            p = np.exp(h[a:b] @ out.T - lse[a:b, None])    # softmax probabilities of this block's items
+            e[a:b] = p @ out                               # partial expected output row per position
+            gacc += (p * w[a:b, None]).T @ h[a:b]          # dense output-layer gradient, this block
         nz = np.flatnonzero(np.any(gacc != 0.0, axis=1))
-        yield pd.DataFrame({"kind": "item", "user": None, "seg": None, "pos": None, "id": nz + lo,
-                            "v": [np.concatenate([np.zeros(3 * H), gacc[i]]) for i in nz]})
-    return run
+        n, k = len(rows), len(nz)
+        key = {c: [*rows[c].tolist(), *[None] * k] for c in ("user", "seg", "pos")}
+        return pd.DataFrame({"kind": ["e"] * n + ["item"] * k, **{c: pd.array(v, "Int64") for c, v in key.items()},
+                             "id": pd.array([None] * n + (nz + first).tolist(), "Int64"),
+                             "v": [*e, *(np.concatenate([np.zeros(3 * H), gacc[i]]) for i in nz)]})
+    return tile
 
 
 def train_step_blocked(spark: SparkSession, rows: DataFrame, t, cfg, window_len: int, limit: int,
@@ -73,17 +71,10 @@ def train_step_blocked(spark: SparkSession, rows: DataFrame, t, cfg, window_len:
     sc.write.mode("overwrite").parquet(sp)
     sc = spark.read.parquet(sp)
 
-    # 2. per-block expected output rows and output-layer gradients
-    per_block = max(1, limit // (8 * H))
+    # 2. expected output rows and output-layer gradients, by tiles of positions and item blocks
     gp = scratch_path(spark, "out_grads", workdir)
-    for b0 in range(0, cfg.num_items + 1, per_block):
-        b1 = min(cfg.num_items + 1, b0 + per_block)
-        blk = np.zeros((b1 - b0, H))
-        for r in t.item_w.where((F.col("item") >= b0) & (F.col("item") < b1)).select("item", "out").collect():
-            blk[r["item"] - b0] = r["out"]
-        bb = spark.sparkContext.broadcast({"out": blk, "lo": b0})
-        sc.select("user", "seg", "pos", "target", "h", "lse").mapInPandas(
-            _make_block_grad(bb, scale, cfg.mask_zero, H), GRAD_SCHEMA).write.mode("append").parquet(gp)
+    tiled(sc.select("user", "seg", "pos", "target", "h", "lse"), t.item_w, cfg.num_items, H, limit,
+          _tile_grad(scale, cfg.mask_zero, H), GRAD_SCHEMA).write.mode("overwrite").parquet(gp)
     g = spark.read.parquet(gp)
     keys = ["user", "seg", "pos"]
     e = g.where(F.col("kind") == "e").groupBy(*keys).agg(F.collect_list("v").alias("_es"))

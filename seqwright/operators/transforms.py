@@ -25,9 +25,16 @@ def cast(df: DataFrame, col: str, to_type: str, casted_col: str | None = None, *
 
 
 def sort_by(df: DataFrame, column, ascending: bool = True) -> DataFrame:
-    """O1: global sort (range-partitioned exchange, then a sort inside each partition)."""
+    """O1: global sort (range-partitioned exchange, then a sort inside each partition), stable: rows with
+    equal values keep their order. The row's number is the last sort column, so the range cuts, which Spark
+    takes from a sample of the sort columns, can fall between equal values: a value that most rows have spreads
+    over as many partitions as its rows need."""
     cols = [column] if isinstance(column, str) else list(column)
-    return df.sort(*[F.col(c).asc() if ascending else F.col(c).desc() for c in cols])
+    nr = "_nr"
+    while nr in df.columns:
+        nr = f"_{nr}"
+    by = [F.col(c).asc() if ascending else F.col(c).desc() for c in cols]
+    return df.withColumn(nr, F.monotonically_increasing_id()).sort(*by, nr).drop(nr)
 
 
 def collect_list(df: DataFrame, order_by, group_by, cols, **kw) -> DataFrame:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from seqwright.functions import math as M
 from seqwright.model import weights as Wt
+from seqwright.operators import batching as B
 from seqwright.operators import sequences as S
-from seqwright.plans.catalog import SEED, WIN_SQL, WINDOW, _hash_sql, query, seq_frame
-from seqwright.plans.model_catalog import GRAD_SQL, H, _first_batch, _train_setup
+from seqwright.plans.catalog import N_BATCHES, ORDER_SQL, SEED, WIN_SQL, WINDOW, _hash_sql, query, seq_frame, window_keys
+from seqwright.plans.model_catalog import FOLD_SQL, GRAD_SQL, H, _first_batch, _h, _model, _train_setup
+from seqwright.session import scratch_path
 
 
 def _replaced(sql: str, old: str, new: str) -> str:
@@ -34,7 +38,6 @@ def q_train_step_users(spark, sf_dir):
     accumulators; users without a window keep their weights."""
     from seqwright.model.bucket_fit import bucket_step
     from seqwright.model.store import WeightStore
-    from seqwright.session import scratch_path
     train, _, t, cfg = _train_setup(spark, sf_dir)
     rows = _first_batch(train)
     n = rows.select("user", "seg").distinct().count()
@@ -127,3 +130,46 @@ def q_fit_progress(spark, sf_dir):
                                  n_batches=PROGRESS_BATCHES, n_buckets=PROGRESS_BUCKETS, seed=SEED)
     measured = (F.col("seconds") > 0) & (F.abs(F.col("wps") * F.col("seconds") - F.col("triplets")) < 1e-3)
     return spark.read.parquet(progress).select("epoch", "tenth", "triplets", "total", measured.alias("measured"))
+
+
+# ---------------------------------------------------------------- J1/M1: scoring without an exchange
+@query("score_states_bucketed", FOLD_SQL + """
+SELECT "user", pos, round(h0, 6) AS h0, round(h1, 6) AS h1, round(lse, 6) AS lse, argmax FROM sc""")
+def q_score_states_bucketed(spark, sf_dir):
+    """States from a merge join of sequences and user weights that are bucketed alike."""
+    from seqwright.model import scoring_bucketed as SB
+    seq, num_items, uw, iw, sw = _model(spark, sf_dir)
+    rows = seq.select("user", F.lit(0).alias("seg"), "pos", "item", "target", "n")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sc = SB.score_bucketed(spark, SB.bucketed_sequences(rows, n, piece=16), SB.bucketed_users(uw, n), iw, sw, num_items=num_items, hidden=H)
+    return sc.select("user", "pos", *_h(), M.round6("lse").alias("lse"), "argmax")
+
+
+# ---------------------------------------------------------------- S4/O7: passes as a stream
+@query("stream_passes", ORDER_SQL + """
+SELECT o.epoch, o.step, o.batch_id, b."user", b.chunk FROM ord o JOIN bat b USING (batch_id)""")
+def q_stream_passes(spark, sf_dir):
+    """Two passes over the stored batches, handed out step by step by a stream, with a stop after the first
+    three steps or so and a restart from its checkpoint."""
+    from seqwright.streaming import passes
+    rows = B.batch_ids(window_keys(spark, sf_dir), N_BATCHES, SEED, 1)
+    path, out, mark = (scratch_path(spark, n) for n in ("batches", "passes", "passes-checkpoint"))
+    passes.store_batches(rows, path)
+    seen = []
+    write = passes.write_steps(out)
+
+    def some(df, epoch, step):
+        write(df, epoch, step)
+        seen.append(step)
+
+    first = passes.start_passes(spark, path, some, mark, seed=SEED, epochs=2)
+    while len(seen) < 3 and first.isActive:
+        time.sleep(0.05)
+    first.stop()
+    again = passes.start_passes(spark, path, write, mark, seed=SEED, epochs=2)
+    try:
+        again.processAllAvailable()
+    finally:
+        again.stop()
+    back = spark.read.schema("user BIGINT, chunk BIGINT, batch_id BIGINT, epoch INT, step BIGINT").parquet(out)
+    return back.select("epoch", "step", "batch_id", "user", "chunk")
