@@ -296,24 +296,34 @@ def closed_set(src: DataFrame, min_count: int, longest: int, sample_every: int,
 
 
 # ---------------------------------------------------------------- exact counts
-EXACT = "lang string, n int, phrase binary, c bigint"
+EXACT = "lang string, n int, phrase string, c bigint"
+EXACT_ROWS = pa.schema([("lang", pa.string()), ("n", pa.int32()), ("phrase", pa.binary()), ("c", pa.int64())])
+TOTALS = -1                # the range of the languages' numbers of words
 
 
-def _exact(spread, longest: int):
-    """Counts of the known phrases by their text, and of all words (n = 0) of each language."""
+def _exact(spread, longest: int, bits: int):
+    """Counts of the known phrases by their text, one row per hash range and task, and of all words (n = 0) of
+    each language."""
 
     def run(batches):
         filt = spread.value
-        known = np.zeros(0, U)
+        known = np.zeros(0, U)            # hashes, sorted
         slot = np.zeros(0, np.int64)      # place in texts of each known hash
         counts, texts, totals = np.zeros(0, np.int64), [], {}
 
+        def rows(part, phrases, c):
+            cols = list(zip(*phrases))
+            body = pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()),
+                                               pa.array(cols[2], pa.binary()), pa.array(c, pa.int64())], schema=EXACT_ROWS)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([body.serialize().to_pybytes()], pa.binary())],
+                                              names=["part", "body"])
+
         def flushed():
-            for s in range(0, len(texts), 65536):
-                part = texts[s:s + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in part], pa.string()), pa.array([x[1] for x in part], pa.int32()),
-                                                  pa.array([x[2] for x in part], pa.binary()), pa.array(counts[s:s + 65536])],
-                                                 names=["lang", "n", "phrase", "c"])
+            part = (known >> U(64 - bits)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(part, prepend=-1, append=-2))
+            for lo, hi in zip(cut[:-1], cut[1:]):
+                at = slot[lo:hi]
+                yield rows(int(part[lo]), [texts[i] for i in at.tolist()], counts[at])
 
         for b in batches:
             langs, names = _lang_hashes(b, 1), b.column(2)
@@ -348,9 +358,33 @@ def _exact(spread, longest: int):
                     known, slot, counts, texts = known[:0], slot[:0], counts[:0], []
         yield from flushed()
         if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.array([0] * len(totals), pa.int32()),
-                                              pa.array([b""] * len(totals), pa.binary()), pa.array(list(totals.values()), pa.int64())],
-                                             names=["lang", "n", "phrase", "c"])
+            yield rows(TOTALS, [(lang, 0, b"") for lang in totals], list(totals.values()))
+
+    return run
+
+
+def _added(at_least: int):
+    """The phrases of each hash range by their text, with all their tasks' counts; rows come sorted by range."""
+
+    def run(batches):
+        part, held = None, []
+
+        def done():
+            t = pa.Table.from_batches(held).group_by(["lang", "n", "phrase"], use_threads=False).aggregate([("c", "sum")])
+            t = t.filter(pa.compute.greater_equal(t.column("c_sum"), 0 if part == TOTALS else at_least))
+            t = t.set_column(t.schema.get_field_index("phrase"), "phrase", t.column("phrase").cast(pa.string()))
+            for b in t.select(["lang", "n", "phrase", "c_sum"]).rename_columns(["lang", "n", "phrase", "c"]).combine_chunks().to_batches():
+                yield b
+
+        for b in batches:
+            for p, body in zip(*(x.to_pylist() for x in b.columns)):
+                if p != part:
+                    if held:
+                        yield from done()
+                    part, held = p, []
+                held.append(pa.ipc.read_record_batch(pa.py_buffer(body), EXACT_ROWS))
+        if held:
+            yield from done()
 
     return run
 
@@ -366,9 +400,9 @@ def counted(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     bits = max(4, (size // RANGE_TEXT).bit_length())
     filt, _ = closed_set(src, min_count, max_words, sample_every, bits)
     spread = src.sparkSession.sparkContext.broadcast(filt)
-    exact = src.select("text", "lang_hash", "lang").mapInArrow(_exact(spread, max_words), EXACT)
-    exact = exact.groupBy("lang", "n", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("c").alias("c"))
-    return written(exact.where((F.col("n") == 0) | (F.col("c") >= min_count)), "phrase-counts")
+    exact = src.select("text", "lang_hash", "lang").mapInArrow(_exact(spread, max_words, bits), "part int, body binary")
+    exact = exact.repartition("part").sortWithinPartitions("part").mapInArrow(_added(min_count), EXACT)
+    return written(exact, "phrase-counts")
 
 
 def collocations(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", *, min_count: int = MIN_COUNT,
