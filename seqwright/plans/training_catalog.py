@@ -173,3 +173,14 @@ def q_stream_passes(spark, sf_dir):
         again.stop()
     back = spark.read.schema("user BIGINT, chunk BIGINT, batch_id BIGINT, epoch INT, step BIGINT").parquet(out)
     return back.select("epoch", "step", "batch_id", "user", "chunk")
+
+
+# ---------------------------------------------------------------- M4: a relay of segments
+@query("carry_state_relay", FOLD_SQL + """
+SELECT "user", pos, round(h0, 6) AS h0, round(h1, 6) AS h1 FROM sc""")
+def q_carry_state_relay(spark, sf_dir):
+    """M4: users above 40 positions in segments of 40, each job starting from the states the job before saved."""
+    from seqwright.model.relay import score_relay
+    seq, num_items, uw, iw, sw = _model(spark, sf_dir)
+    rows = seq.select("user", F.lit(0).alias("seg"), "pos", "item", "target", "n")
+    return score_relay(spark, rows, uw, iw, sw, segment=40, num_items=num_items, hidden=H).select("user", "pos", *_h())

@@ -107,3 +107,20 @@ def test_passes_stop_and_go_on_without_loss_or_repeats(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [x[:2] for x in seen] == [(e, s) for e in (1, 2) for s in (1, 2, 3)]
+
+
+# ---------------------------------------------------------------- M4
+@pytest.mark.parametrize("segment", [25, 1000])
+def test_a_relay_of_segments_equals_one_fold(spark, segment):
+    from seqwright.model.relay import score_relay
+
+    H = 3
+    rows, t, num_items = _setup(spark, H)
+    rows = rows.where("user > 3 or pos <= 10 or (user = 3 and pos > 30)")   # short users, and one that starts late
+    kw = dict(num_items=num_items, hidden=H)
+    init = spark.createDataFrame([(2, [0.1, 0.2, 0.3]), (5, [0.3, 0.2, 0.1])], "user BIGINT, h ARRAY<DOUBLE>")
+    cols = ["user", "seg", "pos", "item", "target", "h", "lse", "argmax"]
+    for state in (init,) if segment < 1000 else (None, init):
+        a = score(spark, rows, t.user_w, t.item_w, t.shared_w, init_state=state, **kw).select(*cols).collect()
+        b = score_relay(spark, rows, t.user_w, t.item_w, t.shared_w, segment=segment, init_state=state, **kw).select(*cols).collect()
+        assert sorted(map(tuple, a)) == sorted(map(tuple, b))
