@@ -188,7 +188,52 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- 12 conversation structure repair
-@query("op12_conversation_repair")
+REPAIR_SQL = r"""
+WITH RECURSIVE tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)
+        ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce([4294967295] || list_transform(
+        string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS kind FROM conversations, tab),
+e AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS ini,
+        lead(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS nxt FROM e),
+f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b'
+        WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+        WHEN regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM o),
+k AS (SELECT *, fault NOT IN ('b', 'd') AS ok, CASE fault WHEN 't' THEN 1 ELSE 0 END AS late FROM f),
+n AS (SELECT conv_id, count(*) AS n, count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated,
+        count_if(nxt IS NOT NULL AND ini || nxt NOT IN ('su', 'ua', 'au')) AS illegal,
+        coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM k GROUP BY conv_id),
+rec(conv_id, i, v) AS (
+  SELECT conv_id, n + 1, [{'c': 0, 'a': ''}, {'c': 4, 'a': 'II'}, {'c': 2, 'a': 'I'}, {'c': 0, 'a': ''}] FROM n
+  UNION ALL
+  SELECT conv_id, i, [list_min([b[1], {'c': b[3].c + 2, 'a': 'I' || b[3].a}, {'c': b[4].c + 4, 'a': 'II' || b[4].a}]),
+      list_min([b[2], {'c': b[3].c + 2, 'a': 'I' || b[3].a}, {'c': b[4].c + 4, 'a': 'II' || b[4].a}]),
+      list_min([b[3], {'c': b[4].c + 2, 'a': 'I' || b[4].a}]), list_min([b[4], {'c': b[3].c + 2, 'a': 'I' || b[3].a}])] FROM (
+    SELECT r.conv_id, k.i, [list_min(list_filter([{'c': r.v[q].c + 3, 'a': 'D' || r.v[q].a},
+        CASE WHEN k.ok AND q = 1 AND k.ini = 's' THEN {'c': r.v[2].c + k.late, 'a': 'K' || r.v[2].a} END,
+        CASE WHEN k.ok AND q <> 3 AND k.ini = 'u' THEN {'c': r.v[3].c + k.late, 'a': 'K' || r.v[3].a} END,
+        CASE WHEN k.ok AND q = 3 AND k.ini = 'a' THEN {'c': r.v[4].c + k.late, 'a': 'K' || r.v[4].a} END,
+        CASE WHEN k.ok AND q <> 3 THEN {'c': r.v[3].c + k.late + 2, 'a': 'R' || r.v[3].a} END,
+        CASE WHEN k.ok AND q = 3 THEN {'c': r.v[4].c + k.late + 2, 'a': 'R' || r.v[4].a} END], lambda x: x IS NOT NULL)) for q in [1, 2, 3, 4]] AS b
+    FROM rec r JOIN k ON k.conv_id IS NOT DISTINCT FROM r.conv_id AND k.i = r.i - 1)),
+best AS (SELECT conv_id, v[1].c AS cost, v[1].a AS audit FROM rec WHERE i = 1),
+x AS (SELECT conv_id, j, audit[j] AS letter, len(regexp_replace(audit[:j], 'I', '', 'g')) AS i, len(regexp_replace(audit[:j], 'D', '', 'g')) AS nth,
+        regexp_matches(audit, '^D*K') AS kept FROM best, unnest(range(1, len(audit) + 1)) AS u(j)),
+y AS (SELECT x.*, k.role, k.text, k.ini, max(CASE WHEN nth = 1 AND letter = 'K' AND k.ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY x.conv_id) AS s
+      FROM x LEFT JOIN k ON k.conv_id IS NOT DISTINCT FROM x.conv_id AND k.i = x.i),
+z AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role ELSE CASE WHEN (nth - s) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' ||
+        CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS lines FROM y WHERE letter <> 'D' GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
+@query("op12_conversation_repair", REPAIR_SQL)
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cheapest repair of every damaged conversation."""
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
