@@ -1,20 +1,21 @@
 """HTML extraction: a tree builder with implied tags, then a layout pass that emits all visible text.
 
-The parser reads tags, text, comments and raw-text elements in one scan, and builds a tree with
+The parser reads tags, text, comments and raw-text elements in one scan, linear in the page, and builds a tree with
 the end tags that HTML implies (``p`` before a block, ``li`` before ``li``, cells and rows of
 tables, options, definition lists; a stray end tag is dropped, an unclosed element ends with its
 parent). A cell without a row gets one; text and other elements straight inside a table or row
 go before the table, as in a browser, and end where the table goes on. The layout pass leaves out
 what a browser does not show (scripts, styles, templates, the head, comments, ``hidden``,
-``display:none``, ``visibility:hidden``, closed ``details``, the fallback in frames, ``object``,
+``display:none``, ``visibility:hidden`` but for what is visible again inside it, closed ``details``, the fallback in frames, ``object``,
 media and ``canvas``, suggestions in ``datalist``, options that are not chosen, annotations of
 formulas, and what is not text in ``svg``) and writes the rest: white space collapses except in ``pre``, blocks stand on lines of their own, and
 paragraphs, headings, lists and tables have a blank line between them; list items have their
 bullet or number and are indented by depth; table cells are padded to aligned columns.
 
-Pages are independent: the operator is map-only. Nesting is walked without recursion in the
-parser and by bounded recursion in the layout (deeper elements are flattened into their
-ancestor), so any input ends.
+Pages are independent: the operator is map-only. Nesting is walked without recursion, however deep
+it is; only lists, tables and quotes are laid out apart, and beyond ``MAX_LEVELS`` of them one in another
+they stand as plain blocks: all text and every rule of visibility hold there too. A page of several MB
+is one string and one tree in its task.
 
 Defined cases: null and empty html give an empty text. Repeated rows are rendered each. Extra
 columns are ignored; an empty table gives no rows.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import html as entities
 import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -69,12 +71,14 @@ TABLE_PARTS = {
 # elements that hold only parts of a table, and those that may stand there beside them
 TABLE_LEVELS = {"table", "tr", "colgroup", *SECTIONS}
 IN_TABLE = {*TABLE_PARTS, "script", "style", "template"}
-MAX_DEPTH = 200
-
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([A-Za-z][^\s/>]*)[^>]*>"
-    r"|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
+MAX_LEVELS = 100   # nested lists, tables and quotes that are laid out as such; deeper ones as plain blocks
+
+OPEN = re.compile(r"<(?:!--|[!?]|(/?)(?=[A-Za-z]))")
+NAME = re.compile(r"[^\s/>]*")
+GAP = re.compile(r"[\s/]*")
+BLANK = re.compile(r"\s*")
+ATTRIBUTE = re.compile(r"[^\s/>][^\s/>=]*")
+BARE = re.compile(r"[^\s>]*")
 SPACE = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -85,35 +89,99 @@ class Node:
         self.tag, self.attrs, self.kids = tag, attrs or {}, []
 
 
-def attributes(text: str) -> dict[str, str]:
-    out: dict[str, str] = {}
-    for name, value in ATTRIBUTE.findall(text):
-        out.setdefault(name.lower(), entities.unescape(value.strip("\"'")) if value else "")
-    return out
+class Scanner:
+    """The tags of a page in order, in time linear in its length. A quote opens a value only right after ``=`` and if
+    it is closed somewhere. A tag that no ``>`` ends outside a value ends at the first one; without any
+    ``>`` it is text. Places from which a scan ran into the end of the page are not scanned again."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">")
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        self.dead: set[int] = set()
+
+    def next(self, at: int):
+        """(start, end, name, attributes or None for an end tag, whether it closes itself) of the next tag; the name is
+        empty for comments and the like. None if there is none."""
+        page = self.page
+        while True:
+            m = OPEN.search(page, at)
+            if m is None:
+                return None
+            if m[0] == "<!--":
+                end = page.find("-->", m.end())
+                return m.start(), len(page) if end < 0 else end + 3, "", None, False
+            if m.start() > self.last:   # nothing ends it
+                at = m.end()
+                continue
+            if m[1] is None:
+                return m.start(), page.index(">", m.end()) + 1, "", None, False
+            name = NAME.match(page, m.end())
+            if m[1]:
+                return m.start(), page.index(">", name.end()) + 1, name[0].lower(), None, False
+            return m.start(), *self._start(name[0].lower(), name.end())
+
+    def _start(self, name: str, i: int):
+        page, n, first = self.page, len(self.page), i
+        found: dict[str, str] = {}
+        passed = []
+        while True:
+            gap = GAP.match(page, i)
+            i = gap.end()
+            if i >= n or i in self.dead:
+                self.dead.update(passed)
+                return page.index(">", first) + 1, name, {}, False
+            if page[i] == ">":
+                return i + 1, name, found, "/" in gap[0]
+            passed.append(i)
+            m = ATTRIBUTE.match(page, i)
+            key, value = m[0].lower(), ""
+            j = BLANK.match(page, m.end()).end()
+            i = m.end()
+            if j < n and page[j] == "=":
+                j = BLANK.match(page, j + 1).end()
+                if j < n and page[j] in "\"'" and self.quotes[page[j]] > j:
+                    i = page.index(page[j], j + 1)
+                    value, i = page[j + 1:i], i + 1
+                else:
+                    m = BARE.match(page, j)
+                    value, i = m[0], m.end()
+            found.setdefault(key, entities.unescape(value) if "&" in value else value)
 
 
 def parse(page: str) -> Node:
     """The tree of a page; text nodes are strings."""
     root = Node("#root")
     stack = [root]
+    opened: Counter[str] = Counter()   # open elements by tag: most searches end before they begin
+
+    def push(node: Node) -> None:
+        stack.append(node)
+        opened[node.tag] += 1
+
+    def cut(i: int) -> None:
+        for x in stack[i:]:
+            opened[x.tag] -= 1
+        del stack[i:]
 
     def close(tags: set[str], barriers: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                # several may be open one in another (a cell in a row)
-                return close(tags, barriers)
-            if stack[i].tag in barriers:
-                return None
-        return None
+        """Ends the open elements of ``tags`` above the innermost barrier; one may be open in another (a cell in a row)."""
+        while any(opened[t] for t in tags):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in tags:
+                    cut(i)
+                    break
+                if stack[i].tag in barriers:
+                    return
 
     def nearest(tags: set[str]) -> int:
         """Position of the innermost open element of ``tags``, 0 if there is none in this template."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag == "template":
-                break
+        if any(opened[t] for t in tags):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in tags:
+                    return i
+                if stack[i].tag == "template":
+                    break
         return 0
 
     def insert(node: Node | str) -> None:
@@ -123,63 +191,57 @@ def parse(page: str) -> Node:
             i = nearest({"table"})
             if i:
                 if top.tag == "colgroup":
-                    stack.pop()
+                    cut(len(stack) - 1)
                 before = stack[i - 1].kids  # its last element is the open table
                 before.insert(len(before) - 1, node)
                 return
         top.kids.append(node)
 
-    at, n = 0, len(page)
+    at, n, tags = 0, len(page), Scanner(page)
     while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
+        got = tags.next(at)
+        if got is None:
             insert(entities.unescape(page[at:]))
             break
-        if m.start() > at:
-            insert(entities.unescape(page[at:m.start()]))
-        at = m.end()
-        end, start, rest = m.groups()
-        if start:
-            tag = start.lower()
+        start, end, tag, attrs, closed = got
+        if start > at:
+            insert(entities.unescape(page[at:start]))
+        at = end
+        if attrs is not None:
             if tag in CLOSES_P:
                 close({"p"}, {"td", "th", "li", "table", "button", "object", "caption"})
             if tag in IMPLIED:
                 close(*IMPLIED[tag])
             if tag in TABLE_PARTS and nearest({"table"}):
-                del stack[nearest(TABLE_PARTS[tag]) + 1:]
-                if tag in ("td", "th") and stack[-1].tag != "tr" and len(stack) < MAX_DEPTH:
+                cut(nearest(TABLE_PARTS[tag]) + 1)
+                if tag in ("td", "th") and stack[-1].tag != "tr":
                     row = Node("tr")
                     stack[-1].kids.append(row)
-                    stack.append(row)
+                    push(row)
             elif stack[-1].tag in TABLE_LEVELS and nearest({"table"}):
                 if tag == "form":
                     continue  # holds nothing there
                 if tag == "table":
-                    del stack[nearest({"table"}):]
-            node = Node(tag, attributes(rest) if rest.strip(" /\n\t") else None)
-            if len(stack) < MAX_DEPTH or tag in VOID or tag in RAW:
-                insert(node)
-            else:
-                node = None  # too deep: its content goes to the ancestor
+                    cut(nearest({"table"}))
+            node = Node(tag, attrs)
+            insert(node)
             if tag in RAW:
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at, tags.last + 1) if at <= tags.last else None
                 body = page[at:stop.start()] if stop else page[at:]
                 node.kids.append(entities.unescape(body) if tag in ("textarea", "title") else body)
                 at = stop.end() if stop else n
-            elif tag not in VOID and not rest.rstrip().endswith("/") and node is not None:
-                stack.append(node)
-        elif end:
-            tag = end.lower()
-            if tag == "br":
-                insert(Node("br"))
-            else:
-                barrier = "table" if tag not in ("table", "html", "body") else None
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
-                        break
-                    if stack[i].tag == barrier and tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption"):
-                        break
+            elif tag not in VOID and not closed:
+                push(node)
+        elif tag == "br":
+            insert(Node("br"))
+        elif tag and opened[tag]:
+            barrier = "table" if tag not in ("table", "html", "body") else None
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == tag:
+                    cut(i)
+                    break
+                if stack[i].tag == barrier and tag not in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption"):
+                    break
     return root
 
 
@@ -191,8 +253,16 @@ def hidden(node: Node) -> bool:
         return False
     if "hidden" in a or node.tag == "input" and a.get("type", "").lower() == "hidden":
         return True
-    style = re.sub(r"\s+", "", a.get("style", "").lower())
-    return "display:none" in style or "visibility:hidden" in style
+    return "style" in a and "display:none" in re.sub(r"\s+", "", a["style"].lower())
+
+
+def visible(node: Node, inherited: bool) -> bool:
+    """Whether the node's own text shows; unlike ``hidden`` elements, those below may show themselves again."""
+    if "style" in node.attrs:
+        said = re.findall(r"visibility:(visible|hidden|collapse)", re.sub(r"\s+", "", node.attrs["style"].lower()))
+        if said:
+            return said[-1] == "visible"
+    return inherited
 
 
 class Writer:
@@ -282,79 +352,116 @@ class Counts:
         self.blocks = self.items = self.tables = 0
 
 
-def render(nodes, w: Writer, counts: Counts, depth: int = 0, pre: bool = False) -> None:
-    for node in nodes:
+_END = object()
+
+
+def render(nodes, w: Writer, counts: Counts, depth: int = 0, pre: bool = False, shown: bool = True, level: int = 0) -> None:
+    """Writes nodes. Plain elements are walked with a stack of our own, so nesting may be as deep as it likes; ``level``
+    counts lists, tables and other elements that are laid out apart."""
+    open_ = [(iter(nodes), None, depth, pre, shown)]
+    while open_:
+        kids, after, depth, pre, shown = open_[-1]
+        node = next(kids, _END)
+        if node is _END:
+            open_.pop()
+            if after is not None:
+                after()
+            continue
         if isinstance(node, str):
-            w.raw(node) if pre else w.text(node)
+            if shown:
+                w.raw(node) if pre else w.text(node)
             continue
         if hidden(node):
             continue
-        tag = node.tag
-        if tag == "br":
-            w.newline()
-        elif tag == "wbr":
-            continue
-        elif tag == "hr":
-            w.break_(2)
-        elif tag == "img":
-            w.text(node.attrs.get("alt", ""))
-        elif tag == "input":
-            if node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text"):
-                w.text(" " + node.attrs.get("value", "") + " ")
-        elif tag == "select":
-            w.text(" ")
-            for option in chosen(node):
-                if option.attrs.get("label"):
-                    w.text(option.attrs["label"])
-                else:
-                    render(option.kids, w, counts, depth + 1)
-                w.text(" ")
-        elif tag == "textarea":
-            w.break_(1)
-            render([re.sub(r"\A\r?\n", "", k) for k in node.kids], w, counts, depth + 1, True)
-            w.break_(1)
-        elif tag == "svg":
-            w.text(" ")
-            for drawn in drawn_text(node):
-                render(drawn.kids, w, counts, depth + 1)
-                w.text(" ")
-        elif tag == "table":
+        tag, see = node.tag, visible(node, shown)
+        apart = level < MAX_LEVELS
+        if tag in ("br", "wbr", "hr", "img", "input", "select", "textarea", "svg"):
+            if see:
+                atom(node, w, counts, depth, level)
+        elif tag == "table" and apart:
             counts.tables += 1
-            table(node, w, counts, depth)
-        elif tag in ("ul", "ol", "menu", "dir"):
-            listing(node, w, counts, depth)
+            table(node, w, counts, depth, see, level + 1)
+        elif tag in ("ul", "ol", "menu", "dir") and apart:
+            listing(node, w, counts, depth, see, level + 1)
         elif tag == "details" and "open" not in node.attrs:
             w.break_(1)
-            render([k for k in node.kids if isinstance(k, Node) and k.tag == "summary"][:1], w, counts, depth + 1, pre)
-            w.break_(1)
+            first = [k for k in node.kids if isinstance(k, Node) and k.tag == "summary"][:1]
+            open_.append((iter(first), lambda: w.break_(1), depth + 1, pre, see))
         elif tag in BLOCKS:
             gap = 2 if tag in SPACED else 1
             counts.blocks += 1
             w.break_(gap)
-            inner = "dd" == tag or tag == "blockquote"
-            if inner:
+            if tag in ("dd", "blockquote") and apart:
                 sub = Writer()
-                render(node.kids, sub, counts, depth + 1, pre)
+                render(node.kids, sub, counts, depth + 1, pre, see, level + 1)
                 w.block(["  " + x if x else x for x in sub.result()], gap)
+                w.break_(gap)
             else:
-                render(node.kids, w, counts, depth + 1, pre or tag in ("pre", "xmp"))
-            w.break_(gap)
+                open_.append((iter(node.kids), lambda gap=gap: w.break_(gap), depth + 1, pre or tag in ("pre", "xmp"), see))
         else:
-            if tag == "q":
-                w.text('"')
-            render(node.kids, w, counts, depth + 1, pre)
-            if tag == "q":
+            quoted = tag == "q" and see
+            if quoted:
                 w.text('"')
+            open_.append((iter(node.kids), (lambda: w.text('"')) if quoted else None, depth + 1, pre, see))
+
+
+def atom(node: Node, w: Writer, counts: Counts, depth: int, level: int) -> None:
+    """Elements that show something of their own."""
+    tag = node.tag
+    if tag == "br":
+        w.newline()
+    elif tag == "hr":
+        w.break_(2)
+    elif tag == "img":
+        w.text(node.attrs.get("alt", ""))
+    elif tag == "input":
+        if node.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text"):
+            w.text(" " + node.attrs.get("value", "") + " ")
+    elif tag == "select":
+        w.text(" ")
+        for option in chosen(node):
+            if option.attrs.get("label"):
+                w.text(option.attrs["label"])
+            else:
+                nested(option.kids, w, counts, depth + 1, level)
+            w.text(" ")
+    elif tag == "textarea":
+        w.break_(1)
+        render([re.sub(r"\A\r?\n", "", k) for k in node.kids], w, counts, depth + 1, True)
+        w.break_(1)
+    elif tag == "svg":
+        w.text(" ")
+        for drawn in drawn_text(node):
+            nested(drawn.kids, w, counts, depth + 1, level)
+            w.text(" ")
+
+
+def nested(nodes, w: Writer, counts: Counts, depth: int, level: int) -> None:
+    """Content of a control or a drawing; beyond ``MAX_LEVELS`` of them its plain text."""
+    if level < MAX_LEVELS:
+        render(nodes, w, counts, depth, level=level + 1)
+    else:
+        todo = list(reversed(nodes))
+        while todo:
+            node = todo.pop()
+            if isinstance(node, str):
+                w.text(node)
+            elif not hidden(node):
+                todo.extend(reversed(node.kids))
 
 
 def within(node: Node, tags: set[str], skip: set[str]):
     """The outermost elements of ``tags`` below a node, in order, not inside ``skip`` or hidden ones."""
-    for kid in node.kids:
-        if isinstance(kid, Node) and kid.tag not in skip and not hidden(kid):
+    open_ = [iter(node.kids)]
+    while open_:
+        kid = next(open_[-1], _END)
+        if kid is _END:
+            open_.pop()
+        elif isinstance(kid, Node) and kid.tag not in skip and not hidden(kid):
             if kid.tag in tags:
                 yield kid
             else:
-                yield from within(kid, tags, skip)
+                open_.append(iter(kid.kids))
 
 
 def drawn_text(svg: Node):
@@ -370,7 +477,7 @@ def chosen(select: Node) -> list[Node]:
     return picked[-1:] or [o for o in options if "disabled" not in o.attrs][:1]
 
 
-def listing(node: Node, w: Writer, counts: Counts, depth: int) -> None:
+def listing(node: Node, w: Writer, counts: Counts, depth: int, shown: bool, level: int) -> None:
     lines: list[str] = []
     number = int(node.attrs["start"]) if re.fullmatch(r"-?\d{1,9}", node.attrs.get("start", "")) else 1
     for kid in node.kids:
@@ -383,22 +490,27 @@ def listing(node: Node, w: Writer, counts: Counts, depth: int) -> None:
                 number = int(kid.attrs["value"])
             mark = f"{number}. " if node.tag == "ol" else "- "
             number += 1
-            render(kid.kids, sub, counts, depth + 1)
-            got = sub.result() or [""]
+            see = visible(kid, shown)
+            render(kid.kids, sub, counts, depth + 1, False, see, level)
+            got = sub.result()
+            if not see:   # no mark; what shows inside it does
+                lines.extend(" " * len(mark) + x if x else x for x in got)
+                continue
+            got = got or [""]
             lines.append((mark + got[0]).rstrip())
             lines.extend(" " * len(mark) + x if x else x for x in got[1:])
         else:
-            render([kid], sub, counts, depth + 1)
+            render([kid], sub, counts, depth + 1, False, shown, level)
             lines.extend("  " + x if x else x for x in sub.result())
     # lists inside a list need no blank lines around them
     w.block(lines, 2 if depth == 0 or not w.line else 1)
 
 
-def table(node: Node, w: Writer, counts: Counts, depth: int) -> None:
+def table(node: Node, w: Writer, counts: Counts, depth: int, shown: bool, level: int) -> None:
     for kid in node.kids:
         if isinstance(kid, Node) and kid.tag == "caption" and not hidden(kid):
             w.break_(2)
-            render(kid.kids, w, counts, depth + 1)
+            render(kid.kids, w, counts, depth + 1, False, visible(kid, shown), level)
             w.break_(1)
     grid: list[list[tuple[int, list[str]]]] = []
     taken: dict[tuple[int, int], bool] = {}
@@ -410,7 +522,11 @@ def table(node: Node, w: Writer, counts: Counts, depth: int) -> None:
             while taken.pop((r, c), False):
                 c += 1
             sub = Writer()
-            render(kid.kids if kid.tag in ("td", "th") else [kid], sub, counts, depth + 1)
+            of_row = visible(row, shown)
+            if kid.tag in ("td", "th"):
+                render(kid.kids, sub, counts, depth + 1, False, visible(kid, of_row), level)
+            else:
+                render([kid], sub, counts, depth + 1, False, of_row, level)
             lines = sub.result()
             cells.append((c, lines))
             wide = span(kid.attrs.get("colspan"), 100)
