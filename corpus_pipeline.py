@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import seqwright
 from seqwright.llm import decontaminate, mixing, quality_rules, setsketch, token_shards
-from seqwright.llm.common import table, written
+from seqwright.llm.common import scratch, shared_path, table
+from seqwright.session import remove_path
 
 # Python workers do not have this folder on their path: ship the package by value.
 cloudpickle.register_pickle_by_value(seqwright)
@@ -54,8 +55,16 @@ STAGES = [("quality rules", quality), ("near-duplicates", near_duplicates), ("be
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return written(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0].replace(" ", "-"))
+    """All stages over the whole documents table. What a stage wrote on its way goes when its result is written, and
+    a result when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        path = shared_path(spark, f"stage-{name.replace(' ', '-')}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before is not None:
+            remove_path(spark, before)
+        before = path
+    return docs

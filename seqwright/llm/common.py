@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seqwright.session import remove_path, scratch_path
+
 #: The separators of a word: space, tab, line feed, vertical tab, form feed, carriage return.
 SEPARATORS = " \t\n\u000b\f\r"
 SEPARATOR_RUN = "[\\x20\\x09-\\x0D]+"
@@ -34,20 +35,30 @@ def md5_number(*parts: Column | str) -> Column:
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder that ``spark.checkpoint.dir`` names. Only local sessions
     without that setting get a temporary folder; a cluster session without it is refused."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    base = base or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="seqwright-shared-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, name)
+
+
+#: Paths of the tables :func:`written` made, as long as a :func:`scratch` block is open.
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes the tables that were written inside the block when it ends: whatever is read after it must have been
+    written by then, to a path the block does not know."""
+    _MADE.append([])
+    try:
+        yield
+    finally:
+        for path in _MADE.pop():
+            remove_path(spark, path)
 
 
 def written(df: DataFrame, name: str, **options) -> DataFrame:
     """The frame as a table written to the shared folder and read back: lineage ends here."""
     path = shared_path(df.sparkSession, name)
+    if _MADE:
+        _MADE[-1].append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
