@@ -201,7 +201,7 @@ def segments(counts: DataFrame) -> DataFrame:
 
 
 class Filter:
-    """Segments of one kind laid end to end; ``has`` marks the buckets that are here."""
+    """Segments of one kind laid end to end; a bucket without one holds nothing."""
 
     def __init__(self, rows, buckets: int, shift: int):
         self.shift = shift
@@ -213,8 +213,15 @@ class Filter:
             at += len(bits)
         self.bits = np.frombuffer(b"".join(parts) or b"\0", np.uint8)
 
-    def has(self, keys):
-        return self.size[(keys >> U(self.shift)).astype(np.int64)] > 0
+    def arrays(self):
+        """What a broadcast carries: workers need not have this package."""
+        return self.shift, self.start, self.size, self.bits
+
+    @classmethod
+    def of(cls, arrays):
+        f = cls.__new__(cls)
+        f.shift, f.start, f.size, f.bits = arrays
+        return f
 
     def counts(self, keys: np.ndarray, kind: int) -> np.ndarray:
         """Counts by repeated membership probes: level 1, 2, ... until a level is missing."""
@@ -244,12 +251,14 @@ class Filter:
 SCORED = "text_key bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
 
 
-def scored_round(src: DataFrame, sent, n_train: int, vocab: int, first: bool) -> DataFrame:
-    """Per row the score of the positions whose pair is in this round's segments; in the first round
+def scored_round(src: DataFrame, sent, n_train: int, vocab: int, rounds: int, number: int) -> DataFrame:
+    """Per row the score of the positions whose pair's bucket is one of this round's; in the first round
     also the frequent words' part of the base score."""
+    first = number == 0
 
     def run(batches):
         words, pairs, keys, counts, n_starts = sent.value
+        words, pairs = Filter.of(words), Filter.of(pairs)
         for b in batches:
             held = held_out(b.column(0))
             for lo, hi, data, offs in T.slices(b, 1):
@@ -260,7 +269,7 @@ def scored_round(src: DataFrame, sent, n_train: int, vocab: int, first: bool) ->
                 cw = words.counts(uniq, 1)
                 pw = ((cw + 1) / (n_train + vocab + 1))[at]
                 pair = pair_hash(before, tok)
-                mine = np.flatnonzero(pairs.has(pair))
+                mine = np.flatnonzero((pair >> U(pairs.shift)) % U(rounds) == U(number))
                 up, pat = np.unique(pair[mine], return_inverse=True)
                 cvw = pairs.counts(up, 2)[pat]
                 # the context's count is that of the token before; the start mark's is the number of texts
@@ -383,8 +392,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text: str = "text", *, max_filt
     for i in range(rounds):
         rows = table.where((F.col("kind") == 2) & (F.col("bucket") % rounds == i)).select("bucket", "bits")
         pairs = Filter([(r[0], bytes(r[1])) for r in rows.toLocalIterator()], buckets, shift)
-        now = spark.sparkContext.broadcast((words, pairs, hk, hn, n_starts))
-        part = scored_round(src, now, n_train, vocab, i == 0)
+        now = spark.sparkContext.broadcast((words.arrays(), pairs.arrays(), hk, hn, n_starts))
+        part = scored_round(src, now, n_train, vocab, rounds, i)
         part = written(part, "lm-round")  # scored once, and one round's filter at a time
         out = part if out is None else out.unionByName(part)
         sent = sent or now

@@ -381,12 +381,25 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", *
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row of each group, with the input's columns: the row with the least id (rows that share
-    that id are one document and stay as one row; rows without an id go)."""
-    n = written(near_duplicates(df, id_col, text, **options), "near-duplicates")
-    (name,) = fresh(df, "_kept_id")
-    kept = n.where("kept").select(F.col("doc_id").alias(name))
-    if kept.count() != kept.distinct().count() or n.where("doc_id is null").limit(1).count():
-        df = df.dropDuplicates([id_col])
-    same = F.col(id_col).cast("bigint") == F.col(name)
-    return df.where(F.col(id_col).isNotNull()).join(kept.distinct(), same, "left_semi")
+    """Exactly one row of each group, with the input's columns: the least by id (null last), then by hashes of the
+    text and of the whole row, so reruns agree. Rows that share an id but not a group are documents of their own,
+    rows without an id as well; rows that are equal in every column stay as one."""
+    row, name, other = fresh(df, "_row", "_kept_row", "_other")
+    # rows go by a hash of id and text, so that null and shared ids stand for themselves
+    null = F.concat(F.col(id_col).isNull().cast("string"), F.col(text).isNull().cast("string"))
+    src = df.withColumn(row, F.xxhash64(null, F.col(id_col), F.col(text)))
+    n = written(near_duplicates(src, row, text, **options), "near-duplicates")
+    ids = src.select(F.col(row).alias("doc_id"), F.col(id_col).alias("id")).distinct()
+    least = F.struct(F.col("id").isNull(), "id", "doc_id")
+    # distinct rows by now: a group of copies is pre-aggregated by its rows' partitions before it meets
+    kept = n.select("doc_id", "component_id").distinct().join(ids, "doc_id").groupBy("component_id").agg(F.min_by("doc_id", least).alias(name))
+    kept = written(kept.select(name), "kept-rows")
+    out = src.join(kept, F.col(row) == F.col(name), "left_semi")
+    twice = n.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(other))
+    twice = written(twice, "repeated-rows")
+    if not twice.limit(1).count():
+        return out.drop(row)
+    same = F.col(row) == F.col(other)
+    again = out.join(twice, same, "left_semi")
+    one = again.groupBy(row).agg(F.min_by(F.struct(*df.columns), F.xxhash64(*df.columns)).alias("r")).select("r.*")
+    return out.join(twice, same, "left_anti").drop(row).unionByName(one)

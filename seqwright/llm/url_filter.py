@@ -20,7 +20,7 @@ empty table gives no rows; with no listed key every page without a rule is allow
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
@@ -149,12 +149,13 @@ def _bit_words(keys: DataFrame, level: Level) -> DataFrame:
 
 
 def _held(keys: DataFrame, level: Level) -> DataFrame:
-    sent = keys.sparkSession.sparkContext.broadcast(level)
+    sent = keys.sparkSession.sparkContext.broadcast(astuple(level))   # plain: workers need not have this package
 
     def run(batches):
+        here = Level(*sent.value)
         for b in batches:
             h1, h2 = b.column(0).to_numpy().view(U), b.column(1).to_numpy().view(U)
-            yield b.filter(pa.array(sent.value.holds(h1, h2)))
+            yield b.filter(pa.array(here.holds(h1, h2)))
 
     return keys.select("h1", "h2", "listed").mapInArrow(run, "h1 bigint, h2 bigint, listed boolean")
 
@@ -170,7 +171,7 @@ def hashes(key: Column) -> tuple[Column, Column]:
 def listed_udf(sent):
     @F.pandas_udf(BooleanType())
     def is_listed(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(in_cascade(sent.value, a.to_numpy().view(U), b.to_numpy().view(U)))
+        return pd.Series(in_cascade([Level(*x) for x in sent.value], a.to_numpy().view(U), b.to_numpy().view(U)))
 
     return is_listed
 
@@ -190,7 +191,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url: str = "url", *, rules:
     for g in range(groups):
         mine = F.pmod(F.col("h2"), F.lit(groups)) == g
         levels = build_cascade(keys.where(mine))
-        probe = listed_udf(src.sparkSession.sparkContext.broadcast(levels))
+        probe = listed_udf(src.sparkSession.sparkContext.broadcast([astuple(x) for x in levels]))
         part = (src if groups == 1 else src.where(mine)).withColumn("listed", probe("h1", "h2"))
         out = part if out is None else out.unionByName(part)
     best = best_rule(F.col("host"), F.col("path"), rules)

@@ -353,7 +353,7 @@ def test_null_ids_do_not_break_any_operator(spark):
         assert got.count() == 3
     assert decontaminate.matches(d, bench).count() == 2
     assert decontaminate.clean(d, bench).count() == 1
-    assert setsketch.keep_one(d).count() <= 1
+    assert setsketch.keep_one(d).count() == 2  # the text under its id, and the row without a text
     assert licenses.scan(d).count() == 0
 
 
@@ -443,3 +443,82 @@ def test_html_extract(spark):
     d = spark.createDataFrame([(1, "<p>a", 3), (1, "<p>a", 3), (2, None, 4)], "page_id bigint, html string, text int")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(d).collect()) == [(1, "a", 1), (1, "a", 1), (2, "", 0)]
     assert html_text.extract(d.limit(0)).count() == 0
+
+
+def test_keep_one_keeps_exactly_one_row_of_each_group(spark):
+    a, b = prose(8, 90), prose(9, 90)
+    near = a.replace(a.split(" ")[50], "changed", 1)
+    rows = [(5, a, "x"), (5, b, "x"), (None, a, "y"), (None, prose(10, 70), "z"), (7, near, "x"), (7, near, "w"), (8, b, "x"), (8, b, "x"), (None, None, "q")]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, _row string")
+    for part in (1, 3):
+        got = sorted(map(str, setsketch.keep_one(d.repartition(part)).collect()))
+        assert got == sorted(map(str, (spark.createDataFrame([rows[0], rows[1], rows[3], rows[8]], d.schema).collect())))
+    two = d.where("doc_id = 7")  # rows that share id and text: one, the same on every run
+    assert len({str(setsketch.keep_one(two.repartition(n)).collect()) for n in (1, 2, 3)}) == 1
+
+
+def test_encoder_holds_a_bounded_cache(monkeypatch):
+    monkeypatch.setattr(token_shards, "CACHE_BYTES", 1 << 18)
+    enc = token_shards.Encoder(open(token_shards.VOCABULARY, "rb").read())
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        t = " ".join("".join(rng.choice(list("abcdefghij"), 6)) for _ in range(2000)) + " the of and"
+        raw = np.frombuffer(t.encode(), np.uint8)
+        ids, counts = enc.slice(raw, np.array([0, len(raw)]))
+        assert ids.tolist() == enc.encode(t) and counts.tolist() == [len(ids)]
+        assert enc.held_bytes() < 4 << 18
+
+
+def test_unknown_words_cost_what_the_model_says_in_empty_buckets(spark):
+    """One short training text: most buckets hold no pair, and every token of another text has its probability."""
+    ids = {r: next(i for i in range(100) if (zlib.crc32(str(i).encode()) % 7 == 2) == r) for r in (True, False)}
+    d = spark.createDataFrame([(ids[False], "one two"), (ids[True], "a b c d e f g h")], "doc_id bigint, text string").repartition(2)
+    r = next(x for x in lm_scoring.score(d).collect() if x.held_out)
+    p = 1 / (3 + 3 + 1)   # of a word that is not known; 3 tokens, 3 different ones
+    want = 7 * math.log10(p) + math.log10(lm_scoring.MU * p / (1 + lm_scoring.MU)) + math.log10(2 / 7)
+    assert abs(r.score - want) < 1e-6
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """LM scores and the URL filter from a folder where only the driver finds the package."""
+    import os
+    import subprocess
+    import sys
+
+    from conftest import ROOT, SF001
+
+    script = tmp_path / "run.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {ROOT!r})
+import __spark_entry__ as E
+from seqwright.session import build_session
+spark = build_session("local[2]", 2, extra={{"spark.checkpoint.dir": {str(tmp_path / "shared")!r}}})
+for q in ("op1_lm_scores", "op6_url_filter"):
+    assert E.queries()[q](spark, {SF001!r}).count() > 0
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("piece", [300, 1000, 5000])
+def test_long_texts_in_pieces_give_the_same_spans(spark, docs, monkeypatch, piece):
+    """Texts above a piece's size are cut into overlapping pieces: same removals, whatever the size."""
+    cols = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = sorted(map(tuple, suffix_dedup.remove_repeats(docs).select(*cols).collect()), key=str)
+    monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(docs).select(*cols).collect()), key=str) == want
+
+
+def test_slices_of_a_long_text_have_the_anchors_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(4)
+    for data in (rng.integers(97, 123, 9000).astype(np.uint8), np.zeros(5000, np.uint8), np.tile(rng.integers(97, 123, 50).astype(np.uint8), 100)):
+        offs = np.array([0, len(data)])
+        whole = suffix_dedup.anchors(data, offs, 400, 64)
+        monkeypatch.setattr(suffix_dedup, "PIECE", 700)
+        parts = list(suffix_dedup.anchor_pieces(data, offs, 400, 64))
+        monkeypatch.undo()
+        got = [np.concatenate([p[i] + (p[1] if i == 3 else 0) for p in parts]) for i in range(2, 9)]
+        for a, b in zip(whole, got):
+            assert a.tolist() == b.tolist()
