@@ -268,26 +268,27 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", *, model:
     block = F.array(F.struct(F.col("first").alias("paragraph"), F.col("block").alias("par"), F.lit(True).alias("whole")))
     d = d.select("doc_id", "r", "first", F.inline(F.concat(F.filter(one, lambda x: x["par"].rlike(ANCHOR)),
                                                            F.when(F.size("lines") > 1, block).otherwise(F.array_except(block, block)))))
-    d = written(d, "license-paragraphs")
+    # a paragraph goes by 16 bytes of hash from here on, its text is not repeated beside every word
+    d = written(d.withColumn("key", F.unhex(F.md5("par"))), "license-paragraphs")
     # repeated notices are classified once
-    once = d.select("par").distinct()
-    z = logits(once, model, ["par"])
-    p = z.withColumn("p", softmax("z", model.temperature)).select("par", "p")
+    once = written(d.groupBy("key").agg(F.first("par").alias("par")), "license-texts")
+    z = logits(once, model, ["key"])
+    p = z.withColumn("p", softmax("z", model.temperature)).select("key", "p")
     none = len(FAMILIES)
     best = F.array_max(F.slice("p", 1, none - 1))
-    p = p.select("par", best.alias("probability"), F.element_at("p", none).alias("p_none"),
+    p = p.select("key", best.alias("probability"), F.element_at("p", none).alias("p_none"),
                  F.element_at(F.array(*[F.lit(f) for f in FAMILIES]), F.array_position("p", best).cast("int")).alias("predicted"))
-    p = p.where("p_none < 0.5")
+    p = p.where("p_none < 0.5").join(once, "key")
     t = templates(spark).withColumn("w", tokens(F.col("template"))).select(
         F.col("family").alias("predicted"), F.expr(f"array_distinct({pairs_sql('w')})").alias("tg"))
     p = p.withColumn("w", tokens(F.col("par"))).withColumn("pg", F.expr(pairs_sql("w")))
     p = p.join(F.broadcast(t), "predicted").withColumn("s", F.size(F.array_intersect("pg", "tg")) / F.size("tg"))
-    p = p.groupBy("par", "predicted", "probability").agg(F.max("s").alias("similarity"))
+    p = p.groupBy("key", "predicted", "probability").agg(F.max("s").alias("similarity"))
     sure = (F.col("probability") >= SURE) & (F.col("similarity") >= CONTAINED)
     p = p.withColumn("confirmed", sure).withColumn("family", F.when(sure, F.col("predicted")).otherwise("unknown"))
     # a block or its lines
     of_block = Window.partitionBy("r", "first")
-    d = d.join(p, "par").withColumn("of_lines", F.collect_set(F.when(~F.col("whole") & F.col("confirmed"), F.col("predicted"))).over(of_block))
+    d = d.join(p, "key").withColumn("of_lines", F.collect_set(F.when(~F.col("whole") & F.col("confirmed"), F.col("predicted"))).over(of_block))
     d = d.withColumn("n_lines", F.count(F.when(~F.col("whole"), True)).over(of_block))
     stands = F.col("whole") & F.when(F.col("confirmed"), ~F.array_contains("of_lines", F.col("predicted"))).otherwise(F.col("n_lines") == 0)
     d = d.withColumn("stands", stands).withColumn("settled", F.max("stands").over(of_block))
