@@ -23,6 +23,10 @@ A byte goes if a 400-byte string that covers it starts at two or more places of
 Grams, contexts and windows are found by hashes of 64 and 128 bits. A colliding gram only costs
 comparisons; windows and contexts rely on 128 bits.
 
+Texts are worked off in slices of ``PIECE`` bytes; a longer text is cut into pieces that overlap by the
+reach of a context, and each anchor belongs to the piece in which it stands, so memory does not follow
+the length of a text (beyond its own bytes).
+
 Defined cases: null and empty texts have 0 bytes and the hash of nothing. Rows with the same id
 and text get the same result (and repeat each other). Extra columns are ignored. An empty
 table gives no rows.
@@ -46,7 +50,8 @@ BUCKET_ROWS = 20_000
 MAX_BUCKETS = 4096
 SAMPLE = 20
 UNIT_ROWS = 100_000
-WINDOWS = 1_000_000
+WINDOWS = 250_000   # window hashes a task makes at a time
+PIECE = 256 << 10   # bytes of text whose grams a task holds at a time
 
 U = np.uint64
 BASE2 = U(0xC2B2AE3D27D4EB4F)
@@ -100,11 +105,29 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
     return row, a, left, right, g[a], c1, c2
 
 
+def anchor_pieces(data: np.ndarray, offs: np.ndarray, length: int, gram: int):
+    """(bytes, their place in the slice, and what ``anchors`` gives of them): a slice as it is, a longer text in
+    pieces with ``length - gram`` bytes before and ``length - 1`` after them, so that every window that may
+    have its anchor in a piece, and the anchor's whole context, lie in the bytes."""
+    if len(data) <= PIECE:
+        yield data, 0, *anchors(data, offs, length, gram)
+        return
+    for a in range(0, len(data), PIECE):
+        lo, hi = max(0, a - (length - gram)), min(len(data), a + PIECE + length - 1)
+        got = anchors(data[lo:hi], np.array([0, hi - lo]), length, gram)
+        own = (got[1] + lo >= a) & (got[1] + lo < a + PIECE)
+        yield data[lo:hi], lo, *(x[own] for x in got)
+
+
 def text_keys(data: np.ndarray, offs: np.ndarray, ids: pa.Array) -> np.ndarray:
-    """A 64-bit key of each row's id and text."""
+    """A 64-bit key of each row's id and text; a text above ``PIECE`` bytes, alone in its slice, by a running hash."""
     i = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U)
     null = np.asarray(ids.is_null()).astype(U)
-    return T.mix(T.span_hash(T.prefix_hash(data), offs[:-1], offs[1:]) ^ T.mix(i + null * U(0x632BE59BD9B4E019)))
+    if len(data) > PIECE:
+        own = np.frombuffer(hashlib.blake2b(np.ascontiguousarray(data), digest_size=8).digest(), U)
+    else:
+        own = T.span_hash(T.prefix_hash(data), offs[:-1], offs[1:])
+    return T.mix(own ^ T.mix(i + null * U(0x632BE59BD9B4E019)))
 
 
 def i64(x: np.ndarray) -> pa.Array:
@@ -117,14 +140,14 @@ ANCHORS = "text_key bigint, at int, l int, r int, gram bigint, c1 bigint, c2 big
 def anchor_table(src: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches):
         for b in batches:
-            for lo, hi, data, offs in T.slices(b, 1):
+            for lo, hi, data, offs in T.slices(b, 1, PIECE):
                 key = text_keys(data, offs, b.column(0).slice(lo, hi - lo))
-                row, a, left, right, g, c1, c2 = anchors(data, offs, length, gram)
-                if len(a):
-                    i32 = lambda x: pa.array(x.astype(np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [i64(key[row]), i32(a - offs[row]), i32(left), i32(right), i64(g), i64(c1), i64(c2)],
-                        names=["text_key", "at", "l", "r", "gram", "c1", "c2"])
+                for _, place, row, a, left, right, g, c1, c2 in anchor_pieces(data, offs, length, gram):
+                    if len(a):
+                        i32 = lambda x: pa.array(x.astype(np.int32))
+                        yield pa.RecordBatch.from_arrays(
+                            [i64(key[row]), i32(a + place - offs[row]), i32(left), i32(right), i64(g), i64(c1), i64(c2)],
+                            names=["text_key", "at", "l", "r", "gram", "c1", "c2"])
 
     return src.mapInArrow(run, ANCHORS)
 
@@ -161,7 +184,7 @@ def context_bytes(src: DataFrame, wanted: DataFrame, texts: DataFrame, length: i
     def run(batches):
         by_text, by_context = sent.value
         for b in batches:
-            for lo, hi, data, offs in T.slices(b, 1):
+            for lo, hi, data, offs in T.slices(b, 1, PIECE):
                 key = text_keys(data, offs, b.column(0).slice(lo, hi - lo))
                 need = in_filter(by_text, text_bits, key)
                 if not need.any():
@@ -169,17 +192,17 @@ def context_bytes(src: DataFrame, wanted: DataFrame, texts: DataFrame, length: i
                 size = np.diff(offs) * need
                 part = np.concatenate([data[offs[i]:offs[i + 1]] for i in np.flatnonzero(need)])
                 offs = np.concatenate([[0], np.cumsum(size)])
-                row, a, left, right, g, c1, c2 = anchors(part, offs, length, gram)
-                keep = np.flatnonzero(in_filter(by_context, context_bits, c1))
-                _, one = np.unique(c1[keep], return_index=True)
-                keep = keep[one]
-                if not len(keep):
-                    continue
-                raw = part.tobytes()
-                ahead = [raw[x:x + r] for x, r in zip(a[keep].tolist(), right[keep].tolist())]
-                back = [raw[x - y:x][::-1] for x, y in zip(a[keep].tolist(), left[keep].tolist())]
-                yield pa.RecordBatch.from_arrays([i64(g[keep]), i64(c1[keep]), i64(c2[keep]), pa.array(ahead, pa.binary()),
-                                                  pa.array(back, pa.binary())], names=["gram", "c1", "c2", "ahead", "back"])
+                for piece, _, _, a, left, right, g, c1, c2 in anchor_pieces(part, offs, length, gram):
+                    keep = np.flatnonzero(in_filter(by_context, context_bits, c1))
+                    _, one = np.unique(c1[keep], return_index=True)
+                    keep = keep[one]
+                    if not len(keep):
+                        continue
+                    raw = piece.tobytes()
+                    ahead = [raw[x:x + r] for x, r in zip(a[keep].tolist(), right[keep].tolist())]
+                    back = [raw[x - y:x][::-1] for x, y in zip(a[keep].tolist(), left[keep].tolist())]
+                    yield pa.RecordBatch.from_arrays([i64(g[keep]), i64(c1[keep]), i64(c2[keep]), pa.array(ahead, pa.binary()),
+                                                      pa.array(back, pa.binary())], names=["gram", "c1", "c2", "ahead", "back"])
 
     got = src.mapInArrow(run, "gram bigint, c1 bigint, c2 bigint, ahead binary, back binary")
     return got.join(wanted.select("c1", "c2"), ["c1", "c2"], "left_semi").dropDuplicates(["c1", "c2"]) \
@@ -313,7 +336,7 @@ def _window_hashes(ahead, back, first, last, length: int):
     """(row, j, hash 1, hash 2) of the windows that start j = first[row]..last[row] bytes before the
     anchor."""
     row, j, h1, h2 = [], [], [], []
-    step = max(1, T.SLICE_BYTES // (2 * length))
+    step = max(1, PIECE // (2 * length))
     for lo in range(0, len(ahead), step):
         text = [y[::-1] + x for x, y in zip(ahead[lo:lo + step], back[lo:lo + step])]
         left = np.array([len(y) for y in back[lo:lo + step]])
@@ -443,9 +466,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", *,
 
     def base(batches):
         for b in batches:
-            for lo, hi, data, offs in T.slices(b, 1):
+            for lo, hi, data, offs in T.slices(b, 1, PIECE):
                 ids = b.column(0).slice(lo, hi - lo)
-                raw = data.tobytes()
+                raw = memoryview(np.ascontiguousarray(data))
                 sha = [hashlib.sha256(raw[x:y]).hexdigest() for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([ids, i64(text_keys(data, offs, ids)), pa.array(np.diff(offs)), pa.array(sha)],
                                                  names=["doc_id", "text_key", "n_bytes", "sha"])
@@ -453,11 +476,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text: str = "text", *,
     def chosen(batches):
         has = sent.value
         for b in batches:
-            for lo, hi, data, offs in T.slices(b, 1):
+            for lo, hi, data, offs in T.slices(b, 1, PIECE):
                 key = text_keys(data, offs, b.column(0).slice(lo, hi - lo))
                 keep = np.flatnonzero(in_filter(has, bits, key))
                 if len(keep):
-                    raw = data.tobytes()
+                    raw = memoryview(np.ascontiguousarray(data))
                     yield pa.RecordBatch.from_arrays([i64(key[keep]), pa.array([raw[offs[i]:offs[i + 1]] for i in keep], pa.binary())],
                                                      names=["text_key", "raw"])
 
