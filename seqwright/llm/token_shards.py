@@ -42,8 +42,9 @@ SHARD_BYTES = 16 << 20
 SEED = 20
 ROUNDS = 6
 STRIDE = 2 * SEQ_LEN + 1
-CACHE = 4_000_000
-FLUSH_BYTES = 16 << 20  # of records a task holds before it sends them
+CACHE_BYTES = 32 << 20   # of encoded pieces a worker keeps
+FLUSH_BYTES = 4 << 20   # of records a task holds before it sends them
+SLICE_BYTES = 256 << 10  # of text encoded at a time
 
 # Fixed value: the split pattern that the vocabulary was made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,7 +56,7 @@ class Encoder:
     """Ids of texts by their pieces. The pattern never joins a space with what stands before it, so a
     text without double spaces is the sum of its pieces, each from one space up to the next. Every
     distinct piece a task meets is encoded once; its ids stay in one array, found by a sorted
-    array of 64-bit piece hashes (started anew beyond ``CACHE`` pieces)."""
+    array of 64-bit piece hashes. Beyond ``CACHE_BYTES`` the less used half of the pieces goes."""
 
     def __init__(self, vocabulary: bytes):
         import tiktoken
@@ -68,9 +69,24 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, U)
-        self.at = self.size = np.zeros(0, np.int64)
+        self.at = self.size = np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, "<u2"), 0
 
+    def held_bytes(self) -> int:
+        return sum(x.nbytes for x in (self.keys, self.at, self.size, self.uses, self.ids))
+
+    def _shrink(self) -> None:
+        """Drops pieces, least used first, until half of the bytes are left; uses count half from here on."""
+        order = np.argsort(-self.uses, kind="stable")
+        each = 24 + 2 * self.size[order].astype(np.int64)
+        keep = np.sort(order[:int(np.searchsorted(np.cumsum(each), CACHE_BYTES // 2))])
+        size = self.size[keep].astype(np.int64)
+        at = np.cumsum(size) - size
+        ids = self.ids[np.repeat(self.at[keep] - at, size) + np.arange(int(size.sum()))]
+        self.keys, self.at, self.size, self.uses = self.keys[keep], at.astype(np.int32), size.astype(np.int32), self.uses[keep] // 2
+        self.ids, self.used = ids, len(ids)
+
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Adds sorted new keys. Pieces that start with a space are encoded in one call: no id reaches
         over a space, so the ids' byte lengths tell where each piece ends."""
@@ -88,12 +104,13 @@ class Encoder:
             at[i], size[i] = n, len(parts[-1])
             n += len(parts[-1])
         if self.used + n > len(self.ids):
-            self.ids = np.concatenate([self.ids[:self.used], np.zeros(2 * (self.used + n) - self.used, "<u2")])
+            self.ids = np.concatenate([self.ids[:self.used], np.zeros(n + (self.used + n) // 4, "<u2")])
         self.ids[self.used:self.used + n] = np.concatenate(parts)
         where = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, where, keys)
-        self.at = np.insert(self.at, where, at + self.used)
-        self.size = np.insert(self.size, where, size)
+        self.at = np.insert(self.at, where, (at + self.used).astype(np.int32))
+        self.size = np.insert(self.size, where, size.astype(np.int32))
+        self.uses = np.insert(self.uses, where, 0)
         self.used += n
 
     def slice(self, data: np.ndarray, offs: np.ndarray, only_counts: bool = False):
@@ -106,8 +123,8 @@ class Encoder:
         end = np.append(start[1:], len(data))
         row_piece = np.searchsorted(start, offs)
         keys, first, inverse = np.unique(T.span_hash(T.prefix_hash(data), start, end), return_index=True, return_inverse=True)
-        if len(self.keys) > CACHE:
-            self._forget()
+        if self.held_bytes() > CACHE_BYTES:
+            self._shrink()
         i = np.searchsorted(self.keys, keys)
         new = np.ones(len(keys), bool)
         new[i < len(self.keys)] = self.keys[i[i < len(self.keys)]] != keys[i < len(self.keys)]
@@ -116,7 +133,8 @@ class Encoder:
             f = first[new]
             self._learn(keys[new], [raw[x:y] for x, y in zip(start[f].tolist(), end[f].tolist())])
             i = np.searchsorted(self.keys, keys)
-        each = self.size[i][inverse]
+        np.add.at(self.uses, i, np.bincount(inverse, minlength=len(keys)))
+        each = self.size[i][inverse].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(each)])
         counts = upto[row_piece[1:]] - upto[row_piece[:-1]]
         # rows with double spaces are encoded whole
@@ -183,7 +201,7 @@ def count_sequences(src: DataFrame, vocabulary) -> DataFrame:
     def run(batches):
         enc, split, ord_, sums = Encoder(vocabulary.value), TaskContext.get().partitionId(), 0, Checksum()
         for b in batches:
-            for lo, hi, data, offs in T.slices(b, 1):
+            for lo, hi, data, offs in T.slices(b, 1, SLICE_BYTES):
                 crc = sums.add(data, offs)
                 n = enc.slice(data, offs, only_counts=True)[1] + 1
                 yield pa.RecordBatch.from_arrays(
@@ -226,7 +244,7 @@ def deal(src: DataFrame, vocabulary, starts, n: int, per_shard: int, key: int) -
                      pa.array([pack.compress(raw[i].tobytes())], pa.binary())], names=["shard", "slots", "records"])
 
         for b in batches:
-            for _, _, data, offs in T.slices(b, 1):
+            for _, _, data, offs in T.slices(b, 1, SLICE_BYTES):
                 crc = sums.add(data, offs)
                 held.append(sequences(*enc.slice(data, offs)))
                 size += len(held[-1])
