@@ -30,6 +30,7 @@ WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 BLOCKS = 1024
 SHARDS = 16
+PIECE_WORDS = 1 << 23   # words of a shard in one output partition, about
 
 
 def n_words(text: Column) -> Column:
@@ -192,19 +193,22 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
           weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, blocks: int = BLOCKS,
           shards: int = SHARDS, seed: int = 17) -> DataFrame:
     """The mixture's rows: each document once per draw that takes words of it, with the input's
-    columns plus ``shard``, in each shard ordered by a seeded key. The document that holds a
+    columns plus ``shard``, in each shard ordered by a seeded key. A shard takes as many partitions, ranges
+    of that key, as its words need. The document that holds a
     source's cut is given whole (documents are never cut here); blank documents are not given.
 
     The texts move once, to their shards: the block table (at most ``blocks`` rows a source)
     comes to them, and only rows of blocks with a cut are looked up one by one.
     """
     sizes = sized(df, id_col, text, source, seed, blocks)
-    _, drawn = _planned(sizes, weights, max_epochs, shards, seed)
+    target_table, drawn = _planned(sizes, weights, max_epochs, shards, seed)
+    words = target_table.agg(F.sum("target")).first()[0] or 0
+    cut = max(0, int(words / (shards * PIECE_WORDS))).bit_length()   # bits of the key that number a shard's partitions
     per_block = written(_by_block(drawn), "mix-by-block")
     chosen = _cut_rows(sizes, per_block).where("last > 0").select("doc_id", "source", "size").distinct()
     # names that the input does not have: every column of it is carried along
-    shard, key, copies, bs, bb, bd, bc, ci, cs, cz = fresh(
-        df, "shard", "_key", "_copies", "_bs", "_bb", "_drawn", "_cut", "_ci", "_cs", "_cz")
+    shard, key, copies, bs, bb, bd, bc, ci, cs, cz, place, part_id = fresh(
+        df, "shard", "_key", "_copies", "_bs", "_bb", "_drawn", "_cut", "_ci", "_cs", "_cz", "_place", "_part")
     per_block = per_block.toDF(bs, bb, bd, bc)
     chosen = chosen.toDF(ci, cs, cz)
     d = df.withColumn(key, md5_number(str(seed), F.col(id_col))).where(n_words(F.col(text)) > 0)
@@ -218,6 +222,8 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
         F.expr(f"slice({bd}, 1, size({bd}) - 1)")))
     keep = [*df.columns, key, copies]
     out = whole.select(*keep).unionByName(part.select(*keep)).withColumn(copies, F.explode(copies))
-    out = out.withColumn(shard, F.col(copies)["shard"])
-    return out.repartition(shards, shard).sortWithinPartitions(shard, F.xxhash64(key, F.col(copies)["copy"]), key) \
+    out = out.withColumn(shard, F.col(copies)["shard"]).withColumn(place, F.xxhash64(key, F.col(copies)["copy"]))
+    piece = F.shiftright(place, 64 - cut) + (1 << cut >> 1) if cut else F.lit(0)   # in the order of the key
+    out = out.withColumn(part_id, (F.col(shard) * (1 << cut) + piece).cast("int"))
+    return out.repartitionById(shards << cut, F.col(part_id)).sortWithinPartitions(shard, place, key) \
         .select(*df.columns, shard)
