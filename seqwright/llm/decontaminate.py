@@ -48,20 +48,37 @@ NO_NAMES = ("The An This That These Those There Here He She It They We You His H
             "Find Calculate Determine Assume Yes Question Answer Mr Mrs Ms Dr").split()
 
 
-def marked(text: Column, wide: bool = False) -> Column:
-    """The template with values, tokens separated by single spaces."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), "[<>=]+", " ")
-    name = "(?<=[\\p{Ll},;:]\\s)\\p{Lu}\\p{Ll}++(?!\\p{L})"
-    if wide:
-        name = (f"(?<!\\p{{L}})(?=\\p{{Lu}})(?!(?:{'|'.join(NO_NAMES)})(?!\\p{{L}}))"
-                "(?=[\\p{L}&&[^\\p{Ll}]]++\\p{Ll})\\p{L}++")
-    t = F.regexp_replace(t, name, "<name=$0>")
+#: Marks before a capitalised word: a name of the first form, a name of the wide form.
+_NAME, _WIDE = "\u0001", "\u0002"
+
+
+def noted(text: Column) -> Column:
+    """Both forms in one pass over the text: tokens separated by single spaces, numbers and units with their
+    values, names still words, with a mark for each form that takes them as a name."""
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), f"[<>={_NAME}{_WIDE}]+", " ")
+    t = F.regexp_replace(t, "(?<=[\\p{Ll},;:]\\s)\\p{Lu}\\p{Ll}++(?!\\p{L})", f"{_NAME}$0")
+    wide = (f"(?<!\\p{{L}})(?=\\p{{Lu}})(?!(?:{'|'.join(NO_NAMES)})(?!\\p{{L}}))"
+            "(?=[\\p{L}&&[^\\p{Ll}]]++\\p{Ll})\\p{L}++")
+    t = F.regexp_replace(t, wide, f"{_WIDE}$0")
     t = F.regexp_replace(t, "[0-9]++(?:[.,][0-9]++)*+", " <num=$0> ")
     t = F.regexp_replace(t, f"(?i)(?<=> {{1,2}})({'|'.join(UNITS)})(?![\\p{{L}}\\p{{N}}])", "<unit=$1>")
-    t = F.regexp_replace(t, "[^\\p{L}\\p{N}<>=.,]++|(?<![0-9])[.,]++|[.,]++(?![0-9])", " ")
+    # single spaces stay as they are: to match each of them would cost more than all the rest
+    t = F.regexp_replace(t, f"[^\\p{{L}}\\p{{N}}<>=., {_NAME}{_WIDE}]++|(?<![0-9])[.,]++|[.,]++(?![0-9])", " ")
     return F.btrim(F.regexp_replace(F.lower(t), " {2,}", " "))
 
 
+def _named(t: Column, wide: bool, name: str) -> Column:
+    """One form of a noted text, its names replaced."""
+    if wide:
+        return F.replace(F.regexp_replace(t, f"{_NAME}?{_WIDE}([^ ]++)", name), F.lit(_NAME), F.lit(""))
+    return F.replace(F.regexp_replace(t, f"{_NAME}{_WIDE}?([^ ]++)", name), F.lit(_WIDE), F.lit(""))
+
+
+def marked(text: Column, wide: bool = False) -> Column:
+    """The template with values, tokens separated by single spaces."""
+    return _named(noted(text), wide, "<name=$1>")
+
+
 def template(marked_text: Column) -> Column:
     return F.regexp_replace(marked_text, "=[^> ]*+>", ">")
 
@@ -70,58 +87,68 @@ def _tokens(col: Column) -> Column:
     return F.when(col == "", F.array().cast("array<string>")).otherwise(F.split(col, " "))
 
 
-def _token_arrays(df: DataFrame, keys: list[str], text: str, wide: bool) -> DataFrame:
-    """``keys``, _w (template tokens), _v (marked tokens, null if the text has no slot), _n."""
-    d = df.select(*keys, marked(F.col(text), wide).alias("_m"))
-    d = d.withColumn("_c", template(F.col("_m")))
-    d = d.select(*keys, _tokens(F.col("_c")).alias("_w"),
-                 F.when(F.instr("_c", "<") > 0, _tokens(F.col("_m"))).alias("_v"))
+def _token_arrays(df: DataFrame, keys: list[str], text: str, values: bool) -> DataFrame:
+    """A row per form: ``keys``, wide, _w (template tokens), _n, and with ``values`` _v (marked tokens, null if the
+    text has no slot). The text is noted once for both forms. The outer form of explode here and below, since Spark
+    would derive a filter from the plain one and repeat the expressions of all columns inside it."""
+    d = df.select(*keys, noted(F.col(text)).alias("_t"))
+    d = d.select(*keys, "_t", template(F.col("_t")).alias("_u"))
+    one = [F.struct(F.lit(w).alias("wide"), _named(F.col("_u"), w, "<name>").alias("c"),
+                    *([_named(F.col("_t"), w, "<name=$1>").alias("m")] if values else [])) for w in (False, True)]
+    d = d.select(*keys, F.explode_outer(F.array(*one)).alias("_f"))
+    d = d.select(*keys, F.col("_f.wide").alias("wide"), _tokens(F.col("_f.c")).alias("_w"),
+                 *([F.when(F.instr("_f.c", "<") > 0, _tokens(F.col("_f.m"))).alias("_v")] if values else []))
     return d.withColumn("_n", F.size("_w"))
 
 
 def _hashed(d: DataFrame, k: int, fits: str) -> DataFrame:
-    """Adds _h: the hashes of all windows of ``k`` tokens, null where ``fits`` fails. For a power of two
+    """Adds _x{k}: the hashes of all windows of ``k`` tokens, null where ``fits`` fails. For a power of two
     a window's hash is made of those of its halves; tokens are taken by position, since slice()
     would copy the whole array for every window."""
     if k & (k - 1):
         at = ", ".join(f"get(_w, i + {x})" for x in range(k))
-        return d.withColumn("_h", F.expr(f"if({fits}, transform(sequence(0, _n - {k}), i -> xxhash64({at})), null)"))
+        return d.withColumn(f"_x{k}", F.expr(f"if({fits}, transform(sequence(0, _n - {k}), i -> xxhash64({at})), null)"))
     half, now = 1, "_w"
     while half < k // 2:
         name = f"_h{half}"
-        d = d.withColumn(name, F.expr(f"transform({now}, (x, i) -> xxhash64(x, get({now}, i + {half})))"))
+        if name not in d.columns:
+            d = d.withColumn(name, F.expr(f"transform({now}, (x, i) -> xxhash64(x, get({now}, i + {half})))"))
         half, now = half * 2, name
     pair = f"xxhash64(get({now}, i), get({now}, i + {half}))" if k > 1 else "xxhash64(get(_w, i))"
-    return d.withColumn("_h", F.expr(f"if({fits}, transform(sequence(0, _n - {k}), i -> {pair}), null)"))
+    return d.withColumn(f"_x{k}", F.expr(f"if({fits}, transform(sequence(0, _n - {k}), i -> {pair}), null)"))
+
+
+def _exploded(d: DataFrame, keys: list[str], lengths: list[int], vals: bool) -> DataFrame:
+    """A row per window: ``keys``, wide, pos, len, h, and the marked window with ``vals``."""
+    lists = []
+    for k in lengths:
+        text = ", ".join(f"get(_v, i + {x})" for x in range(k))
+        value = f", 'vals', if(_v is null, null, concat_ws(' ', {text}))" if vals else ""
+        lists.append(f"coalesce(transform(_x{k}, (x, i) -> named_struct('pos', i, 'len', {k}, 'h', x{value})), array())")
+    windows_ = lists[0] if len(lists) == 1 else f"concat({', '.join(lists)})"
+    d = d.select(*keys, "wide", F.explode_outer(F.expr(windows_)).alias("_x")).where("_x is not null")
+    out = [*keys, "wide", "_x.pos", "_x.len", "_x.h"]
+    return d.select(*out, *([F.when(F.instr("_x.vals", "<") > 0, F.col("_x.vals")).alias("vals")] if vals else []))
 
 
 def window_hashes(df: DataFrame, keys: list[str], text: str, lengths: list[int]) -> DataFrame:
-    """One row per window and form: ``keys``, pos, len, h, wide. The outer form of explode, since Spark would derive
-    a filter from the plain one and repeat the expressions of all columns inside it."""
-    out = None
-    for wide, k in ((w, k) for w in (False, True) for k in lengths):
-        d = _token_arrays(df, keys, text, wide)
-        part = _hashed(d, k, f"_n >= {k}").select(*keys, F.posexplode_outer("_h").alias("pos", "h"), F.lit(k).alias("len"),
-                                                  F.lit(wide).alias("wide"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """One row per window and form: ``keys``, wide, len, h; one scan for all forms and lengths."""
+    d = _token_arrays(df, keys, text, False)
+    for k in lengths:
+        d = _hashed(d, k, f"_n >= {k}")
+    if len(lengths) == 1:   # the hashes themselves, no struct around each
+        return d.select(*keys, "wide", F.lit(lengths[0]).alias("len"), F.explode_outer(f"_x{lengths[0]}").alias("h")).where("h is not null")
+    return _exploded(d, keys, lengths, False).drop("pos")
 
 
 def windows(df: DataFrame, keys: list[str], text: str, lengths: list[int], short_whole: bool) -> DataFrame:
     """As ``window_hashes``, with vals (the marked window, null if it has no slot). ``short_whole``: a
     text below the first length is one window."""
-    out, every = None, sorted({*lengths, *(range(1, max(lengths)) if short_whole else ())})
-    for wide, k in ((w, k) for w in (False, True) for k in every):
-        d = _token_arrays(df, keys, text, wide)
-        part = _hashed(d, k, f"_n >= {k}" if k in lengths else f"_n = {k}")
-        vals = ", ".join(f"get(_v, i + {x})" for x in range(k))
-        one = f"named_struct('pos', i, 'h', x, 'vals', if(_v is null, null, concat_ws(' ', {vals})))"
-        part = part.select(*keys, F.explode_outer(F.expr(f"transform(_h, (x, i) -> {one})")).alias("_x"))
-        part = part.where("_x is not null").select(*keys, "_x.pos", F.lit(k).alias("len"), "_x.h",
-                                                   F.when(F.instr("_x.vals", "<") > 0, F.col("_x.vals")).alias("vals"),
-                                                   F.lit(wide).alias("wide"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    every = sorted({*lengths, *(range(1, max(lengths)) if short_whole else ())})
+    d = _token_arrays(df, keys, text, True)
+    for k in every:
+        d = _hashed(d, k, f"_n >= {k}" if k in lengths else f"_n = {k}")
+    return _exploded(d, keys, every, True)
 
 
 def matches(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -147,22 +174,34 @@ def matches(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str
     if some.count() <= BROADCAST_WINDOWS:
         some = F.broadcast(some)
     src = src.join(some, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")), "left_semi")
-    hit = windows(src, ["doc_id", "text_hash"], "t", lengths, False).join(b, at)
-    hit = hit.withColumn("shift", F.col("pos") - F.col("item_pos"))
+    pair = ["doc_id", "text_hash", "item_id", "item_hash"]
+    every = windows(src, ["doc_id", "text_hash"], "t", lengths, False)
+    n_slots = F.expr("size(filter(split(vals, ' '), x -> startswith(x, '<')))")
+    poor = F.col("vals").isNotNull() & ((F.col("len") - n_slots) * 2 < F.col("len"))
+    every = every.withColumn("poor", poor)
+    same = F.col("vals").isNull() | (F.col("vals") == F.col("item_vals"))
+    # windows of mostly slots meet any others of their length: they count only where their values are equal
+    hit = every.join(b, at & (~F.col("poor") | (F.col("vals") == F.col("item_vals"))))
+    hit = written(hit.withColumn("shift", F.col("pos") - F.col("item_pos")), "benchmark-hits")   # read several times below
+    free = hit.where(same)  # equal values need no further check
+    other = hit.where(~same)
+    # along an alignment that has windows to check, the poor ones say which values stand for each other as well: they
+    # are looked up by their place in the item
+    lines = written(other.select(*pair, "shift", "wide").distinct(), "benchmark-alignments")
+    ln = lines.toDF(*[f"_{c}" for c in (*pair, "shift", "wide")])
+    slotted = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash")) & (F.col("wide") == F.col("_wide"))
+    loose = every.where("poor").join(ln, slotted)
+    loose = loose.join(b, F.col("item_id").eqNullSafe(F.col("_item_id")) & (F.col("item_hash") == F.col("_item_hash"))
+                       & (F.col("item_pos") == F.col("pos") - F.col("_shift")) & at)
+    checked = hit.where("vals is not null").select(*pair, "shift", "wide", "vals", "item_vals").unionByName(
+        loose.select(*pair, F.col("_shift").alias("shift"), "wide", "vals", "item_vals"))
     # slot pairs (item value, document value) of a window: tokens that are marked
     pairs = F.expr("filter(zip_with(split(item_vals, ' '), split(vals, ' '), (x, y) -> named_struct('i', x, 'd', y)),"
                    " p -> startswith(p.i, '<'))")
-    hit = hit.withColumn("pairs", F.when(F.col("vals").isNotNull(), pairs))
-    literal = F.col("len") - F.coalesce(F.size("pairs"), F.lit(0))
-    hit = hit.withColumn("poor", F.col("vals").isNotNull() & (literal * 2 < F.col("len")))
-    pair = ["doc_id", "text_hash", "item_id", "item_hash"]
-    slots = hit.where("pairs is not null").select(*pair, "shift", "wide", F.explode("pairs").alias("p"))
+    slots = checked.select(*pair, "shift", "wide", F.explode(pairs).alias("p"))
     slots = slots.groupBy(*pair, "shift", "wide").agg(F.count_distinct("p").alias("n"), F.count_distinct("p.i").alias("ni"),
-                                              F.count_distinct("p.d").alias("nd"))
+                                                      F.count_distinct("p.d").alias("nd"))
     bad = slots.where("n != ni or n != nd").select(*[F.col(c).alias(f"_{c}") for c in (*pair, "shift", "wide")])
-    same = F.col("vals").isNull() | (F.col("vals") == F.col("item_vals"))
-    free = hit.where(same)  # equal values need no further check
-    other = hit.where(~same & ~F.col("poor"))
     cond = (F.col("shift") == F.col("_shift")) & (F.col("wide") == F.col("_wide"))
     for c in pair:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_{c}"))
