@@ -251,26 +251,32 @@ def common_prefix(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray)
 
 def neighbours(contexts: DataFrame, major: str, minor: str, wide: int, narrow: int) -> DataFrame:
     """(c1, c2, best, other): the longest common prefix of ``major`` with any context of the same
-    gram, and the common prefix of ``minor`` with that neighbour."""
+    gram, and the common prefix of ``minor`` with that neighbour. Contexts are sorted by gram first:
+    else one of another gram could stand between two of the same."""
     spark = contexts.sparkSession
+    wide_key = 8 + wide + narrow
+
+    def sort_keys(t):
+        """(n, 8 + wide + narrow) bytes: the gram's hash, ``major`` and ``minor``."""
+        gram = np.ascontiguousarray(t.column("gram").to_numpy()).astype(">i8").view(np.uint8).reshape(-1, 8)
+        return np.hstack([gram, grid(t.column(major).to_pylist(), wide), grid(t.column(minor).to_pylist(), narrow)])
+
     n = contexts.count()
     buckets = max(1, min(MAX_BUCKETS, -(-n // BUCKET_ROWS)))
     share = min(1.0, SAMPLE * buckets / max(n, 1) * 1.2)
-    sample = contexts.sample(False, share, 7).select(major, minor).toArrow() if buckets > 1 else None
+    sample = contexts.sample(False, share, 7).select("gram", major, minor).toArrow() if buckets > 1 else None
     if sample is not None and sample.num_rows:
-        g = np.hstack([grid(sample.column(0).to_pylist(), wide), grid(sample.column(1).to_pylist(), narrow)])
-        s = np.sort(np.ascontiguousarray(g).view(f"S{wide + narrow}").ravel())
+        s = np.sort(sort_keys(sample).view(f"S{wide_key}").ravel())
         splitters = s[np.linspace(0, len(s) - 1, buckets + 1).astype(int)[1:-1]]
     else:
-        splitters = np.zeros(0, f"S{wide + narrow}")
+        splitters = np.zeros(0, f"S{wide_key}")
     sent = spark.sparkContext.broadcast(splitters)
 
     def deal(batches):
         cuts = sent.value
         for b in batches:
             if b.num_rows:
-                k = np.hstack([grid(b.column(major).to_pylist(), wide), grid(b.column(minor).to_pylist(), narrow)])
-                k = np.ascontiguousarray(k).view(f"S{wide + narrow}").ravel()
+                k = sort_keys(b).view(f"S{wide_key}").ravel()
                 yield b.append_column("bucket", pa.array(np.searchsorted(cuts, k, "right").astype(np.int32)))
 
     def compare(t, order):
@@ -306,8 +312,7 @@ def neighbours(contexts: DataFrame, major: str, minor: str, wide: int, narrow: i
             cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
             for lo, hi in zip(cut[:-1], cut[1:]):
                 part = t.slice(lo, hi - lo)
-                keys = np.hstack([grid(part.column(major).to_pylist(), wide), grid(part.column(minor).to_pylist(), narrow)])
-                part, best, other = compare(part, multikey_order(keys))
+                part, best, other = compare(part, multikey_order(sort_keys(part)))
                 yield from out(part, best, other, False).to_batches()
                 ends = [0, hi - lo - 1] if hi - lo > 1 else [0]
                 yield from out(part.take(pa.array(ends)), best[ends], other[ends], True).to_batches()
@@ -324,8 +329,7 @@ def neighbours(contexts: DataFrame, major: str, minor: str, wide: int, narrow: i
     ends = ends.combine_chunks()
     if not ends.num_rows:
         return inner
-    keys = np.hstack([grid(ends.column(major).to_pylist(), wide), grid(ends.column(minor).to_pylist(), narrow)])
-    ends, best, other = compare(ends, multikey_order(keys))
+    ends, best, other = compare(ends, multikey_order(sort_keys(ends)))
     edge = out(ends, best, other, False).select(["c1", "c2", "best", "other"])
     edge = spark.createDataFrame(edge)
     top = F.max(F.struct("best", "other"))

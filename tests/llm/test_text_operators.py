@@ -168,6 +168,17 @@ def test_repeated_windows_of_a_hot_gram(spark, monkeypatch):
     assert {r.doc_id: r.n_removed for r in got.collect()} == want
 
 
+def test_neighbours_of_a_gram_meet_over_other_grams(spark, monkeypatch):
+    """Read backwards, a context of another gram may sort between two of the same; those are neighbours all the same."""
+    rows = [(1, 1, 1, b"gram1aaaa", b"mnopA"), (-2, 2, 2, b"gram2bbbb", b"mnopB"), (1, 3, 3, b"gram1aacc", b"mnopC"),
+            (-2, 4, 4, b"gram2bbdd", b"mnoqD"), (3, 5, 5, b"gram3", b"mnopB")]
+    d = spark.createDataFrame(rows, "gram bigint, c1 bigint, c2 bigint, ahead binary, back binary").repartition(1)
+    for bucket_rows in (100, 1):
+        monkeypatch.setattr(suffix_dedup, "BUCKET_ROWS", bucket_rows)
+        got = suffix_dedup.neighbours(d, "back", "ahead", 5, 9).collect()
+        assert {r.c1: (r.best, r.other) for r in got} == {1: (4, 7), 3: (4, 7), 2: (3, 7), 4: (3, 7), 5: (-1, -1)}
+
+
 def test_repeated_strings_of_nothing(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
