@@ -22,7 +22,7 @@ sequences of their own. Extra columns are ignored; an empty table writes no shar
 
 from __future__ import annotations
 
-import base64
+import binascii
 import zlib
 
 import numpy as np
@@ -55,40 +55,63 @@ U = np.uint64
 class Encoder:
     """Ids of texts by their pieces. The pattern never joins a space with what stands before it, so a
     text without double spaces is the sum of its pieces, each from one space up to the next. Every
-    distinct piece a task meets is encoded once; its ids stay in one array, found by a sorted
-    array of 64-bit piece hashes. Beyond ``CACHE_BYTES`` the less used half of the pieces goes."""
+    distinct piece a task meets is encoded once; its ids stay in one array, found by a hash table
+    (open addressing) of 64-bit piece hashes. Beyond ``CACHE_BYTES`` the less used half of the pieces goes."""
 
     def __init__(self, vocabulary: bytes):
         import tiktoken
 
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines())}
+        words = vocabulary.split()
+        ranks = dict(zip(map(binascii.a2b_base64, words[::2]), map(int, words[1::2])))
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.length = np.zeros(END_ID + 1, np.int64)  # bytes of each id
         self.length[list(ranks.values())] = list(map(len, ranks))
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys = np.zeros(0, U)
-        self.at = self.size = np.zeros(0, np.int32)
-        self.uses = np.zeros(0, np.int64)
+        self.n = 0  # pieces held: the first entries of the next four
+        self.keys, self.uses = np.zeros(1 << 12, U), np.zeros(1 << 12, np.int64)
+        self.at, self.size = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
         self.ids, self.used = np.zeros(1 << 16, "<u2"), 0
+        self.table = np.full(1 << 13, -1, np.int32)  # the number of a piece, at its hash or the next free entry after it
 
     def held_bytes(self) -> int:
-        return sum(x.nbytes for x in (self.keys, self.at, self.size, self.uses, self.ids))
+        return sum(x.nbytes for x in (self.keys, self.at, self.size, self.uses, self.ids, self.table))
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each piece, -1 for one that is not held."""
+        mask = len(self.table) - 1
+        slot = (keys & U(mask)).astype(np.int64)
+        out = self.table[slot]
+        far = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
+        while len(far):
+            slot[far] = (slot[far] + 1) & mask
+            out[far] = self.table[slot[far]]
+            far = far[(out[far] >= 0) & (self.keys[out[far]] != keys[far])]
+        return out
+
+    def _enter(self, number: np.ndarray) -> None:
+        """Enters pieces into the table; those that want one entry go on to the next, all but one."""
+        mask = len(self.table) - 1
+        slot = (self.keys[number] & U(mask)).astype(np.int64)
+        while len(number):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = number[free]
+            left = self.table[slot] != number
+            number, slot = number[left], (slot[left] + 1) & mask
 
     def _shrink(self) -> None:
         """Drops pieces, least used first, until half of the bytes are left; uses count half from here on."""
-        order = np.argsort(-self.uses, kind="stable")
-        each = 24 + 2 * self.size[order].astype(np.int64)
+        order = np.argsort(-self.uses[:self.n], kind="stable")
+        each = 40 + 2 * self.size[order].astype(np.int64)  # up to four table entries a piece
         keep = np.sort(order[:int(np.searchsorted(np.cumsum(each), CACHE_BYTES // 2))])
         size = self.size[keep].astype(np.int64)
         at = np.cumsum(size) - size
         ids = self.ids[np.repeat(self.at[keep] - at, size) + np.arange(int(size.sum()))]
         self.keys, self.at, self.size, self.uses = self.keys[keep], at.astype(np.int32), size.astype(np.int32), self.uses[keep] // 2
-        self.ids, self.used = ids, len(ids)
+        self.ids, self.used, self.n = ids, len(ids), len(keep)
+        self.table = np.full(1 << max(13, (2 * self.n).bit_length()), -1, np.int32)
+        self._enter(np.arange(self.n, dtype=np.int32))
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        """Adds sorted new keys. Pieces that start with a space are encoded in one call: no id reaches
+        """Adds new keys. Pieces that start with a space are encoded in one call: no id reaches
         over a space, so the ids' byte lengths tell where each piece ends."""
         led = np.array([p[:1] == b" " for p in pieces], bool)
         size = np.zeros(len(pieces), np.int64)
@@ -106,12 +129,19 @@ class Encoder:
         if self.used + n > len(self.ids):
             self.ids = np.concatenate([self.ids[:self.used], np.zeros(n + (self.used + n) // 4, "<u2")])
         self.ids[self.used:self.used + n] = np.concatenate(parts)
-        where = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, where, keys)
-        self.at = np.insert(self.at, where, (at + self.used).astype(np.int32))
-        self.size = np.insert(self.size, where, size.astype(np.int32))
-        self.uses = np.insert(self.uses, where, 0)
         self.used += n
+        m = self.n + len(keys)
+        if m > len(self.keys):
+            for name in ("keys", "at", "size", "uses"):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate([old[:self.n], np.zeros(m + m // 4 - self.n, old.dtype)]))
+        mine = np.arange(self.n, m, dtype=np.int32)
+        self.keys[mine], self.at[mine], self.size[mine], self.uses[mine] = keys, at + self.used - n, size, 0
+        self.n = m
+        if 2 * m > len(self.table):
+            self.table = np.full(1 << (2 * m).bit_length(), -1, np.int32)
+            mine = np.arange(m, dtype=np.int32)
+        self._enter(mine)
 
     def slice(self, data: np.ndarray, offs: np.ndarray, only_counts: bool = False):
         """(ids of all rows one after another, number of ids per row); no ids with ``only_counts``."""
@@ -122,19 +152,19 @@ class Encoder:
         start = np.flatnonzero(start)
         end = np.append(start[1:], len(data))
         row_piece = np.searchsorted(start, offs)
-        keys, first, inverse = np.unique(T.span_hash(T.prefix_hash(data), start, end), return_index=True, return_inverse=True)
+        keys = T.span_hash(T.prefix_hash(data), start, end)
         if self.held_bytes() > CACHE_BYTES:
             self._shrink()
-        i = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        new[i < len(self.keys)] = self.keys[i[i < len(self.keys)]] != keys[i < len(self.keys)]
+        i = self._find(keys)
         raw = data.tobytes()
-        if new.any():
-            f = first[new]
-            self._learn(keys[new], [raw[x:y] for x, y in zip(start[f].tolist(), end[f].tolist())])
-            i = np.searchsorted(self.keys, keys)
-        np.add.at(self.uses, i, np.bincount(inverse, minlength=len(keys)))
-        each = self.size[i][inverse].astype(np.int64)
+        new = np.flatnonzero(i < 0)
+        if len(new):
+            learnt, first = np.unique(keys[new], return_index=True)
+            f = new[first]
+            self._learn(learnt, [raw[x:y] for x, y in zip(start[f].tolist(), end[f].tolist())])
+            i[new] = self._find(keys[new])
+        np.add.at(self.uses, i, 1)
+        each = self.size[i].astype(np.int64)
         upto = np.concatenate([[0], np.cumsum(each)])
         counts = upto[row_piece[1:]] - upto[row_piece[:-1]]
         # rows with double spaces are encoded whole
@@ -143,7 +173,7 @@ class Encoder:
         whole = {r: np.array(self.encode(raw[offs[r]:offs[r + 1]].decode()), "<u2") for r in twice}
         ids = None
         if not only_counts:
-            at = self.at[i][inverse] - upto[:-1]
+            at = self.at[i] - upto[:-1]
             ids = self.ids[np.repeat(at, each) + np.arange(upto[-1])]
             if whole:
                 parts = np.split(ids, upto[row_piece[1:-1]])

@@ -480,6 +480,36 @@ def test_encoder_holds_a_bounded_cache(monkeypatch):
         assert enc.held_bytes() < 4 << 18
 
 
+def test_encoder_finds_known_pieces_without_sorting(monkeypatch):
+    enc = token_shards.Encoder(open(token_shards.VOCABULARY, "rb").read())
+    t = prose(50, 3000)
+    raw = np.frombuffer(t.encode(), np.uint8)
+    first = enc.slice(raw, np.array([0, len(raw)]))[0]
+
+    unique = np.unique
+
+    def few(x, *args, **kwargs):
+        assert len(x) < 100, "the pieces of a slice were sorted"
+        return unique(x, *args, **kwargs)
+
+    monkeypatch.setattr(np, "unique", few)
+    assert enc.slice(raw, np.array([0, len(raw)]))[0].tolist() == first.tolist() == enc.encode(t)
+
+
+def test_encoder_finds_pieces_whose_hashes_share_a_table_entry():
+    enc = token_shards.Encoder(open(token_shards.VOCABULARY, "rb").read())
+    low = np.array([(1 << 64) - 1, 5, 7], np.uint64) & np.uint64((1 << 30) - 1)
+    keys = (np.arange(6000, dtype=np.uint64) << np.uint64(30)) | low[np.arange(6000) % 3]
+    pieces = [b" w%d" % i for i in range(6000)]
+    for lo in (0, 20, 300):
+        hi = {0: 20, 20: 300, 300: 600}[lo]
+        enc._learn(keys[lo:hi], pieces[lo:hi])
+        i = enc._find(keys)
+        assert (i[:hi] >= 0).all() and (i[hi:] < 0).all()
+        for k in range(hi):
+            assert enc.ids[enc.at[i[k]]:][:enc.size[i[k]]].tolist() == enc.encode(pieces[k].decode())
+
+
 def test_unknown_words_cost_what_the_model_says_in_empty_buckets(spark):
     """One short training text: most buckets hold no pair, and every token of another text has its probability."""
     ids = {r: next(i for i in range(100) if (zlib.crc32(str(i).encode()) % 7 == 2) == r) for r in (True, False)}
