@@ -179,6 +179,24 @@ def test_neighbours_of_a_gram_meet_over_other_grams(spark, monkeypatch):
         assert {r.c1: (r.best, r.other) for r in got} == {1: (4, 7), 3: (4, 7), 2: (3, 7), 4: (3, 7), 5: (-1, -1)}
 
 
+def test_planted_passages_go_by_bytes_not_words(spark):
+    """A passage of over 50 words that two documents share goes whole from 400 bytes on and stays below; ``n_bytes`` is
+    the input's length either way."""
+    rows, want = [], {}
+    for i, (size, letter) in enumerate([(399, "a"), (400, "a"), (401, "a"), (900, "a"), (399, "é"), (400, "é")]):
+        passage = prose(400 + i, 300).replace("a", letter).encode()[:size].decode(errors="ignore")
+        passage += "q" * (size - len(passage.encode()))
+        assert len(WORD.findall(passage)) > 50 and len(passage.encode()) == size
+        for k, (a, b) in enumerate(("<>", "[]")):
+            head, tail = prose(500 + 2 * i + k, 90) + a, b + prose(600 + 2 * i + k, 90)
+            rows.append((2 * i + k, head + passage + tail))
+            left = head + tail if size >= 400 else rows[-1][1]
+            gone = size if size >= 400 else 0
+            want[2 * i + k] = (len(rows[-1][1].encode()), gone, min(gone, 1), hashlib.sha256(left.encode()).hexdigest())
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()} == want
+
+
 def test_repeated_strings_of_nothing(empty):
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
